@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, token_counts, token_files
 from .common import table
 
 
@@ -14,8 +14,16 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_read(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.over_limit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {f.__name__: f for f in (op1_byte_bpe, op5_simple8b_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
