@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, sharding, token_counts, token_files, url_filter
+from . import bpe, mixing, quality, sharding, token_counts, token_files, url_filter
 from .common import table
 
 
@@ -26,12 +26,20 @@ def op5_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op7_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_histogram_sort, op4_url_digests, op5_simple8b_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_histogram_sort, op4_url_digests, op5_simple8b_files, op6_mixing, op7_neighbour_votes, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
