@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -42,3 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Its rows written once to the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def count_at_most(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at or below a value: a binary search in a constant array."""
+    if not bounds:
+        return F.lit(0)
+    step = 1 << (len(bounds).bit_length() - 1)
+    filled = F.array(*[F.lit(b).cast("long") for b in bounds], *[F.lit(None).cast("long")] * (2 * step - len(bounds)))
+    steps = F.array(*[F.lit(step >> i) for i in range(step.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda found, s: F.when(F.get(filled, found + s - 1) <= value, found + s).otherwise(found))
