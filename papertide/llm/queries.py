@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, sharding, syncmers, token_counts, token_files, url_filter
+from . import bpe, mixing, order_minhash, quality, sharding, syncmers, token_counts, token_files, url_filter
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op7_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_histogram_sort, op4_url_digests, op5_simple8b_files, op6_mixing, op7_neighbour_votes, op9_closed_syncmers, op10_token_counts)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_histogram_sort, op4_url_digests, op5_simple8b_files, op6_mixing, op7_neighbour_votes, op8_order_minhash, op9_closed_syncmers, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

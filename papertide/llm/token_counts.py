@@ -1,11 +1,10 @@
 """Token counts without token ids: each distinct pre-token is counted once, for the whole corpus.
 
-1. Each task collects the distinct pre-tokens of its texts; one exchange makes them distinct overall,
-   and the tokenizers library counts each of them once.
-2. A second pass writes, for each block of documents and each pre-token in it, one row with the
-   documents that hold it and how often. These rows join the counts. Even the most frequent pre-token
-   has one row a block, and Spark can split it, as it is on the streamed side of the join.
-3. Each task adds up what it has of a block; a block's sums meet with its header, the list of its ids.
+1. One pass over the texts makes blocks of documents. A block has its postings, the pre-tokens of each
+   document by number and how often they occur, and its vocabulary, in BUCKETS parts by hash.
+2. The parts are dealt out by bucket, so that equal pre-tokens meet; there, the tokenizers library counts
+   each distinct one once. Even the most frequent pre-token stands only once in a block's vocabulary.
+3. The counts, a number for each pre-token of a block, go back to its postings, and are summed by document.
 
 Pre-tokens are cut where the pattern of the byte-level pre-tokenizer never matches across (pieces.py).
 
@@ -17,6 +16,7 @@ give no rows; columns besides the id and the text are ignored, whatever their na
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +36,7 @@ from .pieces import piece_counts
 TOKENIZER = "byte_bpe_50k.json"
 #: Documents and characters of a block at most; a longer document is a block of its own.
 BLOCK_DOCS, BLOCK_CHARS = 8192, 24_000_000
-#: Bits of a posting that hold the frequency; the rest hold the document's place in its block.
-FREQ_BITS = 19
-#: Distinct pre-tokens, and blocks, that a task holds at most before it sends them on.
-HOLD_PIECES, HOLD_BLOCKS = 400_000, 256
+BUCKETS = 1024
 
 
 @lru_cache(maxsize=4)
@@ -65,108 +63,88 @@ def check_byte_level(path: str) -> None:
         raise ValueError(f"{path}: its added tokens reach into the text around them")
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: set[str] = set()
+def _packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, by byte planes, as the high ones are mostly zero."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.compress(planes.tobytes(), 1)
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([b"\0" + x.encode() for x in held], pa.binary())], names=["piece"])
 
-    for batch in batches:
-        for text in batch.column(0):
-            held.update(piece_counts(text.as_py()))
-            if len(held) >= HOLD_PIECES:
-                yield out()
-                held.clear()
-    if held:
-        yield out()
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _lengths_and_bytes(parts: list[bytes]) -> bytes:
+    return zstandard.compress(len(parts).to_bytes(4, "little") + np.array([len(x) for x in parts], "<u4").tobytes() + b"".join(parts), 1)
+
+
+def _parts(packed: bytes) -> list[bytes]:
+    raw = zstandard.decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.cumsum(np.concatenate([[4 + 4 * n], np.frombuffer(raw, "<u4", n, 4)])).tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+_NAMES = ["block", "deal", "bucket", "payload", "ids", "sizes"]
 
 
-def _block(number: int, ids: list, texts: list[str], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """The header of a block, and its postings by piece."""
+def _block(number: int, ids: list, texts: list[str], id_type: pa.DataType) -> pa.RecordBatch:
+    """The postings of a block, as bucket -1, and its vocabulary by bucket."""
     place: dict[str, int] = {}
-    which, docs, freqs = [], [], []
-    for i, text in enumerate(texts):
+    which, freqs = [], []
+    for text in texts:
         counts = piece_counts(text)
         which.append(np.fromiter((place.setdefault(x, len(place)) for x in counts), np.int64, len(counts)))
         freqs.append(np.fromiter(counts.values(), np.int64, len(counts)))
-        docs.append(np.full(len(counts), i, np.int64))
-    which, docs, freqs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (which, docs, freqs))
-    most = (1 << FREQ_BITS) - 1
-    while (over := freqs > most).any():  # a posting holds no more: the rest goes to another one
-        which, docs = np.concatenate([which, which[over]]), np.concatenate([docs, docs[over]])
-        freqs = np.concatenate([np.minimum(freqs, most), freqs[over] - most])
-    order = np.argsort(which, kind="stable")
-    postings = ((docs << FREQ_BITS) | freqs)[order].astype(np.uint32)
-    ends = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(place)))]).astype(np.int32) * 4
-    pieces = pa.array([b"\0" + x.encode() for x in place], pa.binary())
-    payload = pa.BinaryArray.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(postings.tobytes())])
-    sizes = [len(x.encode()) for x in texts]
-    lists = (pa.list_(id_type), pa.list_(pa.int64()))
-    names = ["block", "piece", "payload", "ids", "sizes"]
-    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([b"\1%d" % number], pa.binary()), pa.array([None], pa.binary()), pa.array([ids], lists[0]), pa.array([sizes], lists[1])], names=names)
-    whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(place), number)), pieces, payload, pa.nulls(len(place), lists[0]), pa.nulls(len(place), lists[1])], names=names)
-    for at in range(0, whole.num_rows, 50_000):
-        yield whole.slice(at, 50_000)
-
-
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    vocabulary = [x.encode() for x in place]
+    buckets = np.fromiter((zlib.crc32(x) % BUCKETS for x in vocabulary), np.int64, len(vocabulary))
+    order = np.argsort(buckets, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))  # numbers of pre-tokens in the order of buckets
+    gaps, often = [], []
+    for w, f in zip(which, freqs, strict=True):
+        r = rank[w]
+        by = np.argsort(r)
+        gaps.append(np.diff(r[by], prepend=0))
+        often.append(f[by])
+    none = np.zeros(0, np.int64)
+    postings = [np.array([len(x) for x in which]), np.concatenate(gaps or [none]), np.concatenate(often or [none])]
+    ends = np.searchsorted(buckets[order], np.arange(BUCKETS + 1)).tolist()
+    rows = [(b, [vocabulary[i] for i in order[x:y]]) for b, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
+    payload = [_lengths_and_bytes([_packed(x) for x in postings]), *(_lengths_and_bytes(x) for _, x in rows)]
+    deal = [BUCKETS + number % 65_521, *(b for b, _ in rows)]
+    rest = [None] * len(rows)
+    arrays = [pa.array([number] * len(deal), pa.int64()), pa.array(deal, pa.int32()), pa.array([-1, *(b for b, _ in rows)], pa.int32()), pa.array(payload, pa.binary()), pa.array([ids, *rest], pa.list_(id_type)), pa.array([[len(x.encode()) for x in texts], *rest], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, ids, texts, chars, id_type = TaskContext.get().partitionId() << 24, [], [], 0, None
     for batch in batches:
         id_type = batch.schema.field(0).type
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = text.as_py()
             if texts and (len(texts) == BLOCK_DOCS or chars + len(text) > BLOCK_CHARS):
-                yield from _block(number, ids, texts, id_type)
+                yield _block(number, ids, texts, id_type)
                 number, ids, texts, chars = number + 1, [], [], 0
             ids.append(key)
             texts.append(text)
             chars += len(text)
     if texts:
-        yield from _block(number, ids, texts, id_type)
-
-
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of a block's documents so far, as pairs of place and sum; headers go through."""
-    held: dict[int, np.ndarray] = {}
-    schema = None
-
-    def out() -> pa.RecordBatch:
-        payload = [np.stack([at := np.flatnonzero(x), x[at]]).astype(np.int64).tobytes() for x in held.values()]
-        arrays = [pa.array(list(held), pa.int64()), pa.array(payload, pa.binary()), pa.nulls(len(held), schema.field("ids").type), pa.nulls(len(held), schema.field("sizes").type)]
-        return pa.RecordBatch.from_arrays(arrays, names=["block", "payload", "ids", "sizes"])
-
-    for batch in batches:
-        schema = batch.schema
-        headers = batch.filter(batch.column(schema.get_field_index("ids")).is_valid())
-        if headers.num_rows:
-            yield headers.select(["block", "payload", "ids", "sizes"])
-        rows = batch.filter(batch.column(schema.get_field_index("ids")).is_null())
-        payload = rows.column(1).to_pylist()
-        entries = np.frombuffer(b"".join(payload), np.uint32).astype(np.int64)
-        lengths = np.fromiter((len(x) // 4 for x in payload), np.int64, len(payload))
-        blocks, inverse = np.unique(rows.column(0).to_numpy(), return_inverse=True)
-        tokens = np.repeat(rows.column(4).to_numpy(zero_copy_only=False).astype(np.int64), lengths) * (entries & ((1 << FREQ_BITS) - 1))
-        at = np.repeat(inverse, lengths) * BLOCK_DOCS + (entries >> FREQ_BITS)
-        total = np.bincount(at, weights=tokens, minlength=len(blocks) * BLOCK_DOCS).astype(np.int64).reshape(-1, BLOCK_DOCS)
-        for number, x in zip(blocks.tolist(), total, strict=True):
-            if number in held:
-                held[number] += x
-            else:
-                held[number] = x.copy()
-            if len(held) >= HOLD_BLOCKS:
-                yield out()
-                held.clear()
-    if held:
-        yield out()
+        yield _block(number, ids, texts, id_type)
 
 
 def _finish(id_col: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        header = rows[rows["ids"].notna()].iloc[0]
-        total = np.zeros(len(header["ids"]), np.int64)
-        for x in rows.loc[rows["ids"].isna(), "payload"]:
-            at, n = np.frombuffer(x, np.int64).reshape(2, -1)
-            total[at] += n
+        counts = rows[rows["bucket"] >= 0].sort_values("bucket")["payload"]
+        n = np.concatenate([_unpacked(x) for x in counts]) if len(counts) else np.zeros(0, np.int64)
+        header = rows[rows["bucket"] < 0].iloc[0]
+        lengths, gaps, often = (_unpacked(x) for x in _parts(header["payload"]))
+        docs = np.repeat(np.arange(len(lengths)), lengths)
+        run_on = np.cumsum(gaps)
+        starts = np.cumsum(lengths) - lengths
+        before = np.concatenate([[0], run_on])[starts]  # gaps start anew with each document
+        total = np.bincount(docs, weights=n[run_on - before[docs]] * often, minlength=len(lengths)).astype(np.int64) if len(docs) else np.zeros(len(lengths), np.int64)
         return pd.DataFrame({id_col: pd.Series(list(header["ids"]), dtype=object), "n_bytes": np.asarray(header["sizes"], np.int64), "n_tokens": total})
 
     return run
@@ -180,21 +158,31 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     source = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = source.schema[0].dataType
 
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok, known, of = tokenizer(path), {}, None
         for batch in batches:
-            found = tok.encode_batch_fast([x[1:].decode() for x in batch.column(0).to_pylist()], add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int32())], names=["piece", "n"])
-
-    counts = source.select("text").mapInArrow(_pieces, "piece binary").distinct().mapInArrow(count, "piece binary, n int")
-    list_of_ids = T.ArrayType(id_type)
-    columns = [T.StructField("payload", T.BinaryType()), T.StructField("ids", list_of_ids), T.StructField("sizes", T.ArrayType(T.LongType()))]
-    block = T.StructField("block", T.LongType())
-    postings = source.mapInArrow(_postings, T.StructType([block, T.StructField("piece", T.BinaryType()), *columns]))
-    joined = postings.join(counts, "piece", "left").select("block", "payload", "ids", "sizes", "n")
-    sums = joined.mapInArrow(_sums, T.StructType([block, *columns]))
+            payload = []
+            for bucket, packed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if bucket < 0:
+                    payload.append(packed)
+                    continue
+                if bucket != of:
+                    known, of = {}, bucket
+                pieces = _parts(packed)
+                new = [x for x in pieces if x not in known]
+                for at in range(0, len(new), 10_000):
+                    part = new[at : at + 10_000]
+                    known.update(zip(part, map(len, tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)), strict=True))
+                payload.append(_packed(np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(payload, pa.binary()), batch.column(4), batch.column(5)], names=["block", "bucket", "payload", "ids", "sizes"])
+
+    fields = {"block": T.LongType(), "deal": T.IntegerType(), "bucket": T.IntegerType(), "payload": T.BinaryType(), "ids": T.ArrayType(id_type), "sizes": T.ArrayType(T.LongType())}
+    schema = T.StructType([T.StructField(k, v) for k, v in fields.items()])
+    dealt = source.mapInArrow(_blocks, schema).repartition("deal").sortWithinPartitions("deal")
+    counted = dealt.mapInArrow(count, T.StructType([x for x in schema if x.name != "deal"]))
     result = T.StructType([T.StructField(id_col, id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return sums.groupBy("block").applyInPandas(_finish(id_col), result)
+    return counted.groupBy("block").applyInPandas(_finish(id_col), result)
 
 
 def over_limit(docs: DataFrame, limit: int = 1024) -> DataFrame:
