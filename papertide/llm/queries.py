@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, order_minhash, quality, sharding, syncmers, token_counts, token_files, url_filter
+from . import bpe, hnsw, mixing, order_minhash, quality, sharding, syncmers, token_counts, token_files, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.classes(table(spark, sf_dir, "embeddings"))
+
+
 def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.by_bytes(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_histogram_sort, op4_url_digests, op5_simple8b_files, op6_mixing, op7_neighbour_votes, op8_order_minhash, op9_closed_syncmers, op10_token_counts)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_hnsw, op3_histogram_sort, op4_url_digests, op5_simple8b_files, op6_mixing, op7_neighbour_votes, op8_order_minhash, op9_closed_syncmers, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
