@@ -36,10 +36,36 @@ END = 0
 _encoders: dict[str, PieceEncoder] = {}
 
 
+def _alphabet() -> dict[int, int]:
+    """Byte to the character that stands for it in a byte-level vocabulary: itself if printable, else the next free one from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_ALPHABET = _alphabet()
+
+
+class _Pieces:
+    """Ids of single pieces. A run of Latin letters, with or without a space before it, is one match of the
+    pattern, so it goes straight to the library's BPE model, past its pre-tokenizer; also in front of a comma or a full stop."""
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        self.model = self.tokenizer.model
+
+    def __call__(self, piece: str) -> list[int]:
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isalpha() and max(body) < "\u0250":
+            return [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))]
+        if body[-1:] in (".", ",") and body[:-1].isalpha() and max(body) < "\u0250":
+            return self(piece[:-1]) + [x.id for x in self.model.tokenize(piece[-1])]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+
 def _encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
-        tok = tokenizer(path)
-        _encoders[path] = PieceEncoder(lambda x: tok.encode(x, add_special_tokens=False).ids)
+        _encoders[path] = PieceEncoder(_Pieces(path), most=1 << 19)
     return _encoders[path]
 
 
