@@ -91,6 +91,8 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tu
     start = [_Open([], (), _LOWEST, (1 << 63) - 1, 0, 0)]
     cells = _histogram(keyed, 0, start)
     total = sum(x[1] for x in cells.get(0, []))
+    if not total:
+        return [], 1
     pieces = max(1, min(PIECES, total // (shards * PIECE_BYTES)))
     n = shards * pieces
     goals = [total * k // n for k in range(n)]
