@@ -22,6 +22,11 @@ def or_null(x: Column | str) -> Column:
     return F.nullif(c(x), F.lit(""))
 
 
+def strip(x: Column | str) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c(x), r"(?U)^\s+|\s+$", "")
+
+
 def collapse(x: Column | str) -> Column:
     """Each run of Unicode white space becomes one space; none at the ends."""
     return F.trim(F.regexp_replace(c(x), r"(?U)\s+", " "))

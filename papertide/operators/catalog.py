@@ -80,7 +80,11 @@ def retrieve(pages: DataFrame, packets: DataFrame, domain: str, include_backgrou
     texts = packets.select("packet_id", *[normalize(or_empty(f)).alias(f"__{f}") for f in RETRIEVAL])
     df = pairs.join(inside.select("path", "title", "tags", "body"), "path").join(texts, "packet_id")
     all_ = F.trim(F.regexp_replace(F.concat_ws(" ", *[F.col(f"__{f}") for f in RETRIEVAL]), " +", " "))
-    parts = {f: F.aggregate("entity_matches", F.lit(0), lambda a, x, f=f: a + F.least(phrase_count(F.col(f"__{f}"), x), F.lit(3))) * w for f, w in RETRIEVAL.items()}
+
+    def mentions(f: str) -> Column:
+        return F.aggregate("entity_matches", F.lit(0), lambda a, x: a + F.least(phrase_count(F.col(f"__{f}"), x), F.lit(3)))
+
+    parts = {f: mentions(f) * w for f, w in RETRIEVAL.items()}
     phrases = lambda xs: F.filter(F.transform(xs, normalize), lambda p: (p != "") & ~p.isin(*GENERIC) & (phrase_count(all_, p) > 0))
     folders = F.split("path", "/")
     parts["tags"] = F.least(F.size(phrases(F.coalesce("tags", F.array().cast("array<string>")))), F.lit(8)) * 18.0
@@ -130,7 +134,7 @@ def tags_in(content: DataFrame, counts: DataFrame, limit: int = 10) -> DataFrame
 
 
 def reference_rows(pages: DataFrame) -> DataFrame:
-    return pages.select("path", "title", F.explode(ids.references("body")).alias("r")).select("path", "title", "r.*")
+    return pages.select("path", F.explode(ids.references("body")).alias("r")).select("path", "r.*")
 
 
 def cited_in(pages: DataFrame, urls: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify, ids
-from ..functions.text import collapse, first_nonempty, key, or_empty, or_null, overlap_ratio, sentences
+from ..functions.text import collapse, first_nonempty, key, or_empty, or_null, overlap_ratio, sentences, strip
 from ..functions.values import best
 
 #: The order of section groups in a context and the characters of each, and of all.
@@ -23,13 +23,13 @@ _DOI_WHOLE = r"(?i)^10\.\d{4,9}/[-._;()/:a-z0-9]+$"
 def headed_sections(df: DataFrame, id_col: str, body: Column) -> DataFrame:
     """id_col, pos, level, heading, text: a row for each Markdown heading before the references, with its text; without any, one Document."""
     claim = F.split(or_empty_column(body), REFERENCES, 2)[0]
-    parts = F.filter(F.split(claim, r"(?m)(?=^#{1,6}\s+\S)"), lambda p: F.trim(p) != "")
+    parts = F.filter(F.split(claim, r"(?m)(?=^#{1,6}\s+\S)"), lambda p: strip(p) != "")
     rows = df.select(id_col, F.posexplode(parts).alias("pos", "raw"))
     marks = F.regexp_extract("raw", r"^(#{1,6})\s+", 1)
     heading = F.trim(F.regexp_extract("raw", r"^#{1,6}\s+([^\n]+)", 1))
     only = F.count("*").over(W.partitionBy(id_col)) == 1
     named = F.when(marks != "", heading).when(only, "Document").otherwise("Document metadata")
-    return rows.select(id_col, "pos", F.length(marks).alias("level"), named.alias("heading"), F.trim("raw").alias("text"))
+    return rows.select(id_col, "pos", F.length(marks).alias("level"), named.alias("heading"), strip("raw").alias("text"))
 
 
 def or_empty_column(x: Column) -> Column:
@@ -96,7 +96,7 @@ def _quoted(term: str) -> str:
 def mine_sentences(sections: DataFrame, id_col: str, least: int, most: int, keep: Column, limit: int) -> DataFrame:
     """The first sentences of a document's sections that a test on `sentence` keeps and whose length fits."""
     text = F.regexp_replace("text", r"^#{1,6}[^\n]*\n+", "")
-    rows = sections.select(id_col, "pos", F.posexplode(sentences(text)).alias("n", "sentence")).withColumn("sentence", F.trim("sentence"))
+    rows = sections.select(id_col, "pos", F.posexplode(sentences(text)).alias("n", "sentence")).withColumn("sentence", strip("sentence"))
     fits = (F.length("sentence") >= least) & (F.length("sentence") <= most) & ~F.contains("sentence", F.lit("\n")) & ~F.regexp_like("sentence", F.lit(r"^[#|!\[]"))
     at = F.row_number().over(W.partitionBy(id_col).orderBy("pos", "n"))
     return rows.where(fits & keep).withColumn("rank", at).where(F.col("rank") <= limit).select(id_col, "rank", "sentence")
@@ -180,7 +180,7 @@ def survive(packets: DataFrame, crossref: DataFrame, pubmed: DataFrame) -> DataF
 
 def gate(packets: DataFrame) -> DataFrame:
     """packets with `issues`, sorted, and `ok`: what keeps a packet from being used."""
-    title, abstract, body = F.trim(or_empty("title")), F.trim(or_empty("abstract")), F.trim(or_empty("body_markdown"))
+    title, abstract, body = strip(or_empty("title")), strip(or_empty("abstract")), strip(or_empty("body_markdown"))
     doi, url = F.trim(or_empty("doi")), F.trim(or_empty("reference_url"))
     none = F.array().cast("array<string>")
     retrieval = F.array_union(F.coalesce("retrieval_issues", none), F.coalesce("consistency", none))
