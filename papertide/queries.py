@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import classify, ids, text, udfs, values
 from .operators import catalog, intake, jobs, packets, papers
+from .sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -360,3 +361,119 @@ def dedupe_first_seen(spark, d):
     """The first twenty different words of a conversation, in order."""
     t = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.filter(F.split(F.lower(F.trim(x["text"])), " "), lambda w: (w != "") & ~F.contains(w, F.lit("\n"))))
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.flatten(t).alias("w")).select("conv_id", F.array_join(F.slice(F.array_distinct("w"), 1, 20), " ").alias("words"))
+
+
+@query(f"""SELECT doc_id, md5({_key('text')}) AS key_md5, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS collapsed_md5, replace({_key("string_split(text, chr(10))[1]")}, ' ', '-') AS slug,
+  ends_with(trim(regexp_replace(text, '\\s+', ' ', 'g')), '...') OR ends_with(trim(regexp_replace(text, '\\s+', ' ', 'g')), '…') AS truncated, len(list_distinct(list_filter(string_split({_key('text')}, ' '), lambda w: w <> ''))) AS distinct_words FROM documents""")
+def text_normalizers(spark, d):
+    """Normal forms of whole texts."""
+    line = F.get(F.split("text", "\n"), F.lit(0))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.key("text").cast("binary")).alias("key_md5"), F.md5(text.collapse("text").cast("binary")).alias("collapsed_md5"), text.slug(line).alias("slug"), text.is_truncated("text").alias("truncated"), F.size(F.array_distinct(text.words(text.key("text")))).cast("long").alias("distinct_words"))
+
+
+_TAGGED = "SELECT doc_id::VARCHAR AS path, unnest([lang, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN upper(source) ELSE source || '!' END]) AS tag FROM documents"
+
+
+@query(f"""
+WITH u AS ({_TAGGED}), k AS (SELECT *, {_key('tag')} AS normalized FROM u), t AS (SELECT normalized, tag, count(*) AS n FROM k GROUP BY ALL),
+p AS (SELECT normalized, array_to_string(list_sort(list_distinct(list(path)))[1:5], ',') AS example_paths FROM k GROUP BY 1)
+SELECT normalized, sum(n)::BIGINT AS total, first(tag ORDER BY n DESC, lower(tag), tag) AS suggested_canonical, string_agg(tag || ':' || n, ',' ORDER BY n DESC, lower(tag), tag) AS variants, any_value(example_paths) AS example_paths
+FROM t JOIN p USING (normalized) GROUP BY normalized HAVING count(*) >= 2""")
+def tag_audit(spark, d):
+    """Tags (sources in three spellings) that are one tag."""
+    docs = table(spark, d, "documents")
+    spelled = F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 3 == 1, F.upper("source")).otherwise(F.concat("source", F.lit("!")))
+    pages = docs.select(F.col("doc_id").cast("string").alias("path"), F.array("lang", spelled).alias("tags"))
+    variants = F.array_join(F.transform("variants", lambda v: F.concat(v["tag"], F.lit(":"), v["count"].cast("string"))), ",")
+    return catalog.audit_tags(pages).select("normalized", "total", "suggested_canonical", variants.alias("variants"), F.array_join("example_paths", ",").alias("example_paths"))
+
+
+@query(f"""
+WITH c AS (SELECT tag, count(*) AS n, {_key('tag')} AS t FROM ({_TAGGED}) GROUP BY ALL),
+s AS (SELECT *, CASE WHEN t = 'src1 en' THEN 100.0 WHEN contains(t, 'src1 en') THEN 80.0 WHEN contains('src1 en', t) THEN 70.0 WHEN contains(t, 'src1') OR contains(t, 'en') THEN 50.0 * (contains(t, 'src1')::INT + contains(t, 'en')::INT) / 2 ELSE 0.0 END AS score FROM c)
+SELECT tag, n AS count, round(score, 2)::DOUBLE AS score FROM s WHERE score > 0 ORDER BY score DESC, n DESC, lower(tag), tag LIMIT 20""")
+def tag_suggest(spark, d):
+    """Tags that fit a query, by kind of match and frequency."""
+    docs = table(spark, d, "documents")
+    spelled = F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 3 == 1, F.upper("source")).otherwise(F.concat("source", F.lit("!")))
+    return catalog.suggest_tags(catalog.tag_counts(docs.select(F.array("lang", spelled).alias("tags"))), "src1 en")
+
+
+@query(f"""
+WITH p AS (SELECT lang || '/' || source || '/' || doc_id || '.md' AS path, regexp_replace(array_to_string(string_split({_key("string_split(text, chr(10))[1]")}, ' ')[1:2], ' '), '^(?:the|what is|what are|an introduction to)\\s+', '') AS alias FROM documents),
+a AS (SELECT * FROM p WHERE length(alias) >= 4), i AS (SELECT item_id, ' ' || {_key('text')} || ' ' AS t FROM benchmark)
+SELECT item_id AS packet_id, path, alias AS entity FROM i JOIN a ON contains(t, ' ' || alias || ' ')""")
+def phrase_eligible(spark, d):
+    """Pages (documents by the first two words) that a packet (benchmark item) names, joined by word n-grams."""
+    first = F.array_join(F.slice(F.split(text.key(F.get(F.split("text", "\n"), F.lit(0))), " "), 1, 2), " ")
+    pages = table(spark, d, "documents").select(F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), first.alias("title"), first.alias("stem"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("packet_id"), F.col("text").alias("abstract"), *[F.lit("").alias(f) for f in catalog.RETRIEVAL if f != "abstract"])
+    return catalog.eligible(pages, items).select("packet_id", "path", F.explode("entity_matches").alias("entity"))
+
+
+@query(f"""
+SELECT host, arg_max(page_id, (score, page_id)) AS page_id, max(score) AS score FROM (SELECT page_id, {_HOST} AS host, (length(html) % 50)::BIGINT AS score FROM pages) GROUP BY host""")
+def best_attempt(spark, d):
+    """Of the pages of a host (as attempts) the best one, the later of equals."""
+    p = table(spark, d, "pages").select("page_id", ids.host("url").alias("host"), (F.length("html") % 50).cast("long").alias("score"))
+    return packets.best_attempt(p, "host", F.col("score"), "page_id").select("host", "page_id", "score")
+
+
+@query("""
+SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn, count(*) AS turns, count(*) FILTER (role = 'user') AS users FROM conversations GROUP BY conv_id""")
+def latest_related(spark, d):
+    """The last row's attributes of each conversation, with counts."""
+    c = table(spark, d, "conversations")
+    last = intake.latest(c, "conv_id", F.col("turn"), "role", "turn")
+    return last.join(c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("users")), "conv_id")
+
+
+@query(f"""
+WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(string_split({_key('text')}, ' '), lambda w: w <> '')) AS ws, {_key('text')} AS k FROM conversations)
+SELECT a.conv_id, a.turn, CASE WHEN len(a.ws) = 0 OR len(b.ws) = 0 THEN 0.0 WHEN a.k = b.k THEN 1.0 ELSE round(len(list_intersect(a.ws, b.ws)) / greatest(len(a.ws), len(b.ws)), 6) END AS overlap
+FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def turn_overlap(spark, d):
+    """Share of words that a turn has in common with the next one."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.overlap_ratio("text", "next"), 6).alias("overlap"))
+
+
+@query("""
+WITH f AS (SELECT p_partkey, p_name, p_brand, p_size, count(*) OVER () AS total FROM part WHERE (p_name ILIKE '%1%' OR p_brand ILIKE '%brand#3%' OR p_type ILIKE '%steel%') AND p_size >= 10)
+SELECT p_partkey, p_name, p_brand, p_size, total FROM f ORDER BY p_size DESC, p_partkey LIMIT 50 OFFSET 50""")
+def filtered_page(spark, d):
+    """The second page of a filtered, ordered list, with the number of all rows."""
+    p = intake.conjunction(table(spark, d, "part"), intake.matches_any(["p_name"], "1") | intake.matches_any(["p_brand"], "brand#3") | intake.matches_any(["p_type"], "steel"), F.col("p_size") >= 10, None)
+    return intake.page_of(p.select("p_partkey", "p_name", "p_brand", "p_size"), [F.desc("p_size"), F.col("p_partkey")], 50, 50)
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') ELSE 'n.d.' END AS day, least(250, greatest(10, coalesce(try_cast(substr(o_orderpriority, 1, 1) AS INT), 50) * 60)) AS size
+FROM orders WHERE o_orderdate >= DATE '1996-03-01' AND o_orderdate < DATE '1996-06-01'""")
+def date_window(spark, d):
+    """Orders in a window of days, with partial dates made whole and a clamped number."""
+    o = table(spark, d, "orders")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy/M/d")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-M")).otherwise("n.d.")
+    size = F.least(F.lit(250), F.greatest(F.lit(10), values.parse_int(F.substring("o_orderpriority", 1, 1), 50) * 60))
+    o = o.where(values.in_window(F.col("o_orderdate"), F.lit("1996-06-01").cast("date"), after="1996-03-01", before="1996-06-01"))
+    return o.select("o_orderkey", values.partial_date(raw).alias("day"), size.alias("size"))
+
+
+@query("""
+WITH a AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_acctbal > 0)
+SELECT n_name, count(*) AS customers, count(*) FILTER (s.suppliers IS NULL) AS without_supplier, max(c_acctbal) AS best FROM a JOIN nation ON c_nationkey = n_nationkey
+LEFT JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier WHERE s_acctbal > 3000 GROUP BY 1) s ON s_nationkey = n_nationkey GROUP BY n_name""")
+def nation_accounts(spark, d):
+    """Inner and left join of dimensions, conditional counts."""
+    c = table(spark, d, "customer").where("c_acctbal > 0").select("c_nationkey", "c_acctbal")
+    s = table(spark, d, "supplier").where("s_acctbal > 3000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
+    n = table(spark, d, "nation").join(s, "n_nationkey", "left")
+    return c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("customers"), F.count_if(F.col("suppliers").isNull()).alias("without_supplier"), F.max("c_acctbal").alias("best"))
+
+
+@query()
+def page_packets(spark, d):
+    """Pages as packets: title, body, study type and retrieval issues, and whether they pass the gate's rules on issues."""
+    p = readers.html_packets(table(spark, d, "pages").select("url", "html"))
+    return p.select("url", "title", F.length("body_markdown").alias("body_chars"), "study_type", F.array_join("retrieval_issues", ",").alias("issues"), classify.content_score(F.col("body_markdown")).alias("score"))
