@@ -70,7 +70,7 @@ def _source_key(source_col: str):
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = OUTPUTS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows with size, source_size, target, taken and the columns that draws() needs."""
+    """The rows with size, source_size, target, spans (the words of each copy that each output shard's blocks hold), taken (their sum) and what draws() needs."""
     keyed = docs.withColumns(
         {
             "size": F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long"),
@@ -98,32 +98,42 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     small = len(table) <= 10_000
     placed = placed.join(F.broadcast(per_source) if small else per_source, "__source").withColumn("__at", F.col("__at") + F.col("__base"))
     passes = F.when(F.col("source_size") > 0, F.expr("__take div source_size")).otherwise(0)
-    rest = F.when(F.col("source_size") > 0, F.expr("__take % source_size")).otherwise(0)
-    placed = placed.withColumns({"__passes": passes, "__last": F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__at")))})
-    return placed.withColumn("taken", F.col("__passes") * F.col("size") + F.col("__last")).drop("__bucket", "__base")
+    placed = placed.withColumn("__passes", passes)
+
+    def in_shards(copy):
+        """The words that each shard's blocks hold of one copy of the document."""
+        first = copy * F.col("source_size") + F.col("__at")
+        end_before = lambda j: F.when(j > 0, F.get("__ends", j - 1)).otherwise(0)
+        words = lambda end, j: F.greatest(F.lit(0), F.least(first + F.col("size"), end) - F.greatest(first, end_before(j)))
+        return F.transform("__ends", lambda end, j: F.struct(j.alias("output"), copy.cast("int").alias("copy"), words(end, j).alias("words")))
+
+    spans = F.filter(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("__passes")), in_shards)), lambda x: x["words"] > 0)
+    placed = placed.withColumn("spans", spans)
+    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return placed.withColumn("taken", taken).drop("__bucket", "__base", "__ends")
 
 
 def draws(mixed: DataFrame, whole: bool = True) -> DataFrame:
-    """A row for each time that a document is drawn, with `words` of it and its `output` shard, in each shard's shuffled order.
+    """A row for each time that a document is drawn, with `words` of it, `copy` and its `output` shard, in each shard's shuffled order.
 
-    whole: the one document of a source that the target cuts is drawn whole if half of it or more is, else not
-    at all; and a document without words is drawn as often as its neighbours (once if all its source has none).
+    whole: a copy that blocks of several shards share goes to the first of them; the one document of a source that the
+    target cuts is drawn whole if half of it or more is, else not at all; and a document without words is drawn as often
+    as its neighbours (once if all its source has none).
     """
-    none = F.col("size") == 0
     if whole:
-        last = F.when(none, F.col("source_size") > 0).otherwise(F.col("__last") * 2 >= F.col("size"))
-        last = last & (~none | (F.col("__at") < F.expr("__take - __passes * source_size")))
-        copies = F.col("__passes") + F.when(none & (F.col("source_size") == 0), 1).when(last, 1).otherwise(0)
+        none = F.col("size") == 0
+        # of each copy the words in all shards, and the first shard
+        per_copy = F.transform(F.array_distinct(F.transform("spans", lambda x: x["copy"])), lambda c: F.struct(c.alias("copy"), F.aggregate(F.filter("spans", lambda x: x["copy"] == c), F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("words"), F.array_min(F.transform(F.filter("spans", lambda x: x["copy"] == c), lambda x: x["output"])).alias("output")))
+        kept = F.filter(per_copy, lambda x: x["words"] * 2 >= F.col("size"))
+        times = F.when(F.col("source_size") == 0, 1).otherwise(F.col("__passes") + F.when(F.col("__at") < F.expr("__take - __passes * source_size"), 1).otherwise(0)).cast("int")
+        empty = F.transform(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>")), lambda c: F.struct(c.alias("copy"), F.lit(0).cast("long").alias("words"), F.lit(0).alias("output")))
+        found = F.when(none, empty).otherwise(kept)
     else:
-        copies = F.col("__passes") + F.when(F.col("__last") > 0, 1).otherwise(0)
-    drawn = mixed.withColumn("__copies", copies).where("__copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("__copies") - 1).cast("int"))))
-    words = F.col("size") if whole else F.when(F.col("copy") < F.col("__passes"), F.col("size")).otherwise(F.col("__last"))
-    first = F.col("copy") * F.col("source_size") + F.col("__at")
-    output = F.least(F.size(F.filter("__ends", lambda e: e <= first)), F.size("__ends") - 1)
-    out = drawn.withColumns({"words": words, "output": output})
-    shuffled = F.xxhash64(F.col("__hash"), F.col("copy"))
-    out = out.withColumn("__order", shuffled).repartition(F.col("output")).sortWithinPartitions("output", "__order")
-    return out.drop("__source", "__hash", "__at", "__take", "__ends", "__passes", "__last", "__copies", "__order")
+        found = F.transform("spans", lambda x: F.struct(x["copy"].alias("copy"), x["words"].alias("words"), x["output"].alias("output")))
+    drawn = mixed.withColumn("__d", F.explode(found))
+    out = drawn.withColumns({"copy": F.col("__d.copy"), "words": F.when(F.lit(whole), F.col("size")).otherwise(F.col("__d.words")), "output": F.col("__d.output")})
+    out = out.withColumn("__order", F.xxhash64(F.col("__hash"), F.col("copy"))).repartition(F.col("output")).sortWithinPartitions("output", "__order")
+    return out.drop("__d", "__source", "__hash", "__at", "__take", "__passes", "__order", "spans")
 
 
 def taken(docs: DataFrame) -> DataFrame:
