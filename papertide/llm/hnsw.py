@@ -220,7 +220,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, shard_points: int =
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("label").isNotNull() & F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0)
     source = source.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    same = ["label", F.sha2(F.to_csv(F.struct(F.concat_ws(",", F.col("vector").cast("array<string>")))).cast("binary"), 256)]
+    same = ["label", F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")).cast("binary"), 256)]
     keyed = source.withColumn("digest", F.when(F.col("usable"), F.concat_ws("/", *same)))
     points = cut(keyed.where("usable").groupBy("digest").agg(F.min("id").alias("point"), F.count("*").alias("n"), F.min("label").alias("label"), F.min("vector").alias("vector")).withColumn("size", F.size("vector")))
     counts = points.groupBy("label", "size").agg(F.count("*").alias("points"))
