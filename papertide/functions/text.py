@@ -13,6 +13,11 @@ def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once for a row, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def or_empty(x: Column | str) -> Column:
     return F.coalesce(c(x), F.lit(""))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.text import has_phrase, key, or_empty, phrase_count, snippet, words
+from ..functions.text import has_phrase, key, let, or_empty, phrase_count, snippet, strip, words
 
 #: Weights of fields in search, and in retrieval.
 SEARCH = {"title": 30.0, "tags": 20.0, "permalink": 20.0, "path": 15.0, "body": 15.0}
@@ -15,8 +15,8 @@ RETRIEVAL = {"title": 240.0, "keywords": 180.0, "abstract": 120.0, "full_text":
 #: Names too general to mean a page, and words too general to be shared evidence.
 GENERIC = ("activity", "analysis", "article", "benefit", "benefits", "biology", "care", "chemical", "chemicals", "compound", "compounds", "content", "current events", "development", "disease", "diseases", "evidence", "food", "foods", "health", "healing", "medicine", "ministry", "model", "models", "natural healing", "prevention", "product", "products", "research", "study", "studies", "therapy", "treatment", "vitamin")
 STOPWORDS = ("about", "after", "among", "analysis", "article", "based", "benefit", "benefits", "clinical", "disease", "effect", "effects", "evidence", "expanding", "findings", "health", "human", "mechanism", "mechanisms", "meta", "model", "models", "potential", "research", "review", "role", "signal", "study", "studies", "systematic", "therapy", "treatment", "using", "with", "without", "from", "into", "this", "that", "their", "these", "those", "were", "been", "have", "has", "and", "the", "for", "activity", "administration", "associated", "blend", "citrus", "dose", "induced", "metabolic", "metabolism", "mouse", "mice", "rat", "rats", "pink", "preclinical", "supplement", "supplementation", "versus")
-#: A passage of so many words or more is looked up by ANCHOR of them.
-ANCHOR_FROM, ANCHOR = 7, 5
+#: A passage of so many words or more is looked up by one of them.
+LEAST = 4
 
 
 def search(pages: DataFrame, query: str, mode: str = "all", fields: list[str] | None = None, limit: int = 20, normalize=key) -> DataFrame:
@@ -33,8 +33,9 @@ def search(pages: DataFrame, query: str, mode: str = "all", fields: list[str] |
     units = [q] if mode == "phrase" else terms
     chosen = fields or list(SEARCH)
     raw = {"title": or_empty("title"), "tags": F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "), "permalink": or_empty("permalink"), "path": or_empty("path"), "body": or_empty("body")}
-    df = pages.withColumns({f"__{n}": normalize(x) for n, x in raw.items()} | {"__stem": normalize(or_empty("stem"))})
-    hits = lambda n: F.filter(F.array(*[F.lit(u) for u in units]), lambda u: F.contains(F.col(f"__{n}"), u))
+    df = pages.withColumns({f"__{n}": normalize(x) for n, x in raw.items() if n != "body"} | {"__stem": normalize(or_empty("stem"))})
+    wanted = F.array(*[F.lit(u) for u in units])
+    hits = lambda n: let(normalize(raw[n]), lambda t: F.filter(wanted, lambda u: F.contains(t, u)))
     df = df.withColumns({f"__hits_{n}": hits(n) for n in chosen})
     matched = F.array_sort(F.array_distinct(F.concat(*[F.col(f"__hits_{n}") for n in chosen])))
     df = df.withColumn("matched_terms", matched)
@@ -149,18 +150,18 @@ def cited_in(pages: DataFrame, urls: DataFrame) -> DataFrame:
 def containing(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """Pairs of documents(id, text) and passages(item_id, passage) where the text holds the passage as it is.
 
-    A passage is looked up by ANCHOR words from its inside, hashed, and then compared in full. Passages too short for
-    that are compared with every text, all in one expression, not by a join.
+    A passage is looked up by its longest word but the first and last, as it is rarely met elsewhere, and then compared
+    in full. Passages of fewer words than LEAST are compared with every text, all in one expression, not by a join.
     """
-    w = lambda x: F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")
-    p = passages.where("passage <> ''").withColumn("w", w(F.col("passage")))
-    long_ = p.where(F.size("w") >= ANCHOR_FROM).select("item_id", "passage", F.xxhash64(F.slice("w", 2, ANCHOR)).alias("anchor"))
-    windows = F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR + 1), lambda i: F.xxhash64(F.slice("w", i, F.lit(ANCHOR))))
-    docs = documents.where(F.col("text").isNotNull()).withColumn("w", w(F.col("text")))
-    anchors = docs.where(F.size("w") >= ANCHOR).select("id", F.explode(F.array_distinct(windows)).alias("anchor"))
-    pairs = anchors.join(long_, "anchor").select("id", "item_id", "passage").distinct()
+    p = passages.where("passage <> ''").withColumn("w", F.split(strip(F.col("passage")), r"(?U)\s+"))
+    inner = F.slice("w", F.lit(2), F.size("w") - 2)
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    long_ = p.where(F.size("w") >= LEAST).select("item_id", "passage", longest.alias("word"))
+    docs = documents.where(F.col("text").isNotNull())
+    met = docs.select("id", F.explode(F.array_distinct(F.split("text", r"(?U)\s+"))).alias("word"))
+    pairs = met.join(long_, "word").select("id", "item_id", "passage")
     found = pairs.join(documents.select("id", "text"), "id").where(F.contains("text", F.col("passage"))).select("id", "item_id").distinct()
-    short = p.where(F.size("w") < ANCHOR_FROM).agg(F.collect_list(F.struct("item_id", "passage")).alias("short"))
+    short = p.where(F.size("w") < LEAST).agg(F.collect_list(F.struct("item_id", "passage")).alias("short"))
     few = documents.join(F.broadcast(short)).select("id", F.explode(F.filter("short", lambda s: F.contains(F.col("text"), s["passage"]))).alias("s")).select("id", "s.item_id")
     return found.unionAll(few.distinct())
 

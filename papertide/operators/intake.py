@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.text import collapse, or_empty, or_null
+from ..functions.text import collapse, let, or_empty, or_null
 from ..functions.values import STOPPED, TERMINAL
 
 #: Words and their weights, in order.
@@ -23,13 +23,17 @@ def lexicon_hits(text: Column, lexicon: dict[str, int]) -> Column:
     if not lexicon:
         return F.array().cast("array<struct<term:string,weight:int>>")
     terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(w).alias("weight")) for t, w in lexicon.items()])
-    return F.filter(terms, lambda x: F.contains(F.lower(text), x["term"]))
+    return let(F.lower(text), lambda low: F.filter(terms, lambda x: F.contains(low, x["term"])))
 
 
 def triage(text: Column, authors: Column, lexicon: dict[str, int] | None = None) -> Column:
     """Struct of score, status and reasons, by terms and number of authors (null: unknown)."""
     hits = lexicon_hits(text, POSITIVE | NEGATIVE if lexicon is None else lexicon)
     bonus = F.when(authors >= 4, 2).when(authors >= 2, 1).when(authors == 1, -2).otherwise(0)
+    return let(hits, lambda h: _scored(h, bonus, authors))
+
+
+def _scored(hits: Column, bonus: Column, authors: Column) -> Column:
     score = F.aggregate(hits, F.lit(0), lambda a, x: a + x["weight"]) + bonus
     why = F.when(authors >= 4, "+2:multi-author").when(authors >= 2, "+1:team-authored").when(authors == 1, "-2:single-author")
     reasons = F.concat(F.transform(hits, lambda x: F.concat(F.when(x["weight"] > 0, "+").otherwise(""), x["weight"].cast("string"), F.lit(":"), x["term"])), F.array_compact(F.array(why)))
@@ -46,9 +50,8 @@ def topic_hits(topic: str, fields: dict[str, Column]) -> Column:
     terms = topic.split()
     parts = []
     for name, x in fields.items():
-        text = F.lower(or_empty(x))
-        some = sum((F.contains(text, F.lit(t)).cast("int") for t in terms), F.lit(0))
-        parts.append(F.struct(F.lit(name).alias("field"), F.when(F.contains(text, F.lit(topic)), 3).otherwise(some).alias("n")))
+        n = let(F.lower(or_empty(x)), lambda low: F.when(F.contains(low, F.lit(topic)), 3).otherwise(sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))))
+        parts.append(F.struct(F.lit(name).alias("field"), n.alias("n")))
     found = F.filter(F.array(*parts), lambda x: x["n"] > 0)
     return F.struct(F.aggregate(found, F.lit(0), lambda a, x: a + x["n"]).alias("hits"), F.transform(found, lambda x: x["field"]).alias("fields"))
 

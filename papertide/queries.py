@@ -222,7 +222,7 @@ def field_search_phrase(spark, d):
 
 @query("""SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''""")
 def passage_containment(spark, d):
-    """Documents that hold a benchmark passage whole, by hashed anchors instead of comparing each with each."""
+    """Documents that hold a benchmark passage whole, by one rare word each instead of comparing each with each."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
     return catalog.containing(docs, items).select(F.col("id").alias("doc_id"), "item_id")
