@@ -35,7 +35,7 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> PieceEncoder:
-    return PieceEncoder(encoding(path, pattern).encode_ordinary)
+    return PieceEncoder(encoding(path, pattern).encode_ordinary, most=1 << 17)
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
