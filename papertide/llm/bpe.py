@@ -23,7 +23,7 @@ from .pieces import PieceEncoder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Rows of a batch on the way back to Spark.
-ROWS = 256
+ROWS = 128
 
 
 @lru_cache(maxsize=4)
@@ -38,24 +38,28 @@ def encoder(path: str, pattern: str) -> PieceEncoder:
     return PieceEncoder(encoding(path, pattern).encode_ordinary, most=1 << 17)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids: the ids of each whole text. path is opened on the executors, as installed files are."""
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """id_col, ids: the ids of each whole text. path is opened on the executors, as installed files are.
+
+    decoded: with what decode() would give, in the same Python workers, of which there are half as many then.
+    """
     workers_can_import(docs.sparkSession)
     path = path or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc, library = encoder(path, pattern), encoding(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 found = [enc(x) for x in part.column(1).to_pylist()]
                 ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
+                back = [pa.array([library.decode_bytes(np.frombuffer(x, np.uint32).tolist()) for x in found], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, *back], names=[id_col, "ids", "decoded"][: 2 + decoded])
 
     source = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = T.StructType([source.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType(), True))])
-    return source.mapInArrow(run, schema)
+    schema = [source.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("decoded", T.BinaryType())]
+    return source.mapInArrow(run, T.StructType(schema[: 2 + decoded]))
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, ids_col: str = "ids") -> DataFrame:
@@ -78,7 +82,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_to
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return decode(encode(docs)).select(
+    return encode(docs, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
