@@ -3,9 +3,12 @@
 Words: lower-case, without punctuation at their ends. A document's k-mers are its shingles of five words,
 each with the number of its occurrence. A sketch takes the LENGTH k-mers of least hash and keeps them
 in the order of the text, so that it agrees for texts of small edit distance, not just of common content. Texts
-with an equal sketch, and of lengths that can be similar enough, share a bucket. In a bucket every
-text is compared with the first one; those that aren't similar to it are compared with the first of themselves,
-ROUNDS times over: the pairs grow with the texts, never with their square.
+with an equal sketch, and of lengths that can be similar enough, share a bucket. Of the texts that share a bucket
+all are compared that aren't yet in one class: first, round by round, with the one of their bucket that has most links,
+as long as a tenth of these pairs are similar, so that groups of near copies are one class after few pairs; then
+each with each of another class. Only pairs that lengths or words exclude for certain are left out, so the
+classes are those of a comparison of all pairs that share a bucket. Texts that share a bucket and are
+all unlike cost the square of their number in the join, and in alignments what the bits of their words don't exclude.
 
 Similar: 1 - edit distance in words / words of the longer text >= 0.8, exactly, by a bit-parallel
 alignment inside the band of diagonals that this allows. Texts with equal words are one class from the start, so
@@ -37,7 +40,9 @@ from .common import cut, workers_can_import
 from .components import components
 from .pieces import _Known
 
-K, SIMILARITY, ROUNDS = 5, 0.8, 2
+K, SIMILARITY = 5, 0.8
+#: 64-bit integers in which a text's words are marked.
+BITS = 8
 #: Number of sketches by the k-mers they take.
 SKETCHES = ((2, 48), (4, 16))
 #: Lengths in one class differ by less than this factor; odd sketches use classes half a class off, so that similar lengths share one.
@@ -166,6 +171,13 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def marks(w: np.ndarray) -> np.ndarray:
+    """BITS integers with a bit for each word: an edit changes one word at most, so similar texts differ by few bits."""
+    bits = np.zeros(64 * BITS, bool)
+    bits[(w.astype(np.uint64) * _M) >> np.uint64(32) & np.uint64(64 * BITS - 1)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _row(id_col: str, text_col: str) -> Column:
     """A key of a row by its id and text; what happens to be equal is told apart later, by the text's digest."""
     return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
@@ -180,9 +192,11 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 512):
-            digests, keys = [], []
+            digests, keys, sizes, bits = [], [], [], []
             for row, text in zip(part.column(0).to_pylist(), part.column(2), strict=True):
                 w = words(text.as_py())
+                sizes.append(len(w))
+                bits.append(marks(w))
                 if len(w):
                     digests.append(xxhash.xxh3_128_digest(w.tobytes()))
                     keys.append(sketches(w).view(np.int64))
@@ -191,10 +205,11 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     keys.append(np.zeros(0, np.int64))
             ends = np.cumsum([0] + [len(x) for x in keys]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), flat], names=["row", "id", "digest", "keys"])
+            marked = pa.ListArray.from_arrays(pa.array(np.arange(0, BITS * len(bits) + 1, BITS, dtype=np.int32)), pa.array(np.concatenate(bits)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), marked, flat], names=["row", "id", "digest", "size", "bits", "keys"])
 
     source = docs.select(_row(id_col, text_col).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", source.schema["id"].dataType), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", source.schema["id"].dataType), T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
     return source.mapInArrow(run, schema)
 
 
@@ -223,21 +238,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similar boolean")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sizes_allow(a: str, b: str, least: float) -> Column:
+    return F.abs(F.col(f"{a}.size") - F.col(f"{b}.size")) <= _most(a, b, least)
+
+
+def _most(a: str, b: str, least: float) -> Column:
+    return F.floor(F.greatest(f"{a}.size", f"{b}.size") * F.lit(1 - least) + F.lit(1e-9))
+
+
+def _words_allow(a: str, b: str, least: float) -> Column:
+    without = lambda x, y: sum((F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{y}.bits", F.lit(i))))) for i in range(BITS)), F.lit(0))
+    return (without(a, b) <= _most(a, b, least)) & (without(b, a) <= _most(a, b, least))
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """__row, id_col, class_id, kept of each row."""
     workers_can_import(docs.sparkSession)
     sketched = cut(_sketched(docs, id_col, text_col))
     # a row for each text that differs
     texts = cut(sketched.groupBy("digest").agg(F.min("row").alias("row"), F.min("id").alias("id")))
     distinct = sketched.join(texts.select("row", "digest"), ["row", "digest"], "left_semi").dropDuplicates(["digest"])
-    members = distinct.select("digest", F.explode("keys").alias("key"))
-    links = None
-    known = None
-    for k in range(rounds):
-        first = members.groupBy("key").agg(F.min("digest").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-        compared = members.join(first, "key").where("digest > b").select("key", F.col("digest").alias("a"), "b")
-        compared = cut(compared)
-        pairs = compared.select("a", "b").distinct()
+    members = distinct.select("digest", "size", F.explode("keys").alias("key"))
+    members = cut(members.join(members.groupBy("key").count().where("count > 1").select("key"), "key"))
+    links = known = None
+
+    def placed() -> DataFrame:
+        """The members of the buckets that hold several classes, each with its class and the number of its links."""
+        if links is None:
+            rows = members.withColumns({"component": F.col("digest"), "links": F.lit(0)})
+        else:
+            ends = links.select(F.col("a").alias("digest")).unionAll(links.select(F.col("b").alias("digest")))
+            found = components(links).select(F.col("vertex").alias("digest"), "component")
+            found = cut(found.join(ends.groupBy("digest").agg(F.count("*").alias("links")), "digest"))
+            rows = members.join(found, "digest", "left").withColumns({"component": F.coalesce("component", "digest"), "links": F.coalesce("links", F.lit(0))})
+        several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        return cut(rows.join(several, "key"))
+
+    def compare(pairs: DataFrame) -> tuple[int, int]:
+        """Verifies pairs (a, b) and adds to links; how many were compared, and how many are similar."""
+        nonlocal links, known
+        pairs = pairs.distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -246,15 +286,27 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = RO
         verified = cut(_verified(pairs, cut(_texts(docs, rows, id_col, text_col)), least))
         good = verified.where("similar").select("a", "b")
         links = good if links is None else links.unionAll(good)
-        known = verified.select("a", "b", "similar") if known is None else known.select("a", "b", "similar").unionAll(verified)
-        if k + 1 < rounds:
-            # those that aren't similar to the first of their bucket meet there again
-            members = compared.join(known.where("not similar"), ["a", "b"], "left_semi").select(F.col("a").alias("digest"), "key")
-            known = known.select("a", "b", "similar")
+        known = verified.select("a", "b") if known is None else known.unionAll(verified.select("a", "b"))
+        return tuple(verified.agg(F.count("*"), F.count_if("similar")).first())
+
+    while True:
+        rows = placed()
+        # of equally many links another text in each bucket
+        first = F.max_by(F.struct("digest", "size", "component"), F.struct("links", F.xxhash64("digest", "key"), "digest"))
+        met = rows.alias("m").join(rows.groupBy("key").agg(first.alias("f")), "key").where(F.col("m.component") != F.col("f.component"))
+        met = met.where(_sizes_allow("m", "f", least))
+        compared, similar_ones = compare(met.select(F.greatest("m.digest", "f.digest").alias("a"), F.least("m.digest", "f.digest").alias("b")))
+        if similar_ones * 10 <= compared:
+            break
+    rows = placed().select("key", "digest", "component").join(distinct.select("digest", "size", "bits"), "digest")
+    rows = cut(rows)
+    met = rows.alias("x").join(rows.alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.digest") > F.col("y.digest")) & (F.col("x.component") != F.col("y.component")))
+    met = met.where(_sizes_allow("x", "y", least) & _words_allow("x", "y", least))
+    compare(met.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")))
     found = components(links)
-    placed = texts.select("digest", "id").join(found.select(F.col("vertex").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    least_id = placed.groupBy("component").agg(F.min("id").alias("class_id"))
-    by_text = placed.join(least_id, "component").select("digest", "class_id")
+    placed_texts = texts.select("digest", "id").join(found.select(F.col("vertex").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    least_id = placed_texts.groupBy("component").agg(F.min("id").alias("class_id"))
+    by_text = placed_texts.join(least_id, "component").select("digest", "class_id")
     out = sketched.select("row", "id", "digest").join(by_text, "digest")
     return out.select(F.col("row").alias("__row"), F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 

@@ -78,6 +78,23 @@ def test_a_hot_group_of_near_copies(spark):
     assert got == {k: 0 if k < 1000 else k for k, _ in rows}
 
 
+def test_copies_that_are_like_the_original_only(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 201):
+        text = list(base)
+        for at in rng.sample(range(300), 42):
+            text[at] = f"e{rng.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    w = {k: order_minhash.words(t) for k, t in rows}
+    assert all(order_minhash.similar(w[0], w[k]) for k in w) and sum(order_minhash.similar(w[k], w[k + 1]) for k in range(1, 200)) < 10
+    keys = {k: set(order_minhash.sketches(x).tolist()) for k, x in w.items()}
+    pairs = [(a, b) for a in w for b in w if a < b and keys[a] & keys[b] and order_minhash.similar(w[a], w[b])]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == closure(pairs, list(w)) and sum(x == 0 for x in got.values()) >= 195
+
+
 def vectors(seed=4):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((40, 16))
