@@ -3,7 +3,7 @@
 Words: lower-case, without punctuation at their ends. A document's k-mers are its shingles of five words,
 each with the number of its occurrence. A sketch takes the LENGTH k-mers of least hash and keeps them
 in the order of the text, so that it agrees for texts of small edit distance, not just of common content. Texts
-with an equal sketch, and of lengths that can be similar enough, share a bucket. Of the texts that share a bucket
+with an equal sketch share a bucket. Of the texts that share a bucket
 all are compared that aren't yet in one class: first, round by round, with the one of their bucket that has most links,
 as long as a tenth of these pairs are similar, so that groups of near copies are one class after few pairs; then
 each with each of another class. Only pairs that lengths or words exclude for certain are left out, so the
@@ -45,8 +45,6 @@ K, SIMILARITY = 5, 0.8
 BITS = 8
 #: Number of sketches by the k-mers they take.
 SKETCHES = ((2, 48), (4, 16))
-#: Lengths in one class differ by less than this factor; odd sketches use classes half a class off, so that similar lengths share one.
-LENGTH_CLASS = 1.6
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -94,9 +92,8 @@ _SEEDS = _mixed(np.arange(1, sum(n for _, n in SKETCHES) + 1, dtype=np.uint64) *
 
 
 def sketches(w: np.ndarray) -> np.ndarray:
-    """The bucket of each sketch: its k-mers in order, its number and the class of the text's length."""
+    """The bucket of each sketch: its k-mers in order and its number."""
     h, out, first = kmers(w), [], 0
-    exact = np.log(len(w)) / np.log(LENGTH_CLASS)
     for length, count in SKETCHES:
         take = min(length, len(h))
         step = max(1, CELLS // len(h))
@@ -109,8 +106,7 @@ def sketches(w: np.ndarray) -> np.ndarray:
                 key = _mixed(key * _M + h[at[:, j]])
             out.append(key)
         first += count
-    classes = np.floor(exact + 0.5 * (np.arange(first) % 2)).astype(np.int64).astype(np.uint64)
-    return _mixed((np.concatenate(out) ^ _SEEDS) + classes * _M)
+    return _mixed(np.concatenate(out) ^ _SEEDS)
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:

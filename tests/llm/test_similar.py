@@ -95,6 +95,23 @@ def test_copies_that_are_like_the_original_only(spark):
     assert got == closure(pairs, list(w)) and sum(x == 0 for x in got.values()) >= 195
 
 
+def test_lengths_leave_the_recall_alone():
+    rng, found, whole, even = random.Random(21), 0, 0, 0
+    for _ in range(200):
+        a = np.array([rng.randrange(1 << 32) for _ in range(300)], np.uint32)
+        b = a[sorted(rng.sample(range(300), 240))]
+        c = a.copy()
+        at = rng.sample(range(300), 60)
+        c[at] = [rng.randrange(1 << 32) for _ in at]
+        share = len(np.intersect1d(order_minhash.kmers(a), order_minhash.kmers(b))) / len(np.union1d(order_minhash.kmers(a), order_minhash.kmers(b)))
+        assert share < 0.4 and order_minhash.similar(a, b)
+        met = (order_minhash.sketches(a) == order_minhash.sketches(b)).sum()
+        found, whole = found + (met > 0), whole + met
+        even += (order_minhash.sketches(a) == order_minhash.sketches(c)).any()
+    print("recall at length ratio 0.8:", found / 200, "of equal lengths:", even / 200, "sketches met:", whole / 200)
+    assert found >= 0.85 * 200
+
+
 def vectors(seed=4):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((40, 16))
