@@ -2,11 +2,12 @@
 
 A k-mer of a text's code points is a closed syncmer if the least hash among its s-mers is that of the first
 or the last one. Whether it is depends on its own characters alone, so shared passages give the same
-anchors wherever they stand. A fingerprint holds the ANCHORS distinct syncmers whose hashes are least,
-in the order of the text, each as hash:place in hexadecimal; a text with fewer has them all.
+anchors wherever they stand. A fingerprint holds every syncmer of the text, repeated ones too,
+in the order of the text, each as hash:place in hexadecimal.
 
-The likeness of two fingerprints: of the least ANCHORS hashes of both together, the share that both have in
-the same order (the longest chain of common anchors whose places rise in both).
+The likeness of two fingerprints: of the anchors of both together, the share that both have in
+the same order (the longest chain of common anchors whose places rise in both). The n-th anchor of a hash in one
+is the n-th of that hash in the other.
 
 Results for odd rows: a null or empty text has the empty fingerprint, which is like itself (1) and unlike
 any other (0); a text shorter than k, or with no syncmer, has one anchor, its whole text's hash; equal texts
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import count_at_most, workers_can_import
 
-K, S, ANCHORS = 20, 6, 64
+K, S = 20, 6
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Characters hashed at once: long texts are worked through in overlapping windows.
@@ -64,7 +65,7 @@ def syncmers(chars: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.
     return (_mixed(g) >> np.uint64(32)).astype(np.uint32), at
 
 
-def anchors(text: str, most: int = ANCHORS, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of a fingerprint's anchors, in order of the text."""
     if not text:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -77,14 +78,11 @@ def anchors(text: str, most: int = ANCHORS, k: int = K, s: int = S) -> tuple[np.
     h, p = np.concatenate(hashes), np.concatenate(places)
     if not len(h):
         return np.array([xxhash.xxh32_intdigest(text.encode())], np.uint32), np.zeros(1, np.int64)
-    kept, first = np.unique(h, return_index=True)
-    kept, first = kept[:most], p[first[:most]]
-    order = np.argsort(first)
-    return kept[order], first[order]
+    return h, p
 
 
 def to_string(found: tuple[np.ndarray, np.ndarray]) -> str:
-    return ",".join(f"{h:08x}:{p:x}" for h, p in zip(found[0].tolist(), found[1].tolist(), strict=True))
+    return ("%08x:%x," * len(found[0]) % tuple(np.column_stack([found[0].astype(np.int64), found[1]]).ravel().tolist()))[:-1]
 
 
 def from_string(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
@@ -92,18 +90,29 @@ def from_string(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([int(h, 16) for h, _ in pairs], np.uint32), np.array([int(p, 16) for _, p in pairs], np.int64)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most: int = ANCHORS) -> float:
+def _labelled(h: np.ndarray) -> np.ndarray:
+    """The hashes, each with the number of its occurrence."""
+    order = np.argsort(h, kind="stable")
+    at = np.arange(len(h))
+    same = np.concatenate([[False], h[order][1:] == h[order][:-1]])
+    occurrence = np.empty(len(h), np.uint64)
+    occurrence[order] = at - np.maximum.accumulate(np.where(same, 0, at))
+    return (h.astype(np.uint64) << np.uint64(32)) | occurrence
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    of_b = dict(zip(b[0].tolist(), b[1].tolist(), strict=True))
-    both = sorted(of_b.keys() | set(a[0].tolist()))[:most]
-    limit, ends = both[-1], []
-    for h in a[0].tolist():  # in order of a's places
-        if h <= limit and h in of_b:
-            place = of_b[h]
-            i = bisect_left(ends, place)
-            ends[i : i + 1] = [place]
-    return len(ends) / len(both)
+    common, i, j = np.intersect1d(_labelled(a[0]), _labelled(b[0]), assume_unique=True, return_indices=True)
+    places = b[1][j[np.argsort(i)]]  # in order of a's places
+    both, chain = len(a[0]) + len(b[0]) - len(common), len(common)
+    if (places[1:] <= places[:-1]).any():
+        ends: list[int] = []
+        for place in places.tolist():
+            at = bisect_left(ends, place)
+            ends[at : at + 1] = [place]
+        chain = len(ends)
+    return chain / both
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,12 +121,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_string(anchors(x.as_py() or "")) for x in batch.column(1)])], names=[id_col, "fingerprint"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_string(anchors(x.as_py() or "")) for x in part.column(1)], pa.string())], names=[id_col, "fingerprint"])
 
     source = docs.select(id_col, text_col)
     return source.mapInArrow(run, T.StructType([source.schema[0], T.StructField("fingerprint", T.StringType())]))
 
 
+#: Fingerprints given to Spark at once.
+BATCH_BYTES = 16 << 20
 #: Rows are dealt to at least so many ranges of ids, and more so that a range has no more bytes; at most MOST_RANGES.
 RANGES, RANGE_BYTES, MOST_RANGES = 64, 32 << 20, 8192
 
@@ -150,7 +163,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        held, out, id_type = None, [], None
+        held, out, size, id_type = None, [], 0, None
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -165,10 +178,11 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
                     edited = held[2][: len(held[2]) - half] + text[:half]
                     mine = anchors(edited)
                     out.append((held[1], len(held[2]), hashlib.sha256(edited.encode()).hexdigest(), to_string(held[3]), to_string(mine), likeness(held[3], mine), likeness(held[3], own[3])))
+                    size += len(out[-1][3]) + len(out[-1][4])
                 held = None if is_guest else own  # after a guest its range is done
-                if len(out) >= 256:
+                if len(out) >= 256 or size >= BATCH_BYTES:
                     yield batch_of(out)
-                    out = []
+                    out, size = [], 0
         if out:
             yield batch_of(out)
 

@@ -185,6 +185,24 @@ def test_fingerprints(docs, rows, no_docs):
     assert {r.doc_id: r.fingerprint for r in syncmers.fingerprints(docs).collect()}[104] == next(r.fingerprint for r in got if r.doc_id == 3)
 
 
+def test_a_fingerprint_holds_every_syncmer():
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = say(40)
+    a, b = (say(4000) + " " + passage + " " + say(4000) for _ in range(2))
+    found = syncmers.anchors(a)
+    assert found[1].tolist() == brute_syncmers(a[:3000]) + found[1][len(brute_syncmers(a[:3000])) :].tolist() and len(found[0]) > 0.1 * len(a)
+    both = syncmers.from_string(syncmers.to_string(found))
+    assert (both[0] == found[0]).all() and (both[1] == found[1]).all()
+    start, ours = a.index(passage), syncmers.anchors(passage)[0].tolist()
+    other = set(syncmers.anchors(b)[0].tolist())
+    assert len(ours) > 20 and set(ours) <= other and set(ours) <= {h for h, p in zip(*(x.tolist() for x in found), strict=True) if p >= start}
+    assert syncmers.likeness(found, syncmers.anchors(b)) >= len(ours) / (2 * len(found[0]) + 1000)
+    twice = syncmers.anchors(passage + " " + passage)
+    assert sum(h == ours[3] for h in twice[0].tolist()) == 2 and 0.4 < syncmers.likeness(syncmers.anchors(passage), twice) < 0.5
+    assert syncmers.likeness(twice, twice) == 1.0
+
+
 def test_windows_change_nothing(monkeypatch):
     text = " ".join(f"word{i * i % 977}" for i in range(900))
     want = syncmers.anchors(text)
