@@ -20,7 +20,8 @@ j = 0.5. Texts of fewer than five words are one k-mer, and so are only found if
 
 Results for odd rows: null, empty and punctuation-only texts have no words and are one class each row by
 itself; repeated rows share a class; of rows that are equal in id and text the operator's `kept` marks all,
-keep_one() keeps one; null ids come last within a class; other columns are kept, whatever their names.
+keep_one() keeps one; null ids come last within a class; class_id names a class by an id, so where ids are null or
+repeated two classes can have the same, and class_key, the class's least digest, tells them apart; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -248,11 +249,11 @@ def _words_allow(a: str, b: str, least: float) -> Column:
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """__row, id_col, class_id, kept of each row."""
+    """__row, id_col, class_id, class_key, kept of each row."""
     workers_can_import(docs.sparkSession)
     sketched = cut(_sketched(docs, id_col, text_col))
     # a row for each text that differs
-    texts = cut(sketched.groupBy("digest").agg(F.min("row").alias("row"), F.min("id").alias("id")))
+    texts = cut(sketched.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")).select("digest", "best.row", "best.id"))
     distinct = sketched.join(texts.select("row", "digest"), ["row", "digest"], "left_semi").dropDuplicates(["digest"])
     members = distinct.select("digest", "size", F.explode("keys").alias("key"))
     members = cut(members.join(members.groupBy("key").count().where("count > 1").select("key"), "key"))
@@ -300,22 +301,20 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     met = met.where(_sizes_allow("x", "y", least) & _words_allow("x", "y", least))
     compare(met.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")))
     found = components(links)
-    placed_texts = texts.select("digest", "id").join(found.select(F.col("vertex").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    least_id = placed_texts.groupBy("component").agg(F.min("id").alias("class_id"))
-    by_text = placed_texts.join(least_id, "component").select("digest", "class_id")
+    placed_texts = texts.join(found.select(F.col("vertex").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    best = placed_texts.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+    by_text = placed_texts.select("digest", "component").join(best, "component")
     out = sketched.select("row", "id", "digest").join(by_text, "digest")
-    return out.select(F.col("row").alias("__row"), F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select(F.col("row").alias("__row"), F.col("id").alias(id_col), F.col("best.id").alias("class_id"), F.lower(F.hex("component")).alias("class_key"), (F.col("row") == F.col("best.row")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without all but one of each class."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select("__row", "class_id")
-    # an id that stands in several rows of a class: one of them
-    kept = kept.groupBy("class_id").agg(F.min("__row").alias("__row")).select("__row")
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select("__row")
     rows = docs.withColumn("__row", _row(id_col, text_col)).join(kept, "__row", "left_semi")
     return rows.dropDuplicates(["__row"]).drop("__row")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, kept."""
+    """doc_id, class_id, class_key, kept."""
     return near_duplicates(docs).drop("__row")

@@ -64,6 +64,18 @@ def test_keep_one(docs, rows):
     assert kept.columns == docs.columns and ids == sorted({r[0] for r in rows} - {104, 105, 106, 111})
 
 
+def test_ids_that_name_no_text(spark):
+    rng = random.Random(31)
+    say = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    texts = [say() for _ in range(10)]
+    rows = [(None, x) for x in texts[:5]] + [(7, x) for x in texts[5:]] + [(7, texts[5]), (7, texts[6].upper()), (None, texts[7]), (3, texts[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text.lower() for r in order_minhash.keep_one(docs).collect()) == sorted(texts)
+    got = order_minhash.classes(docs).collect()
+    assert len(got) == len(rows) and len({r.class_key for r in got}) == 10
+    assert sum(r.kept for r in got) == 11  # both of the rows that are equal
+
+
 def test_a_hot_group_of_near_copies(spark):
     rng = random.Random(9)
     base = [f"w{rng.randrange(5000)}" for _ in range(200)]
