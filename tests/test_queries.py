@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import random
+from difflib import SequenceMatcher
 
 import duckdb
 import pandas as pd
@@ -50,3 +52,22 @@ def test_rows_only(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).count() and set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_near_verbatim_compares_all_sentences(spark, tmp_path):
+    rng, said = random.Random(3), [f"w{i}" for i in range(60)]
+    say = lambda n: " ".join(rng.choice(said) for _ in range(n)) + "."
+    edit = lambda s: " ".join(w if rng.random() < 0.8 else rng.choice(said) for w in s[:-1].split()) + "."
+    items = [(i, " ".join(say(rng.randint(4, 14)) for _ in range(3))) for i in range(8)]
+    docs = [(k, " ".join([say(9), edit(items[k % 8][1].split(". ")[k % 3].rstrip(".") + "."), say(7)])) for k in range(40)] + [(90, None), (91, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cut = lambda t: [x.strip(".").split() for x in (t or "").split(". ") if x.strip(".")]
+    want = {}
+    for k, t in docs:
+        for i, u in items:
+            best = max((round(SequenceMatcher(None, x, y, autojunk=False).ratio(), 4) for x in cut(t) for y in cut(u)), default=0)
+            if best >= 0.68:
+                want[k, i] = best
+    got = {(r.doc_id, r.item_id): r.similarity for r in queries.QUERIES["near_verbatim"](spark, str(tmp_path)).collect()}
+    assert len(want) > 15 and got == want
