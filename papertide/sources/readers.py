@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,13 @@ def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return migrate(spark.read.parquet(path), schema)
 
 
+def body_text(data: Column | str) -> Column:
+    """The text of a mail part: URL-safe base64, with or without its padding; bytes that are no UTF-8 become replacement characters."""
+    plain = F.translate(or_empty(data), "-_", "+/")
+    padded = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "=")
+    return F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+
+
 def messages(spark: SparkSession, path: str) -> DataFrame:
     """Landed mail, one JSON message a line: ids, headers, html and subject."""
     raw = spark.read.text(path).withColumnRenamed("value", "raw_json")
