@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import ids
+from ..functions import ids, udfs
 from ..functions.text import has_phrase, key, let, or_empty, phrase_count, snippet, strip, words
+from .intake import STARTED
 
 #: Weights of fields in search, and in retrieval.
 SEARCH = {"title": 30.0, "tags": 20.0, "permalink": 20.0, "path": 15.0, "body": 15.0}
@@ -17,6 +18,8 @@ GENERIC = ("activity", "analysis", "article", "benefit", "benefits", "biology",
 STOPWORDS = ("about", "after", "among", "analysis", "article", "based", "benefit", "benefits", "clinical", "disease", "effect", "effects", "evidence", "expanding", "findings", "health", "human", "mechanism", "mechanisms", "meta", "model", "models", "potential", "research", "review", "role", "signal", "study", "studies", "systematic", "therapy", "treatment", "using", "with", "without", "from", "into", "this", "that", "their", "these", "those", "were", "been", "have", "has", "and", "the", "for", "activity", "administration", "associated", "blend", "citrus", "dose", "induced", "metabolic", "metabolism", "mouse", "mice", "rat", "rats", "pink", "preclinical", "supplement", "supplementation", "versus")
 #: A passage of so many words or more is looked up by one of them.
 LEAST = 4
+#: Characters of the runs by which an identifier is looked up in urls.
+GRAM = 5
 
 
 def search(pages: DataFrame, query: str, mode: str = "all", fields: list[str] | None = None, limit: int = 20, normalize=key) -> DataFrame:
@@ -107,7 +110,9 @@ def audit_tags(pages: DataFrame, include_all: bool = False, normalize=key) -> Da
     """Tags that differ only in spelling: their variants, the most frequent one and pages that have them."""
     used = pages.select("path", F.explode("tags").alias("tag")).withColumn("normalized", normalize(F.col("tag")))
     per_tag = used.groupBy("normalized", "tag").agg(F.count("*").alias("n"))
-    paths = used.groupBy("normalized").agg(F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("example_paths"))
+    # the least five paths of a tag, also before the exchange, however many pages have it
+    place = F.dense_rank().over(W.partitionBy("normalized").orderBy("path"))
+    paths = used.withColumn("place", place).where("place <= 5").groupBy("normalized").agg(F.array_sort(F.collect_set("path")).alias("example_paths"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.lower("tag").alias("l"), "tag", F.col("n").alias("count"))))
     groups = per_tag.groupBy("normalized").agg(F.sum("n").alias("total"), ranked.alias("v"))
     out = groups.join(paths, "normalized").select("normalized", "total", F.get("v", F.lit(0))["tag"].alias("suggested_canonical"), F.transform("v", lambda x: F.struct(x["tag"].alias("tag"), x["count"].alias("count"))).alias("variants"), "example_paths")
@@ -128,8 +133,10 @@ def tags_in(content: DataFrame, counts: DataFrame, limit: int = 10) -> DataFrame
     known = counts.select("tag", "n", F.regexp_replace(F.lower("tag"), r"\s+", " ").alias("lower_tag"))
     first = lambda x: F.regexp_extract(x, "[a-z0-9]+", 0)
     text = F.lower(F.regexp_replace(or_empty("text"), r"\s+", " "))
-    tokens = content.select("id", text.alias("text"), F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower).alias("have"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
-    hit = tokens.join(known.withColumn("token", first(F.col("lower_tag"))), "token").where(F.contains("text", F.col("lower_tag")) & ~F.array_contains("have", F.col("lower_tag")))
+    rows = content.select("id", text.alias("text"), F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower).alias("have"))
+    tokens = rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
+    pairs = tokens.join(known.withColumn("token", first(F.col("lower_tag"))), "token").select("id", "tag", "n", "lower_tag")
+    hit = pairs.join(rows, "id").where(F.contains("text", F.col("lower_tag")) & ~F.array_contains("have", F.col("lower_tag")))
     at = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "tag"))
     return hit.select("id", "tag", "n").withColumn("rank", at).where(F.col("rank") <= limit)
 
@@ -147,23 +154,42 @@ def cited_in(pages: DataFrame, urls: DataFrame) -> DataFrame:
     return want.join(have, "form").groupBy("url").agg(F.min(F.struct("path", "ref_num")).alias("x")).select("url", "x.*")
 
 
+#: Passages without a word inside that are compared with every text in one expression at most; more are looked up by characters.
+FEW = 1000
+
+
 def containing(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """Pairs of documents(id, text) and passages(item_id, passage) where the text holds the passage as it is.
 
-    A passage is looked up by its longest word but the first and last, as it is rarely met elsewhere, and then compared
-    in full. Passages of fewer words than LEAST are compared with every text, all in one expression, not by a join.
+    A passage is looked up by the rarest of its words but the first and last, which in a text may be parts of longer ones, and then compared
+    in full. One without such a word is looked up by its rarest run of three characters or fewer; if there are no more than FEW, they are compared with
+    every text in one expression instead.
     """
     p = passages.where("passage <> ''").withColumn("w", F.split(strip(F.col("passage")), r"(?U)\s+"))
-    inner = F.slice("w", F.lit(2), F.size("w") - 2)
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    long_ = p.where(F.size("w") >= LEAST).select("item_id", "passage", longest.alias("word"))
     docs = documents.where(F.col("text").isNotNull())
-    met = docs.select("id", F.explode(F.array_distinct(F.split("text", r"(?U)\s+"))).alias("word"))
-    pairs = met.join(long_, "word").select("id", "item_id", "passage")
-    found = pairs.join(documents.select("id", "text"), "id").where(F.contains("text", F.col("passage"))).select("id", "item_id").distinct()
-    short = p.where(F.size("w") < LEAST).agg(F.collect_list(F.struct("item_id", "passage")).alias("short"))
-    few = documents.join(F.broadcast(short)).select("id", F.explode(F.filter("short", lambda s: F.contains(F.col("text"), s["passage"]))).alias("s")).select("id", "s.item_id")
-    return found.unionAll(few.distinct())
+    words_ = lambda x: F.array_distinct(F.split(x, r"(?U)\s+"))
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
+    found = _found_by(docs, p.where(F.size("w") >= LEAST), words_(F.col("text")), F.array_distinct(inner))
+    short = p.where(F.size("w") < LEAST).select("item_id", "passage")
+    if short.limit(FEW + 1).count() > FEW:
+        runs = lambda x, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))
+        own = F.array_distinct(F.when(F.length("passage") >= 3, runs(F.col("passage"), 3)).otherwise(F.array(F.col("passage"))))
+        all_ = F.array_distinct(F.flatten(F.array(*[runs(F.col("text"), n) for n in (1, 2, 3)])))
+        return found.unionAll(_found_by(docs, short, all_, own))
+    few = F.broadcast(short.agg(F.collect_list(F.struct("item_id", "passage")).alias("short")))
+    hits = docs.join(few).select("id", F.explode(F.filter("short", lambda s: F.contains(F.col("text"), s["passage"]))).alias("s")).select("id", "s.item_id")
+    return found.unionAll(hits.distinct())
+
+
+def _found_by(docs: DataFrame, passages: DataFrame, of_text: Column, of_passage: Column) -> DataFrame:
+    """Pairs by the part of each passage that fewest texts hold; a passage with a part that no text holds is in none."""
+    parts = passages.select("item_id", F.explode(of_passage).alias("part"))
+    met = docs.select("id", F.explode(of_text).alias("part")).join(parts.select("part").distinct(), "part", "left_semi")
+    often = met.groupBy("part").agg(F.count("*").alias("often"))
+    rarest = parts.join(often, "part", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "part")).alias("x")).where("x.often > 0").select("item_id", "x.part")
+    pairs = met.join(rarest, "part").select("id", "item_id")
+    both = pairs.join(docs.select("id", "text"), "id").join(passages.select("item_id", "passage"), "item_id")
+    return both.where(F.contains("text", F.col("passage"))).select("id", "item_id").distinct()
 
 
 def duplicate_papers(pages: DataFrame, probes: DataFrame) -> DataFrame:
@@ -172,13 +198,32 @@ def duplicate_papers(pages: DataFrame, probes: DataFrame) -> DataFrame:
     want = probes.select("identifier", F.lower(F.trim("identifier")).alias("low"), ids.canonical_url("identifier").alias("canonical"), key(F.col("identifier")).alias("title"))
     by_url = want.where("canonical <> ''").join(refs.withColumn("canonical", ids.canonical_url("ref_url")), "canonical")
     by_title = want.where("title <> ''").join(refs.withColumn("title", key(F.col("ref_title"))), "title")
-    # an identifier inside a url starts or ends at one of its parts
-    tails = F.array_distinct(F.concat(F.array(F.lower("ref_url")), F.transform(F.sequence(F.lit(1), F.size(F.split("ref_url", "/"))), lambda i: F.lower(F.array_join(F.slice(F.split(F.col("ref_url"), "/"), i, F.size(F.split(F.col("ref_url"), "/"))), "/")))))
-    inside = want.where("low <> ''").withColumnRenamed("low", "part").join(refs.withColumn("part", F.explode(tails)), "part")
+    # an identifier inside a url shares the url's runs of GRAM characters: the rarest of its own leads to it
+    grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - GRAM + 1), lambda i: F.substring(x, i, F.lit(GRAM))))
+    urls = refs.select(F.lower("ref_url").alias("url")).distinct()
+    held = urls.where(F.length("url") >= GRAM).select("url", F.explode(grams(F.col("url"))).alias("gram"))
+    parts = want.where(F.length("low") >= GRAM).select("low", F.explode(grams(F.col("low"))).alias("gram")).distinct()
+    often = held.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
+    rarest = parts.join(often, "gram", "left").groupBy("low").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("x")).where("x.often > 0").select("low", "x.gram")
+    near = rarest.join(held, "gram").where(F.contains("url", F.col("low"))).select("low", "url")
+    short = want.where((F.col("low") != "") & (F.length("low") < GRAM)).select("low").distinct()
+    every = urls.select("url", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM - 1)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("url") - n + 1, F.lit(1))), lambda i: F.substring(F.col("url"), i, n)))))).alias("low"))
+    near = near.unionAll(every.join(short, "low").select("low", "url")).distinct()
+    inside = want.join(near, "low").join(refs.withColumn("url", F.lower("ref_url")), "url")
     columns = ["identifier", "path", "ref_num", "ref_url"]
     return by_url.select(columns).unionAll(by_title.select(columns)).unionAll(inside.select(columns)).distinct()
 
 
+def merge_duplicate_checks(hits: DataFrame, papers: DataFrame) -> DataFrame:
+    """hits(check_id, n, path, ref_num, ref_url), papers(check_id, n, paper_key, workflow_state): of all checks of one subject the distinct hits, and the first paper under way, else the first."""
+    content = hits.groupBy("check_id").agg(F.array_sort(F.collect_set(F.struct(or_empty("path").alias("path"), F.coalesce(F.col("ref_num").cast("string"), F.lit("")).alias("ref_num"), or_empty("ref_url").alias("ref_url")))).alias("content_hits"))
+    started = F.coalesce("workflow_state", F.lit("")).isin(*STARTED)
+    best = papers.groupBy("check_id").agg(F.min_by(F.struct("paper_key", "workflow_state"), F.struct(~started, "n")).alias("paper"))
+    out = content.join(best, "check_id", "full")
+    found = F.coalesce("content_hits", F.array().cast("array<struct<path:string,ref_num:string,ref_url:string>>"))
+    return out.select("check_id", F.size(found).alias("content_hit_count"), found.alias("content_hits"), "paper.paper_key", "paper.workflow_state")
+
+
 def lint(pages: DataFrame) -> DataFrame:
     """pages(path, error, title, tags, tags_is_list, body): codes of what is wrong with each; only pages with any."""
     tags = F.coalesce("tags", F.array().cast("array<string>"))
@@ -187,16 +232,45 @@ def lint(pages: DataFrame) -> DataFrame:
     codes = F.array_compact(
         F.array(
             F.when(bad, "invalid_frontmatter"),
-            F.when(~bad & (F.trim(or_empty("title")) == ""), "missing_title"),
+            F.when(~bad & (strip(or_empty("title")) == ""), "missing_title"),
             F.when(~bad & F.col("tags_is_list").isNull(), "missing_tags"),
             F.when(~bad & ~F.col("tags_is_list"), "tags_not_list"),
             F.when(~bad & F.col("tags_is_list") & (F.size(repeated) > 0), "duplicate_tags"),
-            F.when(F.trim(or_empty("body")) == "", "empty_body"),
+            F.when(strip(or_empty("body")) == "", "empty_body"),
         )
     )
     return pages.select("path", codes.alias("issues")).where(F.size("issues") > 0)
 
 
+def lint_summary(pages: DataFrame, limit: int = 50) -> DataFrame:
+    """One row: how many pages were read, how many have something wrong, and the first of those by path."""
+    bad = lint(pages)
+    first = bad.orderBy("path").limit(limit).agg(F.array_sort(F.collect_list(F.struct("path", "issues"))).alias("pages"))
+    return first.select(pages.agg(F.count("*")).scalar().alias("scanned"), bad.agg(F.count("*")).scalar().alias("with_issues"), "pages")
+
+
+def title_matches(pages: DataFrame, titles: DataFrame, limit: int = 5, min_score: float = 30.0) -> DataFrame:
+    """titles(title_id, wanted): the pages whose title, stem or path is most like each.
+
+    A pair without a common word has no score, so pairs are joined by words.
+    """
+    w = titles.select("title_id", key(or_empty("wanted")).alias("wanted"))
+    p = pages.select("path", "title", key(or_empty("title")).alias("t"), key(or_empty("stem")).alias("s"), key(F.col("path")).alias("pt"))
+    all_words = lambda *xs: F.array_distinct(F.concat(*[words(F.col(x)) for x in xs]))
+    held = p.select("path", F.explode(all_words("t", "s", "pt")).alias("word"))
+    asked = w.select("title_id", F.explode(all_words("wanted")).alias("word"))
+    pairs = asked.join(held, "word").select("title_id", "path").distinct()
+    both = pairs.join(w, "title_id").join(p, "path")
+    a = words(F.col("wanted"))
+    own = F.array_distinct(a)
+    overlap = F.when(F.size(own) > 0, F.size(F.array_intersect(own, all_words("t", "s"))) / F.size(own)).otherwise(0.0)
+    exact = F.when(F.col("wanted") == F.col("t"), 35).when(F.col("wanted") == F.col("s"), 30).otherwise(0)
+    ratio = F.greatest(*[udfs.token_similarity("wanted", c) for c in ("t", "s", "pt")])
+    scored = both.withColumn("raw", F.least(ratio * 70 + overlap * 30 + exact, F.lit(100.0))).where(F.col("raw") >= min_score).withColumn("score", F.round("raw", 2))
+    at = F.row_number().over(W.partitionBy("title_id").orderBy(F.desc("score"), F.lower("path"), "path"))
+    return scored.withColumn("rank", at).where(F.col("rank") <= limit).select("title_id", "rank", "path", "title", "score")
+
+
 def dead_anchors(pages: DataFrame) -> DataFrame:
     """Links to places of a page that it doesn't have: neither an id nor a heading's slug."""
     body = or_empty("body")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..functions.classify import names_where
 from ..functions.text import collapse, let, or_empty, or_null
 from ..functions.values import STOPPED, TERMINAL
 
@@ -76,8 +77,15 @@ def matches_any(columns: list[str], query: str) -> Column:
     return out
 
 
-def list_articles(articles: DataFrame, papers: DataFrame, status: str = "all", alert_name: str | None = None, limit: int = 100) -> DataFrame:
-    filtered = conjunction(articles, None if status == "all" else F.col("status") == status, F.col("alert_name") == alert_name if alert_name else None)
+def list_articles(articles: DataFrame, papers: DataFrame, status: str = "all", alert_name: str | None = None, min_score: int = 0, processed: bool | None = None, limit: int = 100) -> DataFrame:
+    """Articles with their papers. min_score: 0 sets no bound, a negative one does, unlike in backlog(). processed: yes, no, or either."""
+    filtered = conjunction(
+        articles,
+        None if status == "all" else F.col("status") == status,
+        F.col("alert_name") == alert_name if alert_name else None,
+        F.col("score") >= min_score if min_score else None,
+        None if processed is None else F.col("processed_at").isNotNull() if processed else F.col("processed_at").isNull(),
+    )
     return filtered.join(papers.drop("title"), "paper_key", "left").orderBy(F.desc("score"), F.asc_nulls_first("alert_name"), F.asc_nulls_first("rank_in_email"), "article_key").limit(limit)
 
 
@@ -108,24 +116,48 @@ def list_papers(papers: DataFrame, status: str = "all", workflow_state: str = "a
 
 
 def page_of(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
-    """A page of between 10 and 250 rows, with the number of all rows beside each."""
-    return df.withColumn("total", F.count("*").over(W.partitionBy())).orderBy(*order).offset(max(offset, 0)).limit(min(max(size, 10), 250))
+    """A page of between 10 and 250 rows, with the number of all rows beside each: a top k and a count, neither of which gathers the rows."""
+    total = df.agg(F.count("*")).scalar()
+    return df.orderBy(*order).offset(max(offset, 0)).limit(min(max(size, 10), 250)).withColumn("total", total)
 
 
 def alert_summary(articles: DataFrame, by: str = "alert_name") -> DataFrame:
+    """Counts by status, those with most selected ones first."""
     counts = [F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("selected", "review", "rejected", "invalid")]
-    return articles.groupBy(by).agg(F.count("*").alias("article_count"), *counts)
+    return articles.groupBy(by).agg(F.count("*").alias("article_count"), *counts).orderBy(F.desc("selected_count"), F.desc("article_count"), F.asc_nulls_first(by))
+
+
+def alert_totals(articles: DataFrame, by: str = "alert_name") -> DataFrame:
+    return articles.groupBy(by).agg(F.count("*").alias("article_count")).orderBy(F.asc_nulls_first(by))
+
+
+def find_articles(articles: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes(identifier): the article that has it as its key, else as article url or alternate url; of several the one of least key."""
+    names = ("article_key", "article_url", "scholar_url")
+    have = articles.select(F.col("article_key").alias("found"), F.explode(F.array(*[F.struct(F.lit(min(i, 1)).alias("kind"), F.col(c).cast("string").alias("identifier")) for i, c in enumerate(names)])).alias("x")).select("found", "x.*").where("identifier <> ''")
+    first = probes.join(have, "identifier").groupBy("identifier").agg(F.min_by("found", F.struct("kind", "found")).alias("article_key"))
+    return first.join(articles, "article_key")
 
 
+def with_reasons(articles: DataFrame, column: str = "reasons_json") -> DataFrame:
+    """The reasons of a score, stored as JSON, as an array; null where that is no list of texts."""
+    return articles.withColumn("reasons", F.from_json(column, "array<string>")).drop(column)
+
+
+def mail_query(base: str, extra: str = "", after: str | None = None, before: str | None = None) -> str:
+    """A mailbox search: base and extra terms, from one day up to another."""
+    terms = f"({base.strip()}) ({extra.strip()})" if extra.strip() else base if not extra else base.strip()
+    return " ".join([f"({terms})", *[f"{name}:{day.replace('-', '/')}" for name, day in (("after", after), ("before", before)) if day]])
+
 def sync_summary(messages: DataFrame, articles: DataFrame) -> DataFrame:
     """Articles of each alert, with the number of messages that had any text."""
-    n = messages.agg(F.count_if(or_null("html").isNotNull()).alias("messages_with_html"))
+    n = messages.agg(F.count_if(or_null("html").isNotNull())).scalar()
     per = articles.groupBy("alert_name").agg(F.count("*").alias("articles"), F.count_if(F.col("status") == "selected").alias("selected"), F.count_if(F.col("status") == "review").alias("review"))
-    return per.join(F.broadcast(n)).orderBy(F.desc("articles"), F.lower("alert_name"))
+    return per.withColumn("messages_with_html", n).orderBy(F.desc("articles"), F.lower("alert_name"))
 
 
 def keep_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """The first row of each key."""
+    """The first row of each key. Spark takes the first of each key before the exchange as well, as only one is wanted."""
     at = F.row_number().over(W.partitionBy(key).orderBy(*order))
     return df.withColumn("__at", at).where("__at = 1").drop("__at")
 
@@ -139,8 +171,8 @@ def without_jobs(articles: DataFrame, jobs: DataFrame) -> DataFrame:
     """Articles that no job has by its key, article url or alternate url: OR as one hash join on tagged keys."""
     tag = lambda t, x: F.when(F.col(x).isNotNull(), F.struct(F.lit(t).alias("t"), F.col(x).cast("string").alias("v")))
     wanted = articles.select("article_key", F.explode(F.array_compact(F.array(tag("key", "article_key"), tag("url", "article_url"), tag("url", "scholar_url")))).alias("k"))
-    have = jobs.select(F.explode(F.array_compact(F.array(tag("key", "article_key"), tag("url", "source_url")))).alias("k")).distinct()
-    taken = wanted.join(have, "k", "left_semi").select("article_key").distinct()
+    have = jobs.select(F.explode(F.array_compact(F.array(tag("key", "article_key"), tag("url", "source_url")))).alias("k"))
+    taken = wanted.join(have, "k", "left_semi").select("article_key")
     return articles.join(taken, "article_key", "left_anti")
 
 
@@ -156,6 +188,22 @@ def resolve_papers(papers: DataFrame, probes: DataFrame) -> DataFrame:
     return wanted.join(have, ["kind", "value"]).groupBy("identifier").agg(F.min_by("paper_key", F.struct("kind", "paper_key")).alias("paper_key"))
 
 
+def resolve_with_articles(papers: DataFrame, articles: DataFrame, probes: DataFrame) -> DataFrame:
+    """resolve_papers(); what it doesn't know, by the paper of an article that has it as article url or alternate url."""
+    own = resolve_papers(papers, probes)
+    urls = articles.where(F.col("paper_key").isNotNull()).select("paper_key", F.explode(F.array_compact(F.array(or_null("article_url"), or_null("scholar_url")))).alias("identifier"))
+    other = probes.join(own, "identifier", "left_anti").join(urls, "identifier").join(papers.select("paper_key"), "paper_key", "left_semi")
+    return own.unionByName(other.groupBy("identifier").agg(F.min("paper_key").alias("paper_key")))
+
+
+def with_faults(articles: DataFrame) -> DataFrame:
+    """Articles with `faults`: what would be refused. Rows with any are kept apart instead of stopping a load."""
+    blank = lambda c: F.trim(or_empty(c)) == ""
+    domain = F.trim(or_empty("domain"))
+    tests = {"missing_key": blank("article_key"), "unknown_status": ~F.coalesce(F.col("status").isin("selected", "review", "rejected", "invalid"), F.lit(False)), "invalid_domain": domain.isin("", ".", "..") | F.contains(domain, F.lit("/")) | F.contains(domain, F.lit("\\")), "no_source": blank("article_url") & blank("scholar_url")}
+    return articles.withColumn("faults", names_where(tests))
+
+
 def parse_candidates(messages: DataFrame, parse) -> DataFrame:
     """A row for each candidate of a message; parse gives an array of structs from html and subject."""
     rows = messages.withColumn("c", parse(F.col("html"), F.col("subject"))).select("message_id", F.posexplode("c").alias("pos", "c")).select("message_id", (F.col("pos") + 1).alias("rank_in_email"), "c.*")

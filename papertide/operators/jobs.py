@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.text import or_null
 from ..functions.values import JOB_STATES, STOPPED, TERMINAL, backoff_seconds
-from .intake import STARTED, keep_first, without_jobs
+from .intake import STARTED, find_articles, keep_first, without_jobs
 
 REQUEUED_FROM = ("validated", "needs_review", "failed", "rejected")
 
@@ -65,14 +65,60 @@ def set_state(jobs: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     return df.withColumns(sets).select(jobs.columns)
 
 
+def state_events(jobs: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """The log rows of set_state(): job_id, from_state, to_state, created_at, of the changes that it takes."""
+    old = jobs.select("job_id", F.col("state").alias("from_state"), "lease_owner")
+    df = changes.select("job_id", F.col("state").alias("to_state"), "worker").join(old, "job_id")
+    ok = F.col("to_state").isin(*JOB_STATES) & (or_null("worker").isNull() | F.col("lease_owner").isNull() | (F.col("worker") == F.col("lease_owner")))
+    return df.where(ok).select("job_id", "from_state", "to_state", now.alias("created_at"))
+
+
+#: What a requeued job loses; its log row keeps it.
+OUTPUTS = ("run_id", "packet_path", "target_path", "branch", "commit_sha", "pr_url")
+
+
+def requeue_events(jobs: DataFrame, ids_: DataFrame, reason: str, now: Column) -> DataFrame:
+    """The log rows of requeue(): with the reason and the outputs that are cleared."""
+    if not reason.strip():
+        raise ValueError("a reason is needed")
+    kept = [c for c in OUTPUTS if c in jobs.columns]
+    prior = F.map_filter(F.create_map(*[x for c in kept for x in (F.lit(c), or_null(c))]), lambda k, v: v.isNotNull()) if kept else F.create_map().cast("map<string,string>")
+    detail = F.to_json(F.struct(F.lit("explicit_requeue").alias("action"), F.lit(reason.strip()).alias("reason"), prior.alias("prior_outputs")))
+    hit = jobs.join(ids_.select("job_id"), "job_id", "left_semi").where(F.col("state").isin(*REQUEUED_FROM))
+    return hit.select("job_id", F.col("state").alias("from_state"), F.lit("queued").alias("to_state"), detail.alias("detail_json"), now.alias("created_at"))
+
+
 def requeue(jobs: DataFrame, ids_: DataFrame, now: Column) -> DataFrame:
     """Stopped jobs back to the queue, with their tries anew; others stay as they are."""
     df = jobs.join(ids_.select("job_id").distinct().withColumn("__hit", F.lit(True)), "job_id", "left")
     hit = F.coalesce(F.col("__hit") & F.col("state").isin(*REQUEUED_FROM), F.lit(False))
-    cleared = {c: F.when(hit, F.lit(None).cast(jobs.schema[c].dataType)).otherwise(F.col(c)) for c in ("lease_owner", "lease_expires_at", "next_run_at", "finished_at", "error") if c in jobs.columns}
+    cleared = {c: F.when(hit, F.lit(None).cast(jobs.schema[c].dataType)).otherwise(F.col(c)) for c in ("lease_owner", "lease_expires_at", "next_run_at", *OUTPUTS, "result_json", "error", "started_at", "finished_at") if c in jobs.columns}
     return df.withColumns({"attempt_count": F.when(hit, 0).otherwise(F.col("attempt_count")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at")), **cleared, "state": F.when(hit, "queued").otherwise(F.col("state"))}).select(jobs.columns)
 
 
+def enqueue(articles: DataFrame, jobs: DataFrame, probes: DataFrame, domain: str, max_attempts: int = 3) -> DataFrame:
+    """probes(identifier): a new job for each article found that has a url, unless an active job has its key, url or canonical url; then that job, the newest one.
+
+    job_id, created, article_key, source_url, canonical_source_url, domain, state, max_attempts. Of articles with one canonical url that come together the first gets the job.
+    """
+    found = find_articles(articles, probes).dropDuplicates(["article_key"])
+    df = found.withColumn("source_url", F.trim(F.coalesce(or_null("article_url"), or_null("scholar_url"), F.lit("")))).where("source_url <> ''").withColumn("canonical_source_url", ids.canonical_url("source_url"))
+    tags = lambda *xs: F.explode(F.array_distinct(F.array_compact(F.array(*[F.when(x.isNotNull(), F.concat(F.lit(t), x.cast("string"))) for t, x in xs])))).alias("tag")
+    names = ("k:", F.col("article_key")), ("u:", F.col("source_url")), ("c:", F.col("canonical_source_url"))
+    open_ = jobs.where(~F.col("state").isin(*TERMINAL)).withColumn("canonical_source_url", F.coalesce("canonical_source_url", ids.canonical_url("source_url")))
+    have = open_.select("job_id", "state", "max_attempts", tags(*names))
+    met = df.select("article_key", tags(*names)).join(have, "tag").groupBy("article_key").agg(F.max(F.struct("job_id", "state", "max_attempts")).alias("job"))
+    df = df.join(met, "article_key", "left")
+    rest = [F.lit(domain).alias("domain")]
+    old = df.where("job is not null").select("job.job_id", F.lit(False).alias("created"), "article_key", "source_url", "canonical_source_url", *rest, "job.state", "job.max_attempts")
+    new = keep_first(df.where("job is null"), F.col("canonical_source_url"), [F.col("article_key")])
+    last = jobs.agg(F.coalesce(F.max("job_id"), F.lit(0))).scalar()
+    # probes are what one request names
+    n = F.row_number().over(W.orderBy("article_key"))
+    fresh = new.select((last + n).alias("job_id"), F.lit(True).alias("created"), "article_key", "source_url", "canonical_source_url", *rest, F.lit("queued").alias("state"), F.lit(max_attempts).alias("max_attempts"))
+    return old.unionAll(fresh)
+
+
 def enqueue_backlog(articles: DataFrame, papers: DataFrame, jobs: DataFrame, status: str, domain: str, min_score: int, limit: int) -> DataFrame:
     """Articles to queue: never queued before, one for each source, best first; with new job ids."""
     df = articles.where((F.col("status") == status) & (F.col("domain") == domain) & (F.col("score") >= min_score) & F.col("processed_at").isNull())
@@ -82,10 +128,14 @@ def enqueue_backlog(articles: DataFrame, papers: DataFrame, jobs: DataFrame, sta
     df = keep_first(df, F.col("canonical_source_url"), order)
     open_ = jobs.where(~F.col("state").isin(*TERMINAL)).select(F.explode(F.array_distinct(F.array(ids.canonical_url("source_url"), F.coalesce("canonical_source_url", ids.canonical_url("source_url"))))).alias("canonical_source_url")).distinct()
     chosen = df.join(open_, "canonical_source_url", "left_anti").orderBy(*order).limit(limit)
-    last = jobs.agg(F.coalesce(F.max("job_id"), F.lit(0)).alias("last"))
+    last = jobs.agg(F.coalesce(F.max("job_id"), F.lit(0))).scalar()
     # no more rows than the limit are numbered here
-    numbered = chosen.withColumn("n", F.row_number().over(W.orderBy(*order))).join(F.broadcast(last))
-    return numbered.select((F.col("last") + F.col("n")).alias("job_id"), "article_key", "source_url", "canonical_source_url", "domain", F.lit("queued").alias("state"))
+    return chosen.select((last + F.row_number().over(W.orderBy(*order))).alias("job_id"), "article_key", "source_url", "canonical_source_url", "domain", F.lit("queued").alias("state"))
+
+
+def with_articles(jobs: DataFrame, articles: DataFrame) -> DataFrame:
+    """Jobs with the title, score and status of their article; jobs without one are left out."""
+    return jobs.join(articles.select("article_key", "title", "score", F.col("status").alias("article_status")), "article_key")
 
 
 def not_unique(jobs: DataFrame, key: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify, ids
-from ..functions.text import collapse, first_nonempty, key, or_empty, or_null, overlap_ratio, sentences, strip
-from ..functions.values import best
+from ..functions.text import collapse, first_nonempty, has_phrase, key, or_empty, or_null, overlap_ratio, sentences, strip, strip_markup
+from ..functions.values import best, date_from_parts
 
 #: The order of section groups in a context and the characters of each, and of all.
 BUDGETS = {"abstract": 7_000, "results": 25_000, "traditional": 5_000, "introduction": 10_000, "conclusion": 3_000, "discussion": 5_000}
@@ -93,10 +93,10 @@ def _quoted(term: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in term)
 
 
-def mine_sentences(sections: DataFrame, id_col: str, least: int, most: int, keep: Column, limit: int) -> DataFrame:
-    """The first sentences of a document's sections that a test on `sentence` keeps and whose length fits."""
+def mine_sentences(sections: DataFrame, id_col: str, least: int, most: int, keep: Column, limit: int, carry: str | None = None) -> DataFrame:
+    """The first sentences of a document's sections that a test on `sentence` (and a carried column) keeps and whose length fits."""
     text = F.regexp_replace("text", r"^#{1,6}[^\n]*\n+", "")
-    rows = sections.select(id_col, "pos", F.posexplode(sentences(text)).alias("n", "sentence")).withColumn("sentence", strip("sentence"))
+    rows = sections.select(id_col, "pos", *([carry] if carry else []), F.posexplode(sentences(text)).alias("n", "sentence")).withColumn("sentence", strip("sentence"))
     fits = (F.length("sentence") >= least) & (F.length("sentence") <= most) & ~F.contains("sentence", F.lit("\n")) & ~F.regexp_like("sentence", F.lit(r"^[#|!\[]"))
     at = F.row_number().over(W.partitionBy(id_col).orderBy("pos", "n"))
     return rows.where(fits & keep).withColumn("rank", at).where(F.col("rank") <= limit).select(id_col, "rank", "sentence")
@@ -106,10 +106,51 @@ def quantitative_results(sections: DataFrame, id_col: str, limit: int = 12) -> D
     return mine_sentences(sections.where(F.regexp_like(key(F.col("heading")), F.lit(r"\bresults?\b|\boutcomes?\b"))), id_col, 60, 420, classify.has_quantity(F.col("sentence")), limit)
 
 
+#: What a sentence of each kind says, over normalized text.
+AIM = r"\b(?:objective|aim|hypothes\w*)\b"
+AIM_OF = r"\b(?:effect|improv\w*|attenuat\w*|investigat\w*|evaluat\w*|assess\w*)\b"
+OUTCOME = r"\b(?:improv\w*|enhanc\w*|attenuat\w*|decreas\w*|increas\w*|efficacy|beneficial|potential|support\w*|associated|accumulat\w*)\b"
+BACKGROUND = r"\b(?:traditional|ethnobotan\w*|folk|historical|nutri\w*|vitamin\w*|mineral\w*|fibers?|phytochemical\w*|flavonoid\w*|carotenoid\w*|pectin\w*|glyc\w*|insulin\w*|diabet\w*|metabolic|blood pressure|hypertension|cholesterol|lipid\w*|antioxidant|anti inflammatory|cardioprotective)\b"
+OWN_STUDY = r"\b(?:attracted significant attention|present study|objective was|study evaluated|effects .* were also compared|environmentally friendly process|sensory properties|first the efficacy|second the membrane)\b"
+_THESIS_SECTION = r"\b(?:introduction|background|objective|aim)\b"
+_BACKGROUND_SECTION = r"\b(?:introduction|background|traditional|ethnobotan\w*|historical)\b"
+
+
+def _says(x: Column, pattern: str) -> Column:
+    return F.regexp_like(key(x), F.lit(pattern))
+
+
+def theses(sections: DataFrame, id_col: str, limit: int = 4) -> DataFrame:
+    """Sentences that state an aim, from sections that open a paper."""
+    s = F.col("sentence")
+    return mine_sentences(sections.where(_says(F.col("heading"), _THESIS_SECTION)), id_col, 100, 650, _says(s, AIM) & _says(s, AIM_OF), limit)
+
+
+def core_results(abstracts: DataFrame, id_col: str, abstract: Column, entity: Column | None = None, limit: int = 10) -> DataFrame:
+    """Sentences of an abstract that tell an outcome, of an entity if one is given."""
+    s = F.col("sentence")
+    keep = _says(s, OUTCOME) & ~classify.is_methods_statement(s)
+    rows = abstracts.select(id_col, F.lit(0).alias("pos"), F.lit("Abstract").alias("heading"), abstract.alias("text"), (F.lit("") if entity is None else or_empty_column(entity)).alias("entity"))
+    return _of_entity(rows, id_col, 55, 700, keep, limit)
+
+
+def background_claims(sections: DataFrame, id_col: str, entity: Column | None = None, limit: int = 8) -> DataFrame:
+    """Sentences on what is known of a subject, from opening sections, without those on the study itself."""
+    s = F.col("sentence")
+    keep = _says(s, BACKGROUND) & ~classify.is_methods_statement(s) & ~_says(s, OWN_STUDY)
+    rows = sections.where(_says(F.col("heading"), _BACKGROUND_SECTION)).withColumn("entity", F.lit("") if entity is None else or_empty_column(entity))
+    return _of_entity(rows, id_col, 55, 700, keep, limit)
+
+
+def _of_entity(rows: DataFrame, id_col: str, least: int, most: int, keep: Column, limit: int) -> DataFrame:
+    named = (F.col("entity") == "") | has_phrase(key(F.col("sentence")), key(F.col("entity")))
+    return mine_sentences(rows, id_col, least, most, keep & named, limit, carry="entity")
+
+
 def key_findings(abstract: Column, limit: int = 5) -> Column:
     """The first sentences of 30 characters or more that don't open as a label or a link to the one before."""
     opening = r"(?i)^(?:(?:this|the|we|our|in this|here|however|therefore|thus|hence|moreover|furthermore)\b|(?:background|introduction|methods?|results?|conclusions?|objectives?|aims?|purpose)[:.]?\s*$)"
-    found = F.filter(F.transform(F.split(F.trim(or_empty_column(abstract)), r"(?<=[.!?])\s+"), F.trim), lambda s: (F.length(s) >= 30) & ~F.regexp_like(s, F.lit(opening)))
+    found = F.filter(F.transform(F.split(F.trim(or_empty_column(abstract)), r"(?<=[.!?])\s+"), lambda s: strip(s)), lambda s: (F.length(s) >= 30) & ~F.regexp_like(s, F.lit(opening)))
     return F.slice(found, 1, limit)
 
 
@@ -213,9 +254,56 @@ def best_attempt(attempts: DataFrame, source: str, score: Column, number: str) -
     return attempts.withColumn("__at", at).where("__at = 1").drop("__at")
 
 
+def best_plan(attempts: DataFrame, source: str, plan: str = "plan") -> DataFrame:
+    """attempts(…, approved, issues of structs with severity, attempt): of each source the approved plan, else the one with fewest blocking, then actionable issues, then the earliest."""
+    severities = F.coalesce(F.transform("issues", lambda i: i["severity"]), F.array().cast("array<string>"))
+    blocking = F.size(F.filter(severities, lambda x: x == "blocking"))
+    actionable = F.size(F.filter(severities, lambda x: x.isin("review", "blocking")))
+    quality = F.struct((~F.coalesce("approved", F.lit(False))).alias("refused"), blocking.alias("blocking"), actionable.alias("actionable"), F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    return attempts.groupBy(source).agg(F.min_by(plan, quality).alias(plan), F.min(quality).alias("quality")).select(source, plan, "quality.*")
+
+
+def registry_summary(work: Column) -> Column:
+    """A registry's record, its JSON as text, as one flat struct: names joined, first title and journal, the first date there is."""
+    dates = "struct<`date-parts`:array<array<int>>>"
+    x = F.from_json(work, f"DOI string, title array<string>, `container-title` array<string>, author array<struct<given:string,family:string>>, `published-print` {dates}, `published-online` {dates}, issued {dates}, abstract string, score double, URL string")
+    names = F.transform(F.coalesce(x["author"], F.array().cast("array<struct<given:string,family:string>>")), lambda a: collapse(F.concat_ws(" ", or_null(a["given"]), or_null(a["family"]))))
+    first = lambda xs: collapse(F.coalesce(F.get(xs, F.lit(0)), F.lit("")))
+    day = lambda d: date_from_parts(F.get(x[d]["date-parts"], F.lit(0)))
+    return F.struct(
+        collapse(F.coalesce(x["DOI"], F.lit(""))).alias("doi"),
+        first(x["title"]).alias("title"),
+        F.array_join(F.filter(names, lambda n: n != ""), ", ").alias("authors"),
+        first(x["container-title"]).alias("journal"),
+        F.coalesce(*[day(d) for d in ("published-print", "published-online", "issued")], F.lit("")).alias("pub_date"),
+        strip_markup(F.coalesce(x["abstract"], F.lit(""))).alias("abstract"),
+        F.coalesce(x["score"], F.lit(0.0)).alias("score"),
+        collapse(F.coalesce(x["URL"], F.lit(""))).alias("url"),
+    )
+
+
+def fallback_reasons(issues: Column, error: Column, has_data: Column, forced: Column) -> Column:
+    """Why a second way to read a source was tried; empty if there was no need."""
+    none = F.array().cast("array<string>")
+    found = F.coalesce(issues, none)
+    needed = error.isNotNull() | ~has_data | (F.size(found) > 0)
+    said = F.when(error.isNotNull(), F.array(F.concat(F.lit("primary_fetch_failed: "), error))).when(has_data, found).otherwise(F.array(F.lit("no_primary_data")))
+    return F.when(forced, F.array(F.lit("forced"))).when(needed, said).otherwise(none)
+
+
+def new_page_recommendation(packets: DataFrame, rejected: DataFrame, reason: Column) -> DataFrame:
+    """packets(packet_id, title, keywords, abstract, study_type), rejected(packet_id, path, title): records that a person must look at; nothing is made from them by itself."""
+    hits = rejected.groupBy("packet_id").agg(F.array_sort(F.collect_list(F.struct(or_empty("path").alias("path"), or_empty("title").alias("title")))).alias("rejected_existing_targets"))
+    words_ = F.filter(F.transform(F.split(or_empty("keywords"), "[,;]"), lambda k: strip(k)), lambda k: k != "")
+    scope = F.when(classify.is_preclinical(F.col("title"), F.col("abstract"), F.col("study_type"), F.col("keywords")), "animal").otherwise(F.coalesce(or_null("study_type"), F.lit("unspecified")))
+    flat = packets.select("packet_id", F.lit("consider_new_article").alias("recommendation"), strip(F.coalesce(or_null("title"), F.lit("Untitled research source"))).alias("proposed_title"), F.slice(words_, 1, 8).alias("source_entities"), scope.alias("evidence_scope"), reason.alias("rationale"))
+    out = flat.join(hits, "packet_id", "left")
+    return out.withColumn("rejected_existing_targets", F.coalesce("rejected_existing_targets", F.array().cast("array<struct<path:string,title:string>>"))).withColumn("requires_human_review", F.lit(True))
+
+
 def page_digest(markdown: Column, most: int) -> Column:
     """Front matter, headings and the first 1000 characters of a page, at most so many characters."""
     front = F.regexp_extract(or_empty_column(markdown), r"(?s)^---\n.*?\n---\n?", 0)
-    rest = F.trim(F.substring(markdown, F.length(front) + 1, F.length(markdown)))
+    rest = strip(F.substring(markdown, F.length(front) + 1, F.length(markdown)))
     headings = F.array_join(F.regexp_extract_all(markdown, F.lit(r"(?m)^#{2,6}\s+.+$"), F.lit(0)), "\n")
-    return F.substring(F.array_join(F.filter(F.array(F.trim(front), headings, F.substring(rest, 1, 1000)), lambda p: p != ""), "\n\n"), 1, most)
+    return F.substring(F.array_join(F.filter(F.array(strip(front), headings, F.substring(rest, 1, 1000)), lambda p: p != ""), "\n\n"), 1, most)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..functions.text import or_empty, or_null
 from ..functions.values import WORKFLOW, WORKFLOW_TIMES, derived_state, workflow_rank
 
@@ -102,6 +103,36 @@ def mark_processed(articles: DataFrame, keys: DataFrame, now: Column) -> DataFra
     return articles.join(hit, "article_key", "left").withColumn("processed_at", F.coalesce("processed_at", F.when(F.col("__hit"), now))).select(articles.columns)
 
 
+def mark_processed_by(articles: DataFrame, probes: DataFrame, now: Column) -> DataFrame:
+    """probes(identifier): articles whose paper, article url or alternate url it is; processed_at is set once."""
+    names = ("paper_key", "article_url", "scholar_url")
+    have = articles.select("article_key", F.explode(F.array_compact(F.array(*[or_null(F.col(c).cast("string")) for c in names]))).alias("identifier"))
+    return mark_processed(articles, have.join(probes, "identifier", "left_semi"), now)
+
+
+def backfill_keys(articles: DataFrame, status: str = "all", limit: int | None = None) -> DataFrame:
+    """Articles without a paper that have a url, best first, with the identity that they would get. What apply_keys() needs; as it is, the preview."""
+    df = articles.where(F.col("paper_key").isNull()).drop("paper_key")
+    df = df if status == "all" else df.where(F.col("status") == status)
+    df = df if limit is None else df.orderBy(F.desc("score"), F.asc_nulls_first("created_at"), "article_key").limit(max(limit, 0))
+    df = df.withColumn("source_url", F.trim(F.coalesce(or_null("article_url"), or_null("scholar_url"), F.lit("")))).where("source_url <> ''")
+    return df.select("article_key", ids.paper_key("title", "source_url").alias("paper_key"), ids.canonical_url("source_url").alias("canonical_url"), ids.doi("source_url").alias("doi"), ids.pmid("source_url").alias("pmid"), "title")
+
+
+def apply_keys(articles: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """Articles with the paper keys of backfill_keys()."""
+    df = articles.join(found.select("article_key", F.col("paper_key").alias("__key")), "article_key", "left")
+    return df.withColumns({"updated_at": F.when(F.col("__key").isNotNull(), now).otherwise(F.col("updated_at")), "paper_key": F.coalesce("paper_key", "__key")}).select(articles.columns)
+
+
+def advance_paths(papers: DataFrame, records: DataFrame, state: str, now: Column) -> DataFrame:
+    """records(path, paper_key, n): papers that paths stand for, the last record of a path counting, raised to a state."""
+    last = records.groupBy("path").agg(F.max_by("paper_key", "n").alias("paper_key"))
+    changes = last.groupBy("paper_key").agg(F.max("path").alias("matched_content_path"))
+    none = F.lit(None).cast("string")
+    return advance(papers, changes.select("paper_key", F.lit(state).alias("state"), "matched_content_path", none.alias("commit"), none.alias("pr"), none.alias("archive_path")), now)
+
+
 def set_status(articles: DataFrame, keys: DataFrame, status: str, now: Column) -> DataFrame:
     if status not in ("selected", "review", "rejected", "invalid"):
         raise ValueError(f"unknown status {status}")

@@ -211,3 +211,27 @@ def repair_hints(issues: Column, rules: list[tuple[str, str]]) -> Column:
 def repair_kept_bullets(before: Column, after: Column) -> Column:
     """Whether each text of the first plan is part of one of the second's."""
     return F.forall(before, lambda t: (t == "") | F.exists(after, lambda u: F.contains(u, t)))
+
+
+def markers_covered(cited: Column, represented: Column) -> Column:
+    """Whether each citation of a text stands among those that a plan represents."""
+    plain = lambda xs: F.transform(F.coalesce(xs, F.array().cast("array<string>")), classify.canonical_marker)
+    return F.size(F.array_except(plain(cited), plain(represented))) == 0
+
+
+def finding_counts(issues: DataFrame, by: str = "review_id") -> DataFrame:
+    """Issues of each review by severity."""
+    s = F.col("severity")
+    return issues.groupBy(by).agg(F.count("*").alias("issues"), F.count_if(s == "blocking").alias("blocking"), F.count_if(s.isin("review", "blocking")).alias("actionable"))
+
+
+def blocks_publication(approved: Column, recommendations: Column) -> Column:
+    """Whether a review stops a plan: not approved, and no review of any target, or one that neither approves nor asks for a change."""
+    bad = F.exists(recommendations, lambda r: ~F.coalesce(r.isin("approve", "revise"), F.lit(False)))
+    return ~F.coalesce(approved, F.lit(False)) & (F.coalesce(F.size(recommendations), F.lit(0)) < 1) | (~F.coalesce(approved, F.lit(False)) & F.coalesce(bad, F.lit(True)))
+
+
+def balance_findings(issues: DataFrame) -> DataFrame:
+    """Findings on what a plan leaves out, with whether they can be repaired: only where the source says it word by word. issues(review_id, code, severity, source_quote, evidence)."""
+    left = issues.where((F.col("code") == "limitation_omitted") & F.col("severity").isin("review", "blocking"))
+    return left.withColumn("repairable", packets.exact_passage(F.col("evidence"), F.col("source_quote")))

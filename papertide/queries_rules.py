@@ -41,7 +41,8 @@ def joined(parts: list[tuple[str, str]]) -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN {test} THEN {quoted(name)} END" for name, test in parts) + ")"
 
 
-_DOC = F.col("doc_id")
+def _doc():
+    return F.col("doc_id")
 
 
 @query(f"""
@@ -69,9 +70,9 @@ UNION ALL SELECT doc_id, 'document', regexp_replace({_MARKED}, '\\[([^\\]]*)\\]\
 def markup_forms(spark, d):
     """Pages without tags and without comments; marked text without links to places and without citations."""
     pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind"), F.md5(text.strip_markup("html").cast("binary")).alias("plain"), F.md5(text.strip_comments("html").cast("binary")).alias("other"))
-    n = _DOC.cast("string")
+    n = _doc().cast("string")
     x = F.concat(F.lit("["), F.col("lang"), F.lit("](#p"), n, F.lit(") is seen [1, 2] , and [3-"), n, F.lit("] ; so [see](http://a.org/#b) ."))
-    docs = table(spark, d, "documents").select(_DOC.alias("id"), F.lit("document").alias("kind"), text.strip_anchors(x).alias("plain"), text.strip_citations(x).alias("other"))
+    docs = table(spark, d, "documents").select(_doc().alias("id"), F.lit("document").alias("kind"), text.strip_anchors(x).alias("plain"), text.strip_citations(x).alias("other"))
     return pages.unionAll(docs)
 
 
@@ -109,8 +110,8 @@ SELECT doc_id, {matches('k', classify.PRECLINICAL)} AS preclinical, {matches('k'
   CASE WHEN {matches('s', classify.SPECIES)} OR m = '' THEN s ELSE 'In ' || m || ', ' || CASE WHEN substr(b, 2, 1) <> upper(substr(b, 2, 1)) THEN lower(substr(b, 1, 1)) || substr(b, 2) ELSE b END END AS scoped FROM b""")
 def evidence_rules(spark, d):
     """What kind of work a sentence tells of, and the sentence led by its animal model."""
-    s = F.concat(pick(_SENTENCES, _DOC), F.lit(" "), F.col("source"), F.lit("."))
-    t = table(spark, d, "documents").select("doc_id", s.alias("s"), pick(_MODELS, F.floor(_DOC / 7)).alias("m"))
+    s = F.concat(pick(_SENTENCES, _doc()), F.lit(" "), F.col("source"), F.lit("."))
+    t = table(spark, d, "documents").select("doc_id", s.alias("s"), pick(_MODELS, F.floor(_doc() / 7)).alias("m"))
     return t.select("doc_id", classify.is_preclinical(F.col("s")).alias("preclinical"), classify.is_methods_statement(F.col("s")).alias("methods"), classify.has_quantity(F.col("s")).alias("quantity"), classify.has_species(F.col("s")).alias("species"), classify.animal_model(F.col("s")).alias("model"), classify.with_scope(F.col("s"), F.col("m")).alias("scoped"))
 
 
@@ -132,7 +133,7 @@ WITH s AS (SELECT doc_id, lang || ': ' || {pick_sql(_CITED, 'doc_id')} AS x, {pi
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(x, {quoted(classify.LINKED_CITATION)}), regexp_extract_all(x, {quoted(classify.CITATION)})))), '|') AS markers, {_marker_sql('m', 'r')} AS meant FROM s""")
 def citation_rules(spark, d):
     """Citations in a text, and whether one means a reference."""
-    t = table(spark, d, "documents").select("doc_id", F.concat(F.col("lang"), F.lit(": "), pick(_CITED, _DOC)).alias("x"), pick(_MARKERS, _DOC).alias("m"), pick(_LISTED, F.floor(_DOC / 6)).alias("r"))
+    t = table(spark, d, "documents").select("doc_id", F.concat(F.col("lang"), F.lit(": "), pick(_CITED, _doc())).alias("x"), pick(_MARKERS, _doc()).alias("m"), pick(_LISTED, F.floor(_doc() / 6)).alias("r"))
     return t.select("doc_id", F.array_join(F.array_sort(classify.citation_markers(F.col("x"))), "|").alias("markers"), classify.marker_matches(F.col("m"), F.col("r")).alias("meant"))
 
 
@@ -192,7 +193,7 @@ SELECT lang || '/' || doc_id AS path, 1 AS ref_num, 'First' AS title, 'http://ww
 UNION ALL SELECT lang || '/' || doc_id, 2, 'Second ' || doc_id, 'https://b.org/x/' || doc_id, 3 FROM documents""")
 def footnote_rows(spark, d):
     """The references of pages, a row each, and the number that the next one would have."""
-    pages = table(spark, d, "documents").select(F.concat_ws("/", "lang", _DOC.cast("string")).alias("path"), _footnoted(_DOC).alias("body"))
+    pages = table(spark, d, "documents").select(F.concat_ws("/", "lang", _doc().cast("string")).alias("path"), _footnoted(_doc()).alias("body"))
     return catalog.reference_rows(pages).join(pages.select("path", ids.next_reference("body").alias("next")), "path")
 
 
@@ -235,8 +236,8 @@ SELECT doc_id, CASE WHEN k = 'meta-analysis' THEN 'Meta-Analysis' {_PUBLICATIONS
   coalesce({_SIGNALS.replace('{}', 'kt')}, {_SIGNALS.replace('{}', 'ktopic')}) AS signal, {_PROPERTIES.replace('{}', 'ktopic')} ELSE CASE kind WHEN 'source_finding' THEN 'Metabolic Health' ELSE 'Other Reported Properties' END END AS heading FROM t""")
 def study_types(spark, d):
     """Study types by publication type and patterns, by the first field with a signal, and headings of properties."""
-    t = table(spark, d, "documents").select("doc_id", F.concat(pick(_STUDIES, _DOC), F.lit(" "), F.col("source")).alias("title"), F.array(pick(_TYPES, F.floor(_DOC / 14))).alias("types"), F.concat(pick(_TOPICS, _DOC), F.lit(" in "), F.col("lang")).alias("topic"))
-    kind = F.when(_DOC % 2 == 0, "source_finding").otherwise("background_fact")
+    t = table(spark, d, "documents").select("doc_id", F.concat(pick(_STUDIES, _doc()), F.lit(" "), F.col("source")).alias("title"), F.array(pick(_TYPES, F.floor(_doc() / 14))).alias("types"), F.concat(pick(_TOPICS, _doc()), F.lit(" in "), F.col("lang")).alias("topic"))
+    kind = F.when(_doc() % 2 == 0, "source_finding").otherwise("background_fact")
     none = F.array().cast("array<string>")
     return t.select("doc_id", classify.study_type(F.col("title"), F.lit(""), F.col("types"), none, F.col("topic")).alias("study_type"), validate.study_type(F.col("title"), F.col("topic"), F.lit(""), F.lit("")).alias("signal"), validate.property_heading(F.col("topic"), F.lit(""), kind).alias("heading"))
 
@@ -261,8 +262,8 @@ SELECT doc_id, issues, (CASE WHEN t NOT IN ('', 'Unknown Title') THEN 200 ELSE 0
 def page_quality(spark, d):
     """What is wrong with extracted pages, and their scores."""
     line = F.get(F.split("text", "\n"), F.lit(0))
-    body = F.concat(pick(_BODIES, F.floor(_DOC / 6)), F.when(_DOC % 11 == 0, F.concat(F.lit(" "), "text")).otherwise(""))
-    t = table(spark, d, "documents").select("doc_id", pick(_PAGE_TITLES, _DOC).alias("t"), F.when(_DOC % 7 < 3, line).otherwise("").alias("a"), body.alias("b"), "lang")
+    body = F.concat(pick(_BODIES, F.floor(_doc() / 6)), F.when(_doc() % 11 == 0, F.concat(F.lit(" "), "text")).otherwise(""))
+    t = table(spark, d, "documents").select("doc_id", pick(_PAGE_TITLES, _doc()).alias("t"), F.when(_doc() % 7 < 3, line).otherwise("").alias("a"), body.alias("b"), "lang")
     fields = F.col("t"), F.col("a"), F.col("b")
     return t.select("doc_id", F.array_join(classify.extraction_issues(*fields), ",").alias("issues"), classify.extraction_score(*fields, [F.col("lang"), F.lit("")]).cast("int").alias("score"), classify.content_score(F.col("b")).cast("int").alias("content"))
 
@@ -281,8 +282,8 @@ r AS (SELECT doc_id, 0 AS pos, 0 AS level, 'Document metadata' AS heading, 'lead
 SELECT doc_id, pos::INT AS pos, level::INT AS level, heading, text, grp, {_key('heading')} NOT IN ('document metadata', 'outline', 'published by') AND NOT {matches(_key('heading'), classify.SKIPPED_SECTION)} AS relevant FROM r""")
 def section_split(spark, d):
     """Pages as headed sections before the references, with the group of each."""
-    h = [pick(_HEADINGS, x) for x in (_DOC, F.floor(_DOC / 3), F.floor(_DOC / 5))]
-    body = F.concat(F.lit("lead "), _DOC.cast("string"), F.lit("\n## "), h[0], F.lit("\n\none.\n### "), h[1], F.lit("\ntwo.\n\n## "), h[2], F.lit("\nthree.\n## References\n[1] none\n## After\nnothing"))
+    h = [pick(_HEADINGS, x) for x in (_doc(), F.floor(_doc() / 3), F.floor(_doc() / 5))]
+    body = F.concat(F.lit("lead "), _doc().cast("string"), F.lit("\n## "), h[0], F.lit("\n\none.\n### "), h[1], F.lit("\ntwo.\n\n## "), h[2], F.lit("\nthree.\n## References\n[1] none\n## After\nnothing"))
     sections = packets.headed_sections(table(spark, d, "documents"), "doc_id", body)
     return packets.grouped_sections(sections, "doc_id").select("doc_id", F.col("pos").cast("int").alias("pos"), F.col("level").cast("int").alias("level"), "heading", "text", F.col("group").alias("grp"), classify.is_relevant_section(F.col("heading")).alias("relevant"))
 
@@ -312,7 +313,7 @@ def alert_mail(spark, d):
     """The candidates of alert mails, with their place, authors and links."""
     from .operators import intake
 
-    n = _DOC.cast("string")
+    n = _doc().cast("string")
     html = F.concat(F.lit('<html><body><h3><span>[PDF]</span> <a class="x gse_alrt_title" href="https://scholar.google.com/scholar_url?hl=en&amp;url=http%3A%2F%2Fe.org%2F'), n, F.lit('.pdf">Title <b>'), n, F.lit("</b> of "), F.col("source"), F.lit("</a></h3><div>A Author, B Writer - Journal, 2024</div><div>Snippet <i>"), F.col("lang"), F.lit('</i> <a href="http://e.org/'), n, F.lit('.pdf">.</a></div><h3><a class="gse_alrt_title" href="https://scholar.google.com/scholar_alerts?view_op=x">Settings</a></h3><h3><a class="gse_alrt_title" href="http://b.org/'), n, F.lit('">Review of '), F.col("source"), F.lit('</a></h3><div>C One and D Two - J</div><p><a href="http://x.org/scholar?q=y">['), F.col("lang"), F.lit("]</a></p></body></html>"))
     mail = table(spark, d, "documents").select(n.alias("message_id"), html.alias("html"), F.lit("s").alias("subject"))
     found = intake.parse_candidates(mail, udfs.alert_candidates)
@@ -335,8 +336,8 @@ def mail_bodies(spark, d):
 SELECT 'en/p' || doc_id || '.md' AS path, 'p' || doc_id AS stem, CASE WHEN doc_id % 4 = 3 THEN 'p' || doc_id ELSE 'Title ' || doc_id END AS title, CASE doc_id % 4 WHEN 0 THEN lang || ',' || source WHEN 1 THEN lang ELSE '' END AS tags, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS tags_is_list, doc_id % 4 = 3 AS bad, md5('Body ' || lang || chr(10)) AS body FROM documents""")
 def catalog_scan(spark, d):
     """Markdown pages with front matter of several shapes."""
-    n = _DOC.cast("string")
-    front = F.when(_DOC % 4 == 0, F.concat(F.lit('title: "Title '), n, F.lit('"\ntags: ['), F.col("lang"), F.lit(", "), F.col("source"), F.lit("]"))).when(_DOC % 4 == 1, F.concat(F.lit("title: Title "), n, F.lit("\ntags: '"), F.col("lang"), F.lit("'"))).when(_DOC % 4 == 2, F.concat(F.lit("title: Title "), n)).otherwise("- a\n- b")
+    n = _doc().cast("string")
+    front = F.when(_doc() % 4 == 0, F.concat(F.lit('title: "Title '), n, F.lit('"\ntags: ['), F.col("lang"), F.lit(", "), F.col("source"), F.lit("]"))).when(_doc() % 4 == 1, F.concat(F.lit("title: Title "), n, F.lit("\ntags: '"), F.col("lang"), F.lit("'"))).when(_doc() % 4 == 2, F.concat(F.lit("title: Title "), n)).otherwise("- a\n- b")
     pages = table(spark, d, "documents").select(F.concat(F.lit("en/p"), n, F.lit(".md")).alias("path"), F.concat(F.lit("---\n"), front, F.lit("\n---\nBody "), F.col("lang"), F.lit("\n")).alias("text"))
     found = readers.split_front_matter(pages)
     return found.select("path", "stem", "title", F.array_join("tags", ",").alias("tags"), "tags_is_list", F.col("error").isNotNull().alias("bad"), F.md5(F.col("body").cast("binary")).alias("body"))
@@ -345,7 +346,7 @@ def catalog_scan(spark, d):
 @query("SELECT doc_id::VARCHAR AS path FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0")
 def changed_files(spark, d):
     """Files that are new, or whose time or size differ from the last scan."""
-    now = table(spark, d, "documents").select(_DOC.cast("string").alias("path"), _DOC.alias("modified"), F.col("n_chars").alias("size"), _DOC.alias("n"))
+    now = table(spark, d, "documents").select(_doc().cast("string").alias("path"), _doc().alias("modified"), F.col("n_chars").alias("size"), _doc().alias("n"))
     before = now.where("n % 5 <> 0").select("path", F.when(F.col("n") % 7 == 0, F.col("modified") - 1).otherwise(F.col("modified")).alias("modified"), F.when(F.col("n") % 11 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
     return readers.changed_files(now, before).select("path")
 
@@ -373,10 +374,10 @@ SELECT doc_id, '[^' || doc_id || ']: **Title:** [T ' || lang || '](https://doi.o
   '20240102T030405Z-t-' || lang || '-' || replace(source, '_', '-') || '-' || substr(sha256('s' || doc_id), 1, 10) AS run FROM documents""")
 def rendered(spark, d):
     """Footnotes, packets as pages, JSON envelopes and ids of runs."""
-    n = _DOC.cast("string")
-    t = table(spark, d, "documents").select("doc_id", "lang", "source", F.when(_DOC % 3 == 0, " ").otherwise(F.concat(F.lit("T "), "lang")).alias("title"), F.col("source").alias("authors"), F.lit("u").alias("url"), F.when(_DOC % 2 == 0, F.col("lang")).alias("abstract"), F.concat(F.lit("b "), "source").alias("body_markdown"))
-    note = writers.footnote(_DOC, F.concat(F.lit("T "), "lang"), writers.citation_url(F.concat(F.lit("10.1/"), n), F.col("url")), F.when(_DOC % 2 == 0, F.col("source")), F.lit(""), F.lit(None).cast("string"), F.concat(F.lit("10.1/"), n))
-    out = writers.envelope(F.struct(_DOC.alias("id"), "lang"), F.when(_DOC % 2 == 1, F.concat(F.lit("no "), "source")))
+    n = _doc().cast("string")
+    t = table(spark, d, "documents").select("doc_id", "lang", "source", F.when(_doc() % 3 == 0, " ").otherwise(F.concat(F.lit("T "), "lang")).alias("title"), F.col("source").alias("authors"), F.lit("u").alias("url"), F.when(_doc() % 2 == 0, F.col("lang")).alias("abstract"), F.concat(F.lit("b "), "source").alias("body_markdown"))
+    note = writers.footnote(_doc(), F.concat(F.lit("T "), "lang"), writers.citation_url(F.concat(F.lit("10.1/"), n), F.col("url")), F.when(_doc() % 2 == 0, F.col("source")), F.lit(""), F.lit(None).cast("string"), F.concat(F.lit("10.1/"), n))
+    out = writers.envelope(F.struct(_doc().alias("id"), "lang"), F.when(_doc() % 2 == 1, F.concat(F.lit("no "), "source")))
     run = writers.run_id(F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"), F.concat(F.lit(" T "), "lang", F.lit(" "), "source"), F.concat(F.lit("s"), n))
     return t.select("doc_id", note.alias("footnote"), writers.packet_markdown(t).alias("page"), out.alias("envelope"), run.alias("run"))
 
