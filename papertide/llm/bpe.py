@@ -1,7 +1,10 @@
 """Byte-level BPE encoding and decoding by a rank file, with the tiktoken library.
 
-Results for odd rows: a null text counts as empty and has no ids; repeated rows each get their own
-result; columns besides the id and the text are ignored, whatever their names.
+Texts are cut at places that no match of PATTERN crosses (pieces.py), so another pattern must be cut there too.
+
+Results for odd rows: a null or empty text has no ids; a very long text is encoded whole, its pieces in chunks;
+no rows give no rows; repeated rows each get their own result; null ids stay; columns besides the id and the text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import workers_can_import
-from .pieces import PieceEncoder
+from .pieces import PieceTable
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Rows of a batch on the way back to Spark.
@@ -34,8 +37,8 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, pattern: str) -> PieceEncoder:
-    return PieceEncoder(encoding(path, pattern).encode_ordinary, most=1 << 17)
+def encoder(path: str, pattern: str) -> PieceTable:
+    return PieceTable(encoding(path, pattern).encode_ordinary)
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -51,13 +54,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [enc(x) for x in part.column(1).to_pylist()]
-                ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                back = [pa.array([library.decode_bytes(np.frombuffer(x, np.uint32).tolist()) for x in found], pa.binary())] if decoded else []
+                found, counts = enc(part.column(1))
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.view(np.int32)))
+                back = [pa.array([library.decode_bytes(found[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())] if decoded else []
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, *back], names=[id_col, "ids", "decoded"][: 2 + decoded])
 
-    source = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     schema = [source.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("decoded", T.BinaryType())]
     return source.mapInArrow(run, T.StructType(schema[: 2 + decoded]))
 

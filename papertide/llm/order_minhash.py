@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from .common import cut, workers_can_import
 from .components import components
-from .pieces import _Known
+from .pieces import _Known, packed
 
 K, SIMILARITY = 5, 0.8
 #: 64-bit integers in which a text's words are marked.
@@ -59,9 +59,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _word(word: str) -> list[int]:
+def _word(word: str) -> bytes:
     word = word if word.isalnum() else _EDGES.sub("", word)
-    return [xxhash.xxh32_intdigest(word.encode()) | 1] if word else []
+    return packed([xxhash.xxh32_intdigest(word.encode()) | 1] if word else [])
 
 
 _words = _Known(_word, "", 1 << 16, 96)

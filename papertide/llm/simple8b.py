@@ -20,6 +20,14 @@ MAGIC = b"S8B1"
 
 _COUNTS = np.array([0, *(n for n, _ in MODES), 1], np.int64)
 _POWERS = 1 << np.arange(60, dtype=np.uint64)
+#: Bits of the numbers below 65536.
+_BITS = np.searchsorted(_POWERS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    if int(ids.max()) < len(_BITS):
+        return _BITS[ids]
+    return np.searchsorted(_POWERS, ids, side="right").astype(np.uint8) + (ids >> np.uint64(60) > 0)
 
 
 def _windows(bits: np.ndarray) -> np.ndarray:
@@ -44,7 +52,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.ascontiguousarray(ids, np.uint64)
     if not len(ids):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    best = _windows(np.searchsorted(_POWERS, ids, side="right").astype(np.uint8) + (ids >> np.uint64(60) > 0))
+    best = _windows(_bits(ids))
     steps, starts, i, n = _COUNTS[best].tolist(), [], 0, len(ids)
     while i < n:
         starts.append(i)

@@ -26,46 +26,22 @@ from pyspark.sql import types as T
 
 from . import simple8b
 from .common import new_folder, workers_can_import
-from .pieces import PieceEncoder
-from .token_counts import TOKENIZER, check_byte_level, tokenizer
+from .pieces import PieceTable
+from .token_counts import TOKENIZER, Library, check_byte_level
 
 #: A block ends when it has as many ids or documents.
 BLOCK_IDS, BLOCK_DOCS = 1 << 18, 4096
 END = 0
+#: Texts encoded at once.
+ROWS = 256
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, PieceTable] = {}
 
 
-def _alphabet() -> dict[int, int]:
-    """Byte to the character that stands for it in a byte-level vocabulary: itself if printable, else the next free one from 256."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: 256 + i for i, b in enumerate(others)}
-
-
-_ALPHABET = _alphabet()
-
-
-class _Pieces:
-    """Ids of single pieces. A run of Latin letters, with or without a space before it, is one match of the
-    pattern, so it goes straight to the library's BPE model, past its pre-tokenizer; also in front of a comma or a full stop."""
-
-    def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
-        self.model = self.tokenizer.model
-
-    def __call__(self, piece: str) -> list[int]:
-        body = piece[1:] if piece[:1] == " " else piece
-        if body.isalpha() and max(body) < "\u0250":
-            return [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))]
-        if body[-1:] in (".", ",") and body[:-1].isalpha() and max(body) < "\u0250":
-            return self(piece[:-1]) + [x.id for x in self.model.tokenize(piece[-1])]
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
-
-
-def _encoder(path: str) -> PieceEncoder:
+def _encoder(path: str) -> PieceTable:
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(_Pieces(path), most=1 << 19)
+        library = Library(path)
+        _encoders[path] = PieceTable(library, library.matches)
     return _encoders[path]
 
 
@@ -74,32 +50,35 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
     workers_can_import(docs.sparkSession)
     path = path or public_tokenizers.path(TOKENIZER)
     check_byte_level(path)
-    end_bytes = np.array([end], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = _encoder(path), TaskContext.get().partitionId()
         keys, found, held, number, before, id_type = [], [], 0, 0, 0, None
 
         def out() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in found], np.uint32)
-            block = simple8b.write_block(np.frombuffer(b"".join(found), np.uint32), lengths)
+            block = simple8b.write_block(np.concatenate(found), np.array([len(x) for x in found], np.uint32))
             arrays = [pa.array([task], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([keys], pa.list_(id_type)), pa.array([block], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["task", "number", "before", "n_ids", "keys", "block"])
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc(text.as_py()) + end_bytes
-                if found and (held + len(ids) // 4 > BLOCK_IDS or len(found) == BLOCK_DOCS):
-                    yield out()
-                    keys, found, held, number, before = [], [], 0, number + 1, before + held
-                keys.append(key)
-                found.append(ids)
-                held += len(ids) // 4
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids, counts = enc(part.column(1))
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, end).astype(np.uint32, copy=False)
+                ends += np.arange(1, len(ends) + 1)
+                for key, a, b in zip(part.column(0).to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                    if found and (held + b - a > BLOCK_IDS or len(found) == BLOCK_DOCS):
+                        yield out()
+                        keys, found, held, number, before = [], [], 0, number + 1, before + held
+                    keys.append(key)
+                    found.append(ids[a:b])
+                    held += b - a
         if found:
             yield out()
 
-    source = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").alias("key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
     ranges = source.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = T.StructType([T.StructField("task", T.IntegerType()), T.StructField("number", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("keys", T.ArrayType(source.schema[0].dataType)), T.StructField("block", T.BinaryType())])

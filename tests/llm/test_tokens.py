@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -28,18 +29,17 @@ def hub():
     return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
-TEXTS = st.text(alphabet=st.sampled_from("ab Z9é中\n\t '’s!.,<|\u00a0\u0085\x1c😀"), max_size=60)
+TEXTS = st.text(alphabet=st.sampled_from("ab Z9é中à\n\t '’s!.,<|\u00a0\u0085\x1c\u2003\u3000\u1680\u205f😀"), max_size=60)
 
 
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_pieces_join_and_encode_as_the_whole(text):
-    assert "".join(pieces.pieces(text)) == text
-    counts = pieces.piece_counts(text)
-    assert sum(len(k) * n for k, n in counts.items()) == len(text)
     enc = bpe.encoding(P.path(bpe.RANKS), P.PATTERN)
-    got = np.frombuffer(pieces.PieceEncoder(enc.encode_ordinary, most=2)(text), np.uint32).tolist()
-    assert got == enc.encode_ordinary(text)
+    texts = [text, None, "", text[::-1], text]
+    ids, counts = pieces.PieceTable(enc.encode_ordinary)(pa.array(texts, pa.string()).slice(0))
+    want = [enc.encode_ordinary(x or "") for x in texts]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
 
 
 @settings(max_examples=300, deadline=None)
@@ -48,8 +48,11 @@ def test_piece_encoding_of_the_tokenizers_library(text, special):
     text = text + "<|endoftext|>" + text if special else text
     tok = token_counts.tokenizer(P.path("byte_bpe_50k.json"))
     want = tok.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(token_files._encoder(P.path("byte_bpe_50k.json"))(text), np.uint32).tolist() == want
-    assert sum(len(tok.encode(p, add_special_tokens=False).ids) * n for p, n in pieces.piece_counts(text).items()) == len(want)
+    ids, counts = token_files._encoder(P.path("byte_bpe_50k.json"))(pa.array(["x", text, text]).slice(1))
+    assert ids.tolist() == 2 * want and counts.tolist() == 2 * [len(want)]
+    library = token_counts.Library(P.path("byte_bpe_50k.json"))
+    found = library.matches(text) if text else []
+    assert found is None or (found, sum(map(library.count, found))) == ([a for a in found if a], len(want))
 
 
 def test_round_trip(docs, rows, tik):
@@ -107,3 +110,11 @@ def test_simple8b(values, data):
 def test_small_ids_share_words():
     words, _, _ = simple8b.pack(np.ones(600, np.uint64))
     assert len(words) == 10
+
+
+def test_a_table_that_starts_anew(tik, monkeypatch):
+    monkeypatch.setattr(pieces.PieceTable, "CHUNK", 64)
+    texts = [" ".join(f"w{i * 7 + k}ü" + "x" * (k % 20) for k in range(90)) for i in range(40)] * 2
+    table = pieces.PieceTable(tik.encode_ordinary, most=128)
+    ids, counts = table(pa.array(texts))
+    assert ids.tolist() == sum(map(tik.encode_ordinary, texts), []) and counts.sum() == len(ids)
