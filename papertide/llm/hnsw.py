@@ -2,20 +2,25 @@
 
 Only vectors of the same label and length are compared. Equal vectors are one point with a count, so copies
 cost nothing. The points of a label are dealt to shards by hash, as many as keep a shard below SHARD_POINTS;
-each shard gets a graph, which is written to the shared folder as one binary value. Every shard answers the
+each shard gets a graph. Every shard answers the
 queries of all points of its label, in chunks of QUERIES: a descent through the layers, then a beam over the lowest
 one, then a walk over all neighbours that are still above the threshold, so that dense groups are found whole however
-wide. A seeded audit compares some queries of the chunk with all of the shard's vectors; while it finds less than
-RECALL of the links, the beam is doubled and the chunk is asked again, up to the size of the shard, where the
-walk starts from every vector and misses nothing.
+wide. After that a seeded audit compares queries of the chunk with all of the shard's vectors, until it has met
+LEAST_LINKS true links to other points or has audited the whole chunk; while less than RECALL of them were found, the beam is doubled
+and the chunk is asked again, up to the size of the shard, where the walk starts from every vector and misses nothing.
+What the audits met and found is sent on beside the results.
+
+A task holds the graphs of GROUP shards and streams a slice of the label's chunks through them, so graphs travel
+SLICES times at most and chunks once for each group, not each with each.
 
 A hit counts if its cosine in double precision is at or above the threshold. A task counts the hits of
 each query and links them by union-find, and sends on a spanning forest of no more edges than points; the
 forests of all shards and chunks make the components.
 
 Results for odd rows: a vector that is null, empty or zero, holds null or non-finite components, or has a null
-label has no links and is its own component; vectors of differing lengths are not compared; repeated rows each
-get a result, and copies are links; null ids are not linked; other columns are ignored, whatever their names.
+label has no links and is its own component; vectors of differing lengths are not compared, and very long ones only take longer; repeated rows each
+get a result, and copies are links; ties of a cosine with the threshold are links; null ids are not linked; no rows give no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,9 +39,10 @@ from .common import cut, workers_can_import
 from .components import components
 
 COSINE = 0.93
-SHARD_POINTS, QUERIES = 4096, 2048
+SHARD_POINTS, QUERIES, GROUP, SLICES = 16_384, 2048, 4, 8
 LINKS, BUILD_BEAM, BEAM = 12, 48, 24
-RECALL, AUDITED = 0.995, 48
+#: The share of true links that an audit must see found, how many it must meet, and the queries it takes at once.
+RECALL, LEAST_LINKS, AUDITED = 0.995, 400, 64
 #: How far below the threshold a walk still goes on.
 MARGIN = 0.05
 
@@ -170,24 +176,32 @@ def _graphs(rows: pd.DataFrame) -> pd.DataFrame:
     vectors = np.stack(rows["vector"].to_numpy()).astype(np.float64)
     graph = Graph(_unit(vectors))
     blob = pickle.dumps((rows["point"].to_numpy(), rows["n"].to_numpy(), vectors, graph), protocol=5)
-    return pd.DataFrame({"label": [rows["label"].iloc[0]], "size": [rows["size"].iloc[0]], "graph": [blob]})
+    return pd.DataFrame({"label": [rows["label"].iloc[0]], "size": [rows["size"].iloc[0]], "shard": [rows["shard"].iloc[0]], "graph": [blob]})
 
 
-def _answers(graph: Graph, points: np.ndarray, exact: np.ndarray, queries: np.ndarray, ids: np.ndarray, cosine: float) -> list[np.ndarray]:
-    """The places of the hits of each query, by beams that are widened until the audit passes."""
+def _answers(graph: Graph, points: np.ndarray, exact: np.ndarray, queries: np.ndarray, ids: np.ndarray, cosine: float) -> tuple[list[np.ndarray], int, int]:
+    """The places of the hits of each query, by beams that are widened until the audit passes; the true links that it met, and how many of them were found."""
     q = queries.astype(np.float32)
-    audited = np.random.default_rng(len(ids)).permutation(len(ids))[:AUDITED]
-    truth = [np.flatnonzero(exact @ queries[i] >= cosine) for i in audited]
+    order = np.random.default_rng(len(ids)).permutation(len(ids))
+    truth: dict[int, np.ndarray] = {}
+    wanted = 0
+    for at in range(0, len(order), AUDITED):
+        part = order[at : at + AUDITED]
+        rows, places = np.nonzero(queries[part] @ exact.T >= cosine)
+        others = points[places] != ids[part[rows]]  # a point that finds itself proves nothing
+        wanted += int(others.sum())
+        truth |= {int(i): places[others & (rows == k)] for k, i in enumerate(part)}
+        if wanted >= LEAST_LINKS:
+            break
     width = BEAM
     while True:
-        def hits(i: int, width: int = width) -> np.ndarray:
+        answers = []
+        for i in range(len(ids)):
             near = graph.within(q[i], cosine, width)
-            return near[exact[near] @ queries[i] >= cosine] if len(near) else near
-
-        found = {i: hits(i) for i in audited.tolist()}
-        wanted = sum(map(len, truth))
-        if wanted == 0 or sum(len(np.intersect1d(found[i], t)) for i, t in zip(audited.tolist(), truth, strict=True)) >= RECALL * wanted or width >= len(points):
-            return [found[i] if i in found else hits(i) for i in range(len(ids))]
+            answers.append(near[exact[near] @ queries[i] >= cosine] if len(near) else near)
+        found = sum(int(np.isin(t, answers[i]).sum()) for i, t in truth.items() if len(t))
+        if found >= RECALL * wanted or width >= len(points):
+            return answers, wanted, found
         width *= 2
 
 
@@ -212,8 +226,8 @@ def _forest(ids: np.ndarray, points: np.ndarray, answers: list[np.ndarray]) -> t
     return a, b
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE, shard_points: int = SHARD_POINTS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """id_col, n_links, component_id, kept of each row."""
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, shard_points: int = SHARD_POINTS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", audits: list[tuple[int, int]] | None = None) -> DataFrame:
+    """id_col, n_links, component_id, kept of each row. audits: gets the true links that all audits met, and how many of them were found."""
     workers_can_import(rows.sparkSession)
     vector = F.col(f"`{vector_col}`").cast("array<double>")
     source = rows.select(F.col(f"`{id_col}`").alias("id"), vector.alias("vector"), F.col(f"`{label_col}`").cast("string").alias("label"))
@@ -224,28 +238,48 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, shard_points: int =
     keyed = source.withColumn("digest", F.when(F.col("usable"), F.concat_ws("/", *same)))
     points = cut(keyed.where("usable").groupBy("digest").agg(F.min("id").alias("point"), F.count("*").alias("n"), F.min("label").alias("label"), F.min("vector").alias("vector")).withColumn("size", F.size("vector")))
     counts = points.groupBy("label", "size").agg(F.count("*").alias("points"))
-    shards = F.ceil(F.col("points") / shard_points)
-    dealt = points.join(counts.withColumn("shards", shards.cast("int")), ["label", "size"])
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("digest"), F.col("shards")).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("digest", F.lit(1)), F.ceil(F.col("points") / QUERIES)).cast("int"))
-    graphs = cut(dealt.select("label", "size", "shard", "point", "n", "vector").groupBy("label", "size", "shard").applyInPandas(_graphs, "label string, size int, graph binary"))
-    chunks = dealt.groupBy("label", "size", "chunk").agg(F.collect_list(F.struct("point", "vector")).alias("x")).select("label", "size", "chunk", F.col("x.point").alias("ids"), F.col("x.vector").alias("vectors"))
+    ceil = lambda n, k: F.ceil(F.col(n) / k).cast("int")
+    counts = counts.withColumns({"shards": ceil("points", shard_points), "chunks": ceil("points", QUERIES)})
+    counts = counts.withColumns({"groups": ceil("shards", GROUP), "slices": F.least("chunks", F.lit(SLICES))}).drop("points")
+    dealt = points.join(counts, ["label", "size"])
+    dealt = dealt.withColumns({"shard": F.pmod(F.xxhash64("digest"), F.col("shards")).cast("int"), "chunk": F.pmod(F.xxhash64("digest", F.lit(1)), F.col("chunks")).cast("int")})
+    graphs = cut(dealt.select("label", "size", "shard", "point", "n", "vector").groupBy("label", "size", "shard").applyInPandas(_graphs, "label string, size int, shard int, graph binary"))
+    graphs = graphs.join(counts, ["label", "size"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    none = lambda kind: F.lit(None).cast(kind)
+    graphs = graphs.select("label", "size", F.floor(F.col("shard") / GROUP).cast("int").alias("group"), "slice", F.lit(0).alias("kind"), F.col("shard").alias("number"), "graph", none("array<long>").alias("ids"), none("array<array<double>>").alias("vectors"))
+    chunks = dealt.groupBy("label", "size", "chunk").agg(F.collect_list(F.struct("point", "vector")).alias("x"), F.first("groups").alias("groups"), F.first("slices").alias("slices"))
+    chunks = chunks.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    chunks = chunks.select("label", "size", "group", (F.col("chunk") % F.col("slices")).alias("slice"), F.lit(1).alias("kind"), F.col("chunk").alias("number"), none("binary").alias("graph"), F.col("x.point").alias("ids"), F.col("x.vector").alias("vectors"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = None, []
         for batch in batches:
             for k in range(batch.num_rows):
-                points, n, vectors, graph = pickle.loads(batch.column(0)[k].as_py())
-                ids = batch.column(1)[k].values.to_numpy(zero_copy_only=False)
-                queries = batch.column(2)[k].values.flatten().to_numpy().reshape(len(ids), -1)
+                key = tuple(batch.column(c)[k].as_py() for c in range(4))
+                if key != of:
+                    of, held = key, []
+                if batch.column(4)[k].as_py() == 0:  # graphs come before the chunks
+                    points, n, vectors, graph = pickle.loads(batch.column(6)[k].as_py())
+                    held.append((points, n, _unit(vectors), graph))
+                    continue
+                ids = batch.column(7)[k].values.to_numpy(zero_copy_only=False)
+                queries = batch.column(8)[k].values.flatten().to_numpy().reshape(len(ids), -1)
                 order = np.argsort(ids)
                 ids, queries = ids[order], _unit(queries[order])
-                answers = _answers(graph, points, _unit(vectors), queries, ids, cosine)
-                links = [int(n[near].sum() - n[near][points[near] == i].sum()) for i, near in zip(ids.tolist(), answers, strict=True)]
-                a, b = _forest(ids, points, answers)
-                # rows of two kinds: a point and its links in this shard, or an edge
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, np.array(a, np.int64)])), pa.array([None] * len(ids) + b, pa.int64()), pa.array(links + [0] * len(a), pa.int64())], names=["a", "b", "links"])
-
-    asked = graphs.join(chunks, ["label", "size"]).repartition("label", "chunk", F.xxhash64("graph")).select("graph", "ids", "vectors")
-    found = cut(asked.mapInArrow(ask, "a long, b long, links long"))
+                for points, n, exact, graph in held:
+                    answers, wanted, met = _answers(graph, points, exact, queries, ids, cosine)
+                    links = [int(n[near].sum() - n[near][points[near] == i].sum()) for i, near in zip(ids.tolist(), answers, strict=True)]
+                    a, b = _forest(ids, points, answers)
+                    # rows of three kinds: a point and its links in this shard, an edge, and an audit's links met and found
+                    columns = [[*ids.tolist(), *a, None], [*[None] * len(ids), *b, None], [*links, *[0] * len(a), met], [*[None] * (len(ids) + len(a)), wanted]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "links", "wanted"])
+
+    task = ["label", "size", "group", "slice"]
+    asked = graphs.unionByName(chunks).repartition(*task).sortWithinPartitions(*task, "kind", "number")
+    found = cut(asked.mapInArrow(ask, "a long, b long, links long, wanted long"))
+    if audits is not None:
+        audits.append(tuple(found.where("wanted is not null").agg(F.coalesce(F.sum("wanted"), F.lit(0)), F.coalesce(F.sum("links"), F.lit(0))).first()))
+    found = found.where("wanted is null")
     between = found.where("b is null").groupBy("a").agg(F.sum("links").alias("others"))
     linked = components(found.where("b is not null").select("a", "b"))
     per_point = points.select("digest", "point", "n").join(between, points.point == between.a, "left").join(linked, points.point == linked.vertex, "left")
