@@ -1,18 +1,19 @@
 """Shards of near equal bytes by histogram sort. DataFrame operations only.
 
 Rows are ordered by the hash of their text, then their id, then their place in the scan; so equal texts
-stand together. Every round counts the exact bytes, on all partitions, below evenly spaced candidate keys
+stand together. Texts are read once: the keys, sizes and wanted columns are written to the shared folder, and all later steps read
+those. Every round counts the exact bytes, on all partitions, below evenly spaced candidate keys
 inside the intervals that still hold a wanted boundary, and keeps the interval with the crossing, until
 each boundary is within tolerance or lies between two neighbouring rows. A group of equal texts that a
 boundary would cut is kept whole when that stays within tolerance; a larger one is cut by id, as
 no other cut can make the shards equal. Then the rows are exchanged once, by pieces of shards.
 
-The driver gets, a round, at most PROBES counts for each open interval, of which there are no more than
-pieces; the number of pieces is bounded by PIECES for each shard, whatever the size of the input.
+The driver gets, a round, at most PROBES counts (or LEAST_PROBES for each open interval, of which there are no more than
+pieces); the number of pieces is bounded by PIECES for each shard, whatever the size of the input.
 
-Results for odd rows: a null text has size 8 and the checksum of nothing; null ids come first among equal
-texts; repeated rows each have their own slot; with fewer rows than shards some shards are empty; other
-columns are kept as they are (their names must not be those of the results).
+Results for odd rows: a null text has size 8 and the checksum of nothing, as the empty one has; null ids come first among equal
+texts; repeated rows each have their own slot; a very long text is one row, however many bytes a shard is to have; with fewer rows than
+shards some shards are empty; no rows give no rows; other columns are kept as they are, whatever their names, as results have names of their own.
 """
 
 from __future__ import annotations
@@ -24,13 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SHARDS = 24
 #: Share of a shard's bytes by which a boundary may be off; for the boundaries of pieces within a shard, share of a piece.
 TOLERANCE, PIECE_TOLERANCE = 0.001, 0.25
-PROBES = 1024
+#: Cells of the first round; cells of all open intervals of a later one, and of one interval at least.
+FIRST_PROBES, PROBES, LEAST_PROBES = 1024, 1 << 16, 8
 #: Pieces of a shard at most, and the bytes that a piece is to have.
 PIECES, PIECE_BYTES = 256, 256 << 20
-_KEYS = ("__hash", "__id", "__place")
+_KEYS = ("__hs_hash", "__hs_id", "__hs_place")
+#: Columns that shard() adds.
+RESULTS = ("__hs_size", "__hs_crc32", "__hs_shard", "__hs_slot")
 _LOWEST = -(1 << 63)
 
 
@@ -46,25 +52,25 @@ class _Open:
     size: int
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     text = F.col(f"`{text_col}`")
-    return docs.withColumns(
-        {
-            "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8,
-            "text_crc32": F.crc32(F.coalesce(text, F.lit("")).cast("binary")),
-            "__hash": F.xxhash64(text),
-            "__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LOWEST)),
-            "__place": F.monotonically_increasing_id(),
-        }
+    return docs.select(
+        *[F.col(f"`{c}`") for c in keep],
+        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("__hs_size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("__hs_crc32"),
+        F.xxhash64(text).alias("__hs_hash"),
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LOWEST)).alias("__hs_id"),
+        F.monotonically_increasing_id().alias("__hs_place"),
     )
 
 
 def _histogram(keyed: DataFrame, level: int, open_: list[_Open]) -> dict[int, list[tuple[int, int, int, int]]]:
     """For each interval its cells that hold rows: (cell, bytes, least key, greatest key), in order."""
     spark, key = keyed.sparkSession, F.col(_KEYS[level])
-    width = [max(1, -(-(x.high - x.low + 1) // PROBES)) for x in open_]
+    probes = max(LEAST_PROBES, PROBES // len(open_))
+    width = [max(1, -(-(x.high - x.low + 1) // probes)) for x in open_]
     if len(open_) == 1 and not open_[0].fixed and open_[0].low == _LOWEST:  # the first round: all rows, by the key's high bits
-        rows = keyed.select(F.lit(0).alias("i"), F.shiftrightunsigned(key.bitwiseXOR(F.lit(_LOWEST)), 64 - PROBES.bit_length() + 1).cast("long").alias("cell"), "size", key.alias("k"))
+        rows = keyed.select(F.lit(0).alias("i"), F.shiftrightunsigned(key.bitwiseXOR(F.lit(_LOWEST)), 64 - FIRST_PROBES.bit_length() + 1).cast("long").alias("cell"), F.col("__hs_size").alias("size"), key.alias("k"))
     else:
         fixed = [f"f{i}" for i in range(level)]
         table = [(i, *x.fixed, x.low, x.high, w) for i, (x, w) in enumerate(zip(open_, width, strict=True))]
@@ -75,11 +81,11 @@ def _histogram(keyed: DataFrame, level: int, open_: list[_Open]) -> dict[int, li
                 on = (F.col(k) == F.col(x)) & on
             joined = keyed.join(F.broadcast(intervals), on)
         else:  # by the cell of the first round, in which each interval lies
-            shift = 64 - PROBES.bit_length() + 1
+            shift = 64 - FIRST_PROBES.bit_length() + 1
             of = lambda c: F.shiftrightunsigned(c.bitwiseXOR(F.lit(_LOWEST)), shift)
             joined = keyed.join(F.broadcast(intervals), (of(key) == of(F.col("low"))) & on)
         cell = F.floor((key.cast("decimal(20,0)") - F.col("low")) / F.col("width").cast("decimal(20,0)")).cast("long")
-        rows = joined.select("i", cell.alias("cell"), "size", key.alias("k"))
+        rows = joined.select("i", cell.alias("cell"), F.col("__hs_size").alias("size"), key.alias("k"))
     out: dict[int, list] = {}
     for r in rows.groupBy("i", "cell").agg(F.sum("size"), F.min("k"), F.max("k")).collect():
         out.setdefault(r[0], []).append(tuple(r[1:]))
@@ -176,22 +182,25 @@ def _piece(bounds: list[tuple[int, int, int]]) -> Column:
     return F.aggregate(steps, at, forward)
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with size, text_crc32, shard and slot, the place in the shard."""
-    keyed = _keyed(docs, id_col, text_col)
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The rows of docs, or of them the columns to keep, with __hs_size, __hs_crc32, __hs_shard and __hs_slot, the place in the shard."""
+    keep = docs.columns if keep is None else keep
+    keyed = cut(_keyed(docs, id_col, text_col, keep))
     bounds, pieces = splitters(keyed, shards, tolerance)
-    placed = keyed.withColumn("__piece", _piece(bounds))
+    placed = keyed.withColumn("__hs_piece", _piece(bounds))
     # one row for each piece that holds rows: how many rows of its shard come before
-    per_piece = placed.groupBy("__piece").agg(F.count("*").alias("__rows"))
-    before = W.partitionBy(F.expr(f"__piece div {pieces}")).orderBy("__piece")
-    bases = per_piece.select("__piece", (F.sum("__rows").over(before) - F.col("__rows")).alias("__base"))
-    inside = W.partitionBy("__piece").orderBy(*_KEYS)
-    ranked = placed.withColumn("__row", F.row_number().over(inside) - 1)
-    out = ranked.join(F.broadcast(bases), "__piece")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "size", "text_crc32", F.expr(f"cast(__piece div {pieces} as int)").alias("shard"), (F.col("__base") + F.col("__row")).alias("slot"))
+    per_piece = placed.groupBy("__hs_piece").agg(F.count("*").alias("__hs_rows"))
+    of_shard = F.expr(f"cast(__hs_piece div {pieces} as int)")
+    before = W.partitionBy(of_shard).orderBy("__hs_piece")
+    bases = per_piece.select("__hs_piece", (F.sum("__hs_rows").over(before) - F.col("__hs_rows")).alias("__hs_base"))
+    inside = W.partitionBy("__hs_piece").orderBy(*_KEYS)
+    ranked = placed.withColumn("__hs_row", F.row_number().over(inside) - 1)
+    out = ranked.join(F.broadcast(bases), "__hs_piece")
+    return out.select(*[F.col(f"`{c}`") for c in keep], "__hs_size", "__hs_crc32", of_shard.alias("__hs_shard"), (F.col("__hs_base") + F.col("__hs_row")).alias("__hs_slot"))
 
 
 def by_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    found = shard(docs.select("doc_id", "text"))
-    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    found = shard(docs, keep=["doc_id"])
+    names = {"size": "__hs_size", "text_crc32": "__hs_crc32", "shard": "__hs_shard", "slot": "__hs_slot"}
+    return found.select("doc_id", *[F.col(c).alias(k) for k, c in names.items()], F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
