@@ -10,8 +10,9 @@ the same order (the longest chain of common anchors whose places rise in both).
 is the n-th of that hash in the other.
 
 Results for odd rows: a null or empty text has the empty fingerprint, which is like itself (1) and unlike
-any other (0); a text shorter than k, or with no syncmer, has one anchor, its whole text's hash; equal texts
-have equal fingerprints; columns besides the id and the text are ignored, whatever their names.
+any other (0); a text shorter than k, or with no syncmer, has one anchor, its whole text's hash; a very long text is worked through in
+windows, and keeps all its anchors; of equal hashes in one window each end that holds the least counts; equal texts
+have equal fingerprints, repeated rows each their own result; no rows give no rows; columns besides the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_string(anchors(x.as_py() or "")) for x in part.column(1)], pa.string())], names=[id_col, "fingerprint"])
 
-    source = docs.select(id_col, text_col)
+    source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     return source.mapInArrow(run, T.StructType([source.schema[0], T.StructField("fingerprint", T.StringType())]))
 
 
@@ -159,7 +160,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("part"), F.lit(0).alias("guest"))
     guest = F.when((F.col("k") == F.col("head_k")) & (F.col("h") == F.col("head_h")), F.struct(F.col("before").alias("part"), F.lit(1).alias("guest")))
     dealt = joined.select("doc_id", "text", "k", "h", F.explode(F.array_compact(F.array(own, guest))).alias("x")).select("x.part", "x.guest", "k", "h", "doc_id", "text")
-    dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "guest", F.col("k").desc(), "h").select("part", "guest", "doc_id", "text")
+    # a range is a partition, not the hash of one, so that no task has several
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "guest", F.col("k").desc(), "h").select("part", "guest", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
