@@ -12,8 +12,9 @@ the PER_LABEL of each label whose hashed id is least, so that the sample doesn't
 partitions. Ids with null, other or differing labels teach nothing.
 
 Results for odd rows: a null or empty text has no terms and gets the share of good among the learned
-labels; without any learned labels all scores are 0.5; repeated rows each get their own result; columns
-besides the id and the text are never read, whatever their names.
+labels; without any learned labels, as with no rows, all scores are 0.5; a very long text counts whole; of equally similar
+neighbours those with the least ids vote; repeated rows each get their own result; columns
+besides the id and the text are never read; score() keeps them, and its results are named by the caller.
 """
 
 from __future__ import annotations
@@ -90,11 +91,13 @@ class Model:
         x = self.latent(found)
         similar = x @ self.vectors.T
         k = min(k, len(self.labels))
-        at = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(similar, at, axis=1), 0)
+        last = np.partition(similar, len(self.labels) - k, axis=1)[:, [len(self.labels) - k]]
+        above, equal = similar > last, similar == last
+        chosen = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        weight = np.where(chosen, np.maximum(similar, 0), 0)
         total = weight.sum(axis=1)
         some = total > 0
-        out[some] = (weight * self.labels[at]).sum(axis=1)[some] / total[some]
+        out[some] = (weight @ self.labels)[some] / total[some]
         return np.clip(out, 0, 1)
 
 
@@ -143,21 +146,24 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col
     return fit(found, np.array([r["quality"] for r in got], np.float64))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows of docs with score and predicted; all columns stay."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CUT, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The rows of docs with the score and whether it is at or above the cut, in columns of these names; all columns stay."""
     spark = docs.sparkSession
+    if {x.lower() for x in names} & {x.lower() for x in docs.columns}:
+        raise ValueError(f"docs has a column of {names}: give other names")
     workers_can_import(spark)
     shared = spark.sparkContext.broadcast(model)
+    at_text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                scores = model.scores(np.stack([terms(x.as_py() or "") for x in part.column(part.schema.get_field_index(text_col))]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores), pa.array((scores >= cut).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+                scores = model.scores(np.stack([terms(x.as_py() or "") for x in part.column(at_text)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores), pa.array((scores >= cut).astype(np.int32))], names=[*part.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
