@@ -1,20 +1,21 @@
 """Mixing sources to target weights, by a multivariate-hypergeometric splitting tree.
 
-Each source's documents stand in a pseudo-random order, by a seeded hash, and their words, one document
-after the other, are cut into blocks; a source's target is a quota of blocks, of several passes over the
-source if it is above its size. The tree halves the output shards: of a node's quotas, one for each
+Each source's documents lie in the buckets of a seeded hash. A deck holds a source's words as often as its target needs;
+each pass through the source lays its buckets in another seeded permutation, and within a bucket its documents by hash. The deck is cut
+into blocks of equally many words, and the target is a quota of blocks from its top. The tree halves the output shards: of a node's quotas, one for each
 source, the left half draws a multivariate-hypergeometric vector, the right half keeps the rest. So each
-shard has an exact quota of every source, as if the blocks had been dealt like cards, and takes the next
-so many blocks of the source's order, disjoint from all other shards'. A shard is shuffled locally.
+shard has an exact quota of every source, as if the blocks had been dealt like cards, and draws so many of the permuted
+blocks, disjoint from all other shards'. What is taken of a document is the sum of what the shards drew of it. A shard is shuffled locally.
 
-A document lies in the hash order behind the words of all hash buckets before its own and of its bucket's
-documents before it: windows never hold more than one bucket of one source, so a source may
-hold most of the rows. The driver sees one total for each source and no more than SOURCES of them.
+A document lies behind the words of all buckets before its own in the pass and of its bucket's
+documents before it: windows hold no more than one bucket of one source, or one row for each bucket of a source, so a source may
+hold most of the rows. The driver sees one total for each source and no more than SOURCES of them; with very many sources the blocks
+of each are fewer, so that all together stay countable.
 
 Results for odd rows: a null or empty text has size 0 and nothing is taken of it; a null source is a source
-of its own, the last; repeated rows are taken each on their own; a source without words has target 0;
-columns besides the id, the text and the source are kept as they are (their names must not be those of
-the results). No rows give no rows.
+of its own, the last; repeated rows, and rows whose hashes tie, are taken each on their own; a very long text is one document whose words
+blocks may share; a source without words has target 0; no rows give no rows;
+columns of the input are kept as they are, whatever their names, as results have names of their own (RESULTS).
 """
 
 from __future__ import annotations
@@ -30,7 +31,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed values of the query: weights by source in order, repeating; share of all words; most passes over a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 SOURCES = 1_000_000
-BLOCKS, BUCKET_BITS, OUTPUTS, SEED = 4096, 12, 64, 20_240
+#: Blocks of a pass through a source, and of all sources together at most.
+BLOCKS, ALL_BLOCKS = 4096, 400_000_000
+BUCKET_BITS, OUTPUTS, SEED = 12, 64, 20_240
+#: Columns that mix() and draws() add.
+RESULTS = ("__mix_size", "__mix_source_size", "__mix_target", "__mix_spans", "__mix_taken", "__mix_copy", "__mix_words", "__mix_output")
 
 
 def targets(totals: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -69,73 +74,80 @@ def _source_key(source_col: str):
     return F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = OUTPUTS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows with size, source_size, target, spans (the words of each copy that each output shard's blocks hold), taken (their sum) and what draws() needs."""
-    keyed = docs.withColumns(
-        {
-            "size": F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long"),
-            "__source": _source_key(source_col),
-            "__hash": F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")),
-        }
-    ).withColumn("__bucket", F.shiftrightunsigned("__hash", 64 - BUCKET_BITS))
-    per_bucket = cut(keyed.groupBy("__source", "__bucket").agg(F.sum("size").alias("words")))
-    rows = per_bucket.groupBy("__source").agg(F.sum("words")).limit(SOURCES + 1).collect()
+def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    hashed = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumns({"__mix_size": size, "__mix_source": _source_key(source_col), "__mix_hash": hashed, "__mix_bucket": F.shiftrightunsigned(hashed, 64 - BUCKET_BITS)})
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = OUTPUTS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """The rows (or of them the columns to keep, which are then written once, so that texts are read once) with __mix_size, __mix_source_size, __mix_target, __mix_spans (output, copy, words: what each output shard's blocks hold of each copy), __mix_taken (their sum) and what draws() needs."""
+    keyed = _keyed(docs, seed, id_col, text_col, source_col)
+    if keep is not None:
+        keyed = cut(keyed.select(*[F.col(f"`{c}`") for c in keep], "__mix_size", "__mix_source", "__mix_hash", "__mix_bucket"))
+    per_bucket = cut(keyed.groupBy("__mix_source", "__mix_bucket").agg(F.sum("__mix_size").alias("words")))
+    rows = per_bucket.groupBy("__mix_source").agg(F.sum("words")).limit(SOURCES + 1).collect()
     if len(rows) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
     totals = {r[0][1:] if r[0][0] == "+" else None: r[1] for r in rows}
     target = targets(totals, weights, share, most)
-    names = list(totals)
-    block = [max(1, totals[s] // BLOCKS) for s in names]
+    names = sorted(totals, key=lambda s: (s is None, s or ""))
+    blocks = min(BLOCKS, max(1, int(ALL_BLOCKS / max(1, len(names)) / most)))
+    block = [max(1, totals[s] // blocks) for s in names]
     quotas = [min(round(target[s] / b), int(most * totals[s]) // b) for s, b in zip(names, block, strict=True)]
     per_shard = split(np.array(quotas, np.int64), shards, seed) if names else np.zeros((shards, 0), np.int64)
     ends = per_shard.cumsum(axis=0).T * np.array(block, np.int64)[:, None] if names else per_shard.T
-    table = [("-" if s is None else "+" + s, totals[s], float(target[s]), int(q * b), e.tolist()) for s, q, b, e in zip(names, quotas, block, ends, strict=True)]
-    per_source = docs.sparkSession.createDataFrame(table, "__source string, source_size long, target double, __take long, __ends array<long>")
-    before = W.partitionBy("__source").orderBy("__bucket")
-    bases = per_bucket.select("__source", "__bucket", (F.sum("words").over(before) - F.col("words")).alias("__base"))
-    inside = W.partitionBy("__source", "__bucket").orderBy("__hash", f"`{id_col}`").rowsBetween(W.unboundedPreceding, 0)
-    placed = keyed.withColumn("__at", F.sum("size").over(inside) - F.col("size")).join(bases, ["__source", "__bucket"])
-    small = len(table) <= 10_000
-    placed = placed.join(F.broadcast(per_source) if small else per_source, "__source").withColumn("__at", F.col("__at") + F.col("__base"))
-    passes = F.when(F.col("source_size") > 0, F.expr("__take div source_size")).otherwise(0)
-    placed = placed.withColumn("__passes", passes)
-
-    def in_shards(copy):
+    table = [("-" if s is None else "+" + s, totals[s], float(target[s]), e.tolist()) for s, e in zip(names, ends, strict=True)]
+    per_source = docs.sparkSession.createDataFrame(table, "__mix_source string, __mix_source_size long, __mix_target double, __mix_ends array<long>")
+    # each pass lays the buckets in another order
+    passes = F.sequence(F.lit(0), F.lit(max(0, int(np.ceil(most)) - 1)))
+    laid = per_bucket.withColumn("pass", F.explode(passes))
+    before = W.partitionBy("__mix_source", "pass").orderBy(F.xxhash64(F.lit(seed), "__mix_source", "pass", "__mix_bucket"), "__mix_bucket")
+    laid = laid.withColumn("base", F.sum("words").over(before) - F.col("words"))
+    bases = laid.groupBy("__mix_source", "__mix_bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "base"))), lambda x: x["base"]).alias("__mix_bases"))
+    inside = W.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_hash", f"`{id_col}`").rowsBetween(W.unboundedPreceding, 0)
+    placed = keyed.withColumn("__mix_at", F.sum("__mix_size").over(inside) - F.col("__mix_size")).join(bases, ["__mix_source", "__mix_bucket"])
+    placed = placed.join(F.broadcast(per_source) if len(table) <= 10_000 else per_source, "__mix_source")
+
+    def in_shards(base, copy):
         """The words that each shard's blocks hold of one copy of the document."""
-        first = copy * F.col("source_size") + F.col("__at")
-        end_before = lambda j: F.when(j > 0, F.get("__ends", j - 1)).otherwise(0)
-        words = lambda end, j: F.greatest(F.lit(0), F.least(first + F.col("size"), end) - F.greatest(first, end_before(j)))
-        return F.transform("__ends", lambda end, j: F.struct(j.alias("output"), copy.cast("int").alias("copy"), words(end, j).alias("words")))
+        first = copy * F.col("__mix_source_size") + base + F.col("__mix_at")
+        end_before = lambda j: F.when(j > 0, F.get("__mix_ends", j - 1)).otherwise(0)
+        words = lambda end, j: F.greatest(F.lit(0), F.least(first + F.col("__mix_size"), end) - F.greatest(first, end_before(j)))
+        return F.transform("__mix_ends", lambda end, j: F.struct(j.alias("output"), copy.alias("copy"), words(end, j).alias("words")))
 
-    spans = F.filter(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("__passes")), in_shards)), lambda x: x["words"] > 0)
-    placed = placed.withColumn("spans", spans)
-    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return placed.withColumn("taken", taken).drop("__bucket", "__base", "__ends")
+    spans = F.filter(F.flatten(F.transform("__mix_bases", in_shards)), lambda x: x["words"] > 0)
+    placed = placed.withColumn("__mix_spans", spans)
+    return placed.withColumn("__mix_taken", F.aggregate("__mix_spans", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
 
 
 def draws(mixed: DataFrame, whole: bool = True) -> DataFrame:
-    """A row for each time that a document is drawn, with `words` of it, `copy` and its `output` shard, in each shard's shuffled order.
+    """A row for each time that a document is drawn, with __mix_words of it, __mix_copy and its __mix_output shard, in each shard's shuffled order.
 
     whole: a copy that blocks of several shards share goes to the first of them; the one document of a source that the
-    target cuts is drawn whole if half of it or more is, else not at all; and a document without words is drawn as often
+    target cuts in a pass is drawn whole if half of it or more is, else not at all; and a document without words is drawn as often
     as its neighbours (once if all its source has none).
     """
+    size, source_size = F.col("__mix_size"), F.col("__mix_source_size")
     if whole:
-        none = F.col("size") == 0
         # of each copy the words in all shards, and the first shard
-        per_copy = F.transform(F.array_distinct(F.transform("spans", lambda x: x["copy"])), lambda c: F.struct(c.alias("copy"), F.aggregate(F.filter("spans", lambda x: x["copy"] == c), F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("words"), F.array_min(F.transform(F.filter("spans", lambda x: x["copy"] == c), lambda x: x["output"])).alias("output")))
-        kept = F.filter(per_copy, lambda x: x["words"] * 2 >= F.col("size"))
-        times = F.when(F.col("source_size") == 0, 1).otherwise(F.col("__passes") + F.when(F.col("__at") < F.expr("__take - __passes * source_size"), 1).otherwise(0)).cast("int")
-        empty = F.transform(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>")), lambda c: F.struct(c.alias("copy"), F.lit(0).cast("long").alias("words"), F.lit(0).alias("output")))
-        found = F.when(none, empty).otherwise(kept)
+        of = lambda c: F.filter("__mix_spans", lambda x: x["copy"] == c)
+        copies = F.array_distinct(F.transform("__mix_spans", lambda x: x["copy"]))
+        per_copy = F.transform(copies, lambda c: F.struct(c.alias("copy"), F.aggregate(of(c), F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("words"), F.array_min(F.transform(of(c), lambda x: x["output"])).alias("output")))
+        kept = F.filter(per_copy, lambda x: x["words"] * 2 >= size)
+        top = F.element_at("__mix_ends", -1)
+        reached = F.transform("__mix_bases", lambda base, c: F.struct(c.alias("copy"), F.lit(0).cast("long").alias("words"), F.when(c * source_size + base + F.col("__mix_at") < top, F.lit(0)).alias("output")))
+        once = F.array(F.struct(F.lit(0).alias("copy"), F.lit(0).cast("long").alias("words"), F.lit(0).alias("output")))
+        found = F.when(size > 0, kept).when(source_size == 0, once).otherwise(F.filter(reached, lambda x: x["output"].isNotNull()))
     else:
-        found = F.transform("spans", lambda x: F.struct(x["copy"].alias("copy"), x["words"].alias("words"), x["output"].alias("output")))
-    drawn = mixed.withColumn("__d", F.explode(found))
-    out = drawn.withColumns({"copy": F.col("__d.copy"), "words": F.when(F.lit(whole), F.col("size")).otherwise(F.col("__d.words")), "output": F.col("__d.output")})
-    out = out.withColumn("__order", F.xxhash64(F.col("__hash"), F.col("copy"))).repartition(F.col("output")).sortWithinPartitions("output", "__order")
-    return out.drop("__d", "__source", "__hash", "__at", "__take", "__passes", "__order", "spans")
+        found = F.col("__mix_spans")
+    drawn = mixed.withColumn("__mix_d", F.explode(found))
+    out = drawn.withColumns({"__mix_copy": F.col("__mix_d.copy"), "__mix_words": F.when(F.lit(whole), size).otherwise(F.col("__mix_d.words")), "__mix_output": F.col("__mix_d.output")})
+    out = out.withColumn("__mix_order", F.xxhash64(F.col("__mix_hash"), F.col("__mix_copy"))).repartition(F.col("__mix_output")).sortWithinPartitions("__mix_output", "__mix_order")
+    return out.drop("__mix_d", "__mix_source", "__mix_bucket", "__mix_bases", "__mix_ends", "__mix_hash", "__mix_at", "__mix_order", "__mix_spans")
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken."""
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken, and what each output shard takes of it."""
+    found = mix(docs, keep=["doc_id"])
+    return found.select("doc_id", *[F.col(f"__mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken")], F.col("__mix_spans").alias("shards"))

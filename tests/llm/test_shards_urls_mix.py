@@ -115,6 +115,6 @@ def test_splitting_tree_keeps_quotas():
 
 def test_draws_repeat_rows_as_often_as_taken(docs):
     mixed = mixing.mix(docs.select("doc_id", "text", "source"))
-    drawn = mixing.draws(mixed, whole=False).groupBy("doc_id").agg(F.sum("words").alias("w")).where("w > 0")
-    want = {r.doc_id: r.t for r in mixed.groupBy("doc_id").agg(F.sum("taken").alias("t")).where("t > 0").collect()}
+    drawn = mixing.draws(mixed, whole=False).groupBy("doc_id").agg(F.sum("__mix_words").alias("w")).where("w > 0")
+    want = {r.doc_id: r.t for r in mixed.groupBy("doc_id").agg(F.sum("__mix_taken").alias("t")).where("t > 0").collect()}
     assert {r.doc_id: r.w for r in drawn.collect()} == want

@@ -137,7 +137,9 @@ def vectors(seed=4):
 def test_vectors(spark, shard_points):
     rows = vectors()
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, links string")
-    got = {r.vec_id: tuple(r)[1:] for r in hnsw.near_duplicates(df, shard_points=shard_points).collect()}
+    audits = []
+    got = {r.vec_id: tuple(r)[1:] for r in hnsw.near_duplicates(df, shard_points=shard_points, audits=audits).collect()}
+    assert audits[0][0] > 500 and audits[0][1] >= hnsw.RECALL * audits[0][0]
     good = {k: (np.array(v) / np.linalg.norm(v), lab) for k, v, lab in rows if v and None not in v and np.isfinite(v).all() and any(v) and lab is not None}
     pairs = [(a, b) for a in good for b in good if a < b and good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0]) and good[a][0] @ good[b][0] >= 0.93]
     n, comp = dict.fromkeys([r[0] for r in rows], 0), closure(pairs, [r[0] for r in rows])
@@ -146,7 +148,7 @@ def test_vectors(spark, shard_points):
         n[b] += 1
     want = {k: (n[k], comp[k], comp[k] == k) for k in n}
     wrong = [k for k in want if got[k] != want[k]]
-    assert len(pairs) > 1000 and sum(got[k][0] for k in n) >= 0.99 * sum(n.values()) and len(wrong) <= 0.02 * len(rows)
+    assert len(pairs) > 1000 and sum(got[k][0] for k in n) >= hnsw.RECALL * sum(n.values()) and len(wrong) <= 0.005 * len(rows)
     assert all(got[k] == (0, k, True) for k in range(2000, 2008))
 
 
