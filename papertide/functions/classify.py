@@ -46,10 +46,46 @@ CITATION = r"\[(?:\d+(?:\s*[-,]\s*\d+)*)\]|\((?:[A-Z][A-Za-z'’-]+(?:\s+et\s+al
 LINKED_CITATION = r"\[[^\]\n]*(?:19|20)\d{2}[a-z]?\]\(#[^)]+\)"
 
 
+#: Words that claim a benefit, and a quantity of a constituent.
+HEALTH_CLAIM = r"\b(?:treats?|treatment|cures?|prevents?|prevention|improves?|effective|efficacy|therapeutic|heals?|reduces? the risk)\b"
+CONSTITUENT = r"\d[\d.,]*\s*(?:mg|µg|μg|g)\b"
+#: Fixed value: what stands between an entity and its definition.
+_DEFINES = r"(?:es|s)?(?: fruits?| plants?| trees?| species| genus)?\s+(?:is|are|include|includes|comprise|comprises|refers to|denotes)\b"
+
+
 def like(x: Column, pattern: str) -> Column:
     return F.regexp_like(x, F.lit(pattern))
 
 
+def claims_benefit(x: Column) -> Column:
+    return like(key(x), HEALTH_CLAIM)
+
+
+def has_composition(body: Column) -> Column:
+    """Whether a sentence gives the quantities of three constituents or more."""
+    sentences = F.split(F.translate(or_empty(body), "\u202f", " "), r"(?<=[.!?])\s+")
+    return F.exists(sentences, lambda s: F.regexp_count(s, F.lit(CONSTITUENT)) >= 3)
+
+
+def defines(entity: Column, lead: Column) -> Column:
+    """Whether a lead says what an entity is, and not why it matters."""
+    return (key(entity) != "") & F.regexp_like(key(lead), F.concat(F.lit("^(?:the )?"), key(entity), F.lit(_DEFINES)))
+
+
+def bullet_text(quote: Column) -> Column:
+    """A passage as text of its own: without its citations, links to places and empty brackets."""
+    bare = F.aggregate(citation_markers(quote), F.trim(quote), lambda text, m: F.replace(text, m, F.lit("")))
+    bare = F.regexp_replace(F.regexp_replace(bare, r"\[([^\]\n]+)\]\(#[^)]+\)", "$1"), r"\[\^\d+\]", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"\(\s*(?:[;,]\s*)*\)", ""), r"\s+([,.;:!?])", "$1")
+    return F.regexp_replace(F.trim(F.regexp_replace(bare, r"\s+", " ")), "^[- ]+", "")
+
+
+def thesis_text(quote: Column) -> Column:
+    """A sentence on a study's aim as the thesis that it looks into."""
+    text = F.regexp_replace(bullet_text(quote), r"(?i)^(?:The\s+)?(?:objective|aim)\s+(?:of\s+(?:this|the)\s+study\s+)?was\s+to\s+(?:investigate|evaluate|assess|determine)\s+whether\s+", "")
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
+
+
 def first_of(rules: list[tuple[Column, str]], default: str | None = None) -> Column:
     out = None
     for test, value in rules:

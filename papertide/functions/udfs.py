@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .classify import WEAK
 from .text import c, key
 
 _NOT_KEY = re.compile("[^a-z0-9]+")
@@ -220,6 +221,61 @@ def message_headers(raw: str) -> dict:
     return {x.get("name", "").lower(): x.get("value", "") for x in headers}
 
 
+#: Where a page's text may stand, in order, and what is never part of it; texts of fewer characters are only taken if there is no better one.
+CONTENT = (".html-body", "article", ".article-content", ".article-body", "[role=main]", "main", ".post-content", ".entry-content", "#content", ".main-content")
+UNWANTED = ("nav", "header", "footer", "script", "style", ".sidebar", ".comments", ".social-share", ".related-posts", ".advertisement", ".navigation", ".menu", ".widget", ".header", ".footer", ".author-bio", ".newsletter-signup", ".subscription-box", ".article-notes")
+UNWANTED_PARTS = ("cookie", "banner", "popup")
+LEAST_BODY = 800
+_WEAK = tuple(re.compile(p) for p in WEAK.values())
+
+
+def _fits(node, selector: str) -> bool:
+    tag, attrs = node[0], node[1]
+    if selector[0] == ".":
+        return selector[1:] in attrs.get("class", "").split()
+    if selector[0] == "#":
+        return attrs.get("id") == selector[1:]
+    if selector[0] == "[":
+        name, value = selector[1:-1].split("=")
+        return attrs.get(name) == value
+    return tag == selector
+
+
+def _without_unwanted(node):
+    """The tree without what is never part of a text."""
+    out = []
+    for x in node[2]:
+        if isinstance(x, str):
+            out.append(x)
+        elif not (any(_fits(x, s) for s in UNWANTED) or any(p in x[1].get(a, "") for p in UNWANTED_PARTS for a in ("class", "id")) or (x[0] == "figcaption" and node[0] == "figure")):
+            out.append(_without_unwanted(x))
+    return node[0], node[1], out
+
+
+def best_body(root) -> str:
+    """The text of the first place that has enough of it, else the best one; signs of a page that isn't the article count against a text."""
+    root = _without_unwanted(root)
+    nodes = list(walk(root))
+    best, most = "", -1
+    for selector in (*CONTENT, "body", None):
+        node = root if selector is None else next((x for x in nodes if _fits(x, selector)), None)
+        if node is None:
+            continue
+        text = text_of(node)
+        score = len(text) - 1000 * sum(1 for p in _WEAK if p.search(text.lower())) if text else 0
+        if selector in CONTENT and score >= LEAST_BODY:
+            return text
+        if score > most:
+            best, most = text, score
+    return best
+
+
+def selector_texts(source: str, selector: str) -> list[str]:
+    """The distinct texts of the nodes that a tag, class, id or attribute names."""
+    found = (text_of(x) for x in walk(_Tree(source).root) if _fits(x, selector))
+    return list(dict.fromkeys(x for x in found if x))
+
+
 @F.udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("heading", T.StringType()), T.StructField("metas", T.MapType(T.StringType(), T.ArrayType(T.StringType()))), T.StructField("body", T.StringType()), T.StructField("links", T.ArrayType(T.StringType()))]), useArrow=True)
 def page_parts(source: str) -> dict | None:
     """Title, first heading, meta values by name, the text of the best body and the links of an HTML page."""
@@ -231,12 +287,5 @@ def page_parts(source: str) -> dict | None:
         if x[0] == "meta" and (name := (x[1].get("name") or x[1].get("property") or "").lower()):
             metas.setdefault(name, []).append(" ".join(x[1].get("content", "").split()))
     first = lambda tag: next((text_of(x) for x in walk(tree.root) if x[0] == tag), "")
-    best = ""
-    for tag in ("article", "main", "body"):
-        found = first(tag)
-        if len(found) >= 800:
-            best = found
-            break
-        if len(found) > len(best):
-            best = found
-    return {"title": first("title"), "heading": first("h1"), "metas": metas, "body": best or text_of(tree.root), "links": [x[1]["href"] for x in walk(tree.root) if x[0] == "a" and "href" in x[1]]}
+    out = {"title": first("title"), "heading": first("h1"), "metas": metas, "links": [x[1]["href"] for x in walk(tree.root) if x[0] == "a" and "href" in x[1]]}
+    return out | {"body": best_body(tree.root)}

@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify
-from ..functions.text import key, or_empty
+from ..functions.text import key, or_empty, or_null
 
 _FOOTNOTE = re.compile(r"\[\^\d+\]:")
 MOST_ADDED = 160
@@ -85,6 +85,48 @@ def clean_title(title: Column, registry_title: Column, suffix: str = r"\s+[|–-
     return F.when(same, registry_title).when(bare != "", bare).otherwise("Untitled Source")
 
 
+def inline(x: Column) -> Column:
+    """Text for a comment: on one line, without angle brackets."""
+    return F.replace(F.replace(F.trim(F.regexp_replace(or_empty(x), r"\s+", " ")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def provenance(kind: Column, section: Column, quote: Column, cited: Column | None = None) -> Column:
+    """Where a bullet comes from, as a comment below it."""
+    said = [F.concat(F.lit("claim_kind: "), inline(F.coalesce(or_null(kind), F.lit("source_finding")))), F.concat(F.lit("source_section: "), inline(section)), F.concat(F.lit("source_quote: "), inline(quote))]
+    none = F.array().cast("array<string>") if cited is None else F.coalesce(cited, F.array().cast("array<string>"))
+    listed = F.when(F.size(none) > 0, F.array_join(F.transform(none, lambda c: inline(c)), "; ")).otherwise("none")
+    return F.concat(F.lit("  <!-- provenance | "), F.concat_ws(" | ", *said, F.concat(F.lit("cited_references: "), listed)), F.lit(" -->"))
+
+
+def with_findings(bullets: DataFrame, findings: DataFrame) -> DataFrame:
+    """bullets(plan_id, bullet, text), findings(plan_id, bullet_index, code, severity, explanation): the bullets with `notes`, the comments on each that ask for attention; those on no bullet of the plan stand at bullet null."""
+    asked = findings.where(F.col("severity").isin("review", "blocking")).select("plan_id", F.col("bullet_index").alias("bullet"), annotation(F.col("code"), F.col("severity"), F.col("explanation")).alias("note"))
+    known = bullets.select("plan_id", "bullet", F.lit(True).alias("known"))
+    placed = asked.join(known, ["plan_id", "bullet"], "left").withColumn("bullet", F.when(F.col("known"), F.col("bullet")))
+    notes = placed.groupBy("plan_id", "bullet").agg(F.array_sort(F.collect_list("note")).alias("notes"))
+    same = (F.col("b.plan_id") == F.col("n.plan_id")) & F.col("b.bullet").eqNullSafe(F.col("n.bullet"))
+    out = bullets.alias("b").join(notes.alias("n"), same, "full")
+    return out.select(F.coalesce("b.plan_id", "n.plan_id").alias("plan_id"), "b.bullet", "b.text", F.coalesce("n.notes", F.array().cast("array<string>")).alias("notes"))
+
+
+def apply_target(plans: DataFrame) -> DataFrame:
+    """plans(plan_id, page, heading, parent_heading, doi, url, footnote, bullets of structs with text, subsection and comments): the page with the bullets under the heading and one footnote for the source, used again where it is there; or why not."""
+    plans = plans.withColumn("number", shared_reference(F.col("page"), F.col("doi"), F.col("url")))
+    # a plan has few bullets; grouped by sub-section in the order in which those first come
+    b = plans.select("plan_id", "number", F.posexplode("bullets").alias("pos", "b")).select("plan_id", "number", "pos", "b.*")
+    notes = F.array_join(F.coalesce("comments", F.array().cast("array<string>")), "\n")
+    line = F.concat(F.lit("- "), "text", F.lit("[^"), F.col("number").cast("string"), F.lit("]"), F.when(notes != "", F.concat(F.lit("\n"), notes)).otherwise(""))
+    title = F.when(or_empty("subsection") != "", F.concat(F.lit("### "), "subsection", F.lit("\n\n"))).otherwise("")
+    parts = b.groupBy("plan_id", "subsection").agg(F.min("pos").alias("pos"), F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("x"))
+    parts = parts.select("plan_id", F.struct("pos", F.concat(title, F.array_join("x.line", "\n")).alias("part")).alias("p"))
+    blocks = parts.groupBy("plan_id").agg(F.sort_array(F.collect_list("p")).alias("y")).select("plan_id", F.array_join("y.part", "\n\n").alias("block"))
+    df = plans.join(blocks, "plan_id")
+    df = df.select("plan_id", "number", "footnote", inserted(F.col("page"), or_empty("heading"), or_empty("parent_heading"), F.col("block")).alias("x"))
+    has = F.contains(or_empty("x.page"), F.concat(F.lit("[^"), F.col("number").cast("string"), F.lit("]:")))
+    note = F.concat(F.regexp_replace("x.page", r"\n+$", ""), F.lit("\n\n"), F.replace("footnote", F.lit("#"), F.col("number").cast("string")), F.lit("\n"))
+    return df.select("plan_id", "number", F.when(has, F.col("x.page")).otherwise(note).alias("page"), F.col("x.error").alias("error"))
+
+
 def annotation(code: Column, severity: Column, explanation: Column) -> Column:
     """A review's finding as a comment in the page."""
     return F.concat(F.lit("  <!-- review "), severity, F.lit(" "), code, F.lit(": "), F.replace(explanation, F.lit("--"), F.lit("- -")), F.lit(" -->"))

@@ -235,3 +235,86 @@ def balance_findings(issues: DataFrame) -> DataFrame:
     """Findings on what a plan leaves out, with whether they can be repaired: only where the source says it word by word. issues(review_id, code, severity, source_quote, evidence)."""
     left = issues.where((F.col("code") == "limitation_omitted") & F.col("severity").isin("review", "blocking"))
     return left.withColumn("repairable", packets.exact_passage(F.col("evidence"), F.col("source_quote")))
+
+
+#: What a plan may give for a new page.
+NEW_PAGE = "struct<title:string,tags:array<string>,lead_kind:string,lead_text:string,lead_source_quote:string,category_rationale:string>"
+
+
+def new_page_issues(page: Column, entity: Column, evidence: Column) -> Column:
+    """What is wrong with the title, tags and lead of a page that a plan makes."""
+    missing = page.isNull()
+    none = F.array().cast("array<string>")
+    tags = F.coalesce(page["tags"], none)
+    bad_tags = (F.size(tags) == 0) | F.exists(tags, lambda t: F.trim(or_empty(t)) == "")
+    lead, quote, kind = F.trim(or_empty(page["lead_text"])), F.trim(or_empty(page["lead_source_quote"])), F.coalesce(page["lead_kind"], F.lit("definition"))
+    form = (lead != "") & classify.defines(or_empty(entity), lead)
+    tests = {
+        "missing_new_article_title": F.trim(or_empty(page["title"])) == "",
+        "invalid_new_article_tags": bad_tags,
+        "missing_new_article_entity_tag": ~bad_tags & (F.trim(or_empty(entity)) != "") & ~F.exists(tags, lambda t: has_phrase(key(t), key(or_empty(entity)))),
+        "missing_category_rationale": F.trim(or_empty(page["category_rationale"])) == "",
+        "invalid_lead_kind": ~kind.isin("definition", "source_grounded"),
+        "lead_not_definition_form": ~form,
+        "definition_lead_contains_health_claim": form & (kind == "definition") & classify.claims_benefit(lead),
+        "lead_not_source_grounded": form & (kind == "source_grounded") & (~packets.exact_passage(evidence, quote) | (udfs.token_similarity(lead, quote) < NEAR)),
+    }
+    return F.when(missing, F.array(F.lit("missing_new_article_metadata"))).otherwise(classify.names_where({n: F.coalesce(t & ~missing, F.lit(False)) for n, t in tests.items()}))
+
+
+#: What a plan may say above the bullets of a section.
+SUMMARY = "struct<text:string,source_quote:string,source_section:string>"
+
+
+def summary_issues(summary: Column, entity: Column, evidence: Column, section_found: Column, preclinical: Column) -> Column:
+    """What is wrong with the thesis above a section's bullets; nothing if there is none."""
+    text, quote = F.trim(or_empty(summary["text"])), F.trim(or_empty(summary["source_quote"]))
+    proven = (F.length(key(quote)) >= LEAST_QUOTE) & packets.exact_passage(evidence, quote)
+    named = F.trim(or_empty(entity)) != ""
+    tests = {
+        "invalid_section_summary_text": (text == "") | F.contains(text, F.lit("\n")) | F.contains(text, F.lit("[^")),
+        "section_summary_quote_not_in_source": ~proven,
+        "section_summary_not_near_verbatim": proven & (udfs.token_similarity(text, quote) < NEAR),
+        "section_summary_section_not_found": ~section_found,
+        "section_summary_entity_not_supported": named & (~has_phrase(key(quote), key(or_empty(entity))) | ~has_phrase(key(text), key(or_empty(entity)))),
+        "section_summary_missing_species_scope": preclinical & ~classify.has_species(text),
+    }
+    found = classify.names_where({n: F.coalesce(t, F.lit(False)) for n, t in tests.items()})
+    return F.when(summary.isNull(), F.array().cast("array<string>")).otherwise(found)
+
+
+def waived(issues: Column, targets: Column, quotes: Column) -> Column:
+    """Struct of issues that stay and of those waived: an entity that a bullet doesn't name, or too many bullets, where only bullets that hold a balancing quote are concerned.
+
+    targets: for each target its bullets' source quotes.
+    """
+    balancing = F.filter(F.coalesce(quotes, F.array().cast("array<string>")), lambda q: q != "")
+    own = lambda quote: (or_empty(quote) != "") & F.exists(balancing, lambda q: F.contains(q, quote) | F.contains(quote, q))
+    at = lambda issue, i: F.regexp_extract(issue, r"^target_(\d+)_(?:bullet_(\d+)_entity_not_supported_by_passage|invalid_bullet_count)$", i)
+
+    def excused(issue: Column) -> Column:
+        bullets = F.get(targets, at(issue, 1).try_cast("int"))
+        one = F.coalesce(own(F.get(bullets, at(issue, 2).try_cast("int"))), F.lit(False))
+        others = F.size(bullets) - F.size(F.filter(bullets, own))
+        return F.when(at(issue, 1) == "", F.lit(False)).when(at(issue, 2) != "", one).otherwise(F.coalesce((F.size(bullets) > 0) & others.between(1, 8), F.lit(False)))
+
+    return F.struct(F.filter(issues, lambda i: ~excused(i)).alias("issues"), F.transform(F.filter(issues, excused), lambda i: F.concat(i, F.lit("_waived_balance_qualifier"))).alias("warnings"))
+
+
+def balance_repair_issues(decision: Column, before: Column, after: Column, quotes: Column) -> Column:
+    """Whether a second plan only adds what a review asked for. before, after: maps from target path to arrays of structs with text and source_quote."""
+    paths = F.map_keys(before)
+    texts = lambda bullets: F.transform(bullets, lambda b: or_empty(b["text"]))
+    common = F.filter(paths, lambda p: F.map_contains_key(after, p))
+    dropped = F.exists(common, lambda p: F.exists(texts(F.element_at(before, p)), lambda t: (t != "") & ~F.exists(texts(F.element_at(after, p)), lambda u: F.contains(u, t))))
+    added = F.aggregate(common, F.lit(0), lambda n, p: n + F.greatest(F.lit(0), F.size(F.element_at(after, p)) - F.size(F.element_at(before, p))))
+    all_quotes = F.flatten(F.transform(F.map_values(after), lambda bullets: F.transform(bullets, lambda b: or_empty(b["source_quote"]))))
+    missing = F.exists(quotes, lambda q: (or_empty(q) == "") | ~F.exists(all_quotes, lambda x: F.contains(x, q)))
+    tests = {
+        "balance_repair_changed_targets": F.array_sort(paths) != F.array_sort(F.map_keys(after)),
+        "balance_repair_dropped_or_rewrote_bullet": dropped,
+        "balance_repair_added_unrelated_bullets": added > F.size(quotes),
+        "balance_repair_qualifier_missing": missing,
+    }
+    found = F.array_sort(classify.names_where({n: F.coalesce(t, F.lit(False)) for n, t in tests.items()}))
+    return F.when(F.coalesce(decision.isin(*CHANGES), F.lit(False)), found).otherwise(F.array(F.lit("balance_repair_abandoned_plan")))

@@ -168,16 +168,16 @@ def unqueued_anti(spark, d):
 
 @query(f"""
 WITH p AS (SELECT sha256({_CANONICAL}) AS paper_key, {_CANONICAL} AS canonical_url, (900000 + page_id)::VARCHAR AS pmid, page_id FROM pages),
-q AS (SELECT paper_key AS identifier FROM p WHERE page_id % 4 = 0 UNION SELECT url FROM pages WHERE page_id % 4 = 1 UNION SELECT (900000 + page_id)::VARCHAR FROM pages WHERE page_id % 4 = 2 UNION SELECT 'unknown'),
+q AS (SELECT paper_key AS identifier FROM p UNION SELECT url FROM pages UNION SELECT pmid FROM p UNION SELECT 'unknown'),
 m AS (SELECT identifier, 0 AS kind, paper_key FROM q JOIN p ON identifier = paper_key
   UNION ALL SELECT identifier, 1, paper_key FROM (SELECT identifier, {_CANONICAL.replace('url', 'identifier')} AS c FROM q) q JOIN p ON c = p.canonical_url
   UNION ALL SELECT identifier, 3, paper_key FROM q JOIN p ON identifier = pmid)
 SELECT identifier, arg_min(paper_key, (kind, paper_key)) AS paper_key FROM m GROUP BY identifier""")
 def multi_id_resolve(spark, d):
-    """Identifiers of several kinds to papers; kinds in order, blanks never match."""
+    """Every page's identifiers of several kinds to papers; kinds in order, blanks never match."""
     pages = table(spark, d, "pages")
     p = pages.select("page_id", F.sha2(ids.canonical_url("url").cast("binary"), 256).alias("paper_key"), ids.canonical_url("url").alias("canonical_url"), F.lit("").alias("doi"), (F.col("page_id") + 900000).cast("string").alias("pmid"))
-    probes = p.where("page_id % 4 = 0").select(F.col("paper_key").alias("identifier")).union(pages.where("page_id % 4 = 1").select("url")).union(p.where("page_id % 4 = 2").select("pmid")).union(spark.createDataFrame([("unknown",)], "u string")).distinct()
+    probes = p.select(F.col("paper_key").alias("identifier")).union(pages.select("url")).union(p.select("pmid")).union(spark.createDataFrame([("unknown",)], "u string")).distinct()
     return intake.resolve_papers(p, probes)
 
 
@@ -378,8 +378,13 @@ f AS (SELECT conv_id, word, min((turn, pos)) AS place FROM w WHERE word <> '' AN
 SELECT conv_id, array_to_string(list(word ORDER BY place)[1:20], ' ') AS words FROM f GROUP BY conv_id""")
 def dedupe_first_seen(spark, d):
     """The first twenty different words of a conversation, in order."""
-    t = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.filter(F.split(F.lower(F.trim(x["text"])), " "), lambda w: (w != "") & ~F.contains(w, F.lit("\n"))))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.flatten(t).alias("w")).select("conv_id", F.array_join(F.slice(F.array_distinct("w"), 1, 20), " ").alias("words"))
+    words = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.lower(F.trim("text")), " ")).alias("pos", "word"))
+    words = words.where((F.col("word") != "") & ~F.contains("word", F.lit("\n")))
+    seen = words.groupBy("conv_id", "word").agg(F.min(F.struct("turn", "pos")).alias("place"))
+    # twenty of each conversation are left before the exchange, however long it is
+    first = seen.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy("place"))).where("rank <= 20")
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "word")))
+    return first.groupBy("conv_id").agg(F.array_join(F.transform(ranked, lambda x: x["word"]), " ").alias("words"))
 
 
 @query(f"""SELECT doc_id, md5({_key('text')}) AS key_md5, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS collapsed_md5, replace({_key("string_split(text, chr(10))[1]")}, ' ', '-') AS slug,

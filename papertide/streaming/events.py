@@ -23,8 +23,12 @@ def events_per_window(events: DataFrame, at: str, by: str, width: str = "1 hour"
     return timed.groupBy(F.window(at, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
-def folded(events: DataFrame) -> DataFrame:
-    """events(job_id, event_id, to_state, created_at): each job's state after each batch; late events don't move it back."""
+def folded(events: DataFrame, late: str | None = "3 days") -> DataFrame:
+    """events(job_id, event_id, to_state, created_at): each job's state after each batch; late events don't move it back, and events that
+    come again within `late` don't count again."""
+    if late:
+        timed = events.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
+        events = timed.dropDuplicatesWithinWatermark(["event_id"])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, event, last, n = state.get if state.exists else (0, -1, None, 0)
@@ -40,6 +44,29 @@ def folded(events: DataFrame) -> DataFrame:
     return source.groupBy("job_id").applyInPandasWithState(step, "job_id long, state string, n_events long, stopped boolean", "at long, event long, last string, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def expired_leases(events: DataFrame, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """events(job_id, event_id, to_state, created_at): jobs that a worker took and from which nothing was heard for so long, by a timer on event time."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            at, _, last = state.get
+            state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "state": [last], "leased_at": [at]})
+            return
+        at, event, last = state.get if state.exists else (0, -1, "queued")
+        for rows in batches:
+            top = rows.sort_values(["at", "event_id"]).iloc[-1]
+            if (int(top["at"]), int(top["event_id"])) > (at, event):
+                at, event, last = int(top["at"]), int(top["event_id"]), str(top["to_state"])
+        state.update((at, event, last))
+        if last not in (*STOPPED, "queued", "retry"):
+            state.setTimeoutTimestamp(max(at // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    timed = events.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
+    source = timed.select("job_id", "event_id", "to_state", "created_at", F.unix_micros("created_at").alias("at"))
+    return source.groupBy("job_id").applyInPandasWithState(step, "job_id long, state string, leased_at long", "at long, event long, last string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def merging(stream: DataFrame, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str):
     """Each batch merged into the newest version of a table: version n is what batch n left, so a repeated batch changes nothing."""
 

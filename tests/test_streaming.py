@@ -46,3 +46,11 @@ def test_windows(spark, tmp_path):
     q = events.events_per_window(source, "created_at", "to_state").writeStream.outputMode("complete").format("memory").queryName("w").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("w").agg(F.sum("n")).first()[0] == len(ROWS)
+
+
+def test_repeated_events_count_once(spark, tmp_path):
+    schema = "event_id long, job_id long, to_state string, created_at timestamp"
+    source = stream(spark, tmp_path / "in", ROWS + ROWS[:3], schema)
+    q = events.folded(source).writeStream.outputMode("update").format("memory").queryName("folded_again").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert max(r.n_events for r in spark.table("folded_again").collect()) == 3
