@@ -392,3 +392,21 @@ def kept_versions(spark, d):
 def url_parts(spark, d):
     """Canonical form, host and path of urls."""
     return table(spark, d, "pages").select("page_id", ids.canonical_url("url").alias("canonical"), ids.host("url", keep_www=True).alias("host"), ids.path("url").alias("path"))
+
+
+_BARE = "regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|<header.*?</header>', ' ', 'g')"
+
+
+def _text_sql(x: str) -> str:
+    plain = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&#39;", "\'\'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        plain = f"replace({plain}, '{name}', '{char}')"
+    return collapsed(plain)
+
+
+@query(f"""
+WITH b AS (SELECT page_id, {_BARE} AS h FROM pages), t AS (SELECT page_id, {_text_sql("regexp_extract(h, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS a, {_text_sql('h')} AS d FROM b)
+SELECT page_id, md5(CASE WHEN length(a) >= 800 THEN a ELSE d END) AS body FROM t""")
+def page_bodies(spark, d):
+    """The text of each page where its article stands, else of the whole page without menus."""
+    return table(spark, d, "pages").select("page_id", F.md5(udfs.page_parts("html")["body"].cast("binary")).alias("body"))
