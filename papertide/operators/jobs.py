@@ -143,6 +143,14 @@ def not_unique(jobs: DataFrame, key: str) -> DataFrame:
     return jobs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_if(~F.col("state").isin(*TERMINAL)).alias("active")).where("active > 1")
 
 
+def breaches(jobs: DataFrame) -> DataFrame:
+    """What more than one active job has of what one may have only: name, value, active."""
+    active = jobs.where(~F.col("state").isin(*TERMINAL))
+    names = ("article_key", "source_url", "canonical_source_url")
+    rows = active.select(F.explode(F.array_compact(F.array(*[F.when(or_null(F.col(c).cast("string")).isNotNull(), F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"))) for c in names]))).alias("x"))
+    return rows.groupBy("x.name", "x.value").agg(F.count("*").alias("active")).where("active > 1")
+
+
 def outcome(log: Column, exit_code: Column) -> Column:
     """Struct of state and pr_url: completed only with exit code 0 and a pull request printed, the last one counting."""
     urls = F.regexp_extract_all(log, F.lit(r"https://github\.com/[^\s/]+/[^\s/]+/pull/\d+"), F.lit(0))

@@ -158,6 +158,29 @@ def validate(plans: DataFrame, packets_: DataFrame, pages: DataFrame, domain: st
     return plans.select("plan_id").join(gathered, "plan_id", "left").select("plan_id", F.coalesce("issues", F.array().cast("array<string>")).alias("issues")).withColumn("ok", F.size("issues") == 0)
 
 
+def bullet_evidence(plans: DataFrame, packets_: DataFrame) -> DataFrame:
+    """For each bullet of plans what speaks for it: plan_id, target, bullet, page, scope, entity, exact, similarity."""
+    _, b = exploded(plans)
+    source = packets_.select("packet_id", packets.evidence(F.col("title"), F.col("abstract"), F.col("body_markdown")).alias("evidence"), classify.animal_model(F.col("title"), F.col("abstract"), F.col("keywords")).alias("model"))
+    b = b.join(source, "packet_id", "left")
+    text, quote, entity = F.trim(or_empty("text")), F.trim(or_empty("source_quote")), or_empty("target_entity")
+    prefix = F.concat(F.lit("In "), F.col("model"), F.lit(", "))
+    bare = F.when((F.col("model") != "") & F.startswith(F.lower(text), F.lower(prefix)), F.substring(text, F.length(prefix) + 1, F.length(text))).otherwise(text)
+    named = (F.trim(entity) == "") | (has_phrase(key(quote), key(entity)) & has_phrase(key(text), key(entity)))
+    page = F.regexp_extract(or_empty("target_path"), "([^/]*)$", 1)
+    return b.select("plan_id", "target", "bullet", F.when(page == "", "?").otherwise(page).alias("page"), F.coalesce("evidence_scope", F.lit("—")).alias("scope"), named.alias("entity"), packets.exact_passage(F.col("evidence"), quote).alias("exact"), F.round(udfs.token_similarity(bare, quote), 2).alias("similarity"))
+
+
+def gate_table(evidence: DataFrame) -> DataFrame:
+    """bullet_evidence() as a Markdown table for each plan."""
+    sign = lambda c: F.when(F.col(c), "✓").otherwise("✗")
+    row = F.concat_ws(" | ", F.concat(F.lit("| `"), "page", F.lit("`")), F.col("bullet").cast("string"), "scope", sign("entity"), sign("exact"), F.concat(F.format_string("%.2f", "similarity"), F.lit(" |")))
+    # a plan has few bullets
+    per = evidence.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("target", "bullet", row.alias("row")))).alias("x"))
+    head = F.lit("| Target | Bullet | Scope | Entity | Exact quote | Near-verbatim |\n|---|---|---|---|---|---|")
+    return per.select("plan_id", F.concat_ws("\n", head, F.array_join("x.row", "\n")).alias("table"))
+
+
 def critic_issues(issues: DataFrame, kind: str) -> DataFrame:
     """issues(review_id, code, severity, bullet_index, explanation, source_quote, target_quote, evidence, target, n_bullets, operation) with `errors`, `severity` raised to the code's least, and `accepted`."""
     codes = PLACEMENT if kind == "placement" else EVIDENCE
@@ -318,3 +341,60 @@ def balance_repair_issues(decision: Column, before: Column, after: Column, quote
     }
     found = F.array_sort(classify.names_where({n: F.coalesce(t, F.lit(False)) for n, t in tests.items()}))
     return F.when(F.coalesce(decision.isin(*CHANGES), F.lit(False)), found).otherwise(F.array(F.lit("balance_repair_abandoned_plan")))
+
+
+#: Products that findings may be about, and names that an older form of plans has for its only target's issues.
+FORMULATION = r"\b(?:concentrates?|formulations?|extracts?|blends?)\b"
+OLDER_NAMES = {"target_0_not_in_candidates": "target_not_in_candidates", "target_0_invalid_heading": "invalid_heading", "target_0_invalid_parent_heading": "invalid_parent_heading", "target_0_preclinical_heading_scope_missing": "preclinical_heading_scope_missing", "target_0_invalid_bullet_count": "invalid_bullet_count"}
+#: What an older plan may give beside its bullets.
+EXCLUSIONS, DEFINITION = "array<struct<source_quote:string,reason:string>>", "struct<text:string,source_quote:string>"
+REFERENCES = "array<struct<citation_marker:string,reference_text:string,reference_url:string>>"
+
+
+def cited_reference_issues(kind: Column, quote: Column, references: Column, evidence: Column) -> Column:
+    """What is wrong with the references that a bullet names for the citations in its passage."""
+    refs = F.coalesce(references, F.array().cast(REFERENCES))
+    markers = F.when(kind == "background_fact", F.transform(classify.citation_markers(or_empty(quote)), classify.canonical_marker)).otherwise(F.array().cast("array<string>"))
+    own = lambda r: classify.canonical_marker(or_empty(r["citation_marker"]))
+    text, url = (lambda r: F.trim(or_empty(r["reference_text"]))), (lambda r: F.trim(or_empty(r["reference_url"])))
+    known = lambda r: (text(r) != "") & F.contains(evidence, text(r))
+    represented = F.filter(F.transform(refs, own), lambda m: m != "")
+    cited = F.size(markers) > 0
+    outside = lambda r: (own(r) == "") | ~F.array_contains(markers, own(r)) | ~F.contains(F.regexp_replace(or_empty(quote), r"\]\(#[^)]+\)", "]"), own(r))
+    tests = {
+        "source_finding_has_background_reference": (kind == "source_finding") & (F.size(refs) > 0),
+        "missing_cited_reference_provenance": cited & ((F.size(refs) == 0) | (F.size(F.array_except(markers, represented)) > 0)),
+        "citation_marker_not_in_passage": cited & F.exists(refs, outside),
+        "cited_reference_not_in_source": F.exists(refs, lambda r: ~known(r)),
+        "cited_reference_marker_mismatch": F.exists(refs, lambda r: known(r) & (own(r) != "") & ~classify.marker_matches(or_empty(r["citation_marker"]), text(r))),
+        "cited_reference_url_not_in_source": F.exists(refs, lambda r: (url(r) != "") & (~ids.valid_http_url(url(r)) | ~F.contains(evidence, url(r)))),
+    }
+    return classify.names_where({n: F.coalesce(t, F.lit(False)) for n, t in tests.items()})
+
+
+def exclusion_issues(exclusions: Column, evidence: Column) -> Column:
+    """What is wrong with the passages that a plan says it leaves out."""
+    label = lambda i, what: F.concat(F.lit("exclusion_"), i.cast("string"), F.lit(what))
+    one = lambda x, i: F.array_compact(F.array(F.when((or_empty(x["source_quote"]) != "") & ~packets.exact_passage(evidence, x["source_quote"]), label(i, "_quote_not_in_source")), F.when(F.trim(or_empty(x["reason"])) == "", label(i, "_missing_reason"))))
+    return F.when(exclusions.isNull(), F.array(F.lit("invalid_exclusions"))).otherwise(F.flatten(F.transform(exclusions, one)))
+
+
+def formulation_issues(definition: Column, bullets: Column, evidence: Column) -> Column:
+    """What is wrong with the definition of a product, which findings on animals that name one need. bullets: structs with text and evidence_scope."""
+    text, quote = F.trim(or_empty(definition["text"])), F.trim(or_empty(definition["source_quote"]))
+    proven = (F.length(key(quote)) >= LEAST_QUOTE) & packets.exact_passage(evidence, quote)
+    on_product = lambda b: F.regexp_like(or_empty(b["evidence_scope"]), F.lit("(?i)animal|in.?vivo|preclinical")) & classify.like(key(or_empty(b["text"])), FORMULATION)
+    there = definition.isNotNull()
+    tests = {
+        "formulation_definition_not_one_line": there & ((text == "") | F.contains(text, F.lit("\n"))),
+        "formulation_definition_quote_not_in_source": there & ~proven,
+        "formulation_definition_not_near_verbatim": there & proven & (udfs.token_similarity(text, quote) < NEAR),
+        "formulation_definition_missing": ~there & F.exists(bullets, on_product),
+    }
+    return classify.names_where({n: F.coalesce(t, F.lit(False)) for n, t in tests.items()})
+
+
+def older_names(issues: Column) -> Column:
+    """Issues as the older form of plans, with one target, spells them."""
+    names = F.create_map(*[F.lit(x) for pair in OLDER_NAMES.items() for x in pair])
+    return F.transform(issues, lambda i: F.coalesce(F.try_element_at(names, i), F.regexp_replace(i, "^target_0_", "")))

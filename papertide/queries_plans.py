@@ -191,3 +191,120 @@ def turn_sizes(spark, d):
     """Words and characters of normalized turns."""
     k = text.key("text")
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(text.words(k)).cast("long").alias("n_words"), F.length(k).cast("long").alias("n_chars"))
+
+
+_MODES = ("full", "truncated", "omit")
+
+
+@query("""
+WITH c AS (SELECT doc_id, lang, source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents),
+m AS (SELECT *, unnest(['full', 'truncated', 'omit']) AS mode FROM c), a AS (SELECT *, CASE mode WHEN 'omit' THEN '' WHEN 'truncated' THEN CASE WHEN length(t) > 500 THEN regexp_replace(regexp_replace(substr(t, 1, 500), ' [^ ]*$', ''), '[ ,;:.]+$', '') || ' […]' ELSE t END ELSE t END AS abstract,
+  CASE WHEN doc_id % 2 = 0 THEN 'https://doi.org/10.1/' || doc_id ELSE 'http://r.org/' || doc_id END AS page, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'https://doi.org/10.1/' || doc_id ELSE 'http://r.org/' || doc_id END ELSE 'http://u.org/' || doc_id END AS src FROM m)
+SELECT doc_id, mode, md5(concat_ws(chr(10), '[^' || doc_id || ']: **Title:** [T ' || lang || '](' || page || ')<br>', '**Publication:** [' || CASE WHEN doc_id % 5 = 0 THEN 'Source' ELSE source END || '](' || src || ')<br>', '**Date:** Unknown<br>', '**Study Type:** Research Article<br>', '**Author(s):** A. B.<br>', CASE WHEN doc_id % 7 = 0 THEN '**Institution(s):** I<br>' END,
+  CASE WHEN abstract <> '' THEN '**Abstract:** ' || abstract || '<br>' END, CASE WHEN doc_id % 4 = 0 THEN '**Copy:** [archive](x), [archive-mirror](y), [archive-3](z)<br>' END, CASE WHEN doc_id % 2 = 0 THEN '**DOI:** [10.1/' || doc_id || '](https://doi.org/10.1/' || doc_id || ')<br>' END, '**Source URL:** [' || src || '](' || src || ')')) AS block FROM a""")
+def reference_blocks(spark, d):
+    """Whole footnotes of sources, with abstracts in three ways."""
+    from .sources import writers
+
+    n = _doc()
+    s = n.cast("string")
+    docs = table(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit(" T  "), "lang").alias("title"), F.when(n % 2 == 0, F.concat(F.lit("10.1/"), s)).otherwise("").alias("doi"), F.concat(F.lit("http://r.org/"), s).alias("reference_url"), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("http://u.org/"), s)).alias("url"), F.when(n % 5 == 0, "").otherwise(F.col("source")).alias("journal"), F.lit("").alias("pub_date"), F.lit(None).cast("string").alias("study_type"), F.lit("A. B.").alias("authors"), F.when(n % 7 == 0, " I").otherwise("").alias("institutions"), F.col("text").alias("abstract"), F.when(n % 4 == 0, F.array(*map(F.lit, "xyz"))).alias("archives"),
+    )
+    out = None
+    for mode in _MODES:
+        df = docs.select("doc_id", F.lit(mode).alias("mode"), F.md5(writers.reference_block(n, mode).cast("binary")).alias("block"))
+        out = df if out is None else out.unionAll(df)
+    return out
+
+
+_SAID = "'`' || s || '` `c' || (event_id % 4) || '`' || CASE WHEN event_id % 2 = 0 THEN ' (bullet ' || (event_id % 3) || ')' ELSE '' END || ': ' || CASE WHEN event_id % 5 = 0 THEN 'No explanation supplied.' ELSE 'a \\`' || event_type || '\\` b' END"
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, event_id % 4 = 1 AS bad, (['review', 'blocking'])[1 + event_id % 2] AS s, event_type FROM events WHERE event_id % 6 < 2 OR user_id % 2 = 0), l AS (SELECT user_id, event_id, bad, {_SAID} AS said FROM e),
+g AS (SELECT user_id, string_agg('- ' || said, chr(10) ORDER BY event_id) FILTER (NOT bad) AS good, string_agg('- `evidence` ' || said || ' Validation errors: `x`, `y`.', chr(10) ORDER BY event_id) FILTER (bad) AS refused FROM l GROUP BY 1)
+SELECT user_id AS review_id, md5('### Validated critic findings' || chr(10) || chr(10) || coalesce(good, '- None') || chr(10) || chr(10) || '### Rejected critic observations (non-blocking)' || chr(10) || chr(10) || 'These observations failed critic-evidence validation and did not affect the publication gate decision.' || chr(10) || chr(10) || coalesce(refused, '- None')) AS audit FROM g""")
+def review_audits(spark, d):
+    """Reviews as Markdown: what counts, and what was refused."""
+    from .sources import writers
+
+    e = F.col("event_id")
+    issues = table(spark, d, "events").where("event_id % 6 < 2 or user_id % 2 = 0").select(F.col("user_id").alias("review_id"), e.alias("n"), F.lit("evidence").alias("kind"), F.concat(F.lit("c"), (e % 4).cast("string")).alias("code"), pick(("review", "blocking"), e).alias("severity"), F.when(e % 2 == 0, (e % 3).cast("int")).alias("bullet_index"), F.when(e % 5 == 0, "").otherwise(F.concat(F.lit("a  `"), "event_type", F.lit("`\n b"))).alias("explanation"), F.when(e % 4 == 1, F.array(F.lit("x"), F.lit("y"))).alias("errors"))
+    return writers.review_audit(issues).withColumn("audit", F.md5(F.col("audit").cast("binary")))
+
+
+@query("""
+SELECT doc_id::VARCHAR AS article_key, '{"generated_at":"2024-02-01 00:00:00Z","article_key":"' || doc_id || '","title":"T ' || lang || '","matches":[' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '{"rank":1,"path":"a/' || source || '.md","score":50.5},{"rank":2,"path":"b.md","score":30.0}' END || ']}' AS record FROM documents""")
+def queue_records(spark, d):
+    """Articles of a search as JSON records with their matches."""
+    from .sources import writers
+
+    docs = table(spark, d, "documents")
+    articles = docs.select(_doc().cast("string").alias("article_key"), F.concat(F.lit("T "), "lang").alias("title"))
+    some = docs.where("doc_id % 3 > 0")
+    match = lambda rank, path, score: some.select(_doc().cast("string").alias("article_key"), F.lit(rank).alias("rank"), path.alias("path"), F.lit(score).alias("score"))
+    matches = match(2, F.lit("b.md"), 30.0).unionAll(match(1, F.concat(F.lit("a/"), "source", F.lit(".md")), 50.5))
+    return writers.queue_records(articles, matches, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+
+
+@query("""
+SELECT doc_id AS plan_id, '| Target | Bullet | Scope | Entity | Exact quote | Near-verbatim |' || chr(10) || '|---|---|---|---|---|---|' || chr(10) || '| `tea.md` | 0 | animal | ✓ | ' || CASE WHEN doc_id % 2 = 0 THEN '✓' ELSE '✗' END || ' | 1.00 |' || chr(10) || '| `tea.md` | 1 | — | ✗ | ✓ | 0.00 |' AS "table" FROM documents""")
+def gate_tables(spark, d):
+    """What speaks for each bullet of a plan, as a table."""
+    n = _doc()
+    bullet = lambda t, q, scope: F.struct(t.alias("text"), q.alias("source_quote"), F.lit("Results").alias("source_section"), F.lit("source_finding").alias("claim_kind"), F.lit(scope).cast("string").alias("evidence_scope"), F.lit("").alias("subsection"), F.lit(0).alias("n_references"))
+    same = F.when(n % 2 == 0, "Green tea lowered it").otherwise("Green tea did nothing")
+    target = F.struct(F.lit("append_existing").alias("operation"), F.lit("en/tea.md").alias("target_path"), F.lit("Green tea").alias("target_entity"), F.lit("## A").alias("heading"), F.lit("").alias("parent_heading"), F.lit("r").alias("rationale"), F.lit(None).cast("string").alias("title"), F.array(bullet(same, same, "animal"), bullet(F.lit("Other words"), F.lit("In rats"), None)).alias("bullets"))
+    docs = table(spark, d, "documents")
+    plans = docs.select(n.alias("plan_id"), n.alias("packet_id"), F.lit("publish_changes").alias("decision"), F.lit("").alias("study_type"), F.array(target).alias("targets"))
+    source = docs.select(n.alias("packet_id"), F.lit("T").alias("title"), F.lit("").alias("abstract"), F.lit("Green tea lowered it. In rats.").alias("body_markdown"), F.lit("").alias("keywords"))
+    return validate.gate_table(validate.bullet_evidence(plans, source))
+
+
+@query("""
+WITH a AS (SELECT (event_id * 7 % 1500)::VARCHAR AS article_key, 'http://s.org/' || (event_id % 2000) AS source_url, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'c' || (event_id % 50) END AS canonical_source_url FROM events WHERE event_type <> 'error'),
+u AS (SELECT 'article_key' AS name, article_key AS value FROM a UNION ALL SELECT 'source_url', source_url FROM a UNION ALL SELECT 'canonical_source_url', canonical_source_url FROM a WHERE canonical_source_url <> '')
+SELECT name, value, count(*) AS active FROM u GROUP BY ALL HAVING count(*) > 1""")
+def job_breaches(spark, d):
+    """Keys and urls that more than one active job has."""
+    from .operators import jobs
+
+    e = F.col("event_id")
+    t = table(spark, d, "events").select((e * 7 % 1500).cast("string").alias("article_key"), F.concat(F.lit("http://s.org/"), (e % 2000).cast("string")).alias("source_url"), F.when(e % 3 == 0, "").otherwise(F.concat(F.lit("c"), (e % 50).cast("string"))).alias("canonical_source_url"), F.when(F.col("event_type") == "error", "failed").otherwise("queued").alias("state"))
+    return jobs.breaches(t)
+
+
+_PASSAGE = "Citrus is grown widely [4] and eaten (Miller, 2020)."
+_LISTED = "4. Smith J. Citrus. Miller A. On eating, 2020. http://m.org/1"
+_OLDER = [
+    ("source_finding_has_background_reference", "kind = 'source_finding' AND n > 0"),
+    ("missing_cited_reference_provenance", "kind = 'background_fact' AND n < 2"),
+    ("citation_marker_not_in_passage", "kind = 'background_fact' AND n = 3"),
+    ("cited_reference_not_in_source", "n = 3"),
+    ("cited_reference_marker_mismatch", "n = 1"),
+    ("cited_reference_url_not_in_source", "n = 2"),
+]
+_EXCLUDED = [("exclusion_0_quote_not_in_source", "doc_id % 2 = 0"), ("exclusion_0_missing_reason", "doc_id % 3 = 0"), ("exclusion_1_missing_reason", "true")]
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, {pick_sql(('background_fact', 'source_finding'), 'doc_id')} AS kind, (doc_id // 2) % 4 AS n FROM documents)
+SELECT doc_id, {joined(_OLDER)} AS "references", CASE WHEN doc_id % 5 = 0 THEN 'invalid_exclusions' ELSE {joined(_EXCLUDED)} END AS exclusions,
+  CASE doc_id % 4 WHEN 0 THEN 'formulation_definition_missing' WHEN 1 THEN 'formulation_definition_not_one_line,formulation_definition_quote_not_in_source' WHEN 2 THEN 'formulation_definition_not_near_verbatim' ELSE '' END AS formulation, 'invalid_heading,bullet_1_x,target_1_y' AS older FROM r""")
+def older_plan_rules(spark, d):
+    """The rules that only the older form of plans has."""
+    n = _doc()
+    k = F.floor(n / 2) % 4
+    ref = lambda marker, text_, url: F.struct(F.lit(marker).alias("citation_marker"), F.lit(text_).alias("reference_text"), F.lit(url).alias("reference_url"))
+    smith, miller = ref("[4]", "4. Smith J. Citrus.", ""), ref("(Miller, 2020)", "Miller A. On eating, 2020.", "http://none.org")
+    refs = F.when(k == 0, F.array().cast(validate.REFERENCES)).when(k == 1, F.array(ref("[4]", "Miller A. On eating, 2020.", "http://m.org/1"))).when(k == 2, F.array(smith, miller)).otherwise(F.array(smith, miller.withField("reference_url", F.lit("")), ref("[5]", "Nobody", "")))
+    evidence = F.lit(f"{_PASSAGE}\n{_LISTED}")
+    out = F.when(n % 5 > 0, F.array(F.struct(F.when(n % 2 == 0, "not in it").otherwise("grown widely").alias("source_quote"), F.when(n % 3 == 0, " ").otherwise("r").alias("reason")), F.struct(F.lit("").alias("source_quote"), F.lit("").alias("reason"))))
+    whole = "The extract was a blend of citrus peel and water that was given daily"
+    said = F.struct(F.when(n % 4 == 1, "a\nb").when(n % 4 == 2, "Something else").otherwise(whole).alias("text"), F.when(n % 4 == 1, "short").otherwise(whole).alias("source_quote"))
+    bullets = F.array(F.struct(F.lit("The extracts helped").alias("text"), F.lit("In vivo").alias("evidence_scope")))
+    made = validate.formulation_issues(F.when(n % 4 > 0, said), bullets, F.lit(whole + "."))
+    older = validate.older_names(F.array(F.lit("target_0_invalid_heading"), F.lit("target_0_bullet_1_x"), F.lit("target_1_y")))
+    join = lambda x: F.array_join(x, ",")
+    return table(spark, d, "documents").select("doc_id", join(validate.cited_reference_issues(pick(("background_fact", "source_finding"), n), F.lit(_PASSAGE), refs, evidence)).alias("references"), join(validate.exclusion_issues(out, evidence)).alias("exclusions"), join(made).alias("formulation"), join(older).alias("older"))
