@@ -10,8 +10,8 @@ LEAST_LINKS true links to other points or has audited the whole chunk; while les
 and the chunk is asked again, up to the size of the shard, where the walk starts from every vector and misses nothing.
 What the audits met and found is sent on beside the results.
 
-A task holds the graphs of GROUP shards and streams a slice of the label's chunks through them, so graphs travel
-SLICES times at most and chunks once for each group, not each with each.
+A task holds the graphs of GROUP shards and streams a slice of the label's chunks through them, CHUNKS at most, so a graph travels once for each
+slice and a chunk once for each group, not each with each.
 
 A hit counts if its cosine in double precision is at or above the threshold. A task counts the hits of
 each query and links them by union-find, and sends on a spanning forest of no more edges than points; the
@@ -40,6 +40,8 @@ from .components import components
 
 COSINE = 0.93
 SHARD_POINTS, QUERIES, GROUP, SLICES = 16_384, 2048, 4, 8
+#: Chunks that a task streams through its graphs at most.
+CHUNKS = 64
 LINKS, BUILD_BEAM, BEAM = 12, 48, 24
 #: The share of true links that an audit must see found, how many it must meet, and the queries it takes at once.
 RECALL, LEAST_LINKS, AUDITED = 0.995, 400, 64
@@ -240,7 +242,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, shard_points: int =
     counts = points.groupBy("label", "size").agg(F.count("*").alias("points"))
     ceil = lambda n, k: F.ceil(F.col(n) / k).cast("int")
     counts = counts.withColumns({"shards": ceil("points", shard_points), "chunks": ceil("points", QUERIES)})
-    counts = counts.withColumns({"groups": ceil("shards", GROUP), "slices": F.least("chunks", F.lit(SLICES))}).drop("points")
+    counts = counts.withColumns({"groups": ceil("shards", GROUP), "slices": F.greatest(F.least("chunks", F.lit(SLICES)), ceil("chunks", CHUNKS))}).drop("points")
     dealt = points.join(counts, ["label", "size"])
     dealt = dealt.withColumns({"shard": F.pmod(F.xxhash64("digest"), F.col("shards")).cast("int"), "chunk": F.pmod(F.xxhash64("digest", F.lit(1)), F.col("chunks")).cast("int")})
     graphs = cut(dealt.select("label", "size", "shard", "point", "n", "vector").groupBy("label", "size", "shard").applyInPandas(_graphs, "label string, size int, shard int, graph binary"))

@@ -7,45 +7,58 @@ with an equal sketch share a bucket. Of the texts that share a bucket
 all are compared that aren't yet in one class: first, round by round, with the one of their bucket that has most links,
 as long as a tenth of these pairs are similar, so that groups of near copies are one class after few pairs; then
 each with each of another class. Only pairs that lengths or words exclude for certain are left out, so the
-classes are those of a comparison of all pairs that share a bucket. Texts that share a bucket and are
-all unlike cost the square of their number in the join, and in alignments what the bits of their words don't exclude.
+classes are those of a comparison of all pairs that share a bucket. Texts in buckets of more than MANY
+are joined by their rarest words instead: of two similar texts with n words at most, 0.8 n words are common, so one at least
+of the 0.2 n + 1 rarest words of each is, too, whatever order rarity is read from. So texts that share a passage
+and nothing else are not compared each with each. Words that are among the rarest of more than RARE texts join no rows: their texts say
+much the same, and are compared in blocks inside tasks, which send on links only.
 
 Similar: 1 - edit distance in words / words of the longer text >= 0.8, exactly, by a bit-parallel
 alignment inside the band of diagonals that this allows. Texts with equal words are one class from the start, so
 copies cost nothing. Links make components; a class's id is its least doc_id.
 
 Recall: texts that share a fraction j of their k-mers meet in one sketch with probability near j ** LENGTH;
-48 sketches of two and 16 of four find 0.99 of the pairs with j = 0.35 or more, and nearly all pairs with
-j = 0.5. Texts of fewer than five words are one k-mer, and so are only found if equal.
-
-Results for odd rows: null, empty and punctuation-only texts have no words and are one class each row by
-itself; repeated rows share a class; of rows that are equal in id and text the operator's `kept` marks all,
-keep_one() keeps one; null ids come last within a class; class_id names a class by an id, so where ids are null or
+SKETCHES sketches of two find 0.99 of the pairs with j = 0.2, which is what scattered edits of a fifth of the words leave on average, and nearly
+all with j = 0.3 or more. Two texts that have no five words in a row in common, as when every fifth word is another, don't meet.
+Texts of fewer than five words are one k-mer, and so are only found if equal.
+
+Results for odd rows: no rows give no rows; null, empty and punctuation-only texts have no words and are one class each row by
+itself; very long texts are sketched and aligned whole, k-mers in chunks; repeated rows share a class; of rows that are equal in id and text
+the operator's `kept` marks all, keep_one() keeps one; a null id is not equal to any other value; of several that could be kept the least
+id is, null ids last, then the least hash of id and text; class_id names a class by an id, so where ids are null or
 repeated two classes can have the same, and class_key, the class's least digest, tells them apart; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, workers_can_import
+from .common import cut, release, workers_can_import
 from .components import components
-from .pieces import _Known, packed
+from .pieces import PieceTable
 
 K, SIMILARITY = 5, 0.8
 #: 64-bit integers in which a text's words are marked.
 BITS = 8
-#: Number of sketches by the k-mers they take.
-SKETCHES = ((2, 48), (4, 16))
+#: Sketches of a text, and the k-mers that each takes.
+SKETCHES, LENGTH = 128, 2
+#: Members of a bucket above which they are joined by their rarest words, and slots in which words are counted for that.
+MANY, SLOTS = 48, 1 << 18
+#: Texts that have a word among their rarest ones above which they meet in blocks instead, and texts of a block.
+RARE, BLOCK = 64, 512
+#: Texts of a comparison whose keys, of 16 bytes each, may be sent to all executors.
+FEW = 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -59,17 +72,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _word(word: str) -> bytes:
-    word = word if word.isalnum() else _EDGES.sub("", word)
-    return packed([xxhash.xxh32_intdigest(word.encode()) | 1] if word else [])
+def _word(piece: str) -> list[int]:
+    found = (_EDGES.sub("", x) for x in piece.split())
+    return [xxhash.xxh32_intdigest(x.encode()) | 1 for x in found if x]
+
+
+_words = PieceTable(_word, most=1 << 19)
 
 
-_words = _Known(_word, "", 1 << 16, 96)
+def words_of(texts: pa.Array) -> list[np.ndarray]:
+    """Hashes of each text's words, 32 bits each. A stop behind a letter ends a word, as white space does."""
+    ids, counts = _words(pc.utf8_lower(texts.fill_null("")))
+    return np.split(ids, np.cumsum(counts)[:-1])
 
 
 def words(text: str) -> np.ndarray:
-    """Hashes of a text's words, 32 bits each."""
-    return np.frombuffer(b"".join(map(_words.__getitem__, text.lower().split())), np.uint32)
+    return words_of(pa.array([text]))[0]
 
 
 def kmers(w: np.ndarray, k: int = K) -> np.ndarray:
@@ -89,27 +107,57 @@ def kmers(w: np.ndarray, k: int = K) -> np.ndarray:
     return _mixed(h)
 
 
-_SEEDS = _mixed(np.arange(1, sum(n for _, n in SKETCHES) + 1, dtype=np.uint64) * _M)
+_SEEDS = _mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _M)
+#: What a k-mer's hash is added to and multiplied by, for each sketch.
+_ADD, _TIMES = (_SEEDS >> np.uint64(32)).astype(np.uint32), _SEEDS.astype(np.uint32) | np.uint32(1)
 
 
 def sketches(w: np.ndarray) -> np.ndarray:
     """The bucket of each sketch: its k-mers in order and its number."""
-    h, out, first = kmers(w), [], 0
-    for length, count in SKETCHES:
-        take = min(length, len(h))
-        step = max(1, CELLS // len(h))
-        for a in range(first, first + count, step):
-            seeds = _SEEDS[a : min(a + step, first + count)]
-            x = _mixed(h[None, :] ^ seeds[:, None])
-            at = np.sort(np.argpartition(x, take - 1, axis=1)[:, :take] if take < len(h) else np.tile(np.arange(len(h)), (len(seeds), 1)), axis=1)
-            key = np.full(len(seeds), take, np.uint64)
-            for j in range(take):
-                key = _mixed(key * _M + h[at[:, j]])
-            out.append(key)
-        first += count
+    h, out = kmers(w), []
+    short = (h >> np.uint64(32)).astype(np.uint32)
+    step = max(1, CELLS // len(h))
+    for a in range(0, SKETCHES, step):
+        x = (short + _ADD[a : a + step, None]) * _TIMES[a : a + step, None]
+        rows = np.arange(len(x))
+        at = np.empty((min(LENGTH, len(h)), len(x)), np.int64)
+        for k in range(len(at)):
+            at[k] = x.argmin(axis=1)
+            x[rows, at[k]] = 0xFFFFFFFF
+        at.sort(axis=0)
+        key = np.full(len(x), len(at), np.uint64)
+        for places in at:
+            key = _mixed(key * _M + h[places])
+        out.append(key)
     return _mixed(np.concatenate(out) ^ _SEEDS)
 
 
+def _occurrences(w: np.ndarray) -> np.ndarray:
+    """The number of each word's occurrence, from 0."""
+    order = np.argsort(w, kind="stable")
+    at = np.arange(len(w))
+    same = np.concatenate([[False], w[order][1:] == w[order][:-1]])
+    out = np.empty(len(w), np.uint64)
+    out[order] = at - np.maximum.accumulate(np.where(same, 0, at))
+    return out
+
+
+def _tokens(w: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+    return _mixed((w.astype(np.uint64) << np.uint64(32)) ^ occurrence * _MIX)
+
+
+def _slots(w: np.ndarray) -> np.ndarray:
+    return ((w.astype(np.uint64) * _M) >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
+
+
+def rarest(w: np.ndarray, often: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Of a text's words, each with the number of its occurrence, the rarest ones, of which similar texts share one at least."""
+    occurrence = _occurrences(w)
+    token = _tokens(w, occurrence)
+    rank = often[_slots(w)] // (occurrence.astype(np.int64) + 1)
+    return token[np.lexsort((token, rank))[: int(len(w) * (1 - least) + 1e-9) + 1]]
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """The edit distance of two sequences, or most + 1 if it is greater: columns of a band of 2 * most + 1 diagonals as bits of integers."""
     n = min(len(a), len(b))
@@ -150,16 +198,65 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return min(score, most + 1)
 
 
+def _at_most(a: np.ndarray, b: np.ndarray, here: np.ndarray, there: np.ndarray) -> int:
+    """An upper bound of the edit distance: words at these places, which both hold once, are aligned as far as they rise, and what lies between is replaced."""
+    order = np.argsort(here)
+    here, there = here[order], there[order]
+    if (np.diff(there) < 0).any():  # a longest rising chain
+        ends: list[int] = []
+        last: list[int] = []
+        before = [-1] * len(there)
+        for i, x in enumerate(there.tolist()):
+            k = bisect_left(ends, x)
+            ends[k : k + 1], last[k : k + 1] = [x], [i]
+            before[i] = last[k - 1] if k else -1
+        chain, i = [], last[-1]
+        while i >= 0:
+            chain.append(i)
+            i = before[i]
+        here, there = here[chain[::-1]], there[chain[::-1]]
+    gaps = [np.diff(x, prepend=-1, append=n) - 1 for x, n in ((here, len(a)), (there, len(b)))]
+    between = np.maximum(*gaps)
+    # equal words in gaps of equal length are no edits
+    cost = int(between.sum())
+    same = np.flatnonzero((gaps[0] == gaps[1]) & (between > 0))
+    starts_a, starts_b = np.concatenate([[0], here + 1])[same], np.concatenate([[0], there + 1])[same]
+    n = between[same]
+    if len(n):
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        cost -= int((a[np.repeat(starts_a, n) + inside] == b[np.repeat(starts_b, n) + inside]).sum())
+    return cost
+
+
+def _threes(w: np.ndarray) -> np.ndarray:
+    x = w.astype(np.uint64)
+    return (x[:-2] * _M + x[1:-1]) * _M + x[2:]
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sequences have in common, repeated ones as often as both have them."""
+    (x, n_x), (y, n_y) = (np.unique(v, return_counts=True) for v in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n_x[i], n_y[j]).sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether the edit distance is small enough, exactly: by words that exclude it, else by an alignment at the words that both texts hold once, else by whole banded ones."""
     longest = max(len(a), len(b))
     most = int(longest * (1 - least) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
     # each edit changes one word at most: fewer common words than this exclude it
-    x, y = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    if np.minimum(x[1][i], y[1][j]).sum() < longest - most:
+    (x, at_x, n_x), (y, at_y, n_y) = (np.unique(w, return_index=True, return_counts=True) for w in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if np.minimum(n_x[i], n_y[j]).sum() < longest - most:
+        return False
+    # and no more than three runs of three words, which tells texts apart that say the same words in another order
+    if min(len(a), len(b)) > 2 and _common(_threes(a), _threes(b)) < longest - 2 - 3 * most:
         return False
+    once = (n_x[i] == 1) & (n_y[j] == 1)
+    if once.any() and _at_most(a, b, at_x[i[once]], at_y[j[once]]) <= most:
+        return True
     band = 32
     while band < most:  # near copies need a narrow band only
         if edit_distance(a, b, band) <= band:
@@ -169,15 +266,16 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def marks(w: np.ndarray) -> np.ndarray:
-    """BITS integers with a bit for each word: an edit changes one word at most, so similar texts differ by few bits."""
+    """BITS integers with a bit for each word and number of its occurrence: an edit changes one at most, so similar texts differ by few bits."""
     bits = np.zeros(64 * BITS, bool)
-    bits[(w.astype(np.uint64) * _M) >> np.uint64(32) & np.uint64(64 * BITS - 1)] = True
+    bits[_tokens(w, _occurrences(w)) & np.uint64(64 * BITS - 1)] = True
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def _row(id_col: str, text_col: str) -> Column:
-    """A key of a row by its id and text; what happens to be equal is told apart later, by the text's digest."""
-    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    """128 bits of a row's id and text; null is not equal to any value."""
+    named = [F.coalesce(F.concat(F.lit("+"), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in (id_col, text_col)]
+    return F.unhex(F.md5(F.concat(named[0], F.lit("\n"), named[1]).cast("binary")))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -190,15 +288,14 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 512):
             digests, keys, sizes, bits = [], [], [], []
-            for row, text in zip(part.column(0).to_pylist(), part.column(2), strict=True):
-                w = words(text.as_py())
+            for row, w in zip(part.column(0).to_pylist(), words_of(part.column(2)), strict=True):
                 sizes.append(len(w))
                 bits.append(marks(w))
                 if len(w):
                     digests.append(xxhash.xxh3_128_digest(w.tobytes()))
                     keys.append(sketches(w).view(np.int64))
                 else:  # alone
-                    digests.append(b"-" + row.to_bytes(8, "little", signed=True))
+                    digests.append(b"-" + row)
                     keys.append(np.zeros(0, np.int64))
             ends = np.cumsum([0] + [len(x) for x in keys]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
@@ -206,21 +303,24 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), marked, flat], names=["row", "id", "digest", "size", "bits", "keys"])
 
     source = docs.select(_row(id_col, text_col).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", source.schema["id"].dataType), T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("row", T.BinaryType()), T.StructField("id", source.schema["id"].dataType), T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
     return source.mapInArrow(run, schema)
 
 
-def _texts(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """digest, words of the rows asked for."""
+def _words_of(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """n, words of the texts asked for by row and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 512):
-            found = [words(x.as_py()) for x in part.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in found], pa.binary()), pa.array([zstandard.compress(w.tobytes(), 1) for w in found], pa.binary())], names=["digest", "words"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zstandard.compress(w.tobytes(), 1) for w in words_of(part.column(1))], pa.binary())], names=["n", "words"])
 
     source = docs.select(_row(id_col, text_col).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    wanted = source.join(rows, "row", "left_semi").select("text")
-    return wanted.mapInArrow(run, "digest binary, words binary").dropDuplicates(["digest"])
+    # rows that are equal in id and text stand for one text
+    return source.join(rows, "row").select("n", "text").mapInArrow(run, "n long, words binary").dropDuplicates(["n"])
+
+
+def _opened(packed: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed.as_py()), np.uint32)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -228,11 +328,100 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 256):
-            a, b = ([np.frombuffer(zstandard.decompress(x.as_py()), np.uint32) for x in part.column(i)] for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([similar(x, y, least) for x, y in zip(a, b, strict=True)])], names=["a", "b", "similar"])
+            found = [similar(_opened(x), _opened(y), least) for x, y in zip(part.column(2), part.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.bool_())], names=["a", "b", "similar"])
+
+    both = pairs.join(texts.select(F.col("n").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("n").alias("b"), F.col("words").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similar boolean")
+
+
+def _counts(w: np.ndarray) -> np.ndarray:
+    """How many of a text's words fall in each of 512 cells, up to 255: an edit moves one at most."""
+    return np.minimum(np.bincount((w.astype(np.uint64) * _M >> np.uint64(55)).astype(np.int64), minlength=512), 255).astype(np.uint8)
+
+
+def _similar_in_blocks(texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between texts(n, component, size, words) of different components: all pairs whose lengths allow it, compared inside tasks, each of which holds two blocks at most."""
+    step = float(-np.log(least))
+    texts = texts.withColumn("level", F.floor(F.log("size") / step).cast("int"))  # similar texts are of one level or of two neighbours
+    per_level = {r[0]: r[1] for r in texts.groupBy("level").count().collect()}  # as many as a length has such steps
+    blocks = F.create_map(*[F.lit(x) for level, n in per_level.items() for x in (level, -(-n // BLOCK))]) if per_level else F.create_map().cast("map<int,int>")
+    of = lambda level: F.coalesce(F.try_element_at(blocks, level), F.lit(0))
+    level, block = F.col("level"), F.col("block")
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("n"), of(level)).cast("int"))
+    all_of = lambda x: F.when(of(x) > 0, F.sequence(F.lit(0), of(x) - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda a, i, b, j, side: F.struct(a.alias("a"), i.alias("i"), b.alias("b"), j.alias("j"), F.lit(side).alias("side"))
+    # a block meets those of its level, itself included, and of the next one
+    own = F.transform(all_of(level), lambda j: place(level, F.least(block, j), level, F.greatest(block, j), 0))
+    above = F.transform(all_of(level + 1), lambda j: place(level, block, level + 1, j, 1))
+    below = F.transform(all_of(level - 1), lambda j: place(level - 1, j, level, block, 2))
+    dealt = texts.select("n", "component", "words", "block", F.explode(F.concat(own, above, below)).alias("at")).select("at.a", "at.i", "at.b", "at.j", "at.side", "block", "n", "component", "words")
+    where = ["a", "i", "b", "j"]
 
-    both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("digest").alias("b"), F.col("words").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similar boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(place: tuple, rows: list[tuple]) -> pa.RecordBatch:
+            level, i, other, j = place
+            sizes = np.array([len(r[4]) for r in rows])
+            counts = np.array([_counts(r[4]) for r in rows])
+            component = np.array([r[3] for r in rows])
+            second = np.array([r[0] == 2 or (level == other and r[1] == j) for r in rows])
+            first = np.array([r[0] == 1 or (level == other and r[1] == i) for r in rows])
+            a, b = [], []
+            for x in np.flatnonzero(first).tolist():
+                most = (np.maximum(sizes, sizes[x]) * (1 - least) + 1e-9).astype(int)
+                fits = second & (component != component[x]) & (np.abs(sizes - sizes[x]) <= most)
+                if level == other and i == j:
+                    fits[: x + 1] = False
+                near = np.flatnonzero(fits)
+                less = np.minimum(counts[near], counts[x]).sum(axis=1, dtype=np.int64)
+                more = np.maximum(sizes[near], sizes[x])
+                # words cut off at 255 in a cell may be common, too
+                beyond = int(sizes[x] - counts[x].sum(dtype=np.int64))
+                for y in near[less + beyond >= more - most[near]].tolist():
+                    if similar(rows[x][4], rows[y][4], least):
+                        a.append(max(rows[x][2], rows[y][2]))
+                        b.append(min(rows[x][2], rows[y][2]))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        place, rows = None, []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(8)]
+            for k, packed_words in enumerate(batch.column(8)):
+                here = tuple(columns[c][k] for c in range(4))
+                if here != place:
+                    if rows:
+                        yield links(place, rows)
+                    place, rows = here, []
+                rows.append((columns[4][k], columns[5][k], columns[6][k], columns[7][k], _opened(packed_words)))
+        if rows:
+            yield links(place, rows)
+
+    return dealt.repartition(*where).sortWithinPartitions(*where, "n").mapInArrow(run, "a long, b long")
+
+
+def _rare_words(texts: DataFrame, least: float) -> DataFrame:
+    """n, tokens of texts (n, words): see rarest(). What words are rare is read from a table of SLOTS counts."""
+    spark = texts.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                often += np.bincount(_slots(np.unique(_opened(x))), minlength=SLOTS)
+        at = np.flatnonzero(often)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(often[at])], names=["slot", "n"])
+
+    counts = texts.select("words").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(SLOTS, np.int64)
+    often[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches, 256):
+            found = [rarest(_opened(x), shared.value, least).view(np.int64) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["n", "tokens"])
+
+    return texts.select("n", "words").mapInArrow(run, "n long, tokens array<long>")
 
 
 def _sizes_allow(a: str, b: str, least: float) -> Column:
@@ -251,25 +440,31 @@ def _words_allow(a: str, b: str, least: float) -> Column:
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """__row, id_col, class_id, class_key, kept of each row."""
     workers_can_import(docs.sparkSession)
-    sketched = cut(_sketched(docs, id_col, text_col))
-    # a row for each text that differs
-    texts = cut(sketched.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")).select("digest", "best.row", "best.id"))
-    distinct = sketched.join(texts.select("row", "digest"), ["row", "digest"], "left_semi").dropDuplicates(["digest"])
-    members = distinct.select("digest", "size", F.explode("keys").alias("key"))
+    sketched = cut(_sketched(docs, id_col, text_col).withColumn("n", F.monotonically_increasing_id()))
+    # one row for each text that differs, known by the row's number
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "n"))
+    texts = cut(sketched.groupBy("digest").agg(best.alias("best")).select("digest", "best.row", "best.id", "best.n"))
+    distinct = sketched.select("n", "size", "bits", "keys").join(texts.select("n"), "n", "left_semi")
+    sizes = cut(distinct.select("n", "size", "bits"))
+    members = distinct.select("n", F.explode("keys").alias("key"))
     members = cut(members.join(members.groupBy("key").count().where("count > 1").select("key"), "key"))
     links = known = None
 
-    def placed() -> DataFrame:
-        """The members of the buckets that hold several classes, each with its class and the number of its links."""
-        if links is None:
-            rows = members.withColumns({"component": F.col("digest"), "links": F.lit(0)})
-        else:
-            ends = links.select(F.col("a").alias("digest")).unionAll(links.select(F.col("b").alias("digest")))
-            found = components(links).select(F.col("vertex").alias("digest"), "component")
-            found = cut(found.join(ends.groupBy("digest").agg(F.count("*").alias("links")), "digest"))
-            rows = members.join(found, "digest", "left").withColumns({"component": F.coalesce("component", "digest"), "links": F.coalesce("links", F.lit(0))})
-        several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        return cut(rows.join(several, "key"))
+    def placed() -> tuple[DataFrame, bool]:
+        """The members of the buckets that hold several classes, each with its class and a weight, the number of its links. Whether buckets are small on the whole."""
+        ends = links.select(F.col("a").alias("n")).unionAll(links.select(F.col("b").alias("n")))
+        found = components(links).select(F.col("vertex").alias("n"), "component").join(ends.groupBy("n").agg(F.count("*").alias("weight")), "n")
+        rows = members.join(found, "n", "left").withColumns({"component": F.coalesce("component", "n"), "weight": F.coalesce("weight", F.lit(0))})
+        rows = cut(rows)
+        several = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "many")
+        rows = cut(rows.join(several, "key"))
+        n, pairs = rows.agg(F.count("*"), F.sum(F.col("many") - 1)).first()
+        return rows, (pairs or 0) <= MANY * n
+
+    def wanted(numbers: DataFrame) -> DataFrame:
+        rows = cut(texts.select("row", "n").join(numbers.distinct(), "n", "left_semi"))
+        # where few texts are asked for they are picked as documents are read, else the texts are exchanged
+        return cut(_words_of(docs, F.broadcast(rows) if rows.count() <= FEW else rows, id_col, text_col))
 
     def compare(pairs: DataFrame) -> tuple[int, int]:
         """Verifies pairs (a, b) and adds to links; how many were compared, and how many are similar."""
@@ -277,35 +472,58 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         pairs = pairs.distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        ends = pairs.select(F.col("a").alias("digest")).unionAll(pairs.select(F.col("b").alias("digest"))).distinct()
-        rows = texts.join(ends, "digest", "left_semi").select("row")
-        verified = cut(_verified(pairs, cut(_texts(docs, rows, id_col, text_col)), least))
+        x, y = (sizes.select(F.col("n").alias(c), F.struct("size", "bits").alias(f"of_{c}")) for c in "ab")
+        pairs = cut(pairs.join(x, "a").join(y, "b").where(_words_allow("of_a", "of_b", least)).select("a", "b"))
+        verified = cut(_verified(pairs, wanted(pairs.select(F.col("a").alias("n")).unionAll(pairs.select(F.col("b").alias("n")))), least))
         good = verified.where("similar").select("a", "b")
         links = good if links is None else links.unionAll(good)
         known = verified.select("a", "b") if known is None else known.unionAll(verified.select("a", "b"))
         return tuple(verified.agg(F.count("*"), F.count_if("similar")).first())
 
-    while True:
-        rows = placed()
-        # of equally many links another text in each bucket
-        first = F.max_by(F.struct("digest", "size", "component"), F.struct("links", F.xxhash64("digest", "key"), "digest"))
-        met = rows.alias("m").join(rows.groupBy("key").agg(first.alias("f")), "key").where(F.col("m.component") != F.col("f.component"))
+    del distinct
+    # at first each text is a class, and weighs as many buckets as it is in
+    rows, small = members.join(members.groupBy("n").agg(F.count("*").alias("weight")), "n").withColumn("component", F.col("n")), False
+    while not small:
+        release(docs.sparkSession)
+        sized = rows.join(sizes.select("n", "size"), "n")
+        # the same text in all its buckets as far as can be, so that pairs meet again
+        first = F.max_by(F.struct("n", "size", "component"), F.struct("weight", F.xxhash64("n")))
+        met = sized.alias("m").join(sized.groupBy("key").agg(first.alias("f")), "key").where(F.col("m.component") != F.col("f.component"))
         met = met.where(_sizes_allow("m", "f", least))
-        compared, similar_ones = compare(met.select(F.greatest("m.digest", "f.digest").alias("a"), F.least("m.digest", "f.digest").alias("b")))
-        if similar_ones * 10 <= compared:
-            break
-    rows = placed().select("key", "digest", "component").join(distinct.select("digest", "size", "bits"), "digest")
-    rows = cut(rows)
-    met = rows.alias("x").join(rows.alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.digest") > F.col("y.digest")) & (F.col("x.component") != F.col("y.component")))
-    met = met.where(_sizes_allow("x", "y", least) & _words_allow("x", "y", least))
-    compare(met.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")))
+        compared, similar_ones = compare(met.select(F.greatest("m.n", "f.n").alias("a"), F.least("m.n", "f.n").alias("b")))
+        del met, first, sized
+        release(docs.sparkSession)
+        if similar_ones * 10 <= compared and "many" in rows.columns:
+            break  # the few new links only make a few pairs more that are compared
+        rows, small = placed()
+    release(docs.sparkSession)
+    rows = cut(rows.select("key", "n", "component", "many").join(sizes, "n"))
+
+    def met_by(rows: DataFrame, *on: str) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
+        same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
+        met = x.join(y, same).where((F.col("x.n") > F.col("y.n")) & (F.col("x.component") != F.col("y.component")))
+        return met.where(_sizes_allow("x", "y", least) & _words_allow("x", "y", least)).select(F.col("x.n").alias("a"), F.col("y.n").alias("b"))
+
+    # texts of large buckets meet by their rarest words alone, once, and not in each bucket again
+    large = rows.where(F.col("many") > MANY).select("n", "component", "size", "bits").dropDuplicates(["n"])
+    held = wanted(large.select("n"))
+    tokens = cut(_rare_words(held, least).select("n", F.explode("tokens").alias("token")))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    rare = tokens.join(often.where(F.col("often") <= RARE).select("token"), "token")
+    compare(met_by(rows.where(F.col("many") <= MANY), "key").unionAll(met_by(large.join(rare, "n"), "token")))
+    release(docs.sparkSession)
+    # and those with words that are many texts' rarest ones in blocks, as each pair of them shares many
+    hot = tokens.join(often.where(F.col("often") > RARE).select("token"), "token", "left_semi").select("n").distinct()
+    links = links.unionAll(cut(_similar_in_blocks(large.select("n", "component", "size").join(hot, "n").join(held, "n"), least)))
     found = components(links)
-    placed_texts = texts.join(found.select(F.col("vertex").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    best = placed_texts.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
-    by_text = placed_texts.select("digest", "component").join(best, "component")
+    del rows, large, held, tokens, often, rare, hot
+    release(docs.sparkSession)
+    of_text = texts.join(found.select(F.col("vertex").alias("n"), "component"), "n", "left").withColumn("component", F.coalesce("component", "n"))
+    best = of_text.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.min("digest").alias("class_key"))
+    by_text = of_text.select("digest", "component").join(best, "component")
     out = sketched.select("row", "id", "digest").join(by_text, "digest")
-    return out.select(F.col("row").alias("__row"), F.col("id").alias(id_col), F.col("best.id").alias("class_id"), F.lower(F.hex("component")).alias("class_key"), (F.col("row") == F.col("best.row")).alias("kept"))
+    return out.select(F.col("row").alias("__row"), F.col("id").alias(id_col), F.col("best.id").alias("class_id"), F.lower(F.hex("class_key")).alias("class_key"), (F.col("row") == F.col("best.row")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

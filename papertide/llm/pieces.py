@@ -96,7 +96,7 @@ class PieceTable:
     def _clear(self) -> None:
         n = 1 << self.bits
         self.low, self.high = np.zeros(n, np.uint64), np.zeros(n, np.uint64)  # no key has a zero in high
-        self.start, self.count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.start, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.ids, self.end, self.used = np.zeros(1 << 16, np.uint32), 0, 0
 
     def encode(self, piece: str) -> bytes:

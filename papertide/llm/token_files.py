@@ -7,8 +7,8 @@ document's place among all ids is its task's, the block's and its own, added up;
 each writing task is ever brought together.
 
 Results for odd rows: a null text counts as empty and has the end id alone; null document ids come first;
-rows with equal ids stand next to each other, in the order of their text's hash; a document is never
-split, however long; columns besides the id and the text are ignored, whatever their names.
+rows with equal ids stand next to each other, in the order of their text's hash, and equal rows each have a result; a document is never
+split, however long; no rows give files without blocks and no rows; columns besides the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ some rule has; digests are found by binary search for a whole batch, and a hit c
 the stored string is the same. The longest rule that fits wins, between equal lengths the longer host.
 
 Results for odd rows: a null url, or one without "://", has an empty host and path, fits no rule and gets
-the default verdict; repeated rows each get their own result; columns besides the id and the url are
+the default verdict; an empty one too; a very long url is judged whole; of rules of one length that fit the longer host wins, so there are no ties;
+repeated rows each get their own result, null ids stay; no rows give no rows; columns besides the id and the url are
 ignored, whatever their names. Repeated rules must agree; the strings may be of any length.
 """
 

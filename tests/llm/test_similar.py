@@ -255,3 +255,23 @@ def test_votes_equal_brute_force():
         near = np.argsort(-sims)[: quality.NEIGHBOURS]
         w = np.maximum(sims[near], 0)
         assert abs(s - (w * model.labels[near]).sum() / w.sum()) < 1e-9
+
+
+def test_blocks_find_all_similar_pairs(spark, monkeypatch):
+    import zstandard
+
+    monkeypatch.setattr(order_minhash, "BLOCK", 7)
+    rng = random.Random(17)
+    said = [rng.randrange(1 << 32) for _ in range(40)]
+    words = []
+    for i in range(60):
+        w = [rng.choice(said[: 5 + i % 30]) for _ in range(rng.randint(6, 40))] if i % 3 or not words else list(words[-1])
+        if i % 3 == 0:
+            w[rng.randrange(len(w))] = 1
+        words.append(w)
+    words += [[7] * 300, [7] * 310, [8] * 300, [7] * 290 + [8] * 15]
+    arrays = [np.array(w, np.uint32) for w in words]
+    rows = [(i, i if i % 10 else 0, len(w), zstandard.compress(w.tobytes())) for i, w in enumerate(arrays)]
+    got = sorted(map(tuple, order_minhash._similar_in_blocks(spark.createDataFrame(rows, "n long, component long, size long, words binary"), 0.8).collect()))
+    want = sorted((j, i) for i in range(len(rows)) for j in range(i + 1, len(rows)) if rows[i][1] != rows[j][1] and dp(words[i], words[j]) <= int(max(len(words[i]), len(words[j])) * 0.2 + 1e-9))
+    assert got == want and len(want) > 10
