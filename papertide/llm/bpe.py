@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import workers_can_import
+from .common import give_back, workers_can_import
 from .pieces import PieceTable
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Rows of a batch on the way back to Spark.
 ROWS = 128
+#: Pieces whose ids a worker keeps; the library is quick to find them again.
+MOST = 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -38,7 +40,7 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> PieceTable:
-    return PieceTable(encoding(path, pattern).encode_ordinary)
+    return PieceTable(encoding(path, pattern).encode_ordinary, most=MOST)
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -59,6 +61,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.view(np.int32)))
                 back = [pa.array([library.decode_bytes(found[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())] if decoded else []
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, *back], names=[id_col, "ids", "decoded"][: 2 + decoded])
+        give_back()
 
     source = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     schema = [source.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("decoded", T.BinaryType())]

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, release, workers_can_import
+from .common import cut, give_back, release, workers_can_import
 from .components import components
 from .pieces import PieceTable
 
@@ -301,6 +301,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
             marked = pa.ListArray.from_arrays(pa.array(np.arange(0, BITS * len(bits) + 1, BITS, dtype=np.int32)), pa.array(np.concatenate(bits)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), marked, flat], names=["row", "id", "digest", "size", "bits", "keys"])
+        give_back()
 
     source = docs.select(_row(id_col, text_col).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     schema = T.StructType([T.StructField("row", T.BinaryType()), T.StructField("id", source.schema["id"].dataType), T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
@@ -330,6 +331,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         for part in _slices(batches, 256):
             found = [similar(_opened(x), _opened(y), least) for x, y in zip(part.column(2), part.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.bool_())], names=["a", "b", "similar"])
+        give_back()
 
     both = pairs.join(texts.select(F.col("n").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("n").alias("b"), F.col("words").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similar boolean")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import workers_can_import
+from .common import give_back, workers_can_import
 
 PER_LABEL, DIMENSIONS, NEIGHBOURS, CUT = 1500, 48, 15, 0.3
 CLASSES, BIGRAMS = 16**3, 2048
@@ -162,6 +162,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CU
                 part = batch.slice(at, ROWS)
                 scores = model.scores(np.stack([terms(x.as_py() or "") for x in part.column(at_text)]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores), pa.array((scores >= cut).astype(np.int32))], names=[*part.schema.names, *names])
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
 
