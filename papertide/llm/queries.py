@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hnsw, mixing, order_minhash, quality, sharding, syncmers, token_counts, token_files, url_filter
+from . import bpe, filter_audit, hnsw, mixing, order_minhash, quality, rolling, secrets, sharding, syncmers, token_counts, token_files, url_filter
 from .common import table
 
 
@@ -50,9 +50,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.reported(table(spark, sf_dir, "documents"))
+
+
+def op13_rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.before_each(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_hnsw, op3_histogram_sort, op4_url_digests, op5_simple8b_files, op6_mixing, op7_neighbour_votes, op8_order_minhash, op9_closed_syncmers, op10_token_counts)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_hnsw, op3_histogram_sort, op4_url_digests, op5_simple8b_files, op6_mixing, op7_neighbour_votes, op8_order_minhash, op9_closed_syncmers, op10_token_counts, op11_filter_audit, op12_trigram_secrets, op13_rolling_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_digests": url_filter.SQL}
+    return {"op4_url_digests": url_filter.SQL, "op11_filter_audit": filter_audit.SQL, "op12_trigram_secrets": secrets.SQL, "op13_rolling_windows": rolling.SQL}
