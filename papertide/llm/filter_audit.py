@@ -60,8 +60,8 @@ def failing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def set_counts(found: DataFrame) -> DataFrame:
     """part, n, good, toxic: arrays of SETS counts, by the set of filters that documents fail."""
-    kinds = {"n": F.lit(True), "good": F.col("good"), "toxic": F.col("toxic")}
-    counts = [F.sum(F.when((F.col("mask") == m) & x, F.col("rows")).otherwise(0)).alias(f"{k}{m}") for k, x in kinds.items() for m in range(SETS)]
+    kinds = {"n": "true", "good": "good", "toxic": "toxic"}
+    counts = [F.expr(f"sum(if(mask = {m} and {x}, rows, 0)) as {k}{m}") for k, x in kinds.items() for m in range(SETS)]
     return found.groupBy("part").agg(*counts).select("part", *[F.array(*[f"{k}{m}" for m in range(SETS)]).alias(k) for k in kinds])
 
 
@@ -74,7 +74,7 @@ def all_orders(counts: DataFrame) -> DataFrame:
     """A row for each part, order of the filters and step."""
     orders = ["".join(x) for x in permutations(FILTERS)]
     bit_of = lambda letter: F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(FILTERS) for x in (c, 1 << i)]), letter)
-    df = counts.withColumn("filter_order", F.explode(F.array(*map(F.lit, orders)))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))))
+    df = counts.withColumn("filter_order", F.explode(F.split(F.lit(" ".join(orders)), " "))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))))
     before = F.transform(F.filter(F.sequence(F.lit(1), F.lit(len(FILTERS))), lambda i: i < F.col("step")), lambda i: bit_of(F.substring("filter_order", i, F.lit(1))))
     df = df.withColumns({"bit": bit_of(F.substring("filter_order", F.col("step"), F.lit(1))), "earlier": F.aggregate(before, F.lit(0), lambda a, b: a + b)})
     has = lambda m: m.bitwiseAND(F.col("bit")) != 0
