@@ -14,13 +14,17 @@ and nothing else are not compared each with each. Words that are among the rares
 much the same, and are compared in blocks inside tasks, which send on links only.
 
 Similar: 1 - edit distance in words / words of the longer text >= 0.8, exactly, by a bit-parallel
-alignment inside the band of diagonals that this allows. Texts with equal words are one class from the start, so
+alignment inside the band of diagonals that this allows. Texts with equal words are one class from the start, by 128 bits of each word and of all, so
 copies cost nothing. Links make components; a class's id is its least doc_id.
 
+Short texts have too few k-mers for sketches. Those of fewer than SHORT words meet by their rarest words instead, as above, whatever their edits; so do longer ones
+as far as they can be similar to one of those. A word that is among the rarest of more than RARE of them stands for a bucket with a second one
+only: of the 0.2 n + 2 rarest words similar texts share two at least. Texts of fewer than five words are similar if they are equal.
+
 Recall: texts that share a fraction j of their k-mers meet in one sketch with probability near j ** LENGTH;
 SKETCHES sketches of two find 0.99 of the pairs with j = 0.2, which is what scattered edits of a fifth of the words leave on average, and nearly
-all with j = 0.3 or more. Two texts that have no five words in a row in common, as when every fifth word is another, don't meet.
-Texts of fewer than five words are one k-mer, and so are only found if equal.
+all with j = 0.3 or more. Two texts of SHORT words or more that have no five words in a row in common, as when every fifth word is another, don't meet. Pairs with
+a shorter text all meet.
 
 Results for odd rows: no rows give no rows; null, empty and punctuation-only texts have no words and are one class each row by
 itself; very long texts are sketched and aligned whole, k-mers in chunks; repeated rows share a class; of rows that are equal in id and text
@@ -51,6 +55,9 @@ from .pieces import PieceTable
 K, SIMILARITY = 5, 0.8
 #: 64-bit integers in which a text's words are marked.
 BITS = 8
+#: Words below which texts meet by their rarest words, and at which they can't be similar to a shorter one any more.
+SHORT = 40
+SHORT_END = int(SHORT / SIMILARITY)
 #: Sketches of a text, and the k-mers that each takes.
 SKETCHES, LENGTH = 128, 2
 #: Members of a bucket above which they are joined by their rarest words, and slots in which words are counted for that.
@@ -74,16 +81,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _word(piece: str) -> list[int]:
     found = (_EDGES.sub("", x) for x in piece.split())
-    return [xxhash.xxh32_intdigest(x.encode()) | 1 for x in found if x]
+    # 128 bits as four ids
+    return [(h >> k) & 0xFFFFFFFF for x in found if x for h in (xxhash.xxh3_128_intdigest(x.encode()),) for k in (0, 32, 64, 96)]
 
 
 _words = PieceTable(_word, most=1 << 19)
 
 
-def words_of(texts: pa.Array) -> list[np.ndarray]:
-    """Hashes of each text's words, 32 bits each. A stop behind a letter ends a word, as white space does."""
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each word of all texts, in two columns, and where each text's words end."""
     ids, counts = _words(pc.utf8_lower(texts.fill_null("")))
-    return np.split(ids, np.cumsum(counts)[:-1])
+    return np.ascontiguousarray(ids).view(np.uint64).reshape(-1, 2), np.cumsum(counts // 4)
+
+
+def words_of(texts: pa.Array) -> list[np.ndarray]:
+    """Hashes of each text's words, 64 bits each. A stop behind a letter ends a word, as white space does."""
+    hashes, ends = _hashes(texts)
+    return np.split(hashes[:, 0].copy(), ends[:-1])
 
 
 def words(text: str) -> np.ndarray:
@@ -143,19 +157,19 @@ def _occurrences(w: np.ndarray) -> np.ndarray:
 
 
 def _tokens(w: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
-    return _mixed((w.astype(np.uint64) << np.uint64(32)) ^ occurrence * _MIX)
+    return _mixed(w * _M + occurrence * _MIX)
 
 
 def _slots(w: np.ndarray) -> np.ndarray:
     return ((w.astype(np.uint64) * _M) >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
 
 
-def rarest(w: np.ndarray, often: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """Of a text's words, each with the number of its occurrence, the rarest ones, of which similar texts share one at least."""
+def rarest(w: np.ndarray, often: np.ndarray, least: float = SIMILARITY, shared: int = 1) -> np.ndarray:
+    """Of a text's words, each with the number of its occurrence, the rarest ones, of which similar texts share one at least, or as many as are to be shared."""
     occurrence = _occurrences(w)
     token = _tokens(w, occurrence)
     rank = often[_slots(w)] // (occurrence.astype(np.int64) + 1)
-    return token[np.lexsort((token, rank))[: int(len(w) * (1 - least) + 1e-9) + 1]]
+    return token[np.lexsort((token, rank))[: int(len(w) * (1 - least) + 1e-9) + shared]]
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -287,24 +301,23 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 512):
-            digests, keys, sizes, bits = [], [], [], []
-            for row, w in zip(part.column(0).to_pylist(), words_of(part.column(2)), strict=True):
+            digests, keys, sizes, bits, short = [], [], [], [], []
+            hashes, at = _hashes(part.column(2))
+            for row, both in zip(part.column(0).to_pylist(), np.split(hashes, at[:-1]), strict=True):
+                w = both[:, 0].copy()
                 sizes.append(len(w))
                 bits.append(marks(w))
-                if len(w):
-                    digests.append(xxhash.xxh3_128_digest(w.tobytes()))
-                    keys.append(sketches(w).view(np.int64))
-                else:  # alone
-                    digests.append(b"-" + row)
-                    keys.append(np.zeros(0, np.int64))
+                digests.append(xxhash.xxh3_128_digest(both.tobytes()) if len(w) else b"-" + row)  # texts without words are alone
+                keys.append(sketches(w).view(np.int64) if len(w) >= SHORT else np.zeros(0, np.int64))
+                short.append(zstandard.compress(w.tobytes(), 1) if K <= len(w) < SHORT_END else None)
             ends = np.cumsum([0] + [len(x) for x in keys]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
             marked = pa.ListArray.from_arrays(pa.array(np.arange(0, BITS * len(bits) + 1, BITS, dtype=np.int32)), pa.array(np.concatenate(bits)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), marked, flat], names=["row", "id", "digest", "size", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), marked, flat, pa.array(short, pa.binary())], names=["row", "id", "digest", "size", "bits", "keys", "words"])
         give_back()
 
     source = docs.select(_row(id_col, text_col).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    schema = T.StructType([T.StructField("row", T.BinaryType()), T.StructField("id", source.schema["id"].dataType), T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("row", T.BinaryType()), T.StructField("id", source.schema["id"].dataType), T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType())])
     return source.mapInArrow(run, schema)
 
 
@@ -321,7 +334,7 @@ def _words_of(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> D
 
 
 def _opened(packed: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(packed.as_py()), np.uint32)
+    return np.frombuffer(zstandard.decompress(packed.as_py()), np.uint64)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -343,7 +356,7 @@ def _counts(w: np.ndarray) -> np.ndarray:
 
 
 def _similar_in_blocks(texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between texts(n, component, size, words) of different components: all pairs whose lengths allow it, compared inside tasks, each of which holds two blocks at most."""
+    """Links (a, b) that join texts(n, component, size, words) of different components as all similar pairs do: pairs whose lengths allow it are compared inside tasks, each of which holds two blocks at most and sends a link less than it has texts at most."""
     step = float(-np.log(least))
     texts = texts.withColumn("level", F.floor(F.log("size") / step).cast("int"))  # similar texts are of one level or of two neighbours
     per_level = {r[0]: r[1] for r in texts.groupBy("level").count().collect()}  # as many as a length has such steps
@@ -368,7 +381,7 @@ def _similar_in_blocks(texts: DataFrame, least: float) -> DataFrame:
             component = np.array([r[3] for r in rows])
             second = np.array([r[0] == 2 or (level == other and r[1] == j) for r in rows])
             first = np.array([r[0] == 1 or (level == other and r[1] == i) for r in rows])
-            a, b = [], []
+            a, b = [], []  # a forest: texts that are joined already aren't compared
             for x in np.flatnonzero(first).tolist():
                 most = (np.maximum(sizes, sizes[x]) * (1 - least) + 1e-9).astype(int)
                 fits = second & (component != component[x]) & (np.abs(sizes - sizes[x]) <= most)
@@ -380,9 +393,10 @@ def _similar_in_blocks(texts: DataFrame, least: float) -> DataFrame:
                 # words cut off at 255 in a cell may be common, too
                 beyond = int(sizes[x] - counts[x].sum(dtype=np.int64))
                 for y in near[less + beyond >= more - most[near]].tolist():
-                    if similar(rows[x][4], rows[y][4], least):
+                    if component[x] != component[y] and similar(rows[x][4], rows[y][4], least):
                         a.append(max(rows[x][2], rows[y][2]))
                         b.append(min(rows[x][2], rows[y][2]))
+                        component[component == component[y]] = component[x]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         place, rows = None, []
@@ -401,8 +415,8 @@ def _similar_in_blocks(texts: DataFrame, least: float) -> DataFrame:
     return dealt.repartition(*where).sortWithinPartitions(*where, "n").mapInArrow(run, "a long, b long")
 
 
-def _rare_words(texts: DataFrame, least: float) -> DataFrame:
-    """n, tokens of texts (n, words): see rarest(). What words are rare is read from a table of SLOTS counts."""
+def _rare_words(texts: DataFrame, least: float, pairs: bool = False) -> DataFrame:
+    """n, tokens of texts (n, words): see rarest(). What words are rare is read from a table of SLOTS counts. pairs: also each two of those of which similar texts share two."""
     spark = texts.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,10 +434,32 @@ def _rare_words(texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 256):
-            found = [rarest(_opened(x), shared.value, least).view(np.int64) for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["n", "tokens"])
+            texts = [_opened(x) for x in part.column(1)]
+            found = [rarest(w, shared.value, least).view(np.int64) for w in texts]
+            columns = [part.column(0), pa.array(found, pa.list_(pa.int64()))]
+            if pairs:
+                two = [rarest(w, shared.value, least, 2) for w in texts]
+                columns.append(pa.array([_twos(x).view(np.int64) for x in two], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["n", "tokens", "pairs"][: len(columns)])
+
+    return texts.select("n", "words").mapInArrow(run, "n long, tokens array<long>" + ", pairs array<long>" * pairs)
+
+
+def _twos(tokens: np.ndarray) -> np.ndarray:
+    """A hash of each two of some values, in whatever order they come."""
+    x = np.sort(tokens)
+    i, j = np.triu_indices(len(x), 1)
+    return _mixed(x[i] * _M + x[j])
+
 
-    return texts.select("n", "words").mapInArrow(run, "n long, tokens array<long>")
+def _short_members(sketched: DataFrame, least: float) -> DataFrame:
+    """n, key of the buckets in which texts of fewer than SHORT_END words meet."""
+    found = cut(_rare_words(sketched.where("words is not null"), least, pairs=True))
+    one = found.select("n", F.explode("tokens").alias("key"))
+    hot = one.groupBy("key").count().where(F.col("count") > RARE).select("key")
+    with_hot = one.join(hot, "key", "left_semi").select("n").distinct()
+    two = found.join(with_hot, "n", "left_semi").select("n", F.explode("pairs").alias("key"))
+    return one.join(hot, "key", "left_anti").select("n", "key").unionAll(two)
 
 
 def _sizes_allow(a: str, b: str, least: float) -> Column:
@@ -446,9 +482,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     # one row for each text that differs, known by the row's number
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "n"))
     texts = cut(sketched.groupBy("digest").agg(best.alias("best")).select("digest", "best.row", "best.id", "best.n"))
-    distinct = sketched.select("n", "size", "bits", "keys").join(texts.select("n"), "n", "left_semi")
+    distinct = sketched.select("n", "size", "bits", "keys", "words").join(texts.select("n"), "n", "left_semi")
     sizes = cut(distinct.select("n", "size", "bits"))
-    members = distinct.select("n", F.explode("keys").alias("key"))
+    members = distinct.select("n", F.explode("keys").alias("key")).unionAll(_short_members(distinct, least))
     members = cut(members.join(members.groupBy("key").count().where("count > 1").select("key"), "key"))
     links = known = None
 

@@ -270,8 +270,59 @@ def test_blocks_find_all_similar_pairs(spark, monkeypatch):
             w[rng.randrange(len(w))] = 1
         words.append(w)
     words += [[7] * 300, [7] * 310, [8] * 300, [7] * 290 + [8] * 15]
-    arrays = [np.array(w, np.uint32) for w in words]
+    arrays = [np.array(w, np.uint64) for w in words]
     rows = [(i, i if i % 10 else 0, len(w), zstandard.compress(w.tobytes())) for i, w in enumerate(arrays)]
-    got = sorted(map(tuple, order_minhash._similar_in_blocks(spark.createDataFrame(rows, "n long, component long, size long, words binary"), 0.8).collect()))
-    want = sorted((j, i) for i in range(len(rows)) for j in range(i + 1, len(rows)) if rows[i][1] != rows[j][1] and dp(words[i], words[j]) <= int(max(len(words[i]), len(words[j])) * 0.2 + 1e-9))
-    assert got == want and len(want) > 10
+    got = list(map(tuple, order_minhash._similar_in_blocks(spark.createDataFrame(rows, "n long, component long, size long, words binary"), 0.8).collect()))
+    want = [(j, i) for i in range(len(rows)) for j in range(i + 1, len(rows)) if rows[i][1] != rows[j][1] and dp(words[i], words[j]) <= int(max(len(words[i]), len(words[j])) * 0.2 + 1e-9)]
+    same = [(i, c) for i, c, *_ in rows]
+    # links that join what the similar pairs join, and are similar pairs all
+    assert set(got) <= set(want) and len(want) > 10 and len(got) < len(want)
+    assert closure(got + same, range(len(rows))) == closure(want + same, range(len(rows)))
+
+
+def test_texts_of_other_words_stay_apart(spark):
+    """Words that agree in 31 bits of a hash are two words, also where they are a whole text."""
+    rows = [(1, "word48216"), (2, "word81465"), (3, "Word48216."), (4, "word48216 a"), (5, "a b c d"), (6, "a b c e")]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6}
+
+
+@pytest.mark.parametrize("n", [5, 8, 10, 15, 20, 30, 39])
+def test_short_pairs_all_meet(spark, n, monkeypatch):
+    """Each similar pair of short texts is found, whatever its edits, also where words are often among the rarest ones."""
+    monkeypatch.setattr(order_minhash, "RARE", 4)
+    rng, said = random.Random(n), [f"w{i}" for i in range(600)]
+    rows, edits = [], int(n * 0.2 + 1e-9)
+    for i in range(60):
+        text = [rng.choice(said) for _ in range(n)]
+        rows.append((3 * i, " ".join(text)))
+        near = list(text)
+        for at in rng.sample(range(n), edits):
+            near[at] = rng.choice(said)
+        rows.append((3 * i + 1, " ".join(near)))
+        even = list(text)
+        for at in range(4, n, 5):  # every fifth word
+            even[at] = f"x{i} "[:-1]
+        rows.append((3 * i + 2, " ".join(even)))
+    # texts that say nearly the same, so that their rarest words are everyone's
+    common = [rng.choice(said) for _ in range(n)]
+    for i in range(40):
+        text = list(common)
+        text[rng.randrange(n)] = f"y{i}"
+        rows.append((1000 + i, " ".join(text)))
+    w = {k: order_minhash.words(t) for k, t in rows}
+    pairs = [(a, b) for a in w for b in w if a < b and order_minhash.similar(w[a], w[b])]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == closure(pairs, list(w)) and len(pairs) > 60
+
+
+def test_pairs_across_the_border_of_short_texts_meet(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(80):
+        text = [f"v{rng.randrange(3000)}" for _ in range(48)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(x for k, x in enumerate(text) if k % 5 != 4 or k > 44))]
+    w = {k: order_minhash.words(t) for k, t in rows}
+    assert {len(x) for x in w.values()} == {39, 48}
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i + 1] == 2 * i for i in range(80))
