@@ -4,7 +4,7 @@ Words are a relation: texts are exchanged once by document, exploded into words,
 and distinct words, so that no word is exchanged. The other tests are columns of a narrow row for each document: capitals and symbols from the
 text, copies from the least id of each text's digest, labels by id; they are joined to the totals by an outer join. A document is then one of 32 sets of filters
 that it fails, and a part (source) is 32 conditional counts, as many of good and of toxic documents: aggregated
-before the exchange, so a part of any size is a row for each task. All orders, and each filter's Shapley share, follow from those
+before the exchange, so a part of any size is a row for each task. Narrow rows and first ids are written to the shared folder; texts are read twice. All orders, and each filter's Shapley share, follow from those
 counts: in a set of k failing filters each comes first in 1/k of the orders.
 
 Letters: A has too few words, B repeats them, C shouts, D holds symbols, E is a copy of a document with a smaller id.
@@ -22,6 +22,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 FILTERS = "ABCDE"
 SETS = 1 << len(FILTERS)
 #: Thresholds of A (words), B (distinct words of 100) and C (capitals of 100 characters), and the symbols of D.
@@ -47,8 +49,9 @@ def failing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
     capitals = F.length(F.regexp_replace("text", "[^A-Z]+", ""))
     tested = named.select("id", "part", "hash", F.unhex(F.sha2("text", 256)).alias("digest"), (capitals * 100 > F.length("text") * MOST_CAPITALS).alias("c"), F.col("text").rlike(SYMBOLS).alias("d"))
-    flags = tested.groupBy("id", "part", "hash", "digest", "c", "d").agg(F.count("*").alias("rows"))
-    first = flags.groupBy("digest").agg(F.min("id").alias("first"))
+    flags = cut(tested.groupBy("id", "part", "hash", "digest", "c", "d").agg(F.count("*").alias("rows")))
+    # written, so that the join below is between two exchanges, of which Spark splits a text's rows if it has very many
+    first = cut(flags.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
     of_id = labels.groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     f, w = flags.alias("f"), word_totals(named.select("id", "hash", "text")).alias("w")
     df = f.join(w, F.col("f.id").eqNullSafe(F.col("w.id")) & (F.col("f.hash") == F.col("w.hash")), "left").select("f.*", "w.n_words", "w.n_distinct")
