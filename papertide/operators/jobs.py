@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.text import or_null
 from ..functions.values import JOB_STATES, STOPPED, TERMINAL, backoff_seconds
+from ..sources.tables import KeyedTable, Unique
 from .intake import STARTED, find_articles, keep_first, without_jobs
 
 REQUEUED_FROM = ("validated", "needs_review", "failed", "rejected")
@@ -38,12 +39,29 @@ def claimable(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.where((F.col("attempt_count") < F.col("max_attempts")) & (waiting | due | left))
 
 
-def claim(jobs: DataFrame, worker: str, lease_seconds: int, now: Column) -> DataFrame:
-    """The oldest claimable job as leased. One writer must apply it."""
+def oldest(jobs: DataFrame, now: Column, most: int = 1) -> DataFrame:
+    return claimable(jobs, now).orderBy("created_at", "job_id").limit(most)
+
+
+def leased(jobs: DataFrame, worker: str, lease_seconds: int, now: Column) -> DataFrame:
+    """Jobs as a worker has taken them."""
     if not worker.strip() or lease_seconds < 60:
         raise ValueError("a worker's name and a lease of 60 seconds at least")
-    first = claimable(jobs, now).orderBy("created_at", "job_id").limit(1)
-    return first.withColumns({"state": F.lit("leased"), "attempt_count": F.col("attempt_count") + 1, "lease_owner": F.lit(worker), "lease_expires_at": now + F.make_dt_interval(secs=F.lit(lease_seconds)), "updated_at": now, "next_run_at": F.lit(None).cast(jobs.schema["next_run_at"].dataType)})
+    return jobs.withColumns({"state": F.lit("leased"), "attempt_count": F.col("attempt_count") + 1, "lease_owner": F.lit(worker), "lease_expires_at": now + F.make_dt_interval(secs=F.lit(lease_seconds)), "updated_at": now, "next_run_at": F.lit(None).cast(jobs.schema["next_run_at"].dataType)})
+
+
+def claim(jobs: DataFrame, worker: str, lease_seconds: int, now: Column) -> DataFrame:
+    """The oldest claimable job as leased. One writer must apply it; of several, claim_in() lets one win."""
+    return leased(oldest(jobs, now), worker, lease_seconds, now)
+
+
+#: What no two active jobs of a table may have in common.
+ONE_ACTIVE = tuple(Unique(c, f"state NOT IN ({', '.join(map(repr, TERMINAL))})") for c in ("article_key", "source_url", "canonical_source_url"))
+
+
+def claim_in(table: KeyedTable, worker: str, lease_seconds: int, now: Column, most: int = 1) -> list[Row]:
+    """The oldest claimable jobs of a table, which this worker now holds and no other one: one job, or as many as are asked for."""
+    return table.update_first(lambda jobs: oldest(jobs, now, most), lambda jobs: leased(jobs, worker, lease_seconds, now))
 
 
 def set_state(jobs: DataFrame, changes: DataFrame, now: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.values import STOPPED
+from ..sources.tables import KeyedTable
 
 
 def deduplicated(messages: DataFrame, key: str = "message_id", at: str = "imported_at", late: str = "3 days") -> DataFrame:
@@ -76,3 +77,12 @@ def merging(stream: DataFrame, path: str, merge: Callable[[DataFrame | None, Dat
         merge(before, batch).write.mode("overwrite").parquet(f"{path}/v={n}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merging_into(stream: DataFrame, table: KeyedTable, how: Callable[[DataFrame, DataFrame], DataFrame], name: str, checkpoint: str):
+    """Each batch merged into the buckets of a table that its keys fall into. The table's manifest names the last batch, so one that comes again changes nothing."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        table.merge(batch, how, batch=(name, n))
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
