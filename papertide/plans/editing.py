@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify
-from ..functions.text import key, or_empty, or_null
+from ..functions.text import key, let, or_empty, or_null, strip
 
 _FOOTNOTE = re.compile(r"\[\^\d+\]:")
 MOST_ADDED = 160
@@ -60,13 +60,26 @@ def inserted(page: pd.Series, heading: pd.Series, parent: pd.Series, block: pd.S
     return pd.DataFrame(out, columns=["page", "error"])
 
 
+#: A footnote from its start to the next one's, or to the end of the page.
+_BLOCK = r"(?ms)^\[\^(\d+)\]:(.*?)(?=^\[\^\d+\]:|\z)"
+
+
+def footnotes(page: Column) -> Column:
+    """Array of structs of number and text, whole footnotes, in order."""
+    part = lambda i: F.regexp_extract_all(or_empty(page), F.lit(_BLOCK), F.lit(i))
+    return F.transform(F.arrays_zip(part(1).alias("number"), part(2).alias("text")), lambda x: F.struct(x["number"].cast("int").alias("number"), x["text"].alias("text")))
+
+
 def shared_reference(page: Column, doi: Column, url: Column) -> Column:
-    """The number of the page's footnote that holds the DOI, else the url; else the next free number."""
-    blocks = F.regexp_extract_all(or_empty(page), F.lit(r"(?m)^\[\^(\d+)\]:(.*)$"), F.lit(2))
-    numbers = F.transform(F.regexp_extract_all(or_empty(page), F.lit(r"(?m)^\[\^(\d+)\]:"), F.lit(1)), lambda x: x.cast("int"))
-    have = lambda x: F.try_element_at(numbers, F.greatest(F.lit(1), F.array_position(F.transform(blocks, lambda b: F.contains(F.lower(b), F.lower(x))), True).cast("int")))
-    holds = lambda x: (or_empty(x) != "") & F.exists(blocks, lambda b: F.contains(F.lower(b), F.lower(x)))
-    return F.when(holds(doi), have(doi)).when(holds(url), have(url)).otherwise(F.coalesce(F.array_max(numbers), F.lit(0)) + 1)
+    """The number of the page's first footnote that holds the DOI, or the url if there is no DOI; else the next free number."""
+    doi, url = F.lower(strip(or_empty(doi))), F.regexp_replace(F.lower(strip(or_empty(url))), "/+$", "")
+    sought = F.when(doi != "", doi).otherwise(url)
+
+    def of(found: Column) -> Column:
+        hit = F.get(F.filter(found, lambda x: (sought != "") & F.contains(F.lower(x["text"]), sought)), F.lit(0))
+        return F.coalesce(hit["number"], F.array_max(F.transform(found, lambda x: x["number"])) + 1, F.lit(1))
+
+    return let(footnotes(page), of)
 
 
 def bullet_block(bullets: Column, number: Column) -> Column:
@@ -137,7 +150,7 @@ def rendered_issues(before: Column, after: Column, number: Column, doi: Column,
     front = lambda x: F.regexp_extract(or_empty(x), r"(?s)^---\n.*?\n---\n?", 0)
     lines = lambda x: F.size(F.split(or_empty(x), "\n"))
     mark = F.concat(F.lit("[^"), number.cast("string"), F.lit("]"))
-    blocks = F.regexp_extract_all(or_empty(after), F.lit(r"(?m)^\[\^(\d+)\]:(.*)$"), F.lit(2))
+    blocks = F.transform(footnotes(after), lambda x: x["text"])
     links = F.regexp_extract_all(or_empty(after), F.lit(r"\]\(#([^)]+)\)"), F.lit(1))
     slugs = F.transform(F.regexp_extract_all(or_empty(after), F.lit(r"(?m)^#{1,6}\s+(.+?)\s*$"), F.lit(1)), lambda h: F.regexp_replace(F.regexp_replace(F.lower(h), r"[^a-z0-9 \-]", ""), " +", "-"))
     anchors = F.concat(slugs, F.regexp_extract_all(or_empty(after), F.lit("id=[\"']([^\"']+)[\"']"), F.lit(1)))

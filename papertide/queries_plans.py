@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import classify, text
 from .plans import editing, normalize, validate
-from .queries import _key, query, table
+from .queries import _TITLE, _title, _key, query, table
 from .queries_rules import _doc, joined, matches, pick, pick_sql
 
 _QUOTES = ("The objective of this study was to evaluate whether citrus [12] lowers lipids (Miller, 2020) .", "aim was to assess whether [it](#x) helps ( ; ) .", "- Citrus [1, 2] is a fruit [^3] .", "Citrus trees are plants", "The citrus prevents colds", "10 mg of a, 2.5 µg of b and 3 g of c. End.", "10 mg of a. 2 mg of b. 3 mg of c.")
@@ -308,3 +308,30 @@ def older_plan_rules(spark, d):
     older = validate.older_names(F.array(F.lit("target_0_invalid_heading"), F.lit("target_0_bullet_1_x"), F.lit("target_1_y")))
     join = lambda x: F.array_join(x, ",")
     return table(spark, d, "documents").select("doc_id", join(validate.cited_reference_issues(pick(("background_fact", "source_finding"), n), F.lit(_PASSAGE), refs, evidence)).alias("references"), join(validate.exclusion_issues(out, evidence)).alias("exclusions"), join(made).alias("formulation"), join(older).alias("older"))
+
+
+def _block_sql(p: str) -> str:
+    page, src = f"CASE WHEN {p}.doi <> '' THEN 'https://doi.org/' || {p}.doi ELSE {p}.url END", f"{p}.url"
+    return f"concat_ws(chr(10), ' **Title:** [' || {p}.title || '](' || {page} || ')<br>', '**Publication:** [Source](' || {src} || ')<br>', '**Date:** Unknown<br>', '**Study Type:** Research Article<br>', '**Author(s):** Unknown<br>', CASE WHEN {p}.doi <> '' THEN '**DOI:** [' || {p}.doi || '](https://doi.org/' || {p}.doi || ')<br>' END, '**Source URL:** [' || {src} || '](' || {src} || ')')"
+
+
+@query(f"""
+WITH s AS (SELECT page_id, {_TITLE} AS t, trim(coalesce(url, '')) AS url, CASE WHEN length(html) % 2 = 0 THEN '10.5555/' || length(html) || '.' || page_id ELSE '' END AS doi FROM pages),
+p AS (SELECT page_id, CASE WHEN t = '' THEN 'Untitled Source' ELSE t END AS title, url, doi FROM s),
+n AS (SELECT a.page_id, a.url, a.doi, lower({_block_sql('a')}) AS own, lower({_block_sql('b')}) AS other FROM p a JOIN p b ON b.page_id = a.page_id + 1),
+q AS (SELECT page_id, own, other, unnest([{{'asked': 'both', 'doi': doi, 'url': url}}, {{'asked': 'url', 'doi': '', 'url': upper(url) || '//'}}, {{'asked': 'other doi', 'doi': '10.5555/none', 'url': url}}, {{'asked': 'none', 'doi': '', 'url': ''}}]) AS x FROM n),
+k AS (SELECT *, CASE WHEN x.doi <> '' THEN lower(x.doi) ELSE regexp_replace(lower(x.url), '/+$', '') END AS sought FROM q)
+SELECT page_id, x.asked AS asked, CASE WHEN sought <> '' AND contains(other, sought) THEN 4 WHEN sought <> '' AND contains(own, sought) THEN 7 ELSE 8 END AS number FROM k""")
+def shared_footnotes(spark, d):
+    """Pages with two sources' whole footnotes: the number that a source has there by its DOI or url, or the next free one."""
+    from .sources import writers
+
+    s = table(spark, d, "pages").select("page_id", _title().alias("title"), F.trim(F.coalesce("url", F.lit(""))).alias("url"), F.when(F.length("html") % 2 == 0, F.concat(F.lit("10.5555/"), F.length("html").cast("string"), F.lit("."), F.col("page_id").cast("string"))).otherwise("").alias("doi"))
+    none = {c: F.lit("") for c in ("reference_url", "journal", "pub_date", "study_type", "authors", "institutions", "abstract")} | {"archives": F.array().cast("array<string>")}
+    of = lambda n: s.withColumns(none).select("page_id", "url", "doi", writers.reference_block(F.lit(n)).alias("block"))
+    other = of(4).select((F.col("page_id") - 1).alias("page_id"), F.col("block").alias("first"))
+    page = of(7).join(other, "page_id").withColumn("page", F.concat_ws("\n\n", F.lit("# A"), "first", "block"))
+    ask = lambda asked, doi, url: F.struct(F.lit(asked).alias("asked"), doi.alias("doi"), url.alias("url"))
+    asks = F.array(ask("both", F.col("doi"), F.col("url")), ask("url", F.lit(""), F.concat(F.upper("url"), F.lit("//"))), ask("other doi", F.lit("10.5555/none"), F.col("url")), ask("none", F.lit(""), F.lit("")))
+    q = page.select("page_id", "page", F.explode(asks).alias("x"))
+    return q.select("page_id", "x.asked", editing.shared_reference(F.col("page"), F.col("x.doi"), F.col("x.url")).alias("number"))
