@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import jobs, papers
 from .queries import query, table
 from .sources.tables import KeyedTable, Unique, shared_folder
+from .streaming import leases
 
 _LAST = """SELECT client_id, arg_max(struct_pack(op := op, source := source, segment := segment, city := city, balance := balance), (coalesce(valid_at, TIMESTAMP '1970-01-01'), seq, change_id)) AS x FROM client_changes GROUP BY client_id"""
 
@@ -69,3 +70,25 @@ def refused_appends(spark, d):
     rows = early.where(~is_open).unionByName(early.join(first, "sale_id", "left_semi")).drop("early")
     stored = KeyedTable.create(spark, shared_folder(spark), rows, "sale_id", unique=(Unique("client_id", "status = 'open'"),))
     return stored.append(s.where("not early").drop("early")).select("sale_id", "client_id", "total")
+
+
+#: events' kinds as states of jobs.
+_AS_STATE = {"signup": "queued", "click": "scraping", "view": "leased", "purchase": "pr_open", "error": "failed"}
+_STATE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _AS_STATE.items()) + " ELSE 'retry' END"
+
+
+@query(f"""
+WITH e AS (SELECT DISTINCT ON (event_id) event_id, user_id AS job_id, ts, {_STATE_SQL} AS state FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+l AS (SELECT *, lead(ts) OVER w AS next, row_number() OVER w AS n, (SELECT max(ts) FROM e) AS latest FROM e WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
+x AS (SELECT job_id, 'expired' AS what, state, ts, n FROM l WHERE state IN ('scraping', 'leased') AND CASE WHEN next IS NULL THEN ts + INTERVAL 2 HOUR < latest - INTERVAL 1 HOUR ELSE next > ts + INTERVAL 2 HOUR END
+  UNION ALL SELECT job_id, 'state', state, ts, n FROM l WHERE next IS NULL)
+SELECT job_id, what, state, epoch_us(ts)::BIGINT AS at, n AS n_events FROM x""")
+def lease_timers(spark, d):
+    """events as a stream of job events: each job's state, and the leases that ended unheard of, by timers on event time."""
+    e = table(spark, d, "events")
+    state = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _AS_STATE.items() for x in kv]), F.col("event_type")), F.lit("retry"))
+    # a pattern, as a stream takes no path of one file
+    stream = spark.readStream.schema(e.schema).parquet(f"{d}/event[s].parquet").where("user_id IS NOT NULL AND ts IS NOT NULL")
+    folder = shared_folder(spark)
+    leases.run_once(leases.watched(stream.select(F.col("user_id").alias("job_id"), "event_id", state.alias("to_state"), F.col("ts").alias("created_at")), seconds=7200), folder)
+    return spark.read.parquet(f"{folder}/out")
