@@ -88,7 +88,8 @@ def retrieve(pages: DataFrame, packets: DataFrame, domain: str, include_backgrou
     def mentions(f: str) -> Column:
         return F.aggregate("entity_matches", F.lit(0), lambda a, x: a + F.least(phrase_count(F.col(f"__{f}"), x), F.lit(3)))
 
-    parts = {f: mentions(f) * w for f, w in RETRIEVAL.items()}
+    # a page's own title is another thing than the source's
+    parts = {"source_title" if f == "title" else f: mentions(f) * w for f, w in RETRIEVAL.items()}
     phrases = lambda xs: F.filter(F.transform(xs, normalize), lambda p: (p != "") & ~p.isin(*GENERIC) & (phrase_count(all_, p) > 0))
     folders = F.split("path", "/")
     parts["tags"] = F.least(F.size(phrases(F.coalesce("tags", F.array().cast("array<string>")))), F.lit(8)) * 18.0

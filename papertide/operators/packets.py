@@ -7,15 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify, ids
-from ..functions.text import collapse, first_nonempty, has_phrase, key, or_empty, or_null, overlap_ratio, sentences, strip, strip_markup
+from ..functions.text import collapse, has_phrase, key, or_empty, or_null, sentences, strip, strip_markup
 from ..functions.values import best, date_from_parts
+from . import survivorship
+from .survivorship import PLACEHOLDERS
 
 #: The order of section groups in a context and the characters of each, and of all.
 BUDGETS = {"abstract": 7_000, "results": 25_000, "traditional": 5_000, "introduction": 10_000, "conclusion": 3_000, "discussion": 5_000}
 TOTAL = 55_000
-#: Metadata that means nothing, normalized, and authors that hold page text.
-PLACEHOLDERS = {"authors": ("author", "authors", "author s", "authors and affiliations", "unknown", "n a"), "journal": ("journal", "ovid", "publisher", "source", "unknown", "n a"), "pub_date": ("date", "published", "unknown", "n a")}
-POLLUTED = r"highlights •|abstract quercetin|author links open overlay"
 REFERENCES = r"(?im)^#{1,6}\s+(?:references|bibliography|works cited)\s*$"
 _DOI_WHOLE = r"(?i)^10\.\d{4,9}/[-._;()/:a-z0-9]+$"
 
@@ -177,46 +176,14 @@ def choose_abstract(groups: list[Column], least: int = 120) -> Column:
 
 
 def is_placeholder(name: str, x: Column) -> Column:
+    """Whether a packet's field is blank, or a word for nothing."""
     text = collapse(or_empty_column(x))
     return (text == "") | key(text).isin(*PLACEHOLDERS[name])
 
 
-def survive(packets: DataFrame, crossref: DataFrame, pubmed: DataFrame) -> DataFrame:
-    """packets(packet_id, title, doi, authors, journal, pub_date, abstract, url) with the gaps filled from two registries, by packet_id, in order.
-
-    Adds `repairs`, what was replaced and from where, and `doi_title_score`, with `consistency` if the titles differ.
-    """
-    names = ("title", "doi", "authors", "journal", "pub_date", "abstract")
-    side = lambda df, tag: df.select("packet_id", *[collapse(or_empty(c)).alias(f"{tag}_{c}") if c in df.columns else F.lit("").alias(f"{tag}_{c}") for c in names], F.lit(True).alias(f"has_{tag}"))
-    df = packets.join(side(crossref, "crossref"), "packet_id", "left").join(side(pubmed, "pubmed"), "packet_id", "left")
-    repairs: list[Column] = []
-    raw = collapse(or_empty("doi"))
-    own_doi = ids.doi("doi", "url", lower=False)
-    repairs.append(F.when(raw != own_doi, "doi:discarded_placeholder_or_normalized"))
-    now: dict[str, Column] = {"doi": own_doi, "title": collapse(or_empty("title")), "abstract": collapse(or_empty("abstract"))}
-    for c in ("authors", "journal", "pub_date"):
-        text = collapse(or_empty(c))
-        repairs.append(F.when((text != "") & is_placeholder(c, F.col(c)), f"{c}:discarded_placeholder"))
-        now[c] = F.when(is_placeholder(c, F.col(c)), "").otherwise(text)
-    score = F.when(F.col("has_crossref") & (now["doi"] != "") & (now["title"] != "") & (F.col("crossref_title") != ""), F.round(overlap_ratio(now["title"], F.col("crossref_title")), 4))
-    df = df.withColumns({f"__{c}": x for c, x in now.items()} | {"doi_title_score": score})
-    fills: dict[str, Column] = {}
-    for c in ("doi", "title", "authors", "journal", "pub_date"):
-        a, b = ((ids.doi(F.col(f"{t}_doi"), lower=False) if c == "doi" else or_empty(f"{t}_{c}")) for t in ("crossref", "pubmed"))
-        empty = F.col(f"__{c}") == ""
-        repairs.append(F.when(empty & (a != ""), f"{c}:recovered_from_crossref").when(empty & (b != ""), f"{c}:recovered_from_pubmed"))
-        fills[c] = first_nonempty(F.col(f"__{c}"), a, b)
-    other = first_nonempty(or_empty("crossref_authors"), or_empty("pubmed_authors"))
-    polluted = (other != "") & ((F.length(fills["authors"]) > 1200) | F.regexp_like(F.lower(fills["authors"]), F.lit(POLLUTED)))
-    repairs.append(F.when(polluted, "authors:replaced_polluted_from_external_metadata"))
-    fills["authors"] = F.when(polluted, other).otherwise(fills["authors"])
-    registry = or_empty("crossref_abstract")
-    filled = F.when(F.col("__abstract") == "", registry).otherwise(F.col("__abstract"))
-    cut = (registry != "") & (filled.endswith("…") | filled.endswith("...") | ((F.length(filled) < 120) & (F.length(registry) > F.length(filled))))
-    repairs.append(F.when((registry != "") & ((F.col("__abstract") == "") | cut), "abstract:recovered_from_crossref"))
-    fills["abstract"] = F.when(cut, registry).otherwise(filled)
-    out = df.withColumns({f"__out_{c}": x for c, x in fills.items()} | {"repairs": F.array_distinct(F.array_compact(F.array(*repairs))), "consistency": F.when(F.col("doi_title_score") < 0.75, F.array(F.lit("doi_title_mismatch"))).otherwise(F.array().cast("array<string>"))})
-    return out.select("packet_id", *[F.col(f"__out_{c}").alias(c) for c in names], "repairs", "doi_title_score", "consistency")
+def survive(packets: DataFrame, crossref: DataFrame, pubmed: DataFrame, unpaywall: DataFrame | None = None) -> DataFrame:
+    """packets with the gaps filled from registries, by packet_id, in order: see survivorship."""
+    return survivorship.survive(packets, {"crossref": crossref, "pubmed": pubmed} | ({"unpaywall": unpaywall} if unpaywall is not None else {}))
 
 
 def gate(packets: DataFrame) -> DataFrame:

@@ -706,3 +706,36 @@ def title_matches(spark, d):
     line = F.array_join(F.slice(F.split(text.key(F.get(F.split("text", "\n"), F.lit(0))), " "), 1, 4), " ")
     pages = docs.select(F.concat_ws("/", "lang", _doc().cast("string")).alias("path"), line.alias("title"), F.concat(F.lit("p"), _doc().cast("string")).alias("stem"))
     return catalog.title_matches(pages, table(spark, d, "benchmark").select(F.col("item_id").alias("title_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("wanted")))
+
+
+_GENERIC = ", ".join(quoted(x) for x in catalog.GENERIC)
+_STOP = ", ".join(quoted(x) for x in catalog.STOPWORDS)
+_SAID = lambda x, p: f"CASE WHEN {p} = '' OR {x} = '' THEN 0 ELSE len(regexp_extract_all({x}, '(?:^| )' || {p} || '(?:$| )')) END"
+_PHRASES = lambda xs: f"list_filter({xs}, lambda p: p <> '' AND p NOT IN ({_GENERIC}) AND {_SAID('every', 'p')} > 0)"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, lang, source, text, {_key("string_split(text, chr(10))[1]")} AS head, {_key('text')} AS body FROM documents WHERE lang = 'en' AND text IS NOT NULL),
+g AS (SELECT *, 'en/' || coalesce(nullif(split_part(body, ' ', 3), ''), 'x') || '/' || doc_id || '.md' AS path, [split_part(body, ' ', 4), upper(split_part(body, ' ', 5)), source] AS tags, regexp_replace(array_to_string(string_split(head, ' ')[1:2], ' '), '^(?:the|what is|what are|an introduction to)\\s+', '') AS alias, regexp_replace(string_split(head, ' ')[1], '^(?:the|what is|what are|an introduction to)\\s+', '') AS stem FROM d),
+n AS (SELECT *, list_filter(list_distinct([alias, stem]), lambda x: length(x) >= 4 AND x NOT IN ({_GENERIC})) AS names FROM g),
+i AS (SELECT item_id, {_key("split_part(text, '. ', 1)")} AS t, {_key("split_part(text, '. ', 2)")} AS k, {_key('text')} AS a, {_key("repeat(split_part(text, '. ', 1) || ' ', 4)")} AS f FROM benchmark),
+e AS (SELECT *, trim(regexp_replace(concat_ws(' ', t, k, a, f, ''), ' +', ' ', 'g')) AS every FROM i),
+m AS (SELECT item_id, path, t, k, a, f, every, tags, body, list_filter(names, lambda x: {_SAID('t', 'x')} + {_SAID('k', 'x')} + {_SAID('a', 'x')} + {_SAID('f', 'x')} > 0) AS named FROM e JOIN n ON len(list_filter(names, lambda x: contains(' ' || every || ' ', ' ' || x || ' '))) > 0),
+c AS (SELECT item_id, path, list_sort(named) AS named, {' + '.join(f"coalesce(list_sum(list_transform(named, lambda x: least({_SAID(c, 'x')}, 3))), 0) * {w}" for c, w in (('t', 240), ('k', 180), ('a', 120), ('f', 25)))} AS said,
+    least(len({_PHRASES(f"list_transform(tags, lambda p: {_key('p')})")}), 8) * 18.0 AS tagged, len(list_distinct({_PHRASES(f"[{_key("split_part(path, '/', 2)")}]")})) * 30.0 AS category,
+    list_sort(list_filter(list_distinct(list_intersect(string_split(every, ' '), string_split(body, ' '))), lambda w: length(w) >= 5 AND w NOT IN ({_STOP}))) AS shared FROM m WHERE len(named) > 0),
+s AS (SELECT *, round(said + tagged + category + least(len(shared), 20) * 1.5, 2) AS score FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, lower(path), path) AS rank FROM s)
+SELECT item_id AS packet_id, path, rank::INT AS rank, score::DOUBLE AS score, array_to_string(named, ',') AS named, array_to_string(shared[1:30], ',') AS matched_terms, tagged::DOUBLE AS tags, category::DOUBLE AS category, (least(len(shared), 20) * 1.5)::DOUBLE AS body FROM r WHERE rank <= 10""")
+def ranked_retrieval(spark, d):
+    """The ten pages (documents by their first words) that each packet (benchmark item) is most about, with the parts of the score."""
+    body = text.key("text")
+    word = lambda n: F.coalesce(F.get(F.split(body, " "), F.lit(n - 1)), F.lit(""))
+    head = F.split(text.key(F.get(F.split("text", "\n"), F.lit(0))), " ")
+    folder = F.when(word(3) == "", "x").otherwise(word(3))
+    pages = table(spark, d, "documents").where("lang = 'en' AND text IS NOT NULL").select(F.concat_ws("/", F.lit("en"), folder, F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), F.array_join(F.slice(head, 1, 2), " ").alias("title"), F.get(head, F.lit(0)).alias("stem"), F.array(word(4), F.upper(word(5)), "source").alias("tags"), F.col("text").alias("body"))
+    part = lambda n: F.coalesce(F.get(F.split("text", r"\. "), F.lit(n - 1)), F.lit(""))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("packet_id"), part(1).alias("title"), part(2).alias("keywords"), F.col("text").alias("abstract"), F.concat(F.repeat(F.concat(part(1), F.lit(" ")), 4), F.lit("\n# References\nnone of this counts")).alias("full_text"), F.lit("").alias("alert"))
+    found = catalog.retrieve(pages, items, "en")
+    component = lambda c: F.coalesce(F.try_element_at("score_components", F.lit(c)), F.lit(0.0)).alias(c)
+    return found.select("packet_id", "path", "rank", "score", F.array_join("entity_matches", ",").alias("named"), F.array_join("matched_terms", ",").alias("matched_terms"), *map(component, ("tags", "category", "body")))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import classify, text
+from .operators import packets, survivorship
 from .plans import editing, normalize, validate
 from .queries import _TITLE, _title, _key, query, table
-from .queries_rules import _doc, joined, matches, pick, pick_sql
+from .queries_rules import _doc, joined, matches, pick, pick_sql, quoted
 
 _QUOTES = ("The objective of this study was to evaluate whether citrus [12] lowers lipids (Miller, 2020) .", "aim was to assess whether [it](#x) helps ( ; ) .", "- Citrus [1, 2] is a fruit [^3] .", "Citrus trees are plants", "The citrus prevents colds", "10 mg of a, 2.5 µg of b and 3 g of c. End.", "10 mg of a. 2 mg of b. 3 mg of c.")
 _PLAIN = ("Citrus lowers lipids.", "It helps.", "Citrus is a fruit.", "Citrus trees are plants", "The citrus prevents colds", "10 mg of a, 2.5 µg of b and 3 g of c. End.", "10 mg of a. 2 mg of b. 3 mg of c.")
@@ -335,3 +336,46 @@ def shared_footnotes(spark, d):
     asks = F.array(ask("both", F.col("doi"), F.col("url")), ask("url", F.lit(""), F.concat(F.upper("url"), F.lit("//"))), ask("other doi", F.lit("10.5555/none"), F.col("url")), ask("none", F.lit(""), F.lit("")))
     q = page.select("page_id", "page", F.explode(asks).alias("x"))
     return q.select("page_id", "x.asked", editing.shared_reference(F.col("page"), F.col("x.doi"), F.col("x.url")).alias("number"))
+
+
+_DOI_IN = lambda x: f"regexp_replace(regexp_extract({x}, '(?i)\\b10\\.[0-9]{{4,9}}/[-._;()/:A-Z0-9]+\\b', 0), '[).,;]+$', '')"
+_BLANK = {c: f"({_key(c)} = '' OR {_key(c)} IN ({', '.join(quoted(x) for x in xs)}))" for c, xs in survivorship.PLACEHOLDERS.items()}
+_WORDS = lambda x: f"list_distinct(list_filter(string_split({_key(x)}, ' '), lambda w: w <> ''))"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, n_chars, source, lang, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents),
+p AS (SELECT doc_id AS packet_id, trim(substr(t, 1, 60)) AS title, CASE n_chars % 5 WHEN 0 THEN 'Authors' WHEN 1 THEN '' WHEN 2 THEN trim(substr(t, 1, 1500)) ELSE split_part(t, ' ', 1) END AS authors, CASE WHEN lang = 'en' THEN 'Unknown' WHEN n_chars % 2 = 0 THEN '' ELSE source END AS journal, CASE WHEN n_chars % 3 = 0 THEN 'published' ELSE '2020-0' || (n_chars % 9) END AS pub_date,
+    trim(CASE n_chars % 4 WHEN 0 THEN '' WHEN 1 THEN substr(t, 1, 100) || '...' WHEN 2 THEN substr(t, 1, 80) ELSE substr(t, 1, 400) END) AS abstract, CASE n_chars % 4 WHEN 0 THEN 'DOI: 10.5555/' || n_chars || '.' WHEN 1 THEN '10.5555/' || n_chars ELSE '' END AS doi,
+    CASE WHEN n_chars % 7 = 0 THEN 'https://pmc.ncbi.nlm.nih.gov/' || n_chars ELSE 'https://x.org/' || n_chars END AS url, CASE WHEN n_chars % 3 = 1 THEN 'https://y.org/10.6666/r' || n_chars ELSE '' END AS requested_url, substr(t, 1, n_chars % 900) || ' see 10.7777/b' || n_chars || ' there ' || t AS body FROM t),
+r AS (SELECT doc_id - 1 AS packet_id, CASE WHEN n_chars % 2 = 0 THEN trim(substr(t, 1, 50)) ELSE '' END AS title, CASE WHEN n_chars % 3 = 0 THEN '10.8888/' || n_chars || ',' ELSE '' END AS doi, CASE WHEN n_chars % 4 < 2 THEN trim(substr(t, 1, 12)) ELSE '' END AS authors, CASE WHEN n_chars % 2 = 1 THEN source ELSE '' END AS journal, CASE WHEN n_chars % 5 < 3 THEN '2021' ELSE '' END AS pub_date, trim(substr(t, 1, 300)) AS abstract FROM t WHERE n_chars % 6 > 0),
+m AS (SELECT doc_id - 2 AS packet_id, trim(substr(t, 1, 40)) AS title, '10.9999/' || n_chars AS doi, trim(substr(t, 1, 9)) AS authors, 'pub ' || source AS journal, '2022' AS pub_date, n_chars::VARCHAR AS pmid FROM t WHERE n_chars % 5 > 0),
+u AS (SELECT doc_id AS packet_id, quality = 1 AS is_open, CASE WHEN toxic = 0 THEN 'https://oa.org/' || doc_id ELSE '' END AS best FROM labels),
+d AS (SELECT *, coalesce(nullif({_DOI_IN('doi')}, ''), nullif({_DOI_IN('url')}, ''), nullif({_DOI_IN('requested_url')}, ''), {_DOI_IN('substr(body, 1, 5000)')}) AS own_doi, CASE WHEN {_BLANK['authors']} THEN '' ELSE authors END AS a0, CASE WHEN {_BLANK['journal']} THEN '' ELSE journal END AS j0, CASE WHEN {_BLANK['pub_date']} THEN '' ELSE pub_date END AS d0 FROM p),
+x AS (SELECT d.*, coalesce(r.title, '') AS rt, coalesce({_DOI_IN('r.doi')}, '') AS rd, coalesce(r.authors, '') AS ra, coalesce(r.journal, '') AS rj, coalesce(r.pub_date, '') AS rp, coalesce(r.abstract, '') AS rb, coalesce(m.title, '') AS mt, coalesce(m.doi, '') AS md, coalesce(m.authors, '') AS ma, coalesce(m.journal, '') AS mj, coalesce(m.pub_date, '') AS mp,
+    coalesce(m.pmid, '') AS pmid, r.packet_id IS NOT NULL AS has_r, m.packet_id IS NOT NULL AS has_m, u.packet_id IS NOT NULL AS has_u, coalesce(u.is_open, false) OR contains(url, 'pmc.ncbi.nlm.nih.gov') AS is_open_access, coalesce(u.best, '') AS best_open_access_url FROM d LEFT JOIN r USING (packet_id) LEFT JOIN m USING (packet_id) LEFT JOIN u USING (packet_id)),
+y AS (SELECT *, coalesce(nullif(a0, ''), nullif(ra, ''), ma) AS a1, coalesce(nullif(ra, ''), ma) AS ax, CASE WHEN abstract = '' THEN rb ELSE abstract END AS b1, {_WORDS('title')} AS w1, {_WORDS('rt')} AS w2, {_key('title')} = {_key('rt')} AS same FROM x),
+z AS (SELECT *, ax <> '' AND (length(a1) > 1200 OR regexp_matches(lower(a1), 'highlights •|abstract quercetin|author links open overlay')) AS dirty, rb <> '' AND (ends_with(b1, '...') OR ends_with(b1, '…') OR (length(b1) < 120 AND length(rb) > length(b1))) AS short,
+    CASE WHEN own_doi <> '' AND title <> '' AND rt <> '' THEN CASE WHEN len(w1) = 0 OR len(w2) = 0 THEN 0.0 WHEN same THEN 1.0 ELSE round(len(list_intersect(w1, w2)) / greatest(len(w1), len(w2)), 4) END END AS score FROM y)
+SELECT packet_id, coalesce(nullif(title, ''), nullif(rt, ''), mt) AS title, coalesce(nullif(own_doi, ''), nullif(rd, ''), md) AS doi, CASE WHEN dirty THEN ax ELSE a1 END AS authors, coalesce(nullif(j0, ''), nullif(rj, ''), mj) AS journal, coalesce(nullif(d0, ''), nullif(rp, ''), mp) AS pub_date, CASE WHEN short THEN rb ELSE b1 END AS abstract,
+  concat_ws(',', CASE WHEN doi <> own_doi THEN 'doi:discarded_placeholder_or_normalized' END, CASE WHEN authors <> '' AND a0 = '' THEN 'authors:discarded_placeholder' END, CASE WHEN journal <> '' AND j0 = '' THEN 'journal:discarded_placeholder' END, CASE WHEN pub_date <> '' AND d0 = '' THEN 'pub_date:discarded_placeholder' END,
+    CASE WHEN own_doi = '' AND rd <> '' THEN 'doi:recovered_from_crossref' WHEN own_doi = '' AND md <> '' THEN 'doi:recovered_from_pubmed' END, CASE WHEN title = '' AND rt <> '' THEN 'title:recovered_from_crossref' WHEN title = '' AND mt <> '' THEN 'title:recovered_from_pubmed' END, CASE WHEN a0 = '' AND ra <> '' THEN 'authors:recovered_from_crossref' WHEN a0 = '' AND ma <> '' THEN 'authors:recovered_from_pubmed' END,
+    CASE WHEN dirty THEN 'authors:replaced_polluted_from_external_metadata' END, CASE WHEN j0 = '' AND rj <> '' THEN 'journal:recovered_from_crossref' WHEN j0 = '' AND mj <> '' THEN 'journal:recovered_from_pubmed' END, CASE WHEN d0 = '' AND rp <> '' THEN 'pub_date:recovered_from_crossref' WHEN d0 = '' AND mp <> '' THEN 'pub_date:recovered_from_pubmed' END, CASE WHEN rb <> '' AND (abstract = '' OR short) THEN 'abstract:recovered_from_crossref' END) AS repairs,
+  score AS doi_title_score, coalesce(score < 0.75, false) AS mismatch, concat_ws(',', CASE WHEN has_r THEN 'crossref' END, CASE WHEN has_m THEN 'pubmed' END, CASE WHEN has_u THEN 'unpaywall' END) AS enrichment_sources, pmid, is_open_access, best_open_access_url FROM z""")
+def survived_metadata(spark, d):
+    """Documents as packets with gaps, placeholders and other texts' pieces in them, repaired from three registries."""
+    n = F.col("n_chars")
+    s = n.cast("string")
+    t = table(spark, d, "documents").select("doc_id", "n_chars", "source", "lang", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("t"))
+    head = lambda k: F.trim(F.substring("t", 1, k))
+    p = t.select(
+        F.col("doc_id").alias("packet_id"), head(60).alias("title"), F.when(n % 5 == 0, "Authors").when(n % 5 == 1, "").when(n % 5 == 2, head(1500)).otherwise(F.substring_index("t", " ", 1)).alias("authors"), F.when(F.col("lang") == "en", "Unknown").when(n % 2 == 0, "").otherwise(F.col("source")).alias("journal"), F.when(n % 3 == 0, "published").otherwise(F.concat(F.lit("2020-0"), (n % 9).cast("string"))).alias("pub_date"),
+        F.trim(F.when(n % 4 == 0, "").when(n % 4 == 1, F.concat(F.substring("t", 1, 100), F.lit("..."))).when(n % 4 == 2, F.substring("t", 1, 80)).otherwise(F.substring("t", 1, 400))).alias("abstract"), F.when(n % 4 == 0, F.concat(F.lit("DOI: 10.5555/"), s, F.lit("."))).when(n % 4 == 1, F.concat(F.lit("10.5555/"), s)).otherwise("").alias("doi"),
+        F.concat(F.when(n % 7 == 0, "https://pmc.ncbi.nlm.nih.gov/").otherwise("https://x.org/"), s).alias("url"), F.when(n % 3 == 1, F.concat(F.lit("https://y.org/10.6666/r"), s)).otherwise("").alias("requested_url"), F.concat(F.expr("substr(t, 1, int(n_chars % 900))"), F.lit(" see 10.7777/b"), s, F.lit(" there "), "t").alias("body_markdown"),
+    )
+    part = lambda test, x: F.when(test, x).otherwise("")
+    crossref = t.where(n % 6 > 0).select((F.col("doc_id") - 1).alias("packet_id"), part(n % 2 == 0, head(50)).alias("title"), part(n % 3 == 0, F.concat(F.lit("10.8888/"), s, F.lit(","))).alias("doi"), part(n % 4 < 2, head(12)).alias("authors"), part(n % 2 == 1, F.col("source")).alias("journal"), part(n % 5 < 3, F.lit("2021")).alias("pub_date"), head(300).alias("abstract"))
+    pubmed = t.where(n % 5 > 0).select((F.col("doc_id") - 2).alias("packet_id"), head(40).alias("title"), F.concat(F.lit("10.9999/"), s).alias("doi"), head(9).alias("authors"), F.concat(F.lit("pub "), "source").alias("journal"), F.lit("2022").alias("pub_date"), s.alias("pmid"))
+    unpaywall = table(spark, d, "labels").select(F.col("doc_id").alias("packet_id"), (F.col("quality") == 1).alias("is_open_access"), part(F.col("toxic") == 0, F.concat(F.lit("https://oa.org/"), F.col("doc_id").cast("string"))).alias("best_open_access_url"))
+    found = packets.survive(p, crossref, pubmed, unpaywall)
+    return found.withColumns({"repairs": F.array_join("repairs", ","), "mismatch": F.size("consistency") > 0, "enrichment_sources": F.array_join("enrichment_sources", ",")}).drop("consistency")
