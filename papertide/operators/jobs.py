@@ -114,6 +114,16 @@ def requeue(jobs: DataFrame, ids_: DataFrame, now: Column) -> DataFrame:
     return df.withColumns({"attempt_count": F.when(hit, 0).otherwise(F.col("attempt_count")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at")), **cleared, "state": F.when(hit, "queued").otherwise(F.col("state"))}).select(jobs.columns)
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `n`, their place from 1 in the order of a text key: by the key's first characters, and what comes before those."""
+    rows = rows.withColumn("__start", F.substring(key, 1, 3))
+    # a row for each start: of keys that are digests 4,096
+    starts = rows.groupBy("__start").agg(F.count("*").alias("__many"))
+    before = starts.select("__start", (F.sum("__many").over(W.orderBy("__start")) - F.col("__many")).alias("__before"))
+    inside = F.row_number().over(W.partitionBy("__start").orderBy(key))
+    return rows.withColumn("__inside", inside).join(before, "__start").withColumn("n", F.col("__before") + F.col("__inside")).drop("__start", "__inside", "__before")
+
+
 def enqueue(articles: DataFrame, jobs: DataFrame, probes: DataFrame, domain: str, max_attempts: int = 3) -> DataFrame:
     """probes(identifier): a new job for each article found that has a url, unless an active job has its key, url or canonical url; then that job, the newest one.
 
@@ -131,9 +141,7 @@ def enqueue(articles: DataFrame, jobs: DataFrame, probes: DataFrame, domain: str
     old = df.where("job is not null").select("job.job_id", F.lit(False).alias("created"), "article_key", "source_url", "canonical_source_url", *rest, "job.state", "job.max_attempts")
     new = keep_first(df.where("job is null"), F.col("canonical_source_url"), [F.col("article_key")])
     last = jobs.agg(F.coalesce(F.max("job_id"), F.lit(0))).scalar()
-    # probes are what one request names
-    n = F.row_number().over(W.orderBy("article_key"))
-    fresh = new.select((last + n).alias("job_id"), F.lit(True).alias("created"), "article_key", "source_url", "canonical_source_url", *rest, F.lit("queued").alias("state"), F.lit(max_attempts).alias("max_attempts"))
+    fresh = numbered(new, "article_key").select((last + F.col("n")).alias("job_id"), F.lit(True).alias("created"), "article_key", "source_url", "canonical_source_url", *rest, F.lit("queued").alias("state"), F.lit(max_attempts).alias("max_attempts"))
     return old.unionAll(fresh)
 
 

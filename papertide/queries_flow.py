@@ -21,7 +21,7 @@ def _now():
 
 
 _NOW_SQL = "TIMESTAMP '2024-02-01'"
-_ARTICLES = f"""SELECT doc_id::VARCHAR AS article_key, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 'p' || (doc_id % 200) END AS paper_key, source AS alert_name, 'Title ' || doc_id AS title,
+_ARTICLES = f"""SELECT doc_id::VARCHAR AS article_key, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 'p' || (doc_id // 5) END AS paper_key, source AS alert_name, 'Title ' || doc_id AS title,
   CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'http://www.' || lang || '.org/' || (doc_id % 300) END AS article_url, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'http://s.org/' || doc_id END AS scholar_url,
   (n_chars % 23 - 5)::INT AS score, {pick_sql(('selected', 'review', 'selected', 'rejected', 'invalid'), 'doc_id')} AS status, CASE WHEN doc_id % 8 = 0 THEN TIMESTAMP '2024-01-01' END AS processed_at,
   TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (doc_id % 977) AS created_at, TIMESTAMP '2024-01-02' AS updated_at, doc_id % 3 = 0 AS is_open_access, (doc_id % 7)::INT AS rank_in_email, lang AS domain FROM documents"""
@@ -30,7 +30,7 @@ _ARTICLES = f"""SELECT doc_id::VARCHAR AS article_key, CASE WHEN doc_id % 9 = 0
 def _articles(spark, d):
     n = _doc().cast("string")
     day = lambda x: F.lit(f"2024-01-0{x} 00:00:00").cast("timestamp_ntz")
-    paper = F.when(_doc() % 9 != 0, F.concat(F.lit("p"), (_doc() % 200).cast("string")))
+    paper = F.when(_doc() % 9 != 0, F.concat(F.lit("p"), F.expr("doc_id div 5").cast("string")))
     url = F.when(_doc() % 6 == 0, "").otherwise(F.concat(F.lit("http://www."), "lang", F.lit(".org/"), (_doc() % 300).cast("string")))
     return table(spark, d, "documents").select(
         n.alias("article_key"), paper.alias("paper_key"), F.col("source").alias("alert_name"), F.concat(F.lit("Title "), n).alias("title"), url.alias("article_url"), F.when(_doc() % 4 != 0, F.concat(F.lit("http://s.org/"), n)).alias("scholar_url"),
@@ -41,13 +41,13 @@ def _articles(spark, d):
 
 _PAPERS = f"""SELECT 'p' || doc_id AS paper_key, 'Paper ' || doc_id AS title, 'https://x.org/' || doc_id AS canonical_url, '10.1/' || doc_id AS doi, CASE WHEN doc_id % 5 = 0 THEN '' ELSE (70000 + doc_id)::VARCHAR END AS pmid,
   {pick_sql((*values.WORKFLOW, None), 'doc_id')} AS workflow_state, CASE WHEN doc_id % 3 = 0 THEN 'a/' || doc_id ELSE '' END AS matched_content_path, CASE WHEN doc_id % 4 = 0 THEN 'z' END AS archived_source_path,
-  TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (doc_id % 5) AS updated_at, CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2023-01-01' END AS scraped_at, CAST(NULL AS TIMESTAMP) AS pr_opened_at FROM documents WHERE doc_id < 200"""
+  TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (doc_id % 5) AS updated_at, CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2023-01-01' END AS scraped_at, CAST(NULL AS TIMESTAMP) AS pr_opened_at FROM documents"""
 
 
 def _papers(spark, d):
     n = _doc().cast("string")
     at = lambda x: F.lit(x).cast("timestamp_ntz")
-    return table(spark, d, "documents").where("doc_id < 200").select(
+    return table(spark, d, "documents").select(
         F.concat(F.lit("p"), n).alias("paper_key"), F.concat(F.lit("Paper "), n).alias("title"), F.concat(F.lit("https://x.org/"), n).alias("canonical_url"), F.concat(F.lit("10.1/"), n).alias("doi"), F.when(_doc() % 5 == 0, "").otherwise((_doc() + 70000).cast("string")).alias("pmid"),
         pick((*values.WORKFLOW, None), _doc()).alias("workflow_state"), F.when(_doc() % 3 == 0, F.concat(F.lit("a/"), n)).otherwise("").alias("matched_content_path"), F.when(_doc() % 4 == 0, "z").alias("archived_source_path"),
         (at("2024-01-01 00:00:00") + F.make_dt_interval(days=(_doc() % 5).cast("int"))).alias("updated_at"), F.when(_doc() % 2 == 0, at("2023-01-01 00:00:00")).alias("scraped_at"), at(None).alias("pr_opened_at"),
@@ -55,14 +55,14 @@ def _papers(spark, d):
 
 
 _STATES = ("queued", "retry", "failed", "leased", "rejected", "pr_open", "validated", "needs_review", "scraping")
-_JOBS = f"""SELECT event_id AS job_id, (event_id * 7 % 1500)::VARCHAR AS article_key, 'http://s.org/' || (event_id % 2000) AS source_url, CAST(NULL AS VARCHAR) AS canonical_source_url, {pick_sql(_STATES, 'event_id')} AS state, (event_id % 4)::INT AS attempt_count, 3 AS max_attempts,
+_JOBS = f"""SELECT event_id AS job_id, (event_id // 2 * 7)::VARCHAR AS article_key, 'http://s.org/' || (event_id // 3 * 11) AS source_url, CAST(NULL AS VARCHAR) AS canonical_source_url, {pick_sql(_STATES, 'event_id')} AS state, (event_id % 4)::INT AS attempt_count, 3 AS max_attempts,
   {pick_sql(('w1', None, 'w2'), 'event_id')} AS lease_owner, ts AS lease_expires_at, ts AS next_run_at, ts AS updated_at, CASE WHEN event_id % 2 = 0 THEN ts END AS finished_at, CASE WHEN event_id % 3 = 0 THEN 'r' || event_id ELSE '' END AS run_id, CASE WHEN event_id % 5 = 0 THEN 'http://pr/' || event_id END AS pr_url, event_type AS error FROM events"""
 
 
 def _jobs(spark, d):
     e, n = F.col("event_id"), F.col("event_id").cast("string")
     return table(spark, d, "events").select(
-        e.alias("job_id"), (e * 7 % 1500).cast("string").alias("article_key"), F.concat(F.lit("http://s.org/"), (e % 2000).cast("string")).alias("source_url"), F.lit(None).cast("string").alias("canonical_source_url"), pick(_STATES, e).alias("state"), (e % 4).cast("int").alias("attempt_count"), F.lit(3).alias("max_attempts"),
+        e.alias("job_id"), F.expr("event_id div 2 * 7").cast("string").alias("article_key"), F.concat(F.lit("http://s.org/"), F.expr("event_id div 3 * 11").cast("string")).alias("source_url"), F.lit(None).cast("string").alias("canonical_source_url"), pick(_STATES, e).alias("state"), (e % 4).cast("int").alias("attempt_count"), F.lit(3).alias("max_attempts"),
         pick(("w1", None, "w2"), e).alias("lease_owner"), F.col("ts").alias("lease_expires_at"), F.col("ts").alias("next_run_at"), F.col("ts").alias("updated_at"), F.when(e % 2 == 0, F.col("ts")).alias("finished_at"), F.when(e % 3 == 0, F.concat(F.lit("r"), n)).otherwise("").alias("run_id"), F.when(e % 5 == 0, F.concat(F.lit("http://pr/"), n)).alias("pr_url"), F.col("event_type").alias("error"),
     )
 
@@ -126,12 +126,12 @@ def article_faults(spark, d):
 
 
 @query(f"""
-WITH a AS ({_ARTICLES}), p AS ({_PAPERS}), q AS (SELECT 'https://x.org/' || doc_id || '/' AS identifier FROM documents WHERE doc_id < 250 UNION SELECT (70000 + doc_id)::VARCHAR FROM documents WHERE doc_id < 250 UNION SELECT scholar_url FROM a WHERE scholar_url IS NOT NULL),
+WITH a AS ({_ARTICLES}), p AS ({_PAPERS}), q AS (SELECT 'https://x.org/' || doc_id || '/' AS identifier FROM documents UNION SELECT (70000 + doc_id)::VARCHAR FROM documents UNION SELECT scholar_url FROM a WHERE scholar_url IS NOT NULL),
 m AS (SELECT identifier, paper_key FROM q JOIN p ON identifier = canonical_url || '/' OR (identifier = pmid) UNION SELECT identifier, a.paper_key FROM q JOIN a ON identifier = scholar_url JOIN p ON a.paper_key = p.paper_key)
 SELECT identifier, min(paper_key) AS paper_key FROM m GROUP BY identifier""")
 def resolve_via_articles(spark, d):
     """Identifiers to papers, by the papers themselves or else by urls of their articles."""
-    a, docs = _articles(spark, d), table(spark, d, "documents").where("doc_id < 250")
+    a, docs = _articles(spark, d), table(spark, d, "documents")
     probes = docs.select(F.concat(F.lit("https://x.org/"), _doc().cast("string"), F.lit("/")).alias("identifier")).union(docs.select((_doc() + 70000).cast("string"))).union(a.where("scholar_url is not null").select("scholar_url")).distinct()
     return intake.resolve_with_articles(_papers(spark, d), a, probes)
 
@@ -151,18 +151,18 @@ SELECT paper_key, CASE WHEN changed THEN [{', '.join(quoted(x) for x in values.W
   CASE WHEN changed THEN {_NOW_SQL} ELSE updated_at END AS updated_at, coalesce(scraped_at, CASE WHEN changed AND rank >= 2 THEN {_NOW_SQL} END) AS scraped_at, CASE WHEN changed AND rank >= 6 THEN {_NOW_SQL} END AS pr_opened_at FROM r"""
 
 
-@query(_ADVANCED.format(f"SELECT 'p' || doc_id AS paper_key, {pick_sql((None, 'drafted', 'scraped'), 'doc_id')} AS state, CASE WHEN doc_id % 4 = 1 THEN 'n/' || doc_id ELSE '' END AS path, CASE WHEN doc_id % 5 = 0 THEN 'c' END AS commit, CASE WHEN doc_id % 11 = 0 THEN 'r' END AS pr FROM documents WHERE doc_id < 200 AND doc_id % 3 > 0"))
+@query(_ADVANCED.format(f"SELECT 'p' || doc_id AS paper_key, {pick_sql((None, 'drafted', 'scraped'), 'doc_id')} AS state, CASE WHEN doc_id % 4 = 1 THEN 'n/' || doc_id ELSE '' END AS path, CASE WHEN doc_id % 5 = 0 THEN 'c' END AS commit, CASE WHEN doc_id % 11 = 0 THEN 'r' END AS pr FROM documents WHERE n_chars % 3 > 0"))
 def paper_progress(spark, d):
     """Papers after changes of state: states only rise, evidence raises them, times are set once."""
     n = _doc().cast("string")
-    changes = table(spark, d, "documents").where("doc_id < 200 and doc_id % 3 > 0").select(F.concat(F.lit("p"), n).alias("paper_key"), pick((None, "drafted", "scraped"), _doc()).alias("state"), F.when(_doc() % 4 == 1, F.concat(F.lit("n/"), n)).otherwise("").alias("matched_content_path"), F.when(_doc() % 5 == 0, "c").alias("commit"), F.when(_doc() % 11 == 0, "r").alias("pr"), F.lit(None).cast("string").alias("archive_path"))
+    changes = table(spark, d, "documents").where("n_chars % 3 > 0").select(F.concat(F.lit("p"), n).alias("paper_key"), pick((None, "drafted", "scraped"), _doc()).alias("state"), F.when(_doc() % 4 == 1, F.concat(F.lit("n/"), n)).otherwise("").alias("matched_content_path"), F.when(_doc() % 5 == 0, "c").alias("commit"), F.when(_doc() % 11 == 0, "r").alias("pr"), F.lit(None).cast("string").alias("archive_path"))
     return papers.advance(_papers(spark, d), changes, _now()).select("paper_key", "workflow_state", "matched_content_path", "updated_at", "scraped_at", "pr_opened_at")
 
 
-@query(_ADVANCED.format("SELECT paper_key, 'committed' AS state, max(path) AS path, NULL AS commit, NULL AS pr FROM (SELECT source || '/' || (doc_id % 90) AS path, arg_max('p' || (doc_id % 200), doc_id) AS paper_key FROM documents GROUP BY 1) GROUP BY paper_key"))
+@query(_ADVANCED.format("SELECT paper_key, 'committed' AS state, max(path) AS path, NULL AS commit, NULL AS pr FROM (SELECT source || '/' || (n_chars // 9) AS path, arg_max('p' || (doc_id // 5), doc_id) AS paper_key FROM documents GROUP BY 1) GROUP BY paper_key"))
 def path_progress(spark, d):
     """Papers raised to a state by the paths that stand for them; the last record of a path counts."""
-    records = table(spark, d, "documents").select(F.concat_ws("/", "source", (_doc() % 90).cast("string")).alias("path"), F.concat(F.lit("p"), (_doc() % 200).cast("string")).alias("paper_key"), _doc().alias("n"))
+    records = table(spark, d, "documents").select(F.concat_ws("/", "source", F.expr("n_chars div 9").cast("string")).alias("path"), F.concat(F.lit("p"), F.expr("doc_id div 5").cast("string")).alias("paper_key"), _doc().alias("n"))
     return papers.advance_paths(_papers(spark, d), records, "committed", _now()).select("paper_key", "workflow_state", "matched_content_path", "updated_at", "scraped_at", "pr_opened_at")
 
 
@@ -264,26 +264,26 @@ def topic_ranking(spark, d):
 
 
 @query(f"""
-WITH a AS (SELECT *, {_SOURCE} AS source_url FROM ({_ARTICLES})), j AS (SELECT * FROM ({_JOBS}) WHERE job_id % 97 = 0), p AS ({_PAPERS}),
+WITH a AS (SELECT *, {_SOURCE} AS source_url FROM ({_ARTICLES})), j AS ({_JOBS}), p AS ({_PAPERS}),
 e AS (SELECT a.*, {_CANON.format('a.source_url')} AS canon FROM a LEFT JOIN p ON a.paper_key = p.paper_key WHERE a.status = 'selected' AND domain = 'en' AND score >= 0 AND processed_at IS NULL AND coalesce(workflow_state, 'discovered') NOT IN ('drafted', 'committed', 'pr_open', 'merged')
   AND NOT EXISTS (SELECT 1 FROM j WHERE j.article_key = a.article_key OR j.source_url = a.article_url OR j.source_url = a.scholar_url) AND a.source_url <> ''),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY score DESC, created_at, article_key) AS place FROM e) WHERE place = 1 AND canon NOT IN (SELECT {_CANON.format('source_url')} FROM j WHERE state NOT IN ('pr_open', 'duplicate', 'rejected', 'failed')))
 SELECT (SELECT max(job_id) FROM j) + row_number() OVER (ORDER BY score DESC, created_at, article_key) AS job_id, article_key, source_url, canon AS canonical_source_url FROM f QUALIFY row_number() OVER (ORDER BY score DESC, created_at, article_key) <= 30""")
 def queue_backlog(spark, d):
     """The articles of the backlog that get new jobs."""
-    found = jobs.enqueue_backlog(_articles(spark, d), _papers(spark, d), _jobs(spark, d).where("job_id % 97 = 0"), "selected", "en", 0, 30)
+    found = jobs.enqueue_backlog(_articles(spark, d), _papers(spark, d), _jobs(spark, d), "selected", "en", 0, 30)
     return found.select("job_id", "article_key", "source_url", "canonical_source_url")
 
 
 @query(f"""
-WITH a AS (SELECT *, {_SOURCE} AS source_url FROM ({_ARTICLES})), j AS (SELECT * FROM ({_JOBS}) WHERE job_id < 300 AND state NOT IN ('pr_open', 'duplicate', 'rejected', 'failed')), w AS (SELECT *, {_CANON.format('source_url')} AS canon FROM a WHERE source_url <> ''),
+WITH a AS (SELECT *, {_SOURCE} AS source_url FROM ({_ARTICLES})), j AS (SELECT * FROM ({_JOBS}) WHERE state NOT IN ('pr_open', 'duplicate', 'rejected', 'failed')), w AS (SELECT *, {_CANON.format('source_url')} AS canon FROM a WHERE source_url <> ''),
 m AS (SELECT w.article_key, max(job_id) AS job_id FROM w JOIN j ON j.article_key = w.article_key OR j.source_url = w.source_url OR {_CANON.format('j.source_url')} = w.canon GROUP BY 1),
 n AS (SELECT * FROM (SELECT w.*, row_number() OVER (PARTITION BY canon ORDER BY article_key) AS place FROM w WHERE article_key NOT IN (SELECT article_key FROM m)) WHERE place = 1)
-SELECT m.job_id, false AS created, article_key, j.state FROM m JOIN j USING (job_id) UNION ALL SELECT 299 + row_number() OVER (ORDER BY article_key), true, article_key, 'queued' FROM n""".replace("SELECT m.job_id, false AS created, article_key, j.state FROM m JOIN j USING (job_id)", "SELECT m.job_id, false AS created, m.article_key, j.state FROM m JOIN j ON m.job_id = j.job_id"))
+SELECT m.job_id, false AS created, article_key, j.state FROM m JOIN j USING (job_id) UNION ALL SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY article_key), true, article_key, 'queued' FROM n""".replace("SELECT m.job_id, false AS created, article_key, j.state FROM m JOIN j USING (job_id)", "SELECT m.job_id, false AS created, m.article_key, j.state FROM m JOIN j ON m.job_id = j.job_id"))
 def queue_articles(spark, d):
     """A job for each article that is named, or the active job that is about it already."""
     a = _articles(spark, d)
-    found = jobs.enqueue(a, _jobs(spark, d).where("job_id < 300"), a.select(F.col("article_key").alias("identifier")), "en")
+    found = jobs.enqueue(a, _jobs(spark, d), a.select(F.col("article_key").alias("identifier")), "en")
     return found.select("job_id", "created", "article_key", "state")
 
 

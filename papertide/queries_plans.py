@@ -223,7 +223,7 @@ _SAID = "'`' || s || '` `c' || (event_id % 4) || '`' || CASE WHEN event_id % 2 =
 
 
 @query(f"""
-WITH e AS (SELECT user_id, event_id, event_id % 4 = 1 AS bad, (['review', 'blocking'])[1 + event_id % 2] AS s, event_type FROM events WHERE event_id % 6 < 2 OR user_id % 2 = 0), l AS (SELECT user_id, event_id, bad, {_SAID} AS said FROM e),
+WITH e AS (SELECT user_id, event_id, event_id % 4 = 1 AS bad, (['review', 'blocking'])[1 + event_id % 2] AS s, event_type FROM events), l AS (SELECT user_id, event_id, bad, {_SAID} AS said FROM e),
 g AS (SELECT user_id, string_agg('- ' || said, chr(10) ORDER BY event_id) FILTER (NOT bad) AS good, string_agg('- `evidence` ' || said || ' Validation errors: `x`, `y`.', chr(10) ORDER BY event_id) FILTER (bad) AS refused FROM l GROUP BY 1)
 SELECT user_id AS review_id, md5('### Validated critic findings' || chr(10) || chr(10) || coalesce(good, '- None') || chr(10) || chr(10) || '### Rejected critic observations (non-blocking)' || chr(10) || chr(10) || 'These observations failed critic-evidence validation and did not affect the publication gate decision.' || chr(10) || chr(10) || coalesce(refused, '- None')) AS audit FROM g""")
 def review_audits(spark, d):
@@ -231,7 +231,7 @@ def review_audits(spark, d):
     from .sources import writers
 
     e = F.col("event_id")
-    issues = table(spark, d, "events").where("event_id % 6 < 2 or user_id % 2 = 0").select(F.col("user_id").alias("review_id"), e.alias("n"), F.lit("evidence").alias("kind"), F.concat(F.lit("c"), (e % 4).cast("string")).alias("code"), pick(("review", "blocking"), e).alias("severity"), F.when(e % 2 == 0, (e % 3).cast("int")).alias("bullet_index"), F.when(e % 5 == 0, "").otherwise(F.concat(F.lit("a  `"), "event_type", F.lit("`\n b"))).alias("explanation"), F.when(e % 4 == 1, F.array(F.lit("x"), F.lit("y"))).alias("errors"))
+    issues = table(spark, d, "events").select(F.col("user_id").alias("review_id"), e.alias("n"), F.lit("evidence").alias("kind"), F.concat(F.lit("c"), (e % 4).cast("string")).alias("code"), pick(("review", "blocking"), e).alias("severity"), F.when(e % 2 == 0, (e % 3).cast("int")).alias("bullet_index"), F.when(e % 5 == 0, "").otherwise(F.concat(F.lit("a  `"), "event_type", F.lit("`\n b"))).alias("explanation"), F.when(e % 4 == 1, F.array(F.lit("x"), F.lit("y"))).alias("errors"))
     return writers.review_audit(issues).withColumn("audit", F.md5(F.col("audit").cast("binary")))
 
 
