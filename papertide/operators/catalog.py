@@ -156,12 +156,14 @@ def cited_in(pages: DataFrame, urls: DataFrame) -> DataFrame:
 
 #: Passages without a word inside that are compared with every text in one expression at most; more are looked up by characters.
 FEW = 1000
+#: Words of a passage of which the rarest is looked for.
+LONGEST = 3
 
 
 def containing(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """Pairs of documents(id, text) and passages(item_id, passage) where the text holds the passage as it is.
 
-    A passage is looked up by the rarest of its words but the first and last, which in a text may be parts of longer ones, and then compared
+    A passage is looked up by the rarest of its LONGEST longest words but the first and last, which in a text may be parts of longer ones, and then compared
     in full. One without such a word is looked up by its rarest run of three characters or fewer; if there are no more than FEW, they are compared with
     every text in one expression instead.
     """
@@ -169,7 +171,9 @@ def containing(documents: DataFrame, passages: DataFrame) -> DataFrame:
     docs = documents.where(F.col("text").isNotNull())
     words_ = lambda x: F.array_distinct(F.split(x, r"(?U)\s+"))
     inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
-    found = _found_by(docs, p.where(F.size("w") >= LEAST), words_(F.col("text")), F.array_distinct(inner))
+    # any of them leads to the passage; long words are rare ones mostly, and only theirs are counted
+    longest = F.slice(F.sort_array(F.transform(F.array_distinct(inner), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), 1, LONGEST)
+    found = _found_by(docs, p.where(F.size("w") >= LEAST), words_(F.col("text")), F.transform(longest, lambda x: x["w"]))
     short = p.where(F.size("w") < LEAST).select("item_id", "passage")
     if short.limit(FEW + 1).count() > FEW:
         runs = lambda x, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))

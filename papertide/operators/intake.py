@@ -229,3 +229,22 @@ def stopped(state: Column) -> Column:
 
 def normalized_alert(x: Column) -> Column:
     return F.regexp_replace(collapse(F.replace(x, F.lit("- new results"), F.lit(""))), r"^\[|\]$", "")
+
+
+def mail_queries(base: Column, extra: Column, after: Column, before: Column) -> Column:
+    """mail_query() of columns; days are dates or their texts."""
+    extra = F.coalesce(extra, F.lit(""))
+    terms = F.when(F.trim(extra) != "", F.concat(F.lit("("), F.trim(base), F.lit(") ("), F.trim(extra), F.lit(")"))).when(extra == "", base).otherwise(F.trim(base))
+    day = lambda name, x: F.when(F.coalesce(x.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{name}:"), F.replace(x.cast("string"), F.lit("-"), F.lit("/"))))
+    return F.concat_ws(" ", F.concat(F.lit("("), terms, F.lit(")")), day("after", after), day("before", before))
+
+
+def curated(candidates: DataFrame, topic: str, most: int, fields: tuple[str, ...] = ("title", "snippet", "publication_info", "authors", "alert_name")) -> DataFrame:
+    """candidates(alert_name, title, article_url, score, status and fields) of a topic, best first, with hits, matched_fields and identity; without a topic those that were selected."""
+    if topic.strip():
+        found = candidates.withColumn("__t", topic_hits(topic, {f: F.col(f) for f in fields if f in candidates.columns}))
+        rows = found.select(candidates.columns + ["__t.hits", F.col("__t.fields").alias("matched_fields")]).where("hits > 0")
+    else:
+        rows = candidates.where("status = 'selected'").withColumns({"hits": F.lit(0), "matched_fields": F.array().cast("array<string>")})
+    # the rows that are left are few, and only they get their identity
+    return with_identity(ranked_by_topic(rows, most))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -150,3 +151,21 @@ def log_tail(log: Column, offset: Column) -> Column:
     n, reset = F.length(log), offset > F.length(log)
     start = F.when(reset | (offset < 0), 0).otherwise(offset)
     return F.struct(F.substring(log, start + 1, n).alias("chunk"), n.alias("next_offset"), reset.alias("reset"))
+
+
+def turns_tail(turns: DataFrame, log: str, order: str, text: str, offset: Column) -> DataFrame:
+    """log_tail() of logs that are kept as turns, joined by line feeds: log, chunk, next_offset, reset. offset: of the log, from its column.
+
+    Only what follows the offset is put together: the turns before it count with their lengths.
+    """
+    of = W.partitionBy(log)
+    # null turns say nothing and add no line
+    rows = turns.where(F.col(text).isNotNull()).withColumn("__n", F.length(text).cast("long") + 1)
+    rows = rows.withColumns({"__end": F.sum("__n").over(of.orderBy(order)) - 1, "__whole": F.sum("__n").over(of) - 1, "__offset": offset})
+    rows = rows.withColumn("__reset", F.col("__offset") > F.col("__whole")).withColumn("__from", F.when(F.col("__reset") | (F.col("__offset") < 0), 0).otherwise(F.col("__offset")))
+    start = F.col("__end") - F.col("__n") + 1
+    # the turn in which the offset lies gives its rest, one before it none; the line feed behind a turn is at its end
+    part = F.when(F.col("__from") <= start, F.col(text)).otherwise(F.substring(F.col(text), (F.col("__from") - start + 1).cast("int"), F.length(text)))
+    kept = F.when(F.col("__from") <= F.col("__end"), F.struct(F.col(order).alias("o"), part.alias("t")))
+    out = rows.groupBy(log).agg(F.sort_array(F.collect_list(kept)).alias("x"), F.max("__whole").alias("next_offset"), F.max("__reset").alias("reset"))
+    return out.select(log, F.array_join(F.transform("x", lambda t: t["t"]), "\n").alias("chunk"), "next_offset", "reset")

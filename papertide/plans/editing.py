@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify
-from ..functions.text import key, let, or_empty, or_null, strip
+from ..functions.text import bullet_sentences, key, let, or_empty, or_null, strip
 
 _FOOTNOTE = re.compile(r"\[\^\d+\]:")
 MOST_ADDED = 160
@@ -145,6 +145,82 @@ def annotation(code: Column, severity: Column, explanation: Column) -> Column:
     return F.concat(F.lit("  <!-- review "), severity, F.lit(" "), code, F.lit(": "), F.replace(explanation, F.lit("--"), F.lit("- -")), F.lit(" -->"))
 
 
+def finding_comment(severity: Column, code: Column, explanation: Column, quote: Column | None = None) -> Column:
+    """A review's finding as a comment in the form that stays with a bullet: its fields on one line."""
+    field = lambda name, x: F.concat(F.lit(f"{name}: "), x)
+    said = [field("severity", F.coalesce(or_null(inline(severity)), F.lit("review"))), field("code", F.coalesce(or_null(inline(code)), F.lit("unknown_issue"))), field("explanation", inline(explanation))]
+    quoted = [] if quote is None else [F.when(inline(quote) != "", field("source_quote", inline(quote)))]
+    return F.concat(F.lit("  <!-- critic | "), F.concat_ws(" | ", *said, *quoted), F.lit(" -->"))
+
+
+def section_lines(page: Column, heading: Column) -> Column:
+    """The lines below a heading, up to one of its level or a higher one, or to the footnotes."""
+    level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,6})\s", 1))
+    none = F.array().cast("array<string>")
+
+    def of(lines: Column) -> Column:
+        start = F.array_position(F.transform(lines, F.trim), F.trim(heading)).cast("int")
+        rest = F.slice(lines, start + 1, F.size(lines))
+        stops = lambda x: ((level(x) > 0) & (level(x) <= level(heading))) | F.regexp_like(x, F.lit(r"^\[\^\d+\]:"))
+        end = F.array_position(F.transform(rest, stops), True).cast("int")
+        return F.when(start == 0, none).when(end == 0, rest).otherwise(F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0))))
+
+    return let(F.split(or_empty(page), "\n"), of)
+
+
+def structure_issues(section: Column, bullets: Column, summary: Column, prefix: Column) -> Column:
+    """Codes for a section that is grouped by property: bullets outside of a sub-section or of several ideas, a summary (null: none) that isn't above the sub-sections, bullets on animal work without their species."""
+    first = F.array_position(F.transform(section, lambda x: F.startswith(x, F.lit("### "))), True)
+    is_bullet = lambda x: F.startswith(x, F.lit("- "))
+    outside = F.size(F.filter(section, lambda x, i: is_bullet(x) & ((first == 0) | (i + 1 < first)))) > 0
+    bare = lambda x: F.trim(F.regexp_replace(F.substring(x, 3, 1 << 30), r"\[\^\d+\]$", ""))
+    unscoped = lambda x: F.when((prefix != "") & F.startswith(F.lower(x), F.lower(prefix)), F.substring(x, F.length(prefix) + 1, F.length(x))).otherwise(x)
+    several = F.exists(F.filter(section, is_bullet), lambda x: F.size(bullet_sentences(unscoped(bare(x)))) > 1)
+    at = F.array_position(F.transform(section, lambda x: F.contains(x, F.trim(summary)) & ~F.contains(x, F.lit("<!--"))), True)
+    misplaced = summary.isNotNull() & ((F.trim(summary) == "") | (at == 0) | ((first > 0) & (at > first)))
+    unnamed = F.exists(bullets, lambda b: b["animal"] & F.exists(b["texts"], lambda t: ~classify.has_species(t)))
+    tests = {"bullet_outside_property_subsection": outside, "bullet_not_single_idea": several, "section_summary_missing_or_misplaced": misplaced, "animal_bullet_missing_species_scope": unnamed}
+    return classify.names_where({n: F.coalesce(t, F.lit(False)) for n, t in tests.items()})
+
+
+def page_issues(before: Column, after: Column, doi: Column, url: Column, bullets: Column, heading: Column, grouped: Column, summary: Column | None = None, notes: Column | None = None, prefix: Column | None = None) -> Column:
+    """All that is wrong with a changed page, sorted: front matter, footnote, each bullet's citation, provenance and findings, the summary, the structure, links to nowhere, size.
+
+    bullets: an array of structs of texts (as rendered, an idea each), comment (its provenance), animal, notes (comments on it). summary: a struct of text and comment, or null. notes: comments on the whole target.
+    """
+    number = shared_reference(before, doi, url)
+    mark = F.concat(F.lit("[^"), number.cast("string"), F.lit("]"))
+    none = F.array().cast("array<string>")
+    absent = lambda x: ~F.contains(after, x)
+    whole = rendered_issues(before, after, number, doi, url, none)
+    # these say which one is meant
+    whole = F.filter(whole, lambda x: ~x.isin("reference_missing", "dead_anchor_link"))
+    reference = F.array_compact(F.array(F.when(absent(F.concat(mark, F.lit(":"))), F.concat(F.lit("reference_"), number.cast("string"), F.lit("_missing")))))
+
+    def of_bullet(b: Column, i: Column) -> Column:
+        named = lambda test, what: F.when(F.coalesce(test, F.lit(False)), F.concat(F.lit("bullet_"), i.cast("string"), F.lit(f"_{what}")))
+        return F.array_compact(F.array(named(F.exists(b["texts"], lambda t: absent(F.concat(F.lit("- "), t, mark))), "citation_missing"), named(absent(b["comment"]), "provenance_missing"), named(F.exists(b["notes"], absent), "critic_annotation_missing")))
+
+    found = [whole, reference, F.flatten(F.transform(bullets, of_bullet)), F.transform(dead_links(after), lambda x: F.concat(F.lit("dead_anchor_link_"), x))]
+    if summary is not None:
+        cited = summary.isNotNull() & absent(F.concat(F.trim(summary["text"]), mark))
+        told = summary.isNotNull() & absent(F.ltrim(summary["comment"]))
+        found.append(F.array_compact(F.array(F.when(cited, "section_summary_citation_missing"), F.when(told, "section_summary_provenance_missing"))))
+    if notes is not None:
+        found.append(F.array_compact(F.array(F.when(F.exists(F.coalesce(notes, none), lambda x: absent(F.ltrim(x))), "target_critic_annotation_missing"))))
+    text = F.lit(None).cast("string") if summary is None else summary["text"]
+    found.append(F.when(grouped, structure_issues(section_lines(after, heading), bullets, text, F.lit("") if prefix is None else prefix)).otherwise(none))
+    return F.array_sort(F.array_distinct(F.concat(*found)))
+
+
+def dead_links(page: Column) -> Column:
+    """Fragments that a page links to and doesn't have: no heading's slug and no id."""
+    visible = F.regexp_replace(or_empty(page), r"(?s)<!--.*?-->", "")
+    links = F.regexp_extract_all(visible, F.lit(r"\]\(#([^)]+)\)"), F.lit(1))
+    slugs = F.transform(F.regexp_extract_all(or_empty(page), F.lit(r"(?m)^#{1,6}\s+(.+?)\s*$"), F.lit(1)), lambda h: F.regexp_replace(F.regexp_replace(F.lower(h), r"[^a-z0-9 \-]", ""), " +", "-"))
+    return F.array_except(links, F.concat(slugs, F.regexp_extract_all(or_empty(page), F.lit("id=[\"']([^\"']+)[\"']"), F.lit(1))))
+
+
 def rendered_issues(before: Column, after: Column, number: Column, doi: Column, url: Column, bullets: Column) -> Column:
     """What is wrong with a changed page: front matter, reference, citations, size, links to nowhere."""
     front = lambda x: F.regexp_extract(or_empty(x), r"(?s)^---\n.*?\n---\n?", 0)

@@ -366,10 +366,8 @@ WITH l AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS log FROM c
 SELECT conv_id, CASE WHEN off > length(log) THEN log ELSE substr(log, off + 1) END AS chunk, length(log) AS next_offset, off > length(log) AS reset FROM o""")
 def log_tail(spark, d):
     """Conversations as logs: what follows an offset; from the start if it lies past the end."""
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    log = rows.select("conv_id", F.array_join(F.transform("x", lambda t: t["text"]), "\n").alias("log"))
-    tail = papers.log_tail(F.col("log"), (F.col("conv_id") * 37 % 900).cast("int"))
-    return log.select("conv_id", tail.alias("t")).select("conv_id", "t.chunk", F.col("t.next_offset").cast("long").alias("next_offset"), "t.reset")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return papers.turns_tail(turns, "conv_id", "turn", "text", (F.col("conv_id") * 37 % 900).cast("long"))
 
 
 @query("""
@@ -378,8 +376,9 @@ f AS (SELECT conv_id, word, min((turn, pos)) AS place FROM w WHERE word <> '' AN
 SELECT conv_id, array_to_string(list(word ORDER BY place)[1:20], ' ') AS words FROM f GROUP BY conv_id""")
 def dedupe_first_seen(spark, d):
     """The first twenty different words of a conversation, in order."""
-    words = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.lower(F.trim("text")), " ")).alias("pos", "word"))
-    words = words.where((F.col("word") != "") & ~F.contains("word", F.lit("\n")))
+    # a turn's first twenty different words are all that it can add, so no more leave its row
+    own = F.array_distinct(F.filter(F.split(F.lower(F.trim("text")), " "), lambda w: (w != "") & ~F.contains(w, F.lit("\n"))))
+    words = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.slice(own, 1, 20)).alias("pos", "word"))
     seen = words.groupBy("conv_id", "word").agg(F.min(F.struct("turn", "pos")).alias("place"))
     # twenty of each conversation are left before the exchange, however long it is
     first = seen.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy("place"))).where("rank <= 20")

@@ -379,3 +379,57 @@ def survived_metadata(spark, d):
     unpaywall = table(spark, d, "labels").select(F.col("doc_id").alias("packet_id"), (F.col("quality") == 1).alias("is_open_access"), part(F.col("toxic") == 0, F.concat(F.lit("https://oa.org/"), F.col("doc_id").cast("string"))).alias("best_open_access_url"))
     found = packets.survive(p, crossref, pubmed, unpaywall)
     return found.withColumns({"repairs": F.array_join("repairs", ","), "mismatch": F.size("consistency") > 0, "enrichment_sources": F.array_join("enrichment_sources", ",")}).drop("consistency")
+
+
+_IDEA = lambda n: f"trim(regexp_replace(split_part(t, '. ', {n}), '[^A-Za-z ]+', '', 'g'))"
+_LONG = lambda x: f"len(list_filter(string_split({_key(x)}, ' '), lambda w: w <> '')) >= 4"
+_NOTE = "'  <!-- provenance | claim_kind: source_finding | source_section: ' || lang || ' | source_quote: ' || {0} || ' | cited_references: none -->'"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, n_chars AS n, lang, source, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents), s AS (SELECT *, {_IDEA(1)} AS a, {_IDEA(2)} AS b, {_IDEA(3)} AS c FROM t),
+r AS (SELECT *, b || '. ' || c AS two, 'Sum of ' || source AS sum, {_NOTE.format('a')} AS pa, {_NOTE.format('b')} AS pb FROM s),
+p AS (SELECT *, '---' || chr(10) || 'title: ' || CASE WHEN n % 13 = 0 THEN 'x' ELSE 'T' END || chr(10) || '---' || chr(10) || '# T' || chr(10) || chr(10) || '## Uses' || chr(10) || CASE WHEN n % 5 = 0 THEN chr(10) || '- ' || a || '[^1]' || chr(10) ELSE '' END || CASE WHEN n % 3 > 0 THEN chr(10) || sum || '[^1]' || chr(10) ELSE '' END || chr(10) || '### Lipids' || chr(10) || chr(10) || '- ' || a || '[^1]' || chr(10) || pa || chr(10) || '- ' || two || CASE WHEN n % 2 = 0 THEN '[^1]' ELSE '' END || chr(10)
+   || CASE WHEN n % 7 < 4 THEN pb || chr(10) ELSE '' END || CASE WHEN n % 3 = 0 AND n % 2 = 0 THEN chr(10) || sum || '[^1]' || chr(10) ELSE '' END || CASE WHEN n % 4 = 0 THEN '  <!-- critic | severity: blocking | code: c1 | explanation: ' || lang || ' -->' || chr(10) ELSE '' END || CASE WHEN n % 11 = 0 THEN 'See [it](#uses) and [that](#' || source || ').' || chr(10) ELSE '' END
+   || chr(10) || '[^1]: Source **DOI:** 10.5555/' || CASE WHEN n % 17 = 0 THEN '' ELSE n::VARCHAR END || chr(10) || CASE WHEN n % 19 = 0 THEN '[^2]: 10.5555/' || n || ' again' || chr(10) ELSE '' END AS after FROM r),
+x AS (SELECT *, strpos(after, chr(10) || '## Uses' || chr(10)) AS u, strpos(after, chr(10) || '### Lipids') AS h FROM p)
+SELECT doc_id, {joined([
+    ("animal_bullet_missing_species_scope", "lang = 'fr' AND NOT regexp_matches(a, '(?i)\\b(rats?|mice|mouse|murine|rodents?|rabbits?|piglets?|zebrafish|in vivo|animals?)\\b')"),
+    ("bullet_0_critic_annotation_missing", "NOT contains(after, '  <!-- critic | severity: blocking | code: c1 | explanation: ' || lang || ' -->')"),
+    ("bullet_1_citation_missing", "NOT contains(after, '- ' || two || '[^1]')"),
+    ("bullet_1_provenance_missing", "NOT contains(after, pb)"),
+    ("bullet_not_single_idea", f"{_LONG('b')} AND {_LONG('c')} AND regexp_matches(c, '^[A-Z]') AND NOT regexp_matches(b, '\\b(vs|al|approx|ca|cf|etc|Fig)$')"),
+    ("bullet_outside_property_subsection", "contains(substr(after, 1, h), chr(10) || '- ')"),
+])} AS bullets, {joined([
+    ("dead_anchor_link", "contains(after, '](#' || source || ')')"),
+    ("doi_missing_from_reference", "NOT contains(after, '10.5555/' || n)"),
+    ("duplicate_source_footnote", "len(regexp_extract_all(split_part(after, chr(10) || '[^1]:', 2), '10\\.5555/' || n)) > 1"),
+    ("frontmatter_changed", "n % 13 = 0"),
+    ("section_summary_citation_missing", "NOT contains(after, sum || '[^1]')"),
+    ("section_summary_missing_or_misplaced", "NOT contains(after, sum) OR strpos(after, sum) > h"),
+    ("section_summary_provenance_missing", "true"),
+    ("source_url_missing_from_reference", "true"),
+])} AS page FROM x""")
+def changed_pages(spark, d):
+    """Pages with bullets, summaries and comments out of documents' sentences: what is wrong with each as it was rendered."""
+    n = F.col("n_chars")
+    s = n.cast("string")
+    idea = lambda k: F.trim(F.regexp_replace(F.coalesce(F.get(F.split("t", r"\. "), F.lit(k - 1)), F.lit("")), "[^A-Za-z ]+", ""))
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("t")).withColumns({"a": idea(1), "b": idea(2), "c": idea(3)})
+    docs = docs.withColumns({"two": F.concat("b", F.lit(". "), "c"), "sum": F.concat(F.lit("Sum of "), "source"), "pa": editing.provenance(F.lit(""), F.col("lang"), F.col("a")), "pb": editing.provenance(F.lit("source_finding"), F.col("lang"), F.col("b"))})
+    note = editing.finding_comment(F.lit("blocking"), F.lit("c1"), F.col("lang"))
+    some = lambda test, *xs: F.when(test, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])).otherwise("")
+    c = F.col
+    before = "---\ntitle: T\n---\n# T\n\n## Uses\n"
+    after = F.concat(
+        F.lit("---\ntitle: "), F.when(n % 13 == 0, "x").otherwise("T"), F.lit("\n---\n# T\n\n## Uses\n"), some(n % 5 == 0, "\n- ", c("a"), "[^1]\n"), some(n % 3 > 0, "\n", c("sum"), "[^1]\n"), F.lit("\n### Lipids\n\n- "), "a", F.lit("[^1]\n"), "pa", F.lit("\n- "), "two", F.when(n % 2 == 0, "[^1]").otherwise(""), F.lit("\n"), some(n % 7 < 4, c("pb"), "\n"), some((n % 3 == 0) & (n % 2 == 0), "\n", c("sum"), "[^1]\n"), some(n % 4 == 0, note, "\n"),
+        some(n % 11 == 0, "See [it](#uses) and [that](#", c("source"), ").\n"), F.lit("\n[^1]: Source **DOI:** 10.5555/"), F.when(n % 17 == 0, "").otherwise(s), F.lit("\n"), some(n % 19 == 0, "[^2]: 10.5555/", s, " again\n"),
+    )
+    none = F.array().cast("array<string>")
+    bullet = lambda t, p, animal, notes: F.struct(F.array(t).alias("texts"), p.alias("comment"), animal.alias("animal"), notes.alias("notes"))
+    bullets = F.array(bullet(c("a"), c("pa"), c("lang") == "fr", F.array(note)), bullet(c("two"), c("pb"), F.lit(False), none))
+    summary = F.struct(c("sum").alias("text"), editing.provenance(F.lit("section_summary"), c("lang"), c("sum")).alias("comment"))
+    found = editing.page_issues(F.lit(before), c("after"), F.concat(F.lit("10.5555/"), s), F.lit("http://n.org/x"), bullets, F.lit("## Uses"), F.lit(True), summary)
+    rows = docs.withColumn("after", after).select("doc_id", F.transform(found, lambda x: F.when(F.startswith(x, F.lit("dead_anchor_link_")), "dead_anchor_link").otherwise(x)).alias("x"))
+    of_bullets = lambda x: F.startswith(x, F.lit("bullet_")) | F.startswith(x, F.lit("animal_"))
+    return rows.select("doc_id", F.array_join(F.filter("x", of_bullets), ",").alias("bullets"), F.array_join(F.filter("x", lambda x: ~of_bullets(x)), ",").alias("page"))
