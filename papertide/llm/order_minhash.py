@@ -68,6 +68,9 @@ RARE, BLOCK = 64, 512
 FEW = 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+#: The bits of a word in an alignment, and their bytes.
+WORD_BYTES = 5
+_WORD = np.uint64((1 << 8 * WORD_BYTES) - 1)
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 #: k-mers times sketches hashed at once.
 CELLS = 1 << 17
@@ -95,9 +98,9 @@ def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(texts: pa.Array) -> list[np.ndarray]:
-    """Hashes of each text's words, 64 bits each. A stop behind a letter ends a word, as white space does."""
+    """Hashes of each text's words, 40 bits each, which is what alignments compare. A stop behind a letter ends a word, as white space does."""
     hashes, ends = _hashes(texts)
-    return np.split(hashes[:, 0].copy(), ends[:-1])
+    return np.split(hashes[:, 0] & _WORD, ends[:-1])
 
 
 def words(text: str) -> np.ndarray:
@@ -304,12 +307,12 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             digests, keys, sizes, bits, short = [], [], [], [], []
             hashes, at = _hashes(part.column(2))
             for row, both in zip(part.column(0).to_pylist(), np.split(hashes, at[:-1]), strict=True):
-                w = both[:, 0].copy()
+                w = both[:, 0] & _WORD
                 sizes.append(len(w))
                 bits.append(marks(w))
                 digests.append(xxhash.xxh3_128_digest(both.tobytes()) if len(w) else b"-" + row)  # texts without words are alone
                 keys.append(sketches(w).view(np.int64) if len(w) >= SHORT else np.zeros(0, np.int64))
-                short.append(zstandard.compress(w.tobytes(), 1) if K <= len(w) < SHORT_END else None)
+                short.append(packed(w) if K <= len(w) < SHORT_END else None)
             ends = np.cumsum([0] + [len(x) for x in keys]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
             marked = pa.ListArray.from_arrays(pa.array(np.arange(0, BITS * len(bits) + 1, BITS, dtype=np.int32)), pa.array(np.concatenate(bits)))
@@ -326,15 +329,22 @@ def _words_of(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 512):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zstandard.compress(w.tobytes(), 1) for w in words_of(part.column(1))], pa.binary())], names=["n", "words"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(w) for w in words_of(part.column(1))], pa.binary())], names=["n", "words"])
 
     source = docs.select(_row(id_col, text_col).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     # rows that are equal in id and text stand for one text
     return source.join(rows, "row").select("n", "text").mapInArrow(run, "n long, words binary").dropDuplicates(["n"])
 
 
-def _opened(packed: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(packed.as_py()), np.uint64)
+def packed(w: np.ndarray) -> bytes:
+    return zstandard.compress(w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes(), 1)
+
+
+def _opened(x: pa.Scalar) -> np.ndarray:
+    found = np.frombuffer(zstandard.decompress(x.as_py()), np.uint8).reshape(-1, WORD_BYTES)
+    out = np.zeros((len(found), 8), np.uint8)
+    out[:, :WORD_BYTES] = found
+    return out.view("<u8").ravel()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -484,14 +494,21 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     texts = cut(sketched.groupBy("digest").agg(best.alias("best")).select("digest", "best.row", "best.id", "best.n"))
     distinct = sketched.select("n", "size", "bits", "keys", "words").join(texts.select("n"), "n", "left_semi")
     sizes = cut(distinct.select("n", "size", "bits"))
-    members = distinct.select("n", F.explode("keys").alias("key")).unionAll(_short_members(distinct, least))
-    members = cut(members.join(members.groupBy("key").count().where("count > 1").select("key"), "key"))
-    links = known = None
-
-    def placed() -> tuple[DataFrame, bool]:
-        """The members of the buckets that hold several classes, each with its class and a weight, the number of its links. Whether buckets are small on the whole."""
+    in_several = lambda rows: cut(rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key"))
+    members = in_several(distinct.select("n", F.explode("keys").alias("key")))
+    # buckets of rare words hold few similar pairs, and are met once the others' classes are known
+    short = in_several(_short_members(distinct, least))
+    links = known = found = None
+
+    def placed(members: DataFrame, again: bool = True) -> tuple[DataFrame, bool]:
+        """The members of the buckets that hold several classes, each with its class and a weight, the number of its links. Whether buckets are small on the whole.
+
+        again: after new links.
+        """
+        nonlocal found
         ends = links.select(F.col("a").alias("n")).unionAll(links.select(F.col("b").alias("n")))
-        found = components(links).select(F.col("vertex").alias("n"), "component").join(ends.groupBy("n").agg(F.count("*").alias("weight")), "n")
+        if again:
+            found = cut(components(links).select(F.col("vertex").alias("n"), "component").join(ends.groupBy("n").agg(F.count("*").alias("weight")), "n"))
         rows = members.join(found, "n", "left").withColumns({"component": F.coalesce("component", "n"), "weight": F.coalesce("weight", F.lit(0))})
         rows = cut(rows)
         several = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "many")
@@ -533,8 +550,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         release(docs.sparkSession)
         if similar_ones * 10 <= compared and "many" in rows.columns:
             break  # the few new links only make a few pairs more that are compared
-        rows, small = placed()
+        rows, small = placed(members)
     release(docs.sparkSession)
+    rows = rows.unionByName(placed(short, again=False)[0])
     rows = cut(rows.select("key", "n", "component", "many").join(sizes, "n"))
 
     def met_by(rows: DataFrame, *on: str) -> DataFrame:
@@ -554,10 +572,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     # and those with words that are many texts' rarest ones in blocks, as each pair of them shares many
     hot = tokens.join(often.where(F.col("often") > RARE).select("token"), "token", "left_semi").select("n").distinct()
     links = links.unionAll(cut(_similar_in_blocks(large.select("n", "component", "size").join(hot, "n").join(held, "n"), least)))
-    found = components(links)
+    joined = components(links)
     del rows, large, held, tokens, often, rare, hot
     release(docs.sparkSession)
-    of_text = texts.join(found.select(F.col("vertex").alias("n"), "component"), "n", "left").withColumn("component", F.coalesce("component", "n"))
+    of_text = texts.join(joined.select(F.col("vertex").alias("n"), "component"), "n", "left").withColumn("component", F.coalesce("component", "n"))
     best = of_text.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.min("digest").alias("class_key"))
     by_text = of_text.select("digest", "component").join(best, "component")
     out = sketched.select("row", "id", "digest").join(by_text, "digest")

@@ -258,8 +258,6 @@ def test_votes_equal_brute_force():
 
 
 def test_blocks_find_all_similar_pairs(spark, monkeypatch):
-    import zstandard
-
     monkeypatch.setattr(order_minhash, "BLOCK", 7)
     rng = random.Random(17)
     said = [rng.randrange(1 << 32) for _ in range(40)]
@@ -271,7 +269,7 @@ def test_blocks_find_all_similar_pairs(spark, monkeypatch):
         words.append(w)
     words += [[7] * 300, [7] * 310, [8] * 300, [7] * 290 + [8] * 15]
     arrays = [np.array(w, np.uint64) for w in words]
-    rows = [(i, i if i % 10 else 0, len(w), zstandard.compress(w.tobytes())) for i, w in enumerate(arrays)]
+    rows = [(i, i if i % 10 else 0, len(w), order_minhash.packed(w)) for i, w in enumerate(arrays)]
     got = list(map(tuple, order_minhash._similar_in_blocks(spark.createDataFrame(rows, "n long, component long, size long, words binary"), 0.8).collect()))
     want = [(j, i) for i in range(len(rows)) for j in range(i + 1, len(rows)) if rows[i][1] != rows[j][1] and dp(words[i], words[j]) <= int(max(len(words[i]), len(words[j])) * 0.2 + 1e-9)]
     same = [(i, c) for i, c, *_ in rows]
