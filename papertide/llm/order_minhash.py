@@ -62,6 +62,8 @@ SHORT_END = int(SHORT / SIMILARITY)
 SKETCHES, LENGTH = 128, 2
 #: Members of a bucket above which they are joined by their rarest words, and slots in which words are counted for that.
 MANY, SLOTS = 48, 1 << 18
+#: Partitions whose words one task counts.
+FAN_IN = 16
 #: Texts that have a word among their rarest ones above which they meet in blocks instead, and texts of a block.
 RARE, BLOCK = 64, 512
 #: Texts of a comparison whose keys, of 16 bytes each, may be sent to all executors.
@@ -426,7 +428,7 @@ def _similar_in_blocks(texts: DataFrame, least: float) -> DataFrame:
 
 
 def _rare_words(texts: DataFrame, least: float, pairs: bool = False) -> DataFrame:
-    """n, tokens of texts (n, words): see rarest(). What words are rare is read from a table of SLOTS counts. pairs: also each two of those of which similar texts share two."""
+    """n, tokens of written texts (n, words): see rarest(). What words are rare is read from a table of SLOTS counts. pairs: also each two of those of which similar texts share two."""
     spark = texts.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,7 +439,9 @@ def _rare_words(texts: DataFrame, least: float, pairs: bool = False) -> DataFram
         at = np.flatnonzero(often)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(often[at])], names=["slot", "n"])
 
-    counts = texts.select("words").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    # a task adds up several partitions, as most words are in each of them
+    tasks = max(1, texts.rdd.getNumPartitions() // FAN_IN)
+    counts = texts.select("words").coalesce(tasks).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     often = np.zeros(SLOTS, np.int64)
     often[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(often)
@@ -464,7 +468,7 @@ def _twos(tokens: np.ndarray) -> np.ndarray:
 
 def _short_members(sketched: DataFrame, least: float) -> DataFrame:
     """n, key of the buckets in which texts of fewer than SHORT_END words meet."""
-    found = cut(_rare_words(sketched.where("words is not null"), least, pairs=True))
+    found = cut(_rare_words(cut(sketched.where("words is not null").select("n", "words")), least, pairs=True))
     one = found.select("n", F.explode("tokens").alias("key"))
     hot = one.groupBy("key").count().where(F.col("count") > RARE).select("key")
     with_hot = one.join(hot, "key", "left_semi").select("n").distinct()
