@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import classify, ids, text, udfs, values
-from .operators import catalog, intake, jobs, packets, papers
+from .operators import catalog, intake, jobs, packets, papers, verbatim
 from .sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,31 +230,10 @@ def passage_containment(spark, d):
 
 @query()
 def near_verbatim(spark, d):
-    """Documents and benchmark items of which any sentences are nearly the same (0.68 of the words or more), and the best similarity.
-
-    Twice the common words by all words bounds the similarity, so a sentence holds more than half of the other one's
-    words, and one at least of its rarest ones but so many. Sentences that share such a word, and
-    enough words, are compared in full.
-    """
-    least = 0.67995  # what rounds to 0.68
-    share = least / (2 - least)
-    keys = lambda c: F.explode(F.transform(text.plain_sentences(c), text.key))
-    docs = table(spark, d, "documents").select("doc_id", keys("text").alias("s")).where("s <> ''")
-    items = table(spark, d, "benchmark").select("item_id", keys("text").alias("b")).where("b <> ''").distinct()
-    said = docs.select("s").distinct().withColumn("x", text.words(F.col("s")))
-    wanted = items.select("b").distinct().withColumn("y", text.words(F.col("b")))
-    held = said.select("s", F.size("x").alias("n"), F.explode(F.array_distinct("x")).alias("word"))
-    met = wanted.select("b", "y", F.explode("y").alias("word"))
-    often = held.join(met.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("often"))
-    ranked = met.join(often, "word", "left").groupBy("b").agg(F.first("y").alias("y"), F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word"))).alias("r"))
-    few = F.size("y") - F.ceil(F.size("y") * share - 1e-9).cast("int") + 1
-    rare = ranked.select("b", F.size("y").alias("m"), F.explode(F.array_distinct(F.transform(F.slice("r", F.lit(1), few), lambda r: r["word"]))).alias("word"))
-    pairs = held.join(rare, "word").where((F.col("n") >= F.col("m") * share - 1e-9) & (F.col("m") >= F.col("n") * share - 1e-9)).select("s", "b").distinct()
-    pairs = pairs.withColumns({"x": text.words(F.col("s")), "y": text.words(F.col("b"))})
-    enough = (F.size("x") + F.size("y")) * (least / 2) - 1e-9
-    pairs = pairs.where(F.size(F.filter("y", lambda w: F.array_contains("x", w))) >= enough).where(F.size(F.filter("x", lambda w: F.array_contains("y", w))) >= enough)
-    near = pairs.select("s", "b", F.round(udfs.token_similarity("s", "b"), 4).alias("similarity")).where("similarity >= 0.68")
-    return near.join(docs, "s").join(items, "b").groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    """Documents and benchmark items of which any sentences are nearly the same (0.68 of the words or more), and the best similarity."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = verbatim.near(docs, table(spark, d, "benchmark").select("item_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "similarity")
 
 
 _MARK = "regexp_replace(trim(text), '([.!?])\\s+([A-Z(])', '\\1' || chr(1) || '\\2', 'g')"
