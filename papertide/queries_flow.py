@@ -39,31 +39,31 @@ def _articles(spark, d):
     )
 
 
-_PAPERS = f"""SELECT 'p' || doc_id AS paper_key, 'Paper ' || doc_id AS title, 'https://x.org/' || doc_id AS canonical_url, '10.1/' || doc_id AS doi, CASE WHEN doc_id % 5 = 0 THEN '' ELSE (70000 + doc_id)::VARCHAR END AS pmid,
-  {pick_sql((*values.WORKFLOW, None), 'doc_id')} AS workflow_state, CASE WHEN doc_id % 3 = 0 THEN 'a/' || doc_id ELSE '' END AS matched_content_path, CASE WHEN doc_id % 4 = 0 THEN 'z' END AS archived_source_path,
-  TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (doc_id % 5) AS updated_at, CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2023-01-01' END AS scraped_at, CAST(NULL AS TIMESTAMP) AS pr_opened_at FROM documents"""
+_PAPERS = f"""SELECT 'p' || doc_id AS paper_key, source || ' ' || lang || ' ' || n_chars AS title, 'https://x.org/' || doc_id AS canonical_url, '10.1/' || doc_id AS doi, CASE WHEN doc_id % 5 = 0 THEN '' ELSE (70000 + doc_id)::VARCHAR END AS pmid,
+  {pick_sql((*values.WORKFLOW, None), 'n_chars')} AS workflow_state, CASE WHEN n_chars % 3 = 0 THEN 'a/' || doc_id ELSE '' END AS matched_content_path, CASE WHEN n_chars % 4 = 0 THEN 'z' END AS archived_source_path,
+  TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (n_chars % 5) AS updated_at, CASE WHEN n_chars % 2 = 0 THEN TIMESTAMP '2023-01-01' END AS scraped_at, CAST(NULL AS TIMESTAMP) AS pr_opened_at FROM documents"""
 
 
 def _papers(spark, d):
     n = _doc().cast("string")
     at = lambda x: F.lit(x).cast("timestamp_ntz")
     return table(spark, d, "documents").select(
-        F.concat(F.lit("p"), n).alias("paper_key"), F.concat(F.lit("Paper "), n).alias("title"), F.concat(F.lit("https://x.org/"), n).alias("canonical_url"), F.concat(F.lit("10.1/"), n).alias("doi"), F.when(_doc() % 5 == 0, "").otherwise((_doc() + 70000).cast("string")).alias("pmid"),
-        pick((*values.WORKFLOW, None), _doc()).alias("workflow_state"), F.when(_doc() % 3 == 0, F.concat(F.lit("a/"), n)).otherwise("").alias("matched_content_path"), F.when(_doc() % 4 == 0, "z").alias("archived_source_path"),
-        (at("2024-01-01 00:00:00") + F.make_dt_interval(days=(_doc() % 5).cast("int"))).alias("updated_at"), F.when(_doc() % 2 == 0, at("2023-01-01 00:00:00")).alias("scraped_at"), at(None).alias("pr_opened_at"),
+        F.concat(F.lit("p"), n).alias("paper_key"), F.concat_ws(" ", "source", "lang", F.col("n_chars").cast("string")).alias("title"), F.concat(F.lit("https://x.org/"), n).alias("canonical_url"), F.concat(F.lit("10.1/"), n).alias("doi"), F.when(_doc() % 5 == 0, "").otherwise((_doc() + 70000).cast("string")).alias("pmid"),
+        pick((*values.WORKFLOW, None), F.col("n_chars")).alias("workflow_state"), F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("a/"), n)).otherwise("").alias("matched_content_path"), F.when(F.col("n_chars") % 4 == 0, "z").alias("archived_source_path"),
+        (at("2024-01-01 00:00:00") + F.make_dt_interval(days=(F.col("n_chars") % 5).cast("int"))).alias("updated_at"), F.when(F.col("n_chars") % 2 == 0, at("2023-01-01 00:00:00")).alias("scraped_at"), at(None).alias("pr_opened_at"),
     )
 
 
 _STATES = ("queued", "retry", "failed", "leased", "rejected", "pr_open", "validated", "needs_review", "scraping")
-_JOBS = f"""SELECT event_id AS job_id, (event_id // 2 * 7)::VARCHAR AS article_key, 'http://s.org/' || (event_id // 3 * 11) AS source_url, CAST(NULL AS VARCHAR) AS canonical_source_url, {pick_sql(_STATES, 'event_id')} AS state, (event_id % 4)::INT AS attempt_count, 3 AS max_attempts,
-  {pick_sql(('w1', None, 'w2'), 'event_id')} AS lease_owner, ts AS lease_expires_at, ts AS next_run_at, ts AS updated_at, CASE WHEN event_id % 2 = 0 THEN ts END AS finished_at, CASE WHEN event_id % 3 = 0 THEN 'r' || event_id ELSE '' END AS run_id, CASE WHEN event_id % 5 = 0 THEN 'http://pr/' || event_id END AS pr_url, event_type AS error FROM events"""
+_JOBS = f"""SELECT event_id AS job_id, (event_id // 2 * 7)::VARCHAR AS article_key, 'http://s.org/' || (event_id // 3 * 11) AS source_url, CAST(NULL AS VARCHAR) AS canonical_source_url, {pick_sql(_STATES, 'event_id + coalesce(length(event_type), 0)')} AS state, (event_id % 4)::INT AS attempt_count, 3 AS max_attempts,
+  {pick_sql(('w1', None, 'w2'), 'coalesce(user_id, 0)')} AS lease_owner, ts AS lease_expires_at, ts AS next_run_at, ts AS updated_at, CASE WHEN event_id % 2 = 0 THEN ts END AS finished_at, CASE WHEN event_id % 3 = 0 THEN 'r' || event_id ELSE '' END AS run_id, CASE WHEN event_id % 5 = 0 THEN 'http://pr/' || event_id END AS pr_url, event_type AS error FROM events"""
 
 
 def _jobs(spark, d):
     e, n = F.col("event_id"), F.col("event_id").cast("string")
     return table(spark, d, "events").select(
-        e.alias("job_id"), F.expr("event_id div 2 * 7").cast("string").alias("article_key"), F.concat(F.lit("http://s.org/"), F.expr("event_id div 3 * 11").cast("string")).alias("source_url"), F.lit(None).cast("string").alias("canonical_source_url"), pick(_STATES, e).alias("state"), (e % 4).cast("int").alias("attempt_count"), F.lit(3).alias("max_attempts"),
-        pick(("w1", None, "w2"), e).alias("lease_owner"), F.col("ts").alias("lease_expires_at"), F.col("ts").alias("next_run_at"), F.col("ts").alias("updated_at"), F.when(e % 2 == 0, F.col("ts")).alias("finished_at"), F.when(e % 3 == 0, F.concat(F.lit("r"), n)).otherwise("").alias("run_id"), F.when(e % 5 == 0, F.concat(F.lit("http://pr/"), n)).alias("pr_url"), F.col("event_type").alias("error"),
+        e.alias("job_id"), F.expr("event_id div 2 * 7").cast("string").alias("article_key"), F.concat(F.lit("http://s.org/"), F.expr("event_id div 3 * 11").cast("string")).alias("source_url"), F.lit(None).cast("string").alias("canonical_source_url"), pick(_STATES, e + F.coalesce(F.length("event_type"), F.lit(0))).alias("state"), (e % 4).cast("int").alias("attempt_count"), F.lit(3).alias("max_attempts"),
+        pick(("w1", None, "w2"), F.coalesce("user_id", F.lit(0))).alias("lease_owner"), F.col("ts").alias("lease_expires_at"), F.col("ts").alias("next_run_at"), F.col("ts").alias("updated_at"), F.when(e % 2 == 0, F.col("ts")).alias("finished_at"), F.when(e % 3 == 0, F.concat(F.lit("r"), n)).otherwise("").alias("run_id"), F.when(e % 5 == 0, F.concat(F.lit("http://pr/"), n)).alias("pr_url"), F.col("event_type").alias("error"),
     )
 
 
@@ -117,11 +117,11 @@ _FAULTS = [("missing_key", "trim(coalesce(article_key, '')) = ''"), ("unknown_st
 
 
 @query(f"""
-WITH f AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE doc_id::VARCHAR END AS article_key, {pick_sql(('selected', 'x', None), 'doc_id')} AS status, {pick_sql(_DOMAINS, 'doc_id')} AS domain, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'u' END AS article_url, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 's' END AS scholar_url FROM documents)
+WITH f AS (SELECT doc_id, CASE WHEN n_chars % 10 = 0 THEN ' ' ELSE doc_id::VARCHAR END AS article_key, {pick_sql(('selected', 'x', None), 'n_chars')} AS status, CASE WHEN n_chars % 3 = 0 THEN lang ELSE {pick_sql(_DOMAINS, 'n_chars')} END AS domain, CASE WHEN n_chars % 6 = 0 THEN '' ELSE source END AS article_url, CASE WHEN n_chars % 4 = 0 THEN NULL ELSE 's' END AS scholar_url FROM documents)
 SELECT doc_id, {joined(_FAULTS)} AS faults FROM f""")
 def article_faults(spark, d):
     """What would be refused of articles, row by row."""
-    t = table(spark, d, "documents").select("doc_id", F.when(_doc() % 10 == 0, " ").otherwise(_doc().cast("string")).alias("article_key"), pick(("selected", "x", None), _doc()).alias("status"), pick(_DOMAINS, _doc()).alias("domain"), F.when(_doc() % 6 == 0, "").otherwise("u").alias("article_url"), F.when(_doc() % 4 != 0, "s").alias("scholar_url"))
+    t = table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") % 10 == 0, " ").otherwise(_doc().cast("string")).alias("article_key"), pick(("selected", "x", None), F.col("n_chars")).alias("status"), F.when(F.col("n_chars") % 3 == 0, F.col("lang")).otherwise(pick(_DOMAINS, F.col("n_chars"))).alias("domain"), F.when(F.col("n_chars") % 6 == 0, "").otherwise(F.col("source")).alias("article_url"), F.when(F.col("n_chars") % 4 != 0, "s").alias("scholar_url"))
     return intake.with_faults(t).select("doc_id", F.array_join("faults", ",").alias("faults"))
 
 
