@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import jobs, papers
 from .queries import query, table
+from .sources import readers
 from .sources.tables import KeyedTable, Unique, shared_folder
 from .streaming import leases
 
@@ -92,3 +93,32 @@ def lease_timers(spark, d):
     folder = shared_folder(spark)
     leases.run_once(leases.watched(stream.select(F.col("user_id").alias("job_id"), "event_id", state.alias("to_state"), F.col("ts").alias("created_at")), seconds=7200), folder)
     return spark.read.parquet(f"{folder}/out")
+
+
+@query("""
+WITH b AS (SELECT source || '/' || doc_id || '.md' AS path, n_chars + CASE WHEN n_chars % 7 = 0 THEN 1 ELSE 0 END AS size, lang AS modified FROM documents WHERE n_chars % 5 > 0),
+n AS (SELECT source || '/' || doc_id || '.md' AS path, n_chars AS size, CASE WHEN n_chars % 13 = 0 THEN NULL ELSE lang END AS modified FROM documents WHERE n_chars % 11 > 0)
+SELECT coalesce(b.path, n.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'gone' ELSE 'changed' END AS what FROM b FULL JOIN n ON b.path = n.path
+WHERE b.path IS NULL OR n.path IS NULL OR b.size <> n.size OR b.modified IS DISTINCT FROM n.modified""")
+def scan_snapshots(spark, d):
+    """Documents as files of two scans, of which the first one is stored: what the second one finds new, changed or gone."""
+    docs = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "n_chars", "lang").where("path is not null")
+    n = F.col("n_chars")
+    before = docs.where(n % 5 > 0).select("path", (n + F.when(n % 7 == 0, 1).otherwise(0)).alias("size"), F.col("lang").alias("modified"))
+    now = docs.where(n % 11 > 0).select("path", n.alias("size"), F.when(n % 13 > 0, F.col("lang")).alias("modified"))
+    return readers.rescan(KeyedTable.create(spark, shared_folder(spark), before, "path"), now)
+
+
+@query("""
+WITH l AS (SELECT doc_id, lang, n_chars, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) AS t FROM l),
+g AS (SELECT doc_id, any_value(lang) AS lang, any_value(n_chars) AS n, count(*) AS n_pages, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY page) FILTER (t <> ''), '') AS body, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY page) FILTER (t <> '' AND page <= 3), '') AS preview FROM c GROUP BY doc_id),
+s AS (SELECT *, CASE WHEN n % 3 = 0 THEN 'https://x.org/' || doc_id || '.pdf' ELSE 'papers/' || lang || '/' || doc_id || '.pdf' END AS source, CASE WHEN n % 4 = 0 THEN '10.5555/' || n ELSE '' END AS doi FROM g)
+SELECT source, CASE WHEN n % 3 = 0 THEN source WHEN doi <> '' THEN 'https://doi.org/' || doi ELSE source END AS url, CASE WHEN n % 5 = 0 THEN 'On ' || lang ELSE coalesce(list_filter(string_split(preview, chr(10)), lambda x: length(trim(x)) >= 8)[1], doc_id::VARCHAR) END AS title, doi, md5(preview) AS preview, md5(body) AS body, n_pages::INT AS n_pages FROM s""")
+def pdf_pages(spark, d):
+    """Lines of documents as pages of PDF texts: the packet of each, with its preview, and the title and DOI that metadata or preview have."""
+    n = F.col("n_chars")
+    source = F.when(n % 3 == 0, F.concat(F.lit("https://x.org/"), F.col("doc_id").cast("string"), F.lit(".pdf"))).otherwise(F.concat(F.lit("papers/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    pages = table(spark, d, "documents").where("text is not null").select(source.alias("source"), F.posexplode(F.split("text", "\n")).alias("page", "text"), F.when(n % 5 == 0, F.concat(F.lit("On "), "lang")).alias("meta_title"), F.lit(None).cast("string").alias("meta_author"), F.when(n % 4 == 0, F.concat(F.lit("doi:10.5555/"), n.cast("string"), F.lit("."))).alias("meta_subject"))
+    found = readers.pdf_packets(pages)
+    return found.select("source", "url", "title", "doi", F.md5(F.col("preview").cast("binary")).alias("preview"), F.md5(F.col("body_markdown").cast("binary")).alias("body"), "n_pages")

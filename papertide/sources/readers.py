@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify, ids, udfs
-from ..functions.text import first_nonempty, or_empty, or_null
+from ..functions.text import collapse, first_line, first_nonempty, or_empty, or_null, strip
 from ..functions.values import choose_complete
 from ..operators.packets import choose_abstract
+from .tables import KeyedTable
 
 SKIPPED_FOLDERS = (".git", ".obsidian", "node_modules", ".venv", "__pycache__")
 
@@ -84,6 +85,46 @@ def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.join(before.select("path", "modified", "size"), ["path", "modified", "size"], "left_anti")
 
 
+def rescan(stored: KeyedTable, now: DataFrame) -> DataFrame:
+    """path, what (new, changed or gone) of the files of a scan against the last one that is stored, by time and size; and the scan is stored in its place.
+
+    stored: a table by path with the columns of now, among them modified and size. Only the buckets of such files are written.
+    """
+    before = stored.read()
+    b = before.select("path", F.col("modified").alias("__modified"), F.col("size").alias("__size"), F.lit(True).alias("__known"))
+    found = now.withColumn("__here", F.lit(True)).join(b, "path", "full")
+    same = F.col("modified").eqNullSafe(F.col("__modified")) & F.col("size").eqNullSafe(F.col("__size"))
+    found = found.withColumn("what", F.when(F.col("__known").isNull(), "new").when(F.col("__here").isNull(), "gone").when(~same, "changed")).where("what is not null").drop("__here", "__known", "__modified", "__size")
+
+    def how(current: DataFrame, changes: DataFrame) -> DataFrame:
+        return current.join(changes.select("path"), "path", "left_anti").unionByName(changes.where("what <> 'gone'").drop("what"))
+
+    stored.merge(found, how)
+    return found.select("path", "what")
+
+
+#: Pages of a PDF that are its preview, in which its DOI, abstract and title are looked for.
+PREVIEW = 3
+
+
+def pdf_packets(pages: DataFrame) -> DataFrame:
+    """pages(source, page, text, meta_title, meta_author, meta_subject), a row for each page, as packets: source, url, title, authors, doi, abstract, keywords, preview, body_markdown, n_pages.
+
+    Pages without text leave no trace; a document's pages come together, and their order is their number's.
+    """
+    clean = F.regexp_replace(F.regexp_replace(F.replace(F.replace(or_empty("text"), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "[ \\t]+", " "), "\n{3,}", "\n\n")
+    rows = pages.withColumn("text", strip(clean))
+    first = lambda c: F.max(or_empty(c)).alias(c)
+    of = rows.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"), *map(first, ("meta_title", "meta_author", "meta_subject")))
+    whole = lambda xs: F.array_join(F.filter(F.transform(xs, lambda x: x["text"]), lambda t: t != ""), "\n\n")
+    df = of.select("source", F.size("p").alias("n_pages"), whole(F.col("p")).alias("body_markdown"), whole(F.slice("p", 1, PREVIEW)).alias("preview"), *[collapse(c).alias(c) for c in ("meta_title", "meta_author", "meta_subject")])
+    doi = ids.doi("meta_subject", "meta_title", "preview", "source", lower=False)
+    stem = F.regexp_extract("source", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    df = pdf_text(df.withColumn("text", F.col("preview"))).drop("text")
+    url = F.when(ids.valid_http_url("source"), F.col("source")).when(doi != "", F.concat(F.lit("https://doi.org/"), doi)).otherwise(F.col("source"))
+    return df.select("source", url.alias("url"), first_nonempty("meta_title", first_line("preview"), stem).alias("title"), F.col("meta_author").alias("authors"), doi.alias("doi"), "abstract", "keywords", "preview", "body_markdown", "n_pages")
+
+
 def pdf_text(df: DataFrame) -> DataFrame:
     """df(text) with abstract and keywords, each up to the next section's word."""
     stop = r"(?=\b(?:keywords?|introduction|background|methods?|materials|results?|discussion|conclusion|references)\b)"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papertide.operators import jobs, papers
-from papertide.sources import tables
+from papertide.sources import readers, tables
 from papertide.sources.tables import Conflict, KeyedTable, NotUnique, Unique, shared_folder
 from papertide.streaming import events
 
@@ -159,3 +159,21 @@ def test_batches_come_once(spark, urls, tmp_path):
 def test_no_rows(spark, urls):
     t = stored(spark, urls.limit(0), 4, unique=jobs.ONE_ACTIVE[1:2])
     assert t.read().isEmpty() and t.append(urls.limit(0)).isEmpty() and t.append(urls.limit(2)).isEmpty() and t.read().count() == 2
+
+
+def test_rescan(spark):
+    files = "path string, modified long, size long, title string"
+    t = KeyedTable.create(spark, shared_folder(spark), spark.createDataFrame([("a", 1, 1, "A"), ("b", 1, 1, "B"), ("c", None, 1, "C"), ("d", 1, 1, "D")], files), "path", 4)
+    now = spark.createDataFrame([("a", 1, 1, "A"), ("b", 2, 1, "B2"), ("c", None, 1, "C"), ("e", 1, 1, "E")], files)
+    assert sorted(map(tuple, readers.rescan(t, now).collect())) == [("b", "changed"), ("d", "gone"), ("e", "new")]
+    assert sorted(map(tuple, t.read().collect())) == sorted(map(tuple, now.collect())) and t.versions() == [0, 1]
+    assert readers.rescan(t, now).collect() == []
+
+
+def test_pdf_packets(spark):
+    rows = [("p/x.v2.pdf", 2, "Methods\n\n\n\nused  here", None), ("p/x.v2.pdf", 1, " short\r\nA title of it\tall \nAbstract: We saw it. Keywords: tea; sleep\n\nIntroduction", None), ("p/x.v2.pdf", 3, " ", None), ("p/x.v2.pdf", 4, "late 10.5555/late", None), ("http://h.org/y.pdf", 1, None, "DOI 10.5555/sub.")]
+    got = {r.source: r for r in readers.pdf_packets(spark.createDataFrame(rows, "source string, page int, text string, meta_subject string").withColumns({"meta_title": F.lit(None).cast("string"), "meta_author": F.lit(" Lee  K")})).collect()}
+    x, y = got["p/x.v2.pdf"], got["http://h.org/y.pdf"]
+    assert (x.title, x.authors, x.doi, x.url, x.abstract, x.keywords, x.n_pages) == ("A title of it all", "Lee K", "", "p/x.v2.pdf", "We saw it.", "tea; sleep", 4)
+    assert x.body_markdown.endswith("Methods\n\nused here\n\nlate 10.5555/late") and "late" not in x.preview
+    assert (y.title, y.doi, y.url, y.body_markdown) == ("y", "10.5555/sub", "http://h.org/y.pdf", "")
