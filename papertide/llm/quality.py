@@ -109,13 +109,14 @@ def fit(found: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, see
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     x = counts * idf
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    x = x / np.where(norm > 0, norm, 1)
+    x /= np.where(norm > 0, norm, 1)  # in place: the driver holds the sample's counts and this, no third copy
     q = np.random.default_rng(seed).standard_normal((x.shape[1], min(dimensions + 16, len(x)))).astype(np.float32)
     for _ in range(4):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, v = np.linalg.svd(x @ q, full_matrices=False)
     model = Model(idf, (q @ v.T)[:, :dimensions].astype(np.float32), np.zeros((0, 0)), labels.astype(np.float64))
-    model.vectors = model.latent(found)
+    del x
+    model.vectors = np.concatenate([model.latent(found[a : a + ROWS]) for a in range(0, len(found), ROWS)])
     return model
 
 
@@ -143,7 +144,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col
     got = rows.withColumn("quality", F.col("quality").cast("int")).mapInArrow(run, schema).groupBy("id").agg(F.min(F.struct("terms", "quality")).alias("x")).select("id", "x.*").collect()
     got.sort(key=lambda r: r["id"])
     found = np.stack([np.frombuffer(zlib.decompress(r["terms"]), np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, CLASSES + BIGRAMS + 3), np.float32)
-    return fit(found, np.array([r["quality"] for r in got], np.float64))
+    model = fit(found, np.array([r["quality"] for r in got], np.float64))
+    del found, got
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CUT, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
