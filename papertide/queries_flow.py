@@ -710,8 +710,8 @@ def title_matches(spark, d):
 
 _GENERIC = ", ".join(quoted(x) for x in catalog.GENERIC)
 _STOP = ", ".join(quoted(x) for x in catalog.STOPWORDS)
-_SAID = lambda x, p: f"CASE WHEN {p} = '' OR {x} = '' THEN 0 ELSE len(regexp_extract_all({x}, '(?:^| )' || {p} || '(?:$| )')) END"
-_PHRASES = lambda xs: f"list_filter({xs}, lambda p: p <> '' AND p NOT IN ({_GENERIC}) AND {_SAID('every', 'p')} > 0)"
+_TIMES_SAID = lambda x, p: f"CASE WHEN {p} = '' OR {x} = '' THEN 0 ELSE len(regexp_extract_all({x}, '(?:^| )' || {p} || '(?:$| )')) END"
+_NAMED_IN = lambda xs: f"list_filter({xs}, lambda p: p <> '' AND p NOT IN ({_GENERIC}) AND {_TIMES_SAID('every', 'p')} > 0)"
 
 
 @query(f"""
@@ -720,9 +720,9 @@ g AS (SELECT *, 'en/' || coalesce(nullif(split_part(body, ' ', 3), ''), 'x') ||
 n AS (SELECT *, list_filter(list_distinct([alias, stem]), lambda x: length(x) >= 4 AND x NOT IN ({_GENERIC})) AS names FROM g),
 i AS (SELECT item_id, {_key("split_part(text, '. ', 1)")} AS t, {_key("split_part(text, '. ', 2)")} AS k, {_key('text')} AS a, {_key("repeat(split_part(text, '. ', 1) || ' ', 4)")} AS f FROM benchmark),
 e AS (SELECT *, trim(regexp_replace(concat_ws(' ', t, k, a, f, ''), ' +', ' ', 'g')) AS every FROM i),
-m AS (SELECT item_id, path, t, k, a, f, every, tags, body, list_filter(names, lambda x: {_SAID('t', 'x')} + {_SAID('k', 'x')} + {_SAID('a', 'x')} + {_SAID('f', 'x')} > 0) AS named FROM e JOIN n ON len(list_filter(names, lambda x: contains(' ' || every || ' ', ' ' || x || ' '))) > 0),
-c AS (SELECT item_id, path, list_sort(named) AS named, {' + '.join(f"coalesce(list_sum(list_transform(named, lambda x: least({_SAID(c, 'x')}, 3))), 0) * {w}" for c, w in (('t', 240), ('k', 180), ('a', 120), ('f', 25)))} AS said,
-    least(len({_PHRASES(f"list_transform(tags, lambda p: {_key('p')})")}), 8) * 18.0 AS tagged, len(list_distinct({_PHRASES(f"[{_key("split_part(path, '/', 2)")}]")})) * 30.0 AS category,
+m AS (SELECT item_id, path, t, k, a, f, every, tags, body, list_filter(names, lambda x: {_TIMES_SAID('t', 'x')} + {_TIMES_SAID('k', 'x')} + {_TIMES_SAID('a', 'x')} + {_TIMES_SAID('f', 'x')} > 0) AS named FROM e JOIN n ON len(list_filter(names, lambda x: contains(' ' || every || ' ', ' ' || x || ' '))) > 0),
+c AS (SELECT item_id, path, list_sort(named) AS named, {' + '.join(f"coalesce(list_sum(list_transform(named, lambda x: least({_TIMES_SAID(c, 'x')}, 3))), 0) * {w}" for c, w in (('t', 240), ('k', 180), ('a', 120), ('f', 25)))} AS said,
+    least(len({_NAMED_IN(f"list_transform(tags, lambda p: {_key('p')})")}), 8) * 18.0 AS tagged, len(list_distinct({_NAMED_IN(f"[{_key("split_part(path, '/', 2)")}]")})) * 30.0 AS category,
     list_sort(list_filter(list_distinct(list_intersect(string_split(every, ' '), string_split(body, ' '))), lambda w: length(w) >= 5 AND w NOT IN ({_STOP}))) AS shared FROM m WHERE len(named) > 0),
 s AS (SELECT *, round(said + tagged + category + least(len(shared), 20) * 1.5, 2) AS score FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, lower(path), path) AS rank FROM s)
