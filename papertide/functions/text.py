@@ -48,6 +48,11 @@ def key(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(c(x)), "[^a-z0-9]+", " "))
 
 
+def only_entities(x: Column | str, names: tuple[str, ...]) -> Column:
+    """Markup in which these entities, each with its semicolon, stand for characters, and every other & for itself."""
+    return F.regexp_replace(c(x), "&(?!(?:" + "|".join(names) + ");)", "&amp;")
+
+
 def slug(x: Column | str, default: str = "") -> Column:
     out = F.regexp_replace(key(x), " +", "-")
     return F.when(out == "", F.lit(default)).otherwise(out)

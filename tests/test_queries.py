@@ -71,3 +71,17 @@ def test_near_verbatim_compares_all_sentences(spark, tmp_path):
                 want[k, i] = best
     got = {(r.doc_id, r.item_id): r.similarity for r in queries.QUERIES["near_verbatim"](spark, str(tmp_path)).collect()}
     assert len(want) > 15 and got == want
+
+
+PAGES = [
+    (1, "http://a.org", "<html><head><title>Cut at its end &amp</title></head><body><article><h1>Cut &amp</h1><p>a &amp; b &lt;i&gt; &amp;lt; &quot;q&quot; &copy; &am " + "told on " * 120 + "</p></article></body></html>"),
+    (2, "http://a.org", "<html><head><title>&quot;Said&quot; &amp;amp; &lt;b &copy &a</title></head><body><article><h1>x &quot</h1><p>" + "Long enough &amp; more. " * 60 + "&quo</p></article></body></html>"),
+]
+
+
+@pytest.mark.parametrize("name", ["page_entities"])
+def test_entities_that_are_cut_stay(spark, tmp_path, name):
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert rows(queries.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(queries.SQL[name]).df())
