@@ -85,3 +85,27 @@ def test_entities_that_are_cut_stay(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert rows(queries.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(queries.SQL[name]).df())
+
+
+def test_near_verbatim_exchanges_no_texts(spark, monkeypatch):
+    from papertide.operators import verbatim
+
+    rng, said = random.Random(5), [f"w{i}" for i in range(7)]
+    say = lambda n: " ".join(rng.choice(said) for _ in range(n)) + "."
+    items = spark.createDataFrame([(i, " ".join(say(rng.randint(1, 12)) for _ in range(3))) for i in range(12)] + [(90, None), (91, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(say(rng.randint(1, 14)) for _ in range(6))) for k in range(60)] + [(5, "again w1 w2."), (90, None), (None, say(5))], "id long, text string")
+    found = verbatim.near(docs, items)
+    assert "explode(sentences" not in found._jdf.queryExecution().executedPlan().toString()
+    cut = lambda t: [x.strip(".").split() for x in (t or "").split(". ") if x.strip(".")]
+    want = {}
+    for k, t in docs.collect():
+        for i, u in items.collect():
+            best = max((round(SequenceMatcher(None, x, y, autojunk=False).ratio(), 4) for x in cut(t) for y in cut(u)), default=0)
+            if best >= verbatim.LEAST:
+                want[k, i] = max(best, want.get((k, i), 0))
+    rows_of = lambda df: {(r.id, r.item_id): r.similarity for r in df.collect()}
+    assert len(want) > 20 and rows_of(found) == want
+    monkeypatch.setattr(verbatim, "KEPT", 2)
+    assert rows_of(verbatim.near(docs, items)) == want
+    monkeypatch.setattr(verbatim, "MOST", 5)  # more sentences than are sent to tasks
+    assert rows_of(verbatim.near(docs, items)) == want
