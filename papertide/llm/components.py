@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _star(edges: DataFrame, keep) -> DataFrame:
@@ -40,6 +40,9 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         new = _state(edges)
+        # a round leaves several exchanges behind, each of which has files for each of its tasks, however few links there are
+        del both, large, least, small
+        release(edges.sparkSession)
         if new == state:
             break
         state = new

@@ -169,12 +169,16 @@ def _slots(w: np.ndarray) -> np.ndarray:
     return ((w.astype(np.uint64) * _M) >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
 
 
-def rarest(w: np.ndarray, often: np.ndarray, least: float = SIMILARITY, shared: int = 1) -> np.ndarray:
-    """Of a text's words, each with the number of its occurrence, the rarest ones, of which similar texts share one at least, or as many as are to be shared."""
-    occurrence = _occurrences(w)
+def rarest(w: np.ndarray, often: np.ndarray, least: float = SIMILARITY, shared: int = 1, met: np.ndarray | None = None) -> np.ndarray:
+    """Of a text's words, each with the number of its occurrence, the rarest ones, of which similar texts share one at least, or as many as are to be shared.
+
+    met: which slots hold words of several texts; of the rarest words those of no other text are then left out, as they lead nowhere.
+    """
+    occurrence, slot = _occurrences(w), _slots(w)
     token = _tokens(w, occurrence)
-    rank = often[_slots(w)] // (occurrence.astype(np.int64) + 1)
-    return token[np.lexsort((token, rank))[: int(len(w) * (1 - least) + 1e-9) + shared]]
+    rank = often[slot] // (occurrence.astype(np.int64) + 1)
+    at = np.lexsort((token, rank))[: int(len(w) * (1 - least) + 1e-9) + shared]
+    return token[at if met is None else at[met[slot[at]]]]
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -428,31 +432,39 @@ def _similar_in_blocks(texts: DataFrame, least: float) -> DataFrame:
 
 
 def _rare_words(texts: DataFrame, least: float, pairs: bool = False) -> DataFrame:
-    """n, tokens of written texts (n, words): see rarest(). What words are rare is read from a table of SLOTS counts. pairs: also each two of those of which similar texts share two."""
+    """n, tokens of written texts (n, words, component): see rarest(). What words are rare is read from a table of SLOTS counts, and tokens of one component alone are left out.
+    pairs: also each two of those of which similar texts share two."""
     spark = texts.sparkSession
+    none = np.iinfo(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.zeros(SLOTS, np.int64)
+        often, first, last = np.zeros(SLOTS, np.int64), np.full(SLOTS, none.max), np.full(SLOTS, none.min)
         for batch in batches:
-            for x in batch.column(0):
-                often += np.bincount(_slots(np.unique(_opened(x))), minlength=SLOTS)
+            for x, component in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                slots = _slots(np.unique(_opened(x)))
+                often += np.bincount(slots, minlength=SLOTS)
+                first[slots] = np.minimum(first[slots], component)
+                last[slots] = np.maximum(last[slots], component)
         at = np.flatnonzero(often)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(often[at])], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, often[at], first[at], last[at])], names=["slot", "n", "first", "last"])
 
     # a task adds up several partitions, as most words are in each of them
     tasks = max(1, texts.rdd.getNumPartitions() // FAN_IN)
-    counts = texts.select("words").coalesce(tasks).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    often = np.zeros(SLOTS, np.int64)
-    often[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(often)
+    counts = texts.select("words", "component").coalesce(tasks).mapInArrow(count, "slot long, n long, first long, last long").groupBy("slot")
+    counts = counts.agg(F.sum("n").alias("n"), (F.min("first") < F.max("last")).alias("met")).toPandas()
+    often, met = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, bool)
+    at = counts["slot"].to_numpy(np.int64)
+    often[at], met[at] = counts["n"].to_numpy(np.int64), counts["met"].to_numpy(bool)
+    shared = spark.sparkContext.broadcast((often, met))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, met = shared.value
         for part in _slices(batches, 256):
             texts = [_opened(x) for x in part.column(1)]
-            found = [rarest(w, shared.value, least).view(np.int64) for w in texts]
+            found = [rarest(w, often, least, met=met).view(np.int64) for w in texts]
             columns = [part.column(0), pa.array(found, pa.list_(pa.int64()))]
             if pairs:
-                two = [rarest(w, shared.value, least, 2) for w in texts]
+                two = [rarest(w, often, least, 2, met) for w in texts]
                 columns.append(pa.array([_twos(x).view(np.int64) for x in two], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=["n", "tokens", "pairs"][: len(columns)])
 
@@ -468,7 +480,7 @@ def _twos(tokens: np.ndarray) -> np.ndarray:
 
 def _short_members(sketched: DataFrame, least: float) -> DataFrame:
     """n, key of the buckets in which texts of fewer than SHORT_END words meet."""
-    found = cut(_rare_words(cut(sketched.where("words is not null").select("n", "words")), least, pairs=True))
+    found = cut(_rare_words(cut(sketched.where("words is not null").select("n", "words", F.col("n").alias("component"))), least, pairs=True))
     one = found.select("n", F.explode("tokens").alias("key"))
     hot = one.groupBy("key").count().where(F.col("count") > RARE).select("key")
     with_hot = one.join(hot, "key", "left_semi").select("n").distinct()
@@ -515,6 +527,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
             found = cut(components(links).select(F.col("vertex").alias("n"), "component").join(ends.groupBy("n").agg(F.count("*").alias("weight")), "n"))
         rows = members.join(found, "n", "left").withColumns({"component": F.coalesce("component", "n"), "weight": F.coalesce("weight", F.lit(0))})
         rows = cut(rows)
+        release(docs.sparkSession)
         several = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "many")
         rows = cut(rows.join(several, "key"))
         n, pairs = rows.agg(F.count("*"), F.sum(F.col("many") - 1)).first()
@@ -533,6 +546,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         x, y = (sizes.select(F.col("n").alias(c), F.struct("size", "bits").alias(f"of_{c}")) for c in "ab")
         pairs = cut(pairs.join(x, "a").join(y, "b").where(_words_allow("of_a", "of_b", least)).select("a", "b"))
+        del x, y
+        release(docs.sparkSession)
         verified = cut(_verified(pairs, wanted(pairs.select(F.col("a").alias("n")).unionAll(pairs.select(F.col("b").alias("n")))), least))
         good = verified.where("similar").select("a", "b")
         links = good if links is None else links.unionAll(good)
@@ -568,7 +583,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     # texts of large buckets meet by their rarest words alone, once, and not in each bucket again
     large = rows.where(F.col("many") > MANY).select("n", "component", "size", "bits").dropDuplicates(["n"])
     held = wanted(large.select("n"))
-    tokens = cut(_rare_words(held, least).select("n", F.explode("tokens").alias("token")))
+    release(docs.sparkSession)
+    tokens = cut(_rare_words(held.join(large.select("n", "component"), "n"), least).select("n", F.explode("tokens").alias("token")))
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     rare = tokens.join(often.where(F.col("often") <= RARE).select("token"), "token")
     compare(met_by(rows.where(F.col("many") <= MANY), "key").unionAll(met_by(large.join(rare, "n"), "token")))

@@ -324,3 +324,16 @@ def test_pairs_across_the_border_of_short_texts_meet(spark):
     assert {len(x) for x in w.values()} == {39, 48}
     got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[2 * i + 1] == 2 * i for i in range(80))
+
+
+def test_words_of_one_component_make_no_rows(spark):
+    from papertide.llm import order_minhash as m
+
+    rng = random.Random(4)
+    own = lambda k: [f"o{k}x{i}" for i in range(40)]
+    shared, group = [f"s{i}" for i in range(20)], [f"g{i}" for i in range(40)]
+    # texts that share a passage only, and a group of one component with words of its own
+    texts = [(k, own(k) + shared, k) for k in range(30)] + [(100 + k, rng.sample(group, 40) + shared, 100) for k in range(30)]
+    rows_of = [(n, bytes(m.packed(m.words(" ".join(w)))), c) for n, w, c in texts]
+    made = m._rare_words(spark.createDataFrame(rows_of, "n long, words binary, component long"), 0.8).collect()
+    assert len(made) == 60 and sum(len(r.tokens) for r in made) <= 30  # but for words that share a slot; a row for each of 13 words before
