@@ -11,7 +11,7 @@ classes are those of a comparison of all pairs that share a bucket. Texts in buc
 are joined by their rarest words instead: of two similar texts with n words at most, 0.8 n words are common, so one at least
 of the 0.2 n + 1 rarest words of each is, too, whatever order rarity is read from. So texts that share a passage
 and nothing else are not compared each with each. Words that are among the rarest of more than RARE texts join no rows: their texts say
-much the same, and are compared in blocks inside tasks, which send on links only.
+much the same, and are compared in blocks inside tasks, which send on links only. Nor do words that no other text of a length nearby has among its rarest.
 
 Similar: 1 - edit distance in words / words of the longer text >= 0.8, exactly, by a bit-parallel
 alignment inside the band of diagonals that this allows. Texts with equal words are one class from the start, by 128 bits of each word and of all, so
@@ -66,6 +66,8 @@ MANY, SLOTS = 48, 1 << 18
 FAN_IN = 16
 #: Texts that have a word among their rarest ones above which they meet in blocks instead, and texts of a block.
 RARE, BLOCK = 64, 512
+#: Texts of a task that make a word worth counting for that, words counted at once, and places in which is marked what words texts of a length share, and their parts.
+SEVERAL, AT_ONCE, PLACES, PARTS = 8, 1 << 20, 1 << 22, 16
 #: Texts of a comparison whose keys, of 16 bytes each, may be sent to all executors.
 FEW = 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -432,7 +434,7 @@ def _similar_in_blocks(texts: DataFrame, least: float) -> DataFrame:
 
 
 def _rare_words(texts: DataFrame, least: float, pairs: bool = False) -> DataFrame:
-    """n, tokens of written texts (n, words, component): see rarest(). What words are rare is read from a table of SLOTS counts, and tokens of one component alone are left out.
+    """n, level, tokens of written texts (n, words, component): see rarest() and _levels(). What words are rare is read from a table of SLOTS counts, and tokens of one component alone are left out.
     pairs: also each two of those of which similar texts share two."""
     spark = texts.sparkSession
     none = np.iinfo(np.int64)
@@ -462,13 +464,98 @@ def _rare_words(texts: DataFrame, least: float, pairs: bool = False) -> DataFram
         for part in _slices(batches, 256):
             texts = [_opened(x) for x in part.column(1)]
             found = [rarest(w, often, least, met=met).view(np.int64) for w in texts]
-            columns = [part.column(0), pa.array(found, pa.list_(pa.int64()))]
+            levels = _levels(np.array([len(w) for w in texts], np.int64), least)
+            columns = [part.column(0), pa.array(levels), pa.array(found, pa.list_(pa.int64()))]
             if pairs:
                 two = [rarest(w, often, least, 2, met) for w in texts]
                 columns.append(pa.array([_twos(x).view(np.int64) for x in two], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names=["n", "tokens", "pairs"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=["n", "level", "tokens", "pairs"][: len(columns)])
 
-    return texts.select("n", "words").mapInArrow(run, "n long, tokens array<long>" + ", pairs array<long>" * pairs)
+    return texts.select("n", "words").mapInArrow(run, "n long, level long, tokens array<long>" + ", pairs array<long>" * pairs)
+
+
+def _levels(sizes: np.ndarray, least: float) -> np.ndarray:
+    """Similar texts are of one level or of two neighbours."""
+    return np.floor(np.log(np.maximum(sizes, 1)) / -np.log(least)).astype(np.int64)
+
+
+def _places(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return (_mixed(tokens.view(np.uint64) ^ _mixed((levels + 2).astype(np.uint64) * _M)) & np.uint64(PLACES - 1)).astype(np.int64)
+
+
+def _flat(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of all texts of (n, level, tokens), the row of each, and its level."""
+    rows = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False))
+    return part.column(2).flatten().to_numpy(), rows, part.column(1).to_numpy()[rows]
+
+
+def _that_meet(found: DataFrame) -> DataFrame:
+    """n, tokens, hot of written (n, level, tokens): without tokens that no other text of their level or the next ones has, and without those that more than RARE texts are known to have; hot are texts that have one of these.
+
+    Tasks count tokens that SEVERAL of their texts have at least, so their sums are lower bounds, and mark the places of all. Tokens that
+    are kept for want of counts or by places shared make rows more and change no link.
+    """
+    spark = found.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def often() -> pa.RecordBatch:
+            tokens, times = np.unique(np.concatenate(held), return_counts=True)
+            at = times >= SEVERAL
+            return pa.RecordBatch.from_arrays([pa.array(tokens[at]), pa.array(times[at])], names=["token", "times"])
+
+        for part in _slices(batches, 512):
+            held.append(_flat(part)[0])
+            n += len(held[-1])
+            if n >= AT_ONCE:
+                yield often()
+                held, n = [], 0
+        if held:
+            yield often()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(PLACES, bool), np.zeros(PLACES, bool)
+        for part in _slices(batches, 512):
+            tokens, _, levels = _flat(part)
+            for near in (-1, 0, 1):
+                at, times = np.unique(_places(tokens, levels + near), return_counts=True)
+                twice[at] |= once[at] | (times > 1)
+                once[at] = True
+        if once.any():
+            packed_ones = [[x.tobytes() for x in np.split(np.packbits(y), PARTS)] for y in (once, twice)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS)), *[pa.array(x, pa.binary()) for x in packed_ones]], names=["part", "once", "twice"])
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        once, twice = np.zeros(PLACES // PARTS // 8, np.uint8), np.zeros(PLACES // PARTS // 8, np.uint8)
+        for x, y in zip(rows["once"], rows["twice"], strict=True):
+            here = np.frombuffer(x.as_py(), np.uint8)
+            twice |= np.frombuffer(y.as_py(), np.uint8) | (once & here)
+            once |= here
+        return pa.table({"part": rows["part"][:1], "twice": pa.array([twice.tobytes()], pa.binary())})
+
+    # a task adds up several partitions, as in _rare_words()
+    few = found.select("n", "level", "tokens").coalesce(max(1, found.rdd.getNumPartitions() // FAN_IN))
+    counts = few.mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    hot = np.sort(counts.where(F.col("times") > RARE).select("token").toPandas()["token"].to_numpy(np.int64))
+    parts = few.mapInArrow(mark, "part long, once binary, twice binary").groupBy("part").applyInArrow(add_up, "part long, twice binary")
+    marked = np.zeros((PARTS, PLACES // PARTS // 8), np.uint8)
+    for part, twice in parts.collect():
+        marked[part] = np.frombuffer(twice, np.uint8)
+    shared = spark.sparkContext.broadcast((hot, marked.ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, marked = shared.value
+        met = np.unpackbits(marked).view(bool)
+        for part in _slices(batches, 512):
+            tokens, rows, levels = _flat(part)
+            known = np.isin(tokens, hot)
+            keep = ~known & met[_places(tokens, levels)]
+            per_row = lambda which, n=part.num_rows, rows=rows: np.bincount(rows[which], minlength=n)
+            ends = np.cumsum(np.concatenate([[0], per_row(keep)])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[keep])), pa.array(per_row(known) > 0)], names=["n", "tokens", "hot"])
+
+    return found.select("n", "level", "tokens").mapInArrow(run, "n long, tokens array<long>, hot boolean")
 
 
 def _twos(tokens: np.ndarray) -> np.ndarray:
@@ -584,16 +671,18 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     large = rows.where(F.col("many") > MANY).select("n", "component", "size", "bits").dropDuplicates(["n"])
     held = wanted(large.select("n"))
     release(docs.sparkSession)
-    tokens = cut(_rare_words(held.join(large.select("n", "component"), "n"), least).select("n", F.explode("tokens").alias("token")))
+    that_meet = cut(_that_meet(cut(_rare_words(held.join(large.select("n", "component"), "n"), least))))
+    tokens = cut(that_meet.select("n", F.explode("tokens").alias("token")))
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     rare = tokens.join(often.where(F.col("often") <= RARE).select("token"), "token")
     compare(met_by(rows.where(F.col("many") <= MANY), "key").unionAll(met_by(large.join(rare, "n"), "token")))
     release(docs.sparkSession)
     # and those with words that are many texts' rarest ones in blocks, as each pair of them shares many
-    hot = tokens.join(often.where(F.col("often") > RARE).select("token"), "token", "left_semi").select("n").distinct()
+    hot = tokens.join(often.where(F.col("often") > RARE).select("token"), "token", "left_semi").select("n")
+    hot = hot.unionAll(that_meet.where("hot").select("n")).distinct()
     links = links.unionAll(cut(_similar_in_blocks(large.select("n", "component", "size").join(hot, "n").join(held, "n"), least)))
     joined = components(links)
-    del rows, large, held, tokens, often, rare, hot
+    del rows, large, held, that_meet, tokens, often, rare, hot
     release(docs.sparkSession)
     of_text = texts.join(joined.select(F.col("vertex").alias("n"), "component"), "n", "left").withColumn("component", F.coalesce("component", "n"))
     best = of_text.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.min("digest").alias("class_key"))

@@ -337,3 +337,34 @@ def test_words_of_one_component_make_no_rows(spark):
     rows_of = [(n, bytes(m.packed(m.words(" ".join(w)))), c) for n, w, c in texts]
     made = m._rare_words(spark.createDataFrame(rows_of, "n long, words binary, component long"), 0.8).collect()
     assert len(made) == 60 and sum(len(r.tokens) for r in made) <= 30  # but for words that share a slot; a row for each of 13 words before
+
+
+def test_words_that_lead_nowhere_make_no_rows(spark, monkeypatch):
+    """Words of more than RARE texts, and words of texts whose lengths exclude each other, are no rows; the classes are those of all pairs."""
+    rng = random.Random(17)
+    new = iter(range(10**6))
+    passage = [f"p{i}" for i in range(12)]
+    blocks = [[f"b{k}x{i}" for i in range(10)] for k in range(7)]
+    # a group that says the same in another order, and its near copies
+    say = lambda: [w for b in rng.sample(blocks, 7) for w in b] + [f"u{next(new)}" for _ in range(8)]
+    texts = [passage + say() for _ in range(90)]
+    texts += [t[:20] + [f"e{next(new)}"] + t[21:] for t in texts[:20]]
+    # and pairs that share rare words, of lengths that allow them to be similar or don't
+    for k in range(40):
+        own = [f"o{k}x{i}" for i in range(60)]
+        texts += [passage + own, passage + (own[:30] + [f"c{next(new)}"] + own[31:] if k % 2 else own[:20] + [f"c{next(new)}" for _ in range(200)])]
+    words = [order_minhash.words(" ".join(t)) for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if order_minhash.similar(words[i], words[j])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    made, cut = [], order_minhash.cut
+
+    def seen(df):
+        out = cut(df)
+        if out.columns == ["n", "token"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(order_minhash, "cut", seen)
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()}
+    assert pairs and got == closure(pairs, range(len(texts)))
+    assert len(made) == 1 and made[0] < 400
