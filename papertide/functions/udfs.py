@@ -6,15 +6,17 @@ import html
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 from urllib.parse import parse_qs, unquote, urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .classify import WEAK
 from .text import c, key
@@ -54,6 +56,27 @@ def token_similarity(a: Column | str, b: Column | str) -> Column:
     return _similarity(key(c(a)), key(c(b)))
 
 
+#: Pages that a worker holds as Python values at once.
+PAGES = 64
+
+
+def of_pages(kind: T.DataType) -> Callable:
+    """A function of a page as a column function that holds PAGES pages and their results at once, where a plain one holds those of a whole batch of Arrow's; a result is a value of pyarrow's, maps as pairs."""
+
+    def make(f: Callable) -> Callable:
+        made = to_arrow_type(kind)
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                for at in range(0, max(1, len(batch)), PAGES):
+                    yield pa.array([f(x) for x in batch.slice(at, PAGES).to_pylist()], made)
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        return F.arrow_udf(run, kind)
+
+    return make
+
+
 class _Tree(HTMLParser):
     """A plain tree of (name, attributes, children); text as strings."""
 
@@ -276,7 +299,7 @@ def selector_texts(source: str, selector: str) -> list[str]:
     return list(dict.fromkeys(x for x in found if x))
 
 
-@F.udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("heading", T.StringType()), T.StructField("metas", T.MapType(T.StringType(), T.ArrayType(T.StringType()))), T.StructField("body", T.StringType()), T.StructField("links", T.ArrayType(T.StringType()))]), useArrow=True)
+@of_pages(T.StructType([T.StructField("title", T.StringType()), T.StructField("heading", T.StringType()), T.StructField("metas", T.MapType(T.StringType(), T.ArrayType(T.StringType()))), T.StructField("body", T.StringType()), T.StructField("links", T.ArrayType(T.StringType()))]))
 def page_parts(source: str) -> dict | None:
     """Title, first heading, meta values by name, the text of the best body and the links of an HTML page."""
     if source is None:
@@ -287,5 +310,5 @@ def page_parts(source: str) -> dict | None:
         if x[0] == "meta" and (name := (x[1].get("name") or x[1].get("property") or "").lower()):
             metas.setdefault(name, []).append(" ".join(x[1].get("content", "").split()))
     first = lambda tag: next((text_of(x) for x in walk(tree.root) if x[0] == tag), "")
-    out = {"title": first("title"), "heading": first("h1"), "metas": metas, "links": [x[1]["href"] for x in walk(tree.root) if x[0] == "a" and "href" in x[1]]}
+    out = {"title": first("title"), "heading": first("h1"), "metas": list(metas.items()), "links": [x[1]["href"] for x in walk(tree.root) if x[0] == "a" and "href" in x[1]]}
     return out | {"body": best_body(tree.root)}

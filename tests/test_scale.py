@@ -4,9 +4,10 @@ import datetime as dt
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from papertide.functions import udfs
+from papertide.functions import markdown, udfs
 from papertide.operators import catalog, intake, packets
 from papertide.streaming import events
 
@@ -95,6 +96,16 @@ def test_bodies_of_pages():
     assert udfs.selector_texts("<p class='a b'>x</p><p class=b>y</p><p class=b>x</p>", ".b") == ["x", "y"] and udfs.selector_texts("<i role=main>m</i>", "[role=main]") == ["m"]
 
 
+def test_few_pages_are_held_at_once(spark):
+    pages = pa.array(["<title>t</title><h1>a</h1><p>x", None] * 500)
+    for f in (udfs.page_parts, markdown.page_markdown):
+        made = f.func(iter([pages]))
+        assert [len(x) for x in made] == [min(udfs.PAGES, 1000 - at) for at in range(0, 1000, udfs.PAGES)]
+    df = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("<h1>"), F.col("id").cast("string"), F.lit("</h1>"))).alias("html")).coalesce(1)
+    got = df.select("id", udfs.page_parts("html")["heading"].alias("h"), markdown.page_markdown("html").isNull().alias("none")).collect()
+    assert [(r.h, r.none) for r in got] == [(None, True) if r.id % 2 else (str(r.id), False) for r in got] and len(got) == 1000
+
+
 def test_leases_end_by_event_time(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     at = lambda m: t0 + dt.timedelta(minutes=m)
