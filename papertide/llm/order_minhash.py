@@ -66,8 +66,8 @@ MANY, SLOTS = 48, 1 << 18
 FAN_IN = 16
 #: Texts that have a word among their rarest ones above which they meet in blocks instead, and texts of a block.
 RARE, BLOCK = 64, 512
-#: Texts of a task that make a word worth counting for that, words counted at once, and places in which is marked what words texts of a length share, and their parts.
-SEVERAL, AT_ONCE, PLACES, PARTS = 8, 1 << 20, 1 << 22, 16
+#: Texts of a task that make a word worth counting for that, words counted at once, and places in which is marked what words texts of a length share, and parts in which tasks' tables are added up.
+SEVERAL, AT_ONCE, PLACES, PARTS = 8, 1 << 20, 1 << 22, 64
 #: Texts of a comparison whose keys, of 16 bytes each, may be sent to all executors.
 FEW = 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -448,15 +448,24 @@ def _rare_words(texts: DataFrame, least: float, pairs: bool = False) -> DataFram
                 first[slots] = np.minimum(first[slots], component)
                 last[slots] = np.maximum(last[slots], component)
         at = np.flatnonzero(often)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, often[at], first[at], last[at])], names=["slot", "n", "first", "last"])
+        ends = pa.array(np.searchsorted(at, np.arange(0, SLOTS + 1, SLOTS // PARTS)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS)), *[pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at, often[at], first[at], last[at])]], names=["part", "slot", "n", "first", "last"])
 
-    # a task adds up several partitions, as most words are in each of them
+    def add_up(rows: pa.Table) -> pa.Table:
+        slot, n, first, last = (rows[c].combine_chunks().flatten().to_numpy() for c in ("slot", "n", "first", "last"))
+        at, of = np.unique(slot, return_inverse=True)
+        total, least_, most = np.zeros(len(at), np.int64), np.full(len(at), none.max), np.full(len(at), none.min)
+        np.add.at(total, of, n)
+        np.minimum.at(least_, of, first)
+        np.maximum.at(most, of, last)
+        return pa.table({"slot": [at.tolist()], "n": [total.tolist()], "met": [(least_ < most).tolist()]}, schema=pa.schema({"slot": pa.list_(pa.int64()), "n": pa.list_(pa.int64()), "met": pa.list_(pa.bool_())}))
+
+    # a task adds up several partitions, as most words are in each of them, and sends its table in parts
     tasks = max(1, texts.rdd.getNumPartitions() // FAN_IN)
-    counts = texts.select("words", "component").coalesce(tasks).mapInArrow(count, "slot long, n long, first long, last long").groupBy("slot")
-    counts = counts.agg(F.sum("n").alias("n"), (F.min("first") < F.max("last")).alias("met")).toPandas()
+    counts = texts.select("words", "component").coalesce(tasks).mapInArrow(count, "part long, slot array<long>, n array<long>, first array<long>, last array<long>")
     often, met = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, bool)
-    at = counts["slot"].to_numpy(np.int64)
-    often[at], met[at] = counts["n"].to_numpy(np.int64), counts["met"].to_numpy(bool)
+    for at, n, several in counts.groupBy("part").applyInArrow(add_up, "slot array<long>, n array<long>, met array<boolean>").collect():
+        often[at], met[at] = n, several
     shared = spark.sparkContext.broadcast((often, met))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
