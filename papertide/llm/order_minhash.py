@@ -44,7 +44,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,16 +68,15 @@ FAN_IN = 16
 RARE, BLOCK = 64, 512
 #: Texts of a task that make a word worth counting for that, words counted at once, and places in which is marked what words texts of a length share, and parts in which tasks' tables are added up.
 SEVERAL, AT_ONCE, PLACES, PARTS = 8, 1 << 20, 1 << 22, 64
-#: Texts of a comparison whose keys, of 16 bytes each, may be sent to all executors.
-FEW = 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: The bits of a word in an alignment, and their bytes.
 WORD_BYTES = 5
 _WORD = np.uint64((1 << 8 * WORD_BYTES) - 1)
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-#: k-mers times sketches hashed at once.
+#: k-mers times sketches hashed at once, and where.
 CELLS = 1 << 17
+_CELLS = np.empty(CELLS, np.uint32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -86,13 +85,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _word(piece: str) -> list[int]:
-    found = (_EDGES.sub("", x) for x in piece.split())
-    # 128 bits as four ids
-    return [(h >> k) & 0xFFFFFFFF for x in found if x for h in (xxhash.xxh3_128_intdigest(x.encode()),) for k in (0, 32, 64, 96)]
+def _word(piece: str) -> bytes:
+    """128 bits of each word of a piece, as four ids."""
+    word = piece[1:] if piece[:1].isspace() else piece
+    found = [word] if word.isalnum() else (_EDGES.sub("", x) for x in piece.split())
+    return b"".join([xxhash.xxh3_128_digest(x.encode())[::-1] for x in found if x])
 
 
-_words = PieceTable(_word, most=1 << 19)
+class _Words(PieceTable):
+    """Words of pieces; shorter chunks, so that more pieces are kept before the table starts anew."""
+
+    CHUNK = 1 << 16
+
+    def encode(self, piece: str) -> bytes:
+        return _word(piece)
+
+
+_words = _Words(None, most=1 << 19)
 
 
 def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +127,9 @@ def kmers(w: np.ndarray, k: int = K) -> np.ndarray:
     h = w[:n] if len(w) >= k else np.array([int(x) for x in w[:1]], np.uint64)
     for j in range(1, min(k, len(w))):
         h = h * _M + w[j : j + n]
-    order = np.argsort(h, kind="stable")
-    same = np.concatenate([[False], h[order][1:] == h[order][:-1]])
-    if same.any():
-        at = np.arange(len(h))
-        occurrence = np.empty(len(h), np.uint64)
-        occurrence[order] = at - np.maximum.accumulate(np.where(same, 0, at))
-        h = h + occurrence * _MIX
+    values = np.sort(h)
+    if (values[1:] == values[:-1]).any():
+        h = h + _occurrences(h) * _MIX
     return _mixed(h)
 
 
@@ -135,34 +140,68 @@ _ADD, _TIMES = (_SEEDS >> np.uint64(32)).astype(np.uint32), _SEEDS.astype(np.uin
 
 def sketches(w: np.ndarray) -> np.ndarray:
     """The bucket of each sketch: its k-mers in order and its number."""
-    h, out = kmers(w), []
-    short = (h >> np.uint64(32)).astype(np.uint32)
-    step = max(1, CELLS // len(h))
-    for a in range(0, SKETCHES, step):
-        x = (short + _ADD[a : a + step, None]) * _TIMES[a : a + step, None]
-        rows = np.arange(len(x))
-        at = np.empty((min(LENGTH, len(h)), len(x)), np.int64)
-        for k in range(len(at)):
-            at[k] = x.argmin(axis=1)
-            x[rows, at[k]] = 0xFFFFFFFF
-        at.sort(axis=0)
-        key = np.full(len(x), len(at), np.uint64)
-        for places in at:
-            key = _mixed(key * _M + h[places])
-        out.append(key)
-    return _mixed(np.concatenate(out) ^ _SEEDS)
+    h = kmers(w)
+    return _buckets(h, np.array([len(h)]))[0]
+
+
+def _all_sketches(w: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """sketches() of texts of so many words each, K at least, one after the other; 512 texts at most."""
+    ends = np.cumsum(counts)
+    inside = np.ones(len(w), bool)
+    inside[(ends[:, None] - np.arange(1, K)).ravel()] = False
+    n = len(w) - K + 1
+    h = w[:n]
+    for j in range(1, K):
+        h = h * _M + w[j : j + n]
+    h, counts = h[inside[:n]], counts - K + 1
+    ends = np.cumsum(counts)
+    # k-mers of a text that may be equal, by most of their bits
+    near = np.sort(np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << np.uint64(55) | h >> np.uint64(9))
+    for t in np.unique(near[1:][near[1:] == near[:-1]] >> np.uint64(55)).astype(int).tolist():
+        own = h[ends[t] - counts[t] : ends[t]]
+        own += _occurrences(own) * _MIX
+    return _buckets(_mixed(h), counts)
+
+
+def _buckets(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The buckets of texts of so many k-mers each, one after the other."""
+    short, starts = (h >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts
+    at, rows = np.empty((LENGTH, len(counts), SKETCHES), np.int64), np.arange(SKETCHES)
+    for t, (start, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
+        own, step = short[start : start + n], min(SKETCHES, max(1, CELLS // n))
+        # new memory for each text costs more than the hashes themselves
+        cells = _CELLS if step * n <= len(_CELLS) else np.empty(step * n, np.uint32)
+        for a in range(0, SKETCHES, step):
+            x = cells[: min(step, SKETCHES - a) * n].reshape(-1, n)
+            np.multiply(np.add(own, _ADD[a : a + step, None], out=x), _TIMES[a : a + step, None], out=x)
+            for k in range(LENGTH):
+                x.argmin(axis=1, out=at[k, t, a : a + step])
+                if k + 1 < LENGTH:
+                    x[rows[: len(x)], at[k, t, a : a + step]] = 0xFFFFFFFF
+    at += starts[:, None]
+    at.sort(axis=0)
+    key = np.full(at.shape[1:], LENGTH, np.uint64)
+    for places in at:
+        key = _mixed(key * _M + h[places])
+    return _mixed(key ^ _SEEDS)
 
 
 def _occurrences(w: np.ndarray) -> np.ndarray:
     """The number of each word's occurrence, from 0."""
     order = np.argsort(w, kind="stable")
-    at = np.arange(len(w))
-    same = np.concatenate([[False], w[order][1:] == w[order][:-1]])
     out = np.empty(len(w), np.uint64)
-    out[order] = at - np.maximum.accumulate(np.where(same, 0, at))
+    out[order] = _among_sorted(w[order])
     return out
 
 
+def _among_sorted(x: np.ndarray) -> np.ndarray:
+    """The number of each value's occurrence in a sorted array, from 0."""
+    at = np.arange(len(x))
+    starts = at.copy()
+    starts[1:][x[1:] == x[:-1]] = 0
+    return (at - np.maximum.accumulate(starts)).astype(np.uint64)
+
+
 def _tokens(w: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
     return _mixed(w * _M + occurrence * _MIX)
 
@@ -227,7 +266,7 @@ def _at_most(a: np.ndarray, b: np.ndarray, here: np.ndarray, there: np.ndarray)
     """An upper bound of the edit distance: words at these places, which both hold once, are aligned as far as they rise, and what lies between is replaced."""
     order = np.argsort(here)
     here, there = here[order], there[order]
-    if (np.diff(there) < 0).any():  # a longest rising chain
+    if (there[1:] < there[:-1]).any():  # a longest rising chain
         ends: list[int] = []
         last: list[int] = []
         before = [-1] * len(there)
@@ -240,16 +279,16 @@ def _at_most(a: np.ndarray, b: np.ndarray, here: np.ndarray, there: np.ndarray)
             chain.append(i)
             i = before[i]
         here, there = here[chain[::-1]], there[chain[::-1]]
-    gaps = [np.diff(x, prepend=-1, append=n) - 1 for x, n in ((here, len(a)), (there, len(b)))]
-    between = np.maximum(*gaps)
+    starts_a, starts_b = (np.concatenate([[0], x + 1]) for x in (here, there))
+    gaps_a, gaps_b = np.append(here, len(a)) - starts_a, np.append(there, len(b)) - starts_b
+    between = np.maximum(gaps_a, gaps_b)
     # equal words in gaps of equal length are no edits
     cost = int(between.sum())
-    same = np.flatnonzero((gaps[0] == gaps[1]) & (between > 0))
-    starts_a, starts_b = np.concatenate([[0], here + 1])[same], np.concatenate([[0], there + 1])[same]
+    same = np.flatnonzero((gaps_a == gaps_b) & (between > 0))
     n = between[same]
     if len(n):
         inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        cost -= int((a[np.repeat(starts_a, n) + inside] == b[np.repeat(starts_b, n) + inside]).sum())
+        cost -= int((a[np.repeat(starts_a[same], n) + inside] == b[np.repeat(starts_b[same], n) + inside]).sum())
     return cost
 
 
@@ -259,29 +298,58 @@ def _threes(w: np.ndarray) -> np.ndarray:
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many values two sequences have in common, repeated ones as often as both have them."""
-    (x, n_x), (y, n_y) = (np.unique(v, return_counts=True) for v in (a, b))
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return int(np.minimum(n_x[i], n_y[j]).sum())
+    """How many values two sorted sequences have in common, each of which holds a value once."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # merges two runs
+    return int((both[1:] == both[:-1]).sum())
+
+
+class _Ready:
+    """A text's words in the order of their values, with their places, and each with the number of its occurrence."""
+
+    def __init__(self, w: np.ndarray, bits: int = 8 * (8 - WORD_BYTES)):
+        low = np.uint64((1 << bits) - 1)
+        keys = (w.astype(np.uint64) << np.uint64(bits)) | np.arange(len(w), dtype=np.uint64)
+        keys.sort()
+        self.w, self.values, self.places = w, keys >> np.uint64(bits), (keys & low).astype(np.int64)
+        self.tokens = (keys & ~low) | _among_sorted(self.values)
+
+    def once(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words that the text holds once, and their places."""
+        other = self.values[1:] != self.values[:-1]
+        alone = np.append(other, True) & np.insert(other, 0, True)
+        return self.values[alone], self.places[alone]
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether the edit distance is small enough, exactly: by words that exclude it, else by an alignment at the words that both texts hold once, else by whole banded ones."""
+    bits = 8 * (8 - WORD_BYTES)
+    if max(len(a), len(b)) >= 1 << bits or any(len(w) and int(w.max()) >> (64 - bits) for w in (a, b)):  # numbers for words that leave no room for their places
+        numbers = np.unique(np.concatenate([a, b]), return_inverse=True)[1].astype(np.uint64)
+        a, b, bits = numbers[: len(a)], numbers[len(a) :], 32
+    return _similar(_Ready(a, bits), _Ready(b, bits), least)
+
+
+def _similar(x: _Ready, y: _Ready, least: float) -> bool:
+    a, b = x.w, y.w
     longest = max(len(a), len(b))
     most = int(longest * (1 - least) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
+    if len(a) == len(b) and np.count_nonzero(a != b) <= most:
+        return True
     # each edit changes one word at most: fewer common words than this exclude it
-    (x, at_x, n_x), (y, at_y, n_y) = (np.unique(w, return_index=True, return_counts=True) for w in (a, b))
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    if np.minimum(n_x[i], n_y[j]).sum() < longest - most:
+    if _common(x.tokens, y.tokens) < longest - most:
         return False
+    (words_a, places_a), (words_b, places_b) = x.once(), y.once()
+    if len(words_a) and len(words_b):
+        at = np.minimum(np.searchsorted(words_b, words_a), len(words_b) - 1)
+        both = words_b[at] == words_a
+        if both.any() and _at_most(a, b, places_a[both], places_b[at[both]]) <= most:
+            return True
     # and no more than three runs of three words, which tells texts apart that say the same words in another order
-    if min(len(a), len(b)) > 2 and _common(_threes(a), _threes(b)) < longest - 2 - 3 * most:
+    if min(len(a), len(b)) > 2 and _common(*(np.sort(_mixed(v * _M + _among_sorted(v) * _MIX)) for v in (np.sort(_threes(a)), np.sort(_threes(b))))) < longest - 2 - 3 * most:
         return False
-    once = (n_x[i] == 1) & (n_y[j] == 1)
-    if once.any() and _at_most(a, b, at_x[i[once]], at_y[j[once]]) <= most:
-        return True
     band = 32
     while band < most:  # near copies need a narrow band only
         if edit_distance(a, b, band) <= band:
@@ -292,9 +360,16 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 def marks(w: np.ndarray) -> np.ndarray:
     """BITS integers with a bit for each word and number of its occurrence: an edit changes one at most, so similar texts differ by few bits."""
-    bits = np.zeros(64 * BITS, bool)
-    bits[_tokens(w, _occurrences(w)) & np.uint64(64 * BITS - 1)] = True
-    return np.packbits(bits, bitorder="little").view(np.int64)
+    return _all_marks(w, np.array([len(w)]))[0]
+
+
+def _all_marks(w: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """marks() of texts of so many words each, one after the other."""
+    bits = np.zeros((len(counts), 64 * BITS), bool)
+    text = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    keys = np.sort(text << np.uint64(8 * WORD_BYTES) | w)
+    bits[text, _tokens(keys & _WORD, _among_sorted(keys)) & np.uint64(64 * BITS - 1)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
 
 
 def _row(id_col: str, text_col: str) -> Column:
@@ -312,19 +387,17 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 512):
-            digests, keys, sizes, bits, short = [], [], [], [], []
             hashes, at = _hashes(part.column(2))
-            for row, both in zip(part.column(0).to_pylist(), np.split(hashes, at[:-1]), strict=True):
-                w = both[:, 0] & _WORD
-                sizes.append(len(w))
-                bits.append(marks(w))
-                digests.append(xxhash.xxh3_128_digest(both.tobytes()) if len(w) else b"-" + row)  # texts without words are alone
-                keys.append(sketches(w).view(np.int64) if len(w) >= SHORT else np.zeros(0, np.int64))
-                short.append(packed(w) if K <= len(w) < SHORT_END else None)
-            ends = np.cumsum([0] + [len(x) for x in keys]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            marked = pa.ListArray.from_arrays(pa.array(np.arange(0, BITS * len(bits) + 1, BITS, dtype=np.int32)), pa.array(np.concatenate(bits)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), marked, flat, pa.array(short, pa.binary())], names=["row", "id", "digest", "size", "bits", "keys", "words"])
+            sizes = np.diff(at, prepend=0)
+            all_words, long = hashes[:, 0] & _WORD, sizes >= SHORT
+            # texts without words are alone
+            digests = [xxhash.xxh3_128_digest(both) if len(both) else b"-" + row for row, both in zip(part.column(0).to_pylist(), np.split(hashes, at[:-1]), strict=True)]
+            kept = [packed(w) if len(w) >= K else None for w in np.split(all_words, at[:-1])]
+            keys = _all_sketches(all_words[np.repeat(long, sizes)], sizes[long]) if long.any() else np.zeros(0, np.uint64)
+            ends = np.cumsum(np.concatenate([[0], np.where(long, SKETCHES, 0)])).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
+            marked = pa.ListArray.from_arrays(pa.array(np.arange(0, BITS * len(sizes) + 1, BITS, dtype=np.int32)), pa.array(_all_marks(all_words, sizes).ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), marked, flat, pa.array(kept, pa.binary())], names=["row", "id", "digest", "size", "bits", "keys", "words"])
         give_back()
 
     source = docs.select(_row(id_col, text_col).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -332,16 +405,19 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def _words_of(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """n, words of the texts asked for by row and n."""
+def _marked(numbers: DataFrame) -> DataFrame:
+    """Which n there are, as bits: n counts the rows of a partition, so that a partition's lie in few rows of 4 KB, which can be sent to all executors however many they are."""
+    bucket = F.bitmap_bucket_number("n")
+    # brought together first, so that not each task has each bucket
+    return cut(numbers.select("n", bucket.alias("bucket")).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("of_bucket")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches, 512):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(w) for w in words_of(part.column(1))], pa.binary())], names=["n", "words"])
 
-    source = docs.select(_row(id_col, text_col).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    # rows that are equal in id and text stand for one text
-    return source.join(rows, "row").select("n", "text").mapInArrow(run, "n long, words binary").dropDuplicates(["n"])
+def _having(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows whose n is marked."""
+    at = F.bitmap_bit_position("n")
+    byte = F.conv(F.hex(F.substring("of_bucket", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("bucket", F.bitmap_bucket_number("n")).join(F.broadcast(marked), "bucket")
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(rows.columns)
 
 
 def packed(w: np.ndarray) -> bytes:
@@ -359,8 +435,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """pairs with whether they are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ready = None, None
         for part in _slices(batches, 256):
-            found = [similar(_opened(x), _opened(y), least) for x, y in zip(part.column(2), part.column(3), strict=True)]
+            found = []
+            for b, x, y in zip(part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
+                if b != last:  # a text's pairs mostly come one after the other
+                    last, ready = b, _Ready(_opened(y))
+                found.append(_similar(_Ready(_opened(x)), ready, least))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.bool_())], names=["a", "b", "similar"])
         give_back()
 
@@ -397,6 +478,7 @@ def _similar_in_blocks(texts: DataFrame, least: float) -> DataFrame:
             sizes = np.array([len(r[4]) for r in rows])
             counts = np.array([_counts(r[4]) for r in rows])
             component = np.array([r[3] for r in rows])
+            ready: dict[int, _Ready] = {}
             second = np.array([r[0] == 2 or (level == other and r[1] == j) for r in rows])
             first = np.array([r[0] == 1 or (level == other and r[1] == i) for r in rows])
             a, b = [], []  # a forest: texts that are joined already aren't compared
@@ -411,7 +493,12 @@ def _similar_in_blocks(texts: DataFrame, least: float) -> DataFrame:
                 # words cut off at 255 in a cell may be common, too
                 beyond = int(sizes[x] - counts[x].sum(dtype=np.int64))
                 for y in near[less + beyond >= more - most[near]].tolist():
-                    if component[x] != component[y] and similar(rows[x][4], rows[y][4], least):
+                    if component[x] == component[y]:
+                        continue
+                    for k in (x, y):
+                        if k not in ready:
+                            ready[k] = _Ready(rows[k][4])
+                    if _similar(ready[x], ready[y], least):
                         a.append(max(rows[x][2], rows[y][2]))
                         b.append(min(rows[x][2], rows[y][2]))
                         component[component == component[y]] = component[x]
@@ -576,7 +663,7 @@ def _twos(tokens: np.ndarray) -> np.ndarray:
 
 def _short_members(sketched: DataFrame, least: float) -> DataFrame:
     """n, key of the buckets in which texts of fewer than SHORT_END words meet."""
-    found = cut(_rare_words(cut(sketched.where("words is not null").select("n", "words", F.col("n").alias("component"))), least, pairs=True))
+    found = cut(_rare_words(cut(sketched.where((F.col("size") >= K) & (F.col("size") < SHORT_END)).select("n", "words", F.col("n").alias("component"))), least, pairs=True))
     one = found.select("n", F.explode("tokens").alias("key"))
     hot = one.groupBy("key").count().where(F.col("count") > RARE).select("key")
     with_hot = one.join(hot, "key", "left_semi").select("n").distinct()
@@ -601,13 +688,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     """__row, id_col, class_id, class_key, kept of each row."""
     workers_can_import(docs.sparkSession)
     sketched = cut(_sketched(docs, id_col, text_col).withColumn("n", F.monotonically_increasing_id()))
+    all_rows = cut(sketched.select("row", "id", "digest", "n"))
     # one row for each text that differs, known by the row's number
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "n"))
-    texts = cut(sketched.groupBy("digest").agg(best.alias("best")).select("digest", "best.row", "best.id", "best.n"))
-    distinct = sketched.select("n", "size", "bits", "keys", "words").join(texts.select("n"), "n", "left_semi")
+    texts = cut(all_rows.groupBy("digest").agg(best.alias("best")).select("digest", "best.row", "best.id", "best.n"))
+    distinct = _having(sketched.select("n", "size", "bits", "keys", "words"), _marked(texts))
     sizes = cut(distinct.select("n", "size", "bits"))
-    in_several = lambda rows: cut(rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key"))
-    members = in_several(distinct.select("n", F.explode("keys").alias("key")))
+    # members of a bucket are exchanged once, and counted where they are
+    in_several = lambda rows: cut(rows.withColumn("many", F.count("*").over(Window.partitionBy("key"))).where("many > 1").drop("many"))
+    members = in_several(distinct.select("n", "size", F.explode("keys").alias("key")))
     # buckets of rare words hold few similar pairs, and are met once the others' classes are known
     short = in_several(_short_members(distinct, least))
     links = known = found = None
@@ -630,9 +719,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         return rows, (pairs or 0) <= MANY * n
 
     def wanted(numbers: DataFrame) -> DataFrame:
-        rows = cut(texts.select("row", "n").join(numbers.distinct(), "n", "left_semi"))
-        # where few texts are asked for they are picked as documents are read, else the texts are exchanged
-        return cut(_words_of(docs, F.broadcast(rows) if rows.count() <= FEW else rows, id_col, text_col))
+        return cut(_having(sketched.select("n", "words"), _marked(numbers)))
 
     def compare(pairs: DataFrame) -> tuple[int, int]:
         """Verifies pairs (a, b) and adds to links; how many were compared, and how many are similar."""
@@ -652,23 +739,23 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
 
     del distinct
     # at first each text is a class, and weighs as many buckets as it is in
-    rows, small = members.join(members.groupBy("n").agg(F.count("*").alias("weight")), "n").withColumn("component", F.col("n")), False
+    rows, small = members.withColumns({"weight": F.count("*").over(Window.partitionBy("n")), "component": F.col("n")}), False
     while not small:
         release(docs.sparkSession)
-        sized = rows.join(sizes.select("n", "size"), "n")
         # the same text in all its buckets as far as can be, so that pairs meet again
-        first = F.max_by(F.struct("n", "size", "component"), F.struct("weight", F.xxhash64("n")))
-        met = sized.alias("m").join(sized.groupBy("key").agg(first.alias("f")), "key").where(F.col("m.component") != F.col("f.component"))
-        met = met.where(_sizes_allow("m", "f", least))
+        first = F.max(F.struct("weight", F.xxhash64("n").alias("hash"), "n", "size", "component")).over(Window.partitionBy("key"))
+        met = rows.select(F.struct("n", "size", "component").alias("m"), first.alias("f")).where((F.col("m.component") != F.col("f.component")) & _sizes_allow("m", "f", least))
         compared, similar_ones = compare(met.select(F.greatest("m.n", "f.n").alias("a"), F.least("m.n", "f.n").alias("b")))
-        del met, first, sized
+        del met, first
         release(docs.sparkSession)
         if similar_ones * 10 <= compared and "many" in rows.columns:
             break  # the few new links only make a few pairs more that are compared
         rows, small = placed(members)
     release(docs.sparkSession)
-    rows = rows.unionByName(placed(short, again=False)[0])
+    short_rows = placed(short, again=False)[0]
+    rows = rows.drop("size").unionByName(short_rows)
     rows = cut(rows.select("key", "n", "component", "many").join(sizes, "n"))
+    del short_rows
 
     def met_by(rows: DataFrame, *on: str) -> DataFrame:
         x, y = rows.alias("x"), rows.alias("y")
@@ -690,13 +777,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     hot = tokens.join(often.where(F.col("often") > RARE).select("token"), "token", "left_semi").select("n")
     hot = hot.unionAll(that_meet.where("hot").select("n")).distinct()
     links = links.unionAll(cut(_similar_in_blocks(large.select("n", "component", "size").join(hot, "n").join(held, "n"), least)))
+    del rows, large, held, that_meet, tokens, often, rare, hot, sketched, members, short
     joined = components(links)
-    del rows, large, held, that_meet, tokens, often, rare, hot
     release(docs.sparkSession)
     of_text = texts.join(joined.select(F.col("vertex").alias("n"), "component"), "n", "left").withColumn("component", F.coalesce("component", "n"))
     best = of_text.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.min("digest").alias("class_key"))
     by_text = of_text.select("digest", "component").join(best, "component")
-    out = sketched.select("row", "id", "digest").join(by_text, "digest")
+    out = all_rows.select("row", "id", "digest").join(by_text, "digest")
     return out.select(F.col("row").alias("__row"), F.col("id").alias(id_col), F.col("best.id").alias("class_id"), F.lower(F.hex("class_key")).alias("class_key"), (F.col("row") == F.col("best.row")).alias("kept"))
 
 

@@ -368,3 +368,59 @@ def test_words_that_lead_nowhere_make_no_rows(spark, monkeypatch):
     got = {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()}
     assert pairs and got == closure(pairs, range(len(texts)))
     assert len(made) == 1 and made[0] < 400
+
+
+def test_texts_are_read_once_for_all_rounds(spark):
+    """Their words are kept for the comparisons; reading each text again for each round of them took more than its share at 6 GB."""
+    rng = random.Random(23)
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(60)] for _ in range(40)]
+    texts += [t[:30] + ["other"] + t[31:] for t in texts[:20]] + [t[:12] for t in texts[:9]] + [t[:11] + ["other"] for t in texts[:9]]
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for part in rows:
+            reads.add(part.num_rows)
+            yield part
+
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).mapInArrow(seen, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()}
+    words = [order_minhash.words(" ".join(t)) for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if order_minhash.similar(words[i], words[j])]
+    assert len(pairs) == 29 and got == closure(pairs, range(len(texts)))
+    assert reads.value == len(texts)
+
+
+def test_marked_rows(spark):
+    """Numbers are found by their bits, at the borders of bytes and of buckets as well."""
+    every = [p << 33 | i for p in (0, 1, 70_000) for i in (0, 1, 2, 7, 8, 9, 32_766, 32_767, 32_768, 32_769, 65_536, 65_537, 1 << 32)]
+    chosen = every[::3] + every[1:9]
+    rows, numbers = (spark.createDataFrame([(n, str(n)) for n in x], "n long, x string") for x in (every, [*chosen, *chosen[:4], 5]))
+    got = order_minhash._having(rows, order_minhash._marked(numbers)).collect()
+    assert sorted(map(tuple, got)) == sorted((n, str(n)) for n in set(chosen))
+
+
+def test_batches_of_texts_are_texts_one_by_one():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, most, n).astype(np.uint64) for n in (40, 41, 60, 400) for most in (2, 30, 1 << 40)]
+    counts, joined = np.array([len(w) for w in texts]), np.concatenate(texts)
+    assert (order_minhash._all_sketches(joined, counts) == [order_minhash.sketches(w) for w in texts]).all()
+    assert (order_minhash._all_marks(joined, counts) == [order_minhash.marks(w) for w in texts]).all()
+
+
+def test_similar_is_the_edit_distance_for_any_numbers():
+    """Numbers beyond the bits of a word, repeated ones, and other orders."""
+    rng = random.Random(29)
+    seen = set()
+    for _ in range(600):
+        most = rng.choice([3, 12, 1 << 40, 1 << 64])
+        a = [rng.randrange(most) for _ in range(rng.randint(1, 50))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [rng.randrange(most)] * rng.randint(0, 1)
+        if rng.random() < 0.1:
+            b = b[len(b) // 2 :] + b[: len(b) // 2]
+        got = order_minhash.similar(np.array(a, np.uint64), np.array(b, np.uint64))
+        assert got == (dp(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9))
+        seen.add(got)
+    assert len(seen) == 2
