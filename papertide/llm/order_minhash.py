@@ -445,7 +445,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.bool_())], names=["a", "b", "similar"])
         give_back()
 
-    both = pairs.join(texts.select(F.col("n").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("n").alias("b"), F.col("words").alias("y")), "b")
+    # each side's texts alone are exchanged for it
+    x, y = (_having(texts, _marked(pairs.select(F.col(c).alias("n")))) for c in "ab")
+    both = pairs.join(x.select(F.col("n").alias("a"), F.col("words").alias("x")), "a").join(y.select(F.col("n").alias("b"), F.col("words").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similar boolean")
 
 
@@ -713,30 +715,51 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         rows = members.join(found, "n", "left").withColumns({"component": F.coalesce("component", "n"), "weight": F.coalesce("weight", F.lit(0))})
         rows = cut(rows)
         release(docs.sparkSession)
-        several = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "many")
-        rows = cut(rows.join(several, "key"))
+        bucket = Window.partitionBy("key")
+        several = {"many": F.count("*").over(bucket), "__least": F.min("component").over(bucket), "__most": F.max("component").over(bucket)}
+        rows = cut(rows.drop("many").withColumns(several).where("__least < __most").drop("__least", "__most"))
         n, pairs = rows.agg(F.count("*"), F.sum(F.col("many") - 1)).first()
         return rows, (pairs or 0) <= MANY * n
 
     def wanted(numbers: DataFrame) -> DataFrame:
         return cut(_having(sketched.select("n", "words"), _marked(numbers)))
 
-    def compare(pairs: DataFrame) -> tuple[int, int]:
-        """Verifies pairs (a, b) and adds to links; how many were compared, and how many are similar."""
-        nonlocal links, known
+    def fitting(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that weren't compared yet and that words don't exclude."""
         pairs = pairs.distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         x, y = (sizes.select(F.col("n").alias(c), F.struct("size", "bits").alias(f"of_{c}")) for c in "ab")
         pairs = cut(pairs.join(x, "a").join(y, "b").where(_words_allow("of_a", "of_b", least)).select("a", "b"))
-        del x, y
         release(docs.sparkSession)
+        return pairs
+
+    def compare(pairs: DataFrame) -> tuple[int, int]:
+        """Verifies fitting pairs and adds to links; how many were compared, and how many are similar."""
+        nonlocal links, known
         verified = cut(_verified(pairs, wanted(pairs.select(F.col("a").alias("n")).unionAll(pairs.select(F.col("b").alias("n")))), least))
         good = verified.where("similar").select("a", "b")
         links = good if links is None else links.unionAll(good)
         known = verified.select("a", "b") if known is None else known.unionAll(verified.select("a", "b"))
         return tuple(verified.agg(F.count("*"), F.count_if("similar")).first())
 
+    def compare_in_turn(pairs: DataFrame) -> tuple[int, int]:
+        """compare(), first each text with one other, the one that has most pairs, then those that aren't of one class by that."""
+        ends = pairs.select(F.col("a").alias("n"), F.col("b").alias("other")).unionAll(pairs.select(F.col("b").alias("n"), F.col("a").alias("other")))
+        weights = ends.groupBy(F.col("n").alias("other")).agg(F.count("*").alias("weight"))
+        best = ends.join(weights, "other").groupBy("n").agg(F.max(F.struct("weight", F.xxhash64("other").alias("hash"), "other")).alias("best"))
+        first = cut(best.select(F.greatest("n", "best.other").alias("a"), F.least("n", "best.other").alias("b")).distinct())
+        rest = cut(pairs.join(first, ["a", "b"], "left_anti"))
+        compared, similar_ones = compare(first)
+        if rest.isEmpty():
+            return compared, similar_ones
+        release(docs.sparkSession)
+        class_of = components(links)
+        for c in "ab":
+            rest = rest.join(class_of.select(F.col("vertex").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+        more, similar_too = compare(cut(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")))
+        return compared + more, similar_ones + similar_too
+
     del distinct
     # at first each text is a class, and weighs as many buckets as it is in
     rows, small = members.withColumns({"weight": F.count("*").over(Window.partitionBy("n")), "component": F.col("n")}), False
@@ -745,7 +768,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         # the same text in all its buckets as far as can be, so that pairs meet again
         first = F.max(F.struct("weight", F.xxhash64("n").alias("hash"), "n", "size", "component")).over(Window.partitionBy("key"))
         met = rows.select(F.struct("n", "size", "component").alias("m"), first.alias("f")).where((F.col("m.component") != F.col("f.component")) & _sizes_allow("m", "f", least))
-        compared, similar_ones = compare(met.select(F.greatest("m.n", "f.n").alias("a"), F.least("m.n", "f.n").alias("b")))
+        compared, similar_ones = compare_in_turn(fitting(met.select(F.greatest("m.n", "f.n").alias("a"), F.least("m.n", "f.n").alias("b"))))
         del met, first
         release(docs.sparkSession)
         if similar_ones * 10 <= compared and "many" in rows.columns:
@@ -753,9 +776,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         rows, small = placed(members)
     release(docs.sparkSession)
     short_rows = placed(short, again=False)[0]
-    rows = rows.drop("size").unionByName(short_rows)
-    rows = cut(rows.select("key", "n", "component", "many").join(sizes, "n"))
-    del short_rows
+    rows = rows.drop("size").unionByName(short_rows).select("key", "n", "component", "many")
+    few = cut(rows.where(F.col("many") <= MANY).join(sizes, "n"))
+    # texts of large buckets meet by their rarest words alone, once, and not in each bucket again
+    large = cut(rows.where(F.col("many") > MANY).select("n", "component").dropDuplicates(["n"]).join(sizes, "n"))
+    del short_rows, rows
 
     def met_by(rows: DataFrame, *on: str) -> DataFrame:
         x, y = rows.alias("x"), rows.alias("y")
@@ -763,21 +788,19 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         met = x.join(y, same).where((F.col("x.n") > F.col("y.n")) & (F.col("x.component") != F.col("y.component")))
         return met.where(_sizes_allow("x", "y", least) & _words_allow("x", "y", least)).select(F.col("x.n").alias("a"), F.col("y.n").alias("b"))
 
-    # texts of large buckets meet by their rarest words alone, once, and not in each bucket again
-    large = rows.where(F.col("many") > MANY).select("n", "component", "size", "bits").dropDuplicates(["n"])
     held = wanted(large.select("n"))
     release(docs.sparkSession)
     that_meet = cut(_that_meet(cut(_rare_words(held.join(large.select("n", "component"), "n"), least))))
     tokens = cut(that_meet.select("n", F.explode("tokens").alias("token")))
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     rare = tokens.join(often.where(F.col("often") <= RARE).select("token"), "token")
-    compare(met_by(rows.where(F.col("many") <= MANY), "key").unionAll(met_by(large.join(rare, "n"), "token")))
+    compare(fitting(met_by(few, "key").unionAll(met_by(large.join(rare, "n"), "token"))))
     release(docs.sparkSession)
     # and those with words that are many texts' rarest ones in blocks, as each pair of them shares many
     hot = tokens.join(often.where(F.col("often") > RARE).select("token"), "token", "left_semi").select("n")
     hot = hot.unionAll(that_meet.where("hot").select("n")).distinct()
     links = links.unionAll(cut(_similar_in_blocks(large.select("n", "component", "size").join(hot, "n").join(held, "n"), least)))
-    del rows, large, held, that_meet, tokens, often, rare, hot, sketched, members, short
+    del few, large, held, that_meet, tokens, often, rare, hot, sketched, members, short
     joined = components(links)
     release(docs.sparkSession)
     of_text = texts.join(joined.select(F.col("vertex").alias("n"), "component"), "n", "left").withColumn("component", F.coalesce("component", "n"))
